@@ -67,3 +67,11 @@ def missing_items(data: DataFrame, pool: DataFrame, item: str) -> DataFrame:
 def unseen(batch: DataFrame, seen: DataFrame, item: str, order: Sequence[str]) -> DataFrame:
     """First row of each item of a batch that an earlier batch did not bring."""
     return first_per_key(batch.join(seen.select(item), item, "left_anti"), [item], order)
+
+
+def conform_items(df: DataFrame, dummies: dict[str, str] | None = None) -> DataFrame:
+    """Rename item_* to cand_item_*, and add a default score, label and placeholder features."""
+    out = df.select([F.col(c).alias(f"cand_{c}" if c.startswith("item_") else c) for c in df.columns])
+    out = out.withColumns({"score": F.lit(0.0), "label": F.lit(0)})
+    empty = {"numeric": F.lit(0.0), "categorical": F.lit(0), "sequence": F.array(F.lit(0))}     # fixed values
+    return out.withColumns({n: empty[t] for n, t in (dummies or {}).items()}) if dummies else out

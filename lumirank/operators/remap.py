@@ -17,11 +17,13 @@ def used_ids(df: DataFrame, columns: Sequence[str], share: dict[str, str] | None
     """Distinct (feature, id) over scalar and array columns, padding 0 left out.
     Columns that share a table are reported under its name."""
     share = share or {}
-    cells = []
-    for c in columns:
+
+    def tagged(c: str) -> Column:
         ids = F.col(c).cast("array<bigint>") if _is_array(df, c) else F.array(F.col(c).cast("bigint"))
-        cells.append(F.transform(F.coalesce(ids, F.array().cast("array<bigint>")),
-                                 lambda x, c=c: F.struct(F.lit(share.get(c, c)).alias("feature"), x.alias("id"))))
+        return F.transform(F.coalesce(ids, F.array().cast("array<bigint>")),
+                           lambda x: F.struct(F.lit(share.get(c, c)).alias("feature"), x.alias("id")))
+
+    cells = [tagged(c) for c in columns]
     long = df.select(F.explode(F.flatten(F.array(*cells))).alias("c")).select("c.feature", "c.id")
     return long.filter("id is not null and id <> 0").distinct()
 

@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from lumirank.plans import ranking_queries  # noqa: F401
+from lumirank.plans import prep_queries, ranking_queries, stage_queries  # noqa: F401
 from lumirank.plans.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

@@ -108,7 +108,8 @@ def vectors(spark: SparkSession, sf: str, key: str = "item_id") -> DataFrame:
 def vector_positives(spark: SparkSession, sf: str) -> DataFrame:
     """The next one to three vectors by id are the positives of a vector."""
     v = vectors(spark, sf, "request_id")
-    ahead = v.select("request_id", (F.col("request_id") + F.explode(F.sequence(F.lit(1), F.col("kind") % 3 + 1))).alias("item_id"))
+    ahead = v.select("request_id", F.explode(F.sequence(F.lit(1), F.col("kind") % 3 + 1)).alias("step"))
+    ahead = ahead.select("request_id", (F.col("request_id") + F.col("step")).alias("item_id"))
     return ahead.join(vectors(spark, sf).select("item_id"), "item_id", "left_semi").select("request_id", "item_id")
 
 
