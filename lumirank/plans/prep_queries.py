@@ -443,7 +443,7 @@ def _(spark, sf):
     return rounded(ST.finite_stats(V.lines(spark, sf), ["quantity", "discount", "price"], top=2))
 
 
-@query("a15_standard_scaler", "WITH s AS (SELECT avg(l_quantity) AS m, stddev_pop(l_quantity) AS d FROM lineitem) SELECT l_orderkey AS request_id, l_partkey AS item_id, round((l_quantity-m)/d,6) AS quantity FROM lineitem, s")
+@query("a15_standard_scaler", "WITH s AS (SELECT avg(l_quantity) AS m, stddev_pop(l_quantity) AS d FROM lineitem) SELECT l_orderkey AS request_id, l_partkey AS item_id, round((l_quantity-m)/d,6)+0.0 AS quantity FROM lineitem, s")
 def _(spark, sf):
     l = V.lines(spark, sf).select("request_id", "item_id", "quantity")
     return rounded(SC.normalize(l, ["quantity"], "StandardScaler"))
