@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from lumirank.functions.numeric import clip_prob, ratio
 from lumirank.operators import ranking_metrics as rm
-from lumirank.operators.ordering import exact_quantiles, with_global_prefix, with_prefix
+from lumirank.operators.ordering import quantiles_of, with_global_prefix, with_prefix
+from lumirank.session import stable
 
 
 def logloss_expr(label: Column, pred: Column, neg_weight: float = 1.0, pos_weight: float = 1.0) -> Column:
@@ -23,25 +24,34 @@ def _score_counts(df: DataFrame, by: Sequence[str], score: str, label: str) -> D
     return df.groupBy(*by, score).agg(F.sum(pos).alias("pos"), F.sum(1 - pos).alias("neg"))
 
 
-def auc(df: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
-    """ROC-AUC (ties half) and average precision over the whole frame; null for one class."""
+def _placed(df: DataFrame, score: str, label: str) -> tuple[DataFrame, int, int]:
+    """Score counts by falling score with the positives and negatives above each score."""
     counts = _score_counts(df, [], score, label)
     placed, tot = with_global_prefix(counts, [F.col(score).desc()],
                                      {"pos_above": F.col("pos"), "neg_above": F.col("neg")})
-    p, n = tot["pos_above"], tot["neg_above"]
-    two_class = p > 0 and n > 0
+    return placed, tot["pos_above"], tot["neg_above"]
+
+
+def _auc_aggs(p: int, n: int) -> list[Column]:
     wins = F.sum(F.col("pos") * (F.lit(n) - F.col("neg_above") - 0.5 * F.col("neg")))
     cum_pos, cum_neg = F.col("pos_above") + F.col("pos"), F.col("neg_above") + F.col("neg")
     ap = F.sum(F.col("pos") * (cum_pos / (cum_pos + cum_neg)))
-    return placed.agg(
-        F.lit(p + n).cast("long").alias("n"), F.lit(p).cast("long").alias("n_pos"),
-        (wins / F.lit(float(p) * n) if two_class else F.lit(None).cast("double")).alias("auc"),
-        (ap / F.lit(float(p)) if p else F.lit(None).cast("double")).alias("average_precision"))
+    none = F.lit(None).cast("double")
+    return [F.lit(p + n).cast("long").alias("n"), F.lit(p).cast("long").alias("n_pos"),
+            (wins / F.lit(float(p) * n) if p > 0 and n > 0 else none).alias("auc"),
+            (ap / F.lit(float(p)) if p else none).alias("average_precision")]
 
 
-def _group_auc_rows(df, group, score, label, hot_rows=None):
-    counts = _score_counts(df, [group], score, label)
-    placed = with_prefix(counts, [group], [F.col(score).desc()], {"neg_above": F.col("neg")}, hot_rows)
+def auc(df: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
+    """ROC-AUC (ties half) and average precision over the whole frame; null for one class."""
+    placed, p, n = _placed(df, score, label)
+    return placed.agg(*_auc_aggs(p, n))
+
+
+def _group_auc_rows(df, group, score, label, hot_rows=None, counts=None):
+    upper = df if counts is None else None
+    counts = _score_counts(df, [group], score, label) if counts is None else counts
+    placed = with_prefix(counts, [group], [F.col(score).desc()], {"neg_above": F.col("neg")}, hot_rows, upper)
     g = placed.groupBy(group).agg(
         F.sum("pos").alias("p"), F.sum("neg").alias("n"),
         F.sum(F.col("pos") * (F.col("neg_above") + 0.5 * F.col("neg"))).alias("lost"))
@@ -66,12 +76,16 @@ def slice_metrics(df: DataFrame, feature: str, score: str = "score", label: str
                   hot_rows: int | None = None) -> DataFrame:
     """Count, share, AUC (0 for one class) and logloss per value of a feature.
 
-    Values are few and large, so the AUC part runs on per-score counts with split groups.
+    Values are few and large, so rows are first summed per (value, score), once; the AUC
+    then runs on those sums with large values split.
     """
-    a = _group_auc_rows(df, feature, score, label, hot_rows)
-    ll = df.groupBy(feature).agg(F.count("*").alias("count"),
-                                 F.avg(logloss_expr(F.col(label), F.col(score))).alias("logloss"))
-    total = ll.agg(F.sum("count")).first()[0] or 0
+    pos = (F.col(label) > 0).cast("long")
+    sums = stable(df.groupBy(feature, score).agg(
+        F.sum(pos).alias("pos"), F.sum(1 - pos).alias("neg"), F.count("*").alias("rows"),
+        F.sum(logloss_expr(F.col(label), F.col(score))).alias("loss")))
+    a = _group_auc_rows(df, feature, score, label, hot_rows, sums.select(feature, score, "pos", "neg"))
+    ll = sums.groupBy(feature).agg(F.sum("rows").alias("count"), (F.sum("loss") / F.sum("rows")).alias("logloss"))
+    total = sums.agg(F.sum("rows")).first()[0] or 0
     return (ll.join(a.select(F.col(feature).alias("__f"), "auc"), F.col(feature).eqNullSafe(F.col("__f")), "left")
             .select(feature, "count", (F.col("count") * 100.0 / F.lit(max(total, 1))).alias("ratio"),
                     F.coalesce("auc", F.lit(0.0)).alias("auc"), "logloss"))
@@ -88,10 +102,12 @@ def calibration(df: DataFrame, score: str = "score", label: str = "label") -> Da
 def pointwise_report(df: DataFrame, score: str = "score", label: str = "label", group: str | None = None,
                      prefix: str = "") -> DataFrame:
     """One row: counts, prediction spread, AUC, AP, logloss, calibration and group AUC."""
-    d = df.select(F.col(label).cast("double").alias("__y"), clip_prob(F.col(score)).alias("__p"),
-                  *([F.col(group)] if group else []))
-    q = exact_quantiles(d, "__p", [0.01, 0.5, 0.99])
-    a = auc(d, "__p", "__y").first()
+    d = stable(df.select(F.col(label).cast("double").alias("__y"), clip_prob(F.col(score)).alias("__p"),
+                         *([F.col(group)] if group else [])))
+    placed, p, n = _placed(d, "__p", "__y")
+    a = placed.agg(*_auc_aggs(p, n)).first()
+    q = quantiles_of(placed, "__p", F.lit(p + n) - F.col("pos_above") - F.col("neg_above") - F.col("pos") - F.col("neg"),
+                     F.col("pos") + F.col("neg"), p + n, [0.01, 0.5, 0.99])
     extra = {"auc": a["auc"], "prauc": a["average_precision"],
              "pred_p01": q[0.01], "pred_p50": q[0.5], "pred_p99": q[0.99]}
     if group:

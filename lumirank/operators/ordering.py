@@ -23,9 +23,16 @@ def hot_limit(df: DataFrame, hot_rows: int | None) -> int:
     return int(hot_rows or df.sparkSession.conf.get(HOT_ROWS_CONF, str(DEFAULT_HOT_ROWS)))
 
 
-def hot_keys(df: DataFrame, by: Sequence[str], hot_rows: int | None = None) -> DataFrame | None:
-    """Keys with more than `hot_rows` rows, or None. At most rows / hot_rows keys exist."""
+def hot_keys(df: DataFrame, by: Sequence[str], hot_rows: int | None = None,
+             upper: DataFrame | None = None) -> DataFrame | None:
+    """Keys with more than `hot_rows` rows, or None. At most rows / hot_rows keys exist.
+
+    `upper` is a cheaper frame with at least as many rows per key (the rows before an
+    aggregation): when it has no hot key, `df` is not run for the check.
+    """
     limit = hot_limit(df, hot_rows)
+    if upper is not None and upper.groupBy(*by).count().filter(F.col("count") > limit).isEmpty():
+        return None
     keys = df.groupBy(*by).count().filter(F.col("count") > limit).select(*by)
     if keys.isEmpty():
         return None
@@ -70,13 +77,14 @@ def _ranged_prefix(df, by, order, sums):
 
 
 def with_prefix(df: DataFrame, by: Sequence[str], order: Sequence[str | Column],
-                sums: Mapping[str, Column], hot_rows: int | None = None) -> DataFrame:
+                sums: Mapping[str, Column], hot_rows: int | None = None,
+                upper: DataFrame | None = None) -> DataFrame:
     """Add, per row, the sum of each value over the rows of its group that come before it.
 
     `order` must be total up to rows that are equal in every used column.
     """
     by, order = list(by), _order_columns(order)
-    keys = hot_keys(df, by, hot_rows)
+    keys = hot_keys(df, by, hot_rows, upper)
     if keys is None:
         return _window_prefix(df, by, order, sums)
     cold = df.join(F.broadcast(keys), by, "left_anti")
@@ -138,7 +146,12 @@ def exact_quantiles(df: DataFrame, column: str, qs: Sequence[float]) -> dict[flo
     """Exact linear-interpolation quantiles of a column without sorting it in one task."""
     counts = df.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("__n"))
     placed, totals = with_global_prefix(counts, [column], {"__before": F.col("__n")})
-    n = totals["__before"]
+    return quantiles_of(placed, column, F.col("__before"), F.col("__n"), totals["__before"], qs)
+
+
+def quantiles_of(placed: DataFrame, column: str, before: Column, count: Column, n: int,
+                 qs: Sequence[float]) -> dict[float, float]:
+    """Quantiles of values that know how many of the n rows hold them and how many come before."""
     if not n:
         return {q: None for q in qs}
     want = {}
@@ -147,7 +160,7 @@ def exact_quantiles(df: DataFrame, column: str, qs: Sequence[float]) -> dict[flo
         lo = int(h)
         want[q] = (lo, min(lo + 1, n - 1), h - lo)
     at = {i for lo, hi, _ in want.values() for i in (lo, hi)}
-    row = placed.agg(*[F.max(F.when((F.col("__before") <= i) & (F.col("__before") + F.col("__n") > i),
-                                    F.col(column))).alias(f"v{i}") for i in sorted(at)]).first()
+    row = placed.agg(*[F.max(F.when((before <= i) & (before + count > i), F.col(column))).alias(f"v{i}")
+                       for i in sorted(at)]).first()
     return {q: float(row[f"v{lo}"]) + frac * (float(row[f"v{hi}"]) - float(row[f"v{lo}"]))
             for q, (lo, hi, frac) in want.items()}

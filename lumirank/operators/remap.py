@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from lumirank.operators.ordering import with_row_number
+from lumirank.session import stable
 
 
 def _is_array(df: DataFrame, c: str) -> bool:
@@ -17,15 +18,13 @@ def used_ids(df: DataFrame, columns: Sequence[str], share: dict[str, str] | None
     """Distinct (feature, id) over scalar and array columns, padding 0 left out.
     Columns that share a table are reported under its name."""
     share = share or {}
-
-    def tagged(c: str) -> Column:
-        ids = F.col(c).cast("array<bigint>") if _is_array(df, c) else F.array(F.col(c).cast("bigint"))
-        return F.transform(F.coalesce(ids, F.array().cast("array<bigint>")),
-                           lambda x: F.struct(F.lit(share.get(c, c)).alias("feature"), x.alias("id")))
-
-    cells = [tagged(c) for c in columns]
-    long = df.select(F.explode(F.flatten(F.array(*cells))).alias("c")).select("c.feature", "c.id")
-    return long.filter("id is not null and id <> 0").distinct()
+    out = None
+    for c in columns:                     # one pruned scan per column; repeats go before the shuffle
+        ids = F.explode(F.col(c).cast("array<bigint>")) if _is_array(df, c) else F.col(c).cast("bigint")
+        part = df.select(ids.alias("id")).filter("id is not null and id <> 0").distinct()
+        part = part.select(F.lit(share.get(c, c)).alias("feature"), "id")
+        out = part if out is None else out.unionByName(part)
+    return stable(out.distinct())
 
 
 def pruning_decisions(used: DataFrame, vocab_sizes: dict[str, int], min_vocab: int = 100,
@@ -52,10 +51,12 @@ def remap_table(used: DataFrame, vocab_sizes: dict[str, int] | None = None, feat
 
 def check_remap(table: DataFrame) -> DataFrame:
     """Refuse unnamed features, negative ids, and ids mapped twice."""
-    bad = table.agg(F.count_if(F.coalesce(F.trim("feature"), F.lit("")) == "").alias("unnamed"),
-                    F.count_if((F.col("old_id") < 0) | (F.col("new_id") < 0)).alias("negative"),
-                    F.count_if(F.col("old_id").isNull() | F.col("new_id").isNull()).alias("missing")).first().asDict()
-    bad["twice"] = table.groupBy("feature", "old_id").count().filter("count > 1").count()
+    seen = table.groupBy("feature", "old_id").agg(F.count("*").alias("n"), F.min("new_id").alias("low"),
+                                                  F.count("new_id").alias("given"))
+    bad = seen.agg(F.count_if(F.coalesce(F.trim("feature"), F.lit("")) == "").alias("unnamed"),
+                   F.count_if((F.col("old_id") < 0) | (F.col("low") < 0)).alias("negative"),
+                   F.count_if(F.col("old_id").isNull() | (F.col("given") < F.col("n"))).alias("missing"),
+                   F.count_if(F.col("n") > 1).alias("twice")).first().asDict()
     wrong = {k: v for k, v in bad.items() if v}
     if wrong:
         raise ValueError(f"remap table is not valid: {wrong}")

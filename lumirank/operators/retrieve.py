@@ -179,12 +179,13 @@ def all_items_per_request(requests: DataFrame, positives: DataFrame, items: Data
 
 
 def assemble_candidates(scored: DataFrame, positives: DataFrame, k: int, fetch: int | None = None,
-                        inject_positives: bool = True) -> DataFrame:
+                        inject_positives: bool = True, known: DataFrame | None = None) -> DataFrame:
     """(request, item, score, label): every positive, then the best other items until k rows.
 
     `scored` holds ranked rows (request, item, score, rank) at least k deep. A positive not
     among the first `fetch` rows has score 0. The best k - n_pos others always lie in the
-    first k rows, so no deeper list is needed for them.
+    first k rows, so no deeper list is needed for them. `known` (request, item, score) gives
+    the scores of positives when they were found in another way.
     """
     pos = positives.select(REQ, ITEM).distinct()
     top = scored.filter(F.col("rank") <= fetch) if fetch else scored
@@ -192,7 +193,7 @@ def assemble_candidates(scored: DataFrame, positives: DataFrame, k: int, fetch:
         hit = pos.withColumn("__p", F.lit(1))
         return (top.filter(F.col("rank") <= k).join(hit, [REQ, ITEM], "left")
                 .select(REQ, ITEM, "score", F.coalesce("__p", F.lit(0)).alias("label")))
-    found = top.select(REQ, ITEM, "score")
+    found = top.select(REQ, ITEM, "score") if known is None else known
     good = pos.join(found, [REQ, ITEM], "left").select(
         REQ, ITEM, F.coalesce("score", F.lit(0.0)).alias("score"), F.lit(1).alias("label"))
     room = pos.groupBy(REQ).agg(F.count("*").alias("__np"))
@@ -210,10 +211,8 @@ def retrieve_candidates(requests: DataFrame, positives: DataFrame, items: DataFr
     deepest = positives.select(REQ, ITEM).distinct().groupBy(REQ).count().agg(F.max("count")).first()[0] or 0
     places = positive_places(requests, positives, items, vector, normalize)
     place = F.col("higher") + F.col("tied_before") + 1
-    known = places.select(REQ, ITEM, F.when(place <= k + deepest, F.col("score")).alias("__s"))
-    out = assemble_candidates(scored, positives, k)
-    return out.join(known, [REQ, ITEM], "left").select(
-        REQ, ITEM, F.when(F.col("label") == 1, F.coalesce("__s", F.lit(0.0))).otherwise(F.col("score")).alias("score"), "label")
+    known = places.select(REQ, ITEM, F.when(place <= k + deepest, F.col("score")).alias("score"))
+    return assemble_candidates(scored, positives, k, known=known)
 
 
 def popularity_recall(candidates: DataFrame, popularity: DataFrame, ks: Sequence[int], requests: DataFrame,

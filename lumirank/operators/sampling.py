@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from lumirank.functions.numeric import hash_uniform
 from lumirank.operators.ordering import top_k, with_global_prefix, with_row_number
 from lumirank.operators.ranking_metrics import ITEM, REQ
+from lumirank.session import stable
 
 HashOf = Callable[[Column, Column], Column]
 WEIGHT_SCALE = 1_000_000        # weights are fixed-point, so sums do not depend on row order
@@ -91,7 +92,7 @@ def hard(rows: DataFrame, candidates: DataFrame, pool: DataFrame, n: int, row: s
     order = order or (lambda r, i: F.xxhash64(F.lit(1), r, i))
     c = candidates.select(request, F.col(ITEM).alias("neg_item")).filter("neg_item is not null").distinct()
     ring = with_row_number(c, [request], [order(F.col(request), F.col("neg_item")), F.col("neg_item")], "__idx", hot_rows)
-    ring = ring.withColumn("__idx", F.col("__idx") - 1)
+    ring = stable(ring.withColumn("__idx", F.col("__idx") - 1))
     sizes = ring.groupBy(request).agg(F.count("*").alias("__m"))
     r = rows.select(row, request, positive).join(sizes, request)
     d = _with_draws(r, 2 * n + 2)

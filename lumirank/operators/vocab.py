@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lumirank.functions import text
-from lumirank.operators.ordering import with_row_number
+from lumirank.operators.ordering import with_global_prefix, with_row_number
+from lumirank.session import stable
 
 # fixed values
 PAD, OOV = "__PAD__", "__OOV__"
@@ -24,37 +25,43 @@ def max_sequence_length(df: DataFrame, column: str, splitter: str) -> int:
     return df.agg(F.max(F.size(text.tokens(F.col(column), splitter)))).first()[0] or 0
 
 
-def _with_specials(words: DataFrame) -> DataFrame:
-    """PAD is 0; OOV is one past the largest index."""
-    spark = words.sparkSession
-    pad = spark.createDataFrame([(PAD, 0)], "token string, idx long")
-    top = words.agg((F.coalesce(F.max("idx"), F.lit(0)) + 1).alias("idx")).select(F.lit(OOV).alias("token"), "idx")
-    return words.select("token", "idx").unionByName(pad).unionByName(top)
+def build_sized_vocab(counts: DataFrame, max_features: int | None = None, min_freq: int = 1, na_value: str = "",
+                      remap: bool = True) -> tuple[DataFrame, int]:
+    """(token, idx) by falling count, ties by token, and the OOV index.
 
-
-def build_vocab(counts: DataFrame, max_features: int | None = None, min_freq: int = 1,
-                na_value: str = "", remap: bool = True) -> DataFrame:
-    """(token, idx) by falling count, ties by token. Indices start at 1 after the na token is dropped."""
+    Indices start at 1 after the na token is dropped; PAD is 0 and OOV one past the largest.
+    The table is written once, because fitting and every encoding read it.
+    """
     words = counts
     if max_features:
         words = words.orderBy(F.desc("count"), "token").limit(max_features)
     words = words.filter((F.col("count") >= min_freq) & (F.col("token") != na_value))
     if remap:
-        words = with_row_number(words, [], [F.desc("count"), F.asc("token")], "idx")
+        placed, tot = with_global_prefix(words, [F.desc("count"), F.asc("token")], {"__before": F.lit(1).cast("long")})
+        oov = tot["__before"] + 1
+        words = placed.select("token", (F.col("__before") + 1).alias("idx"))
     else:
-        words = words.withColumn("idx", F.col("token").cast("long"))
-    return _with_specials(words)
+        words = words.select("token", F.col("token").cast("long").alias("idx"))
+        oov = (words.agg(F.max("idx")).first()[0] or 0) + 1
+    marks = counts.sparkSession.createDataFrame([(PAD, 0), (OOV, oov)], "token string, idx long")
+    return stable(words.unionByName(marks)), oov
+
+
+def build_vocab(counts: DataFrame, max_features: int | None = None, min_freq: int = 1,
+                na_value: str = "", remap: bool = True) -> DataFrame:
+    return build_sized_vocab(counts, max_features, min_freq, na_value, remap)[0]
 
 
 def _append(vocab: DataFrame, fresh: DataFrame, order: list) -> DataFrame:
     """New words take indices from the old OOV index on; OOV moves to the end."""
     old_oov = oov_index(vocab)
-    known = vocab.filter(F.col("token") != OOV)
-    numbered = with_row_number(fresh, [], order, "__n").select(
-        "token", (F.col("__n") - 1 + F.lit(old_oov)).alias("idx"))
-    words = known.unionByName(numbered)
-    top = words.agg((F.max("idx") + 1).alias("idx")).select(F.lit(OOV).alias("token"), "idx")
-    return words.unionByName(top)
+    placed, tot = with_global_prefix(fresh, order, {"__before": F.lit(1).cast("long")})
+    if not tot["__before"]:
+        return vocab
+    words = vocab.filter(F.col("token") != OOV).select("token", "idx").unionByName(
+        placed.select("token", (F.col("__before") + F.lit(old_oov)).alias("idx")))
+    mark = vocab.sparkSession.createDataFrame([(OOV, max(old_oov, vocab_size(vocab) - 1) + tot["__before"])], "token string, idx long")
+    return stable(words.unionByName(mark))
 
 
 def merge_vocab(base: DataFrame, other: DataFrame) -> DataFrame:

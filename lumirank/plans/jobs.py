@@ -13,6 +13,7 @@ from lumirank.operators import (audit, classification, filters, pools, rank, ran
                                 scaling, stats, vocab)
 from lumirank.operators.ordering import first_per_key
 from lumirank.schema import FeatureMap, FeatureSpec, normal_type, preprocess
+from lumirank.session import stable
 from lumirank.sources import relations, tabular
 
 
@@ -75,10 +76,12 @@ def fit(train: DataFrame, specs: Sequence[FeatureSpec]) -> Encoder:
             raise NotImplementedError(f"category_processor={s.category_processor}")
         else:
             counts = vocab.token_counts(train, s.name, s.splitter if s.type == "sequence" else None)
-            mine = vocab.build_vocab(counts, s.max_features, s.min_count, str(s.fill()), s.remap)
+            mine, oov = vocab.build_sized_vocab(counts, s.max_features, s.min_count, str(s.fill()), s.remap)
             name = enc.table(s)
-            enc.vocabs[name] = vocab.merge_vocab(enc.vocabs[name], mine) if name in enc.vocabs else mine
-            enc.oov[name] = vocab.oov_index(enc.vocabs[name])
+            if name in enc.vocabs:
+                mine = vocab.merge_vocab(enc.vocabs[name], mine)
+                oov = vocab.oov_index(mine)
+            enc.vocabs[name], enc.oov[name] = mine, oov
     return enc
 
 
@@ -199,7 +202,8 @@ def rank_stage(candidates: DataFrame, pool: DataFrame, users: DataFrame | None,
     rows = rank.with_item_features(candidates, pool, item_columns)
     if users is not None and user_columns:
         rows = rank.with_user_features(rows, users, user_columns)
-    scored = rank.score_rows(rows, scorer).select("request_id", "item_id", "label", "score")
+    # a stage hands its scored rows on as a table; ranking, top K and metrics all read it
+    scored = stable(rank.score_rows(rows, scorer).select("request_id", "item_id", "label", "score"))
     if restrict is not None:
         scored = rank.flag_members(scored, restrict, "kept")
         per = ranking_metrics.per_request(scored, ks, restrict="kept")
