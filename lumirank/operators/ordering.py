@@ -114,11 +114,11 @@ def with_global_prefix(df: DataFrame, order: Sequence[str | Column], sums: Mappi
 
 
 def with_row_number(df: DataFrame, by: Sequence[str], order: Sequence[str | Column],
-                    name: str = "rank", hot_rows: int | None = None) -> DataFrame:
+                    name: str = "rank", hot_rows: int | None = None, upper: DataFrame | None = None) -> DataFrame:
     """1-based position per group; `by=[]` numbers the whole frame."""
     ones = {name: F.lit(1).cast("long")}
     if by:
-        out = with_prefix(df, by, order, ones, hot_rows)
+        out = with_prefix(df, by, order, ones, hot_rows, upper)
     else:
         out, _ = with_global_prefix(df, order, ones)
     return out.withColumn(name, (F.col(name) + 1).cast("long"))

@@ -20,8 +20,12 @@ def pessimistic_order(score: str = SCORE, label: str = LABEL, item: str = ITEM)
 
 
 def ranked(df: DataFrame, score: str = SCORE, tie: str = "pessimistic", seed: int = 0,
-           hot_rows: int | None = None, extra: dict[str, Column] | None = None) -> DataFrame:
-    """Add `rank`, `pos` (0/1), `neg_before` (negatives placed ahead of the row) and further running sums."""
+           hot_rows: int | None = None, extra: dict[str, Column] | None = None,
+           upper: DataFrame | None = None) -> DataFrame:
+    """Add `rank`, `pos` (0/1), `neg_before` (negatives placed ahead of the row) and further running sums.
+
+    `upper`: a cheaper frame with at least as many rows per request, for the check of hot requests.
+    """
     flagged = df.withColumn("pos", (F.coalesce(F.col(LABEL), F.lit(0)) > 0).cast("long"))
     if tie == "pessimistic":
         order = [F.col(score).desc(), F.col("pos").asc(), F.col(ITEM).asc()]
@@ -30,7 +34,7 @@ def ranked(df: DataFrame, score: str = SCORE, tie: str = "pessimistic", seed: in
     else:
         raise ValueError(f"unknown tie rule: {tie}")
     out = with_prefix(flagged, [REQ], order,
-                      {"__rows": F.lit(1).cast("long"), "__pos": F.col("pos"), **(extra or {})}, hot_rows)
+                      {"__rows": F.lit(1).cast("long"), "__pos": F.col("pos"), **(extra or {})}, hot_rows, upper)
     return (out.withColumn("rank", F.col("__rows") + 1)
             .withColumn("neg_before", F.col("__rows") - F.col("__pos"))
             .drop("__rows", "__pos"))
@@ -47,14 +51,14 @@ def ideal_dcg(n_pos: Column, k: int) -> Column:
 
 def per_request(df: DataFrame, ks: Sequence[int], score: str = SCORE, top_k: int | None = None,
                 restrict: str | None = None, tie: str = "pessimistic",
-                hot_rows: int | None = None) -> DataFrame:
+                hot_rows: int | None = None, upper: DataFrame | None = None) -> DataFrame:
     """One row per request: n, n_pos, mrr, gauc, recall@k, ndcg@k, and mrr/gauc within top_k.
 
     With `restrict` (a boolean column) Recall and nDCG rank only the flagged rows while
     MRR and gAUC keep the whole pool; Recall still divides by the positives of the pool.
     """
     extra = {"__kept": F.col(restrict).cast("long")} if restrict else None
-    rows = ranked(df, score, tie, hot_rows=hot_rows, extra=extra)
+    rows = ranked(df, score, tie, hot_rows=hot_rows, extra=extra, upper=upper)
     rank_for_k = F.when(F.col(restrict), F.col("__kept") + 1) if restrict else F.col("rank")
     is_pos = F.col("pos") == 1
 

@@ -64,9 +64,14 @@ def _append(vocab: DataFrame, fresh: DataFrame, order: list) -> DataFrame:
     return stable(words.unionByName(mark))
 
 
-def merge_vocab(base: DataFrame, other: DataFrame) -> DataFrame:
-    """Shared vocabulary: the other's unseen words follow the base's, in their own order."""
+def merge_vocab(base: DataFrame, other: DataFrame, remap: bool = True) -> DataFrame:
+    """Shared vocabulary: the other's unseen words follow the base's, in their own order.
+    Without remapping, words keep the index that is their own value."""
     fresh = other.filter(~F.col("token").isin(PAD, OOV)).join(base.select("token"), "token", "left_anti")
+    if not remap:
+        words = base.filter(F.col("token") != OOV).unionByName(fresh)
+        mark = base.sparkSession.createDataFrame([(OOV, vocab_size(words))], "token string, idx long")
+        return stable(words.unionByName(mark))
     return _append(base, fresh, ["idx"])
 
 

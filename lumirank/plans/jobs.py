@@ -79,7 +79,7 @@ def fit(train: DataFrame, specs: Sequence[FeatureSpec]) -> Encoder:
             mine, oov = vocab.build_sized_vocab(counts, s.max_features, s.min_count, str(s.fill()), s.remap)
             name = enc.table(s)
             if name in enc.vocabs:
-                mine = vocab.merge_vocab(enc.vocabs[name], mine)
+                mine = vocab.merge_vocab(enc.vocabs[name], mine, s.remap)
                 oov = vocab.oov_index(mine)
             enc.vocabs[name], enc.oov[name] = mine, oov
     return enc

@@ -243,13 +243,13 @@ def _(spark, sf):
     return V.documents(spark, sf).agg(F.max(F.size(TX.tokens(F.col("text"), " "))).alias("max_len"))
 
 
-@query("a7_vocabulary", f"WITH {_DOCTOK}, {_VOC} SELECT token, idx FROM voc UNION ALL SELECT '__PAD__', 0 UNION ALL SELECT '__OOV__', (SELECT max(idx)+1 FROM voc)")
+@query("a7_vocabulary", f"WITH {_DOCTOK}, {_VOC} SELECT token, idx FROM voc UNION ALL SELECT '__PAD__', 0 UNION ALL SELECT '__OOV__', (SELECT coalesce(max(idx),0)+1 FROM voc)")
 def _(spark, sf):
     return _doc_vocab(spark, sf)
 
 
 @query("a7_capped_vocabulary", f"""WITH {_DOCTOK}, cnt AS (SELECT lower(token) AS token, count(*) AS c FROM tok GROUP BY 1), top AS (SELECT * FROM cnt ORDER BY c DESC, token LIMIT 100),
-  voc AS (SELECT token, row_number() OVER (ORDER BY c DESC, token) AS idx FROM top WHERE token<>'') SELECT token, idx FROM voc UNION ALL SELECT '__PAD__', 0 UNION ALL SELECT '__OOV__', (SELECT max(idx)+1 FROM voc)""")
+  voc AS (SELECT token, row_number() OVER (ORDER BY c DESC, token) AS idx FROM top WHERE token<>'') SELECT token, idx FROM voc UNION ALL SELECT '__PAD__', 0 UNION ALL SELECT '__OOV__', (SELECT coalesce(max(idx),0)+1 FROM voc)""")
 def _(spark, sf):
     return VO.build_vocab(VO.token_counts(V.documents(spark, sf), "text", " ", lower=True), max_features=100)
 
@@ -278,14 +278,14 @@ def _(spark, sf):
     return VO.legacy_vocab(V.items(spark, sf), ["brand", "ptype"])
 
 
-@query("j11_category_encoding", f"WITH {_SRCVOC.format(n=35)} SELECT p_partkey AS item_id, coalesce(idx,(SELECT max(idx)+1 FROM sv)) AS code FROM part LEFT JOIN sv ON p_name=token")
+@query("j11_category_encoding", f"WITH {_SRCVOC.format(n=35)} SELECT p_partkey AS item_id, coalesce(idx,(SELECT coalesce(max(idx),0)+1 FROM sv)) AS code FROM part LEFT JOIN sv ON p_name=token")
 def _(spark, sf):
     p = V.items(spark, sf).select("item_id", "name")
     v = VO.build_vocab(VO.token_counts(p, "name"), min_freq=35)
     return VO.encode_category(p, "name", v, "code").drop("name")
 
 
-_ENC = """e AS (SELECT doc_id, pos, CASE WHEN tk='' THEN 0 ELSE coalesce(idx,(SELECT max(idx)+1 FROM voc)) END AS code FROM (SELECT doc_id, unnest(string_split(text,' ')) AS tk, generate_subscripts(string_split(text,' '),1) AS pos FROM documents) LEFT JOIN voc ON tk=token),
+_ENC = """e AS (SELECT doc_id, pos, CASE WHEN tk='' THEN 0 ELSE coalesce(idx,(SELECT coalesce(max(idx),0)+1 FROM voc)) END AS code FROM (SELECT doc_id, unnest(string_split(text,' ')) AS tk, generate_subscripts(string_split(text,' '),1) AS pos FROM documents) LEFT JOIN voc ON tk=token),
   s AS (SELECT doc_id, list(code ORDER BY pos) AS a FROM e GROUP BY 1)"""
 
 

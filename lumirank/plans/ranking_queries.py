@@ -38,7 +38,7 @@ def _metrics_sql(base: str, score: str = "score", ks=KS, top=None, rank_src: str
 @query("w2_pessimistic_rank", f"WITH {V.RANKED} SELECT request_id, item_id, score, label, rank FROM ranked")
 def _(spark, sf):
     c = V.candidates(spark, sf).select("request_id", "item_id", "score", "label")
-    return with_row_number(c, ["request_id"], R.pessimistic_order(), "rank")
+    return with_row_number(c, ["request_id"], R.pessimistic_order(), "rank", upper=V.lines(spark, sf))
 
 
 @query("w1_seeded_tie_rank", f"""WITH {V.CANDS} SELECT request_id, item_id,
@@ -99,7 +99,7 @@ def _(spark, sf):
 @query("a25_ranking_metrics", _metrics_sql(V.RANKED) + " SELECT request_id, n, n_pos, round(mrr,6) AS mrr, round(gauc,6) AS gauc, " +
        ", ".join(f"round(recall_{k},6) AS recall_{k}, round(ndcg_{k},6) AS ndcg_{k}" for k in KS) + " FROM pr")
 def _(spark, sf):
-    return rounded(R.per_request(V.candidates(spark, sf), KS))
+    return rounded(R.per_request(V.candidates(spark, sf), KS, upper=V.lines(spark, sf)))
 
 
 def _avg_sql(denom: str) -> str:
@@ -111,12 +111,12 @@ def _avg_sql(denom: str) -> str:
 
 @query("a28_metric_means_all", _metrics_sql(V.RANKED) + _avg_sql("all"))
 def _(spark, sf):
-    return rounded(R.averages(R.per_request(V.candidates(spark, sf), KS), KS, "all"))
+    return rounded(R.averages(R.per_request(V.candidates(spark, sf), KS, upper=V.lines(spark, sf)), KS, "all"))
 
 
 @query("a28_metric_means_with_positive", _metrics_sql(V.RANKED) + _avg_sql("with_positive"))
 def _(spark, sf):
-    return rounded(R.averages(R.per_request(V.candidates(spark, sf), KS), KS, "with_positive"))
+    return rounded(R.averages(R.per_request(V.candidates(spark, sf), KS, upper=V.lines(spark, sf)), KS, "with_positive"))
 
 
 @query("a25_top_k_metrics", f"""WITH {V.RANKED}, rr AS (SELECT *, CASE WHEN label>0 THEN 1 ELSE 0 END AS pos, count(*) OVER (PARTITION BY request_id) AS n FROM ranked),
@@ -127,7 +127,7 @@ def _(spark, sf):
   SELECT request_id, CAST(p AS BIGINT) AS pos_in_top, round(CASE WHEN n>={TOPK} AND p>0 THEN 1.0/first END,6) AS mrr_at_{TOPK},
   round(CASE WHEN n>={TOPK} AND p>0 THEN coalesce(a,0) END,6) AS gauc_at_{TOPK} FROM g LEFT JOIN auc USING (request_id)""")
 def _(spark, sf):
-    m = R.per_request(V.candidates(spark, sf), [], top_k=TOPK)
+    m = R.per_request(V.candidates(spark, sf), [], top_k=TOPK, upper=V.lines(spark, sf))
     return rounded(m.select("request_id", "pos_in_top", f"mrr_at_{TOPK}", f"gauc_at_{TOPK}"))
 
 
@@ -142,7 +142,7 @@ def _(spark, sf):
 def _(spark, sf):
     c = V.candidates(spark, sf)
     pre = top_k(c, ["request_id"], R.pessimistic_order("teacher"), TOPK)
-    return rounded(R.per_request(flag_members(c, pre, "kept"), [1, 2], restrict="kept"))
+    return rounded(R.per_request(flag_members(c, pre, "kept"), [1, 2], restrict="kept", upper=V.lines(spark, sf)))
 
 
 @query("a32_popularity_baseline", _metrics_sql(V.CANDS + """, pop AS (SELECT item_id, count(*) AS c FROM lines WHERE label>0 GROUP BY 1),
@@ -151,7 +151,7 @@ def _(spark, sf):
 def _(spark, sf):
     pop = item_popularity(V.lines(spark, sf), "item_id", "label")
     c = attach_popularity(V.candidates(spark, sf).select("request_id", "item_id", "label"), pop)
-    m = R.per_request(c.withColumn("score", F.col("popularity").cast("double")), KS)
+    m = R.per_request(c.withColumn("score", F.col("popularity").cast("double")), KS, upper=V.lines(spark, sf))
     return rounded(R.averages(m, KS, "with_positive"))
 
 
@@ -171,13 +171,13 @@ def _blended(spark, sf):
 @query("a32_popularity_blend", _metrics_sql(V.CANDS + ", " + _BLEND + """,
   ranked AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY score DESC, label, item_id) AS rank FROM bl)""") + _avg_sql("with_positive"))
 def _(spark, sf):
-    return rounded(R.averages(R.per_request(_blended(spark, sf), KS), KS, "with_positive"))
+    return rounded(R.averages(R.per_request(_blended(spark, sf), KS, upper=V.lines(spark, sf)), KS, "with_positive"))
 
 
-@query("f16_popularity_blend_scores", f"WITH {V.CANDS}, {_BLEND} SELECT request_id, item_id, round(score,6) AS blend_logit, round(1/(1+exp(-score)),6) AS blend_prob FROM bl")
+@query("f16_popularity_blend_scores", f"WITH {V.CANDS}, {_BLEND} SELECT request_id, item_id, score AS blend_logit, round(1/(1+exp(-score)),6) AS blend_prob FROM bl")
 def _(spark, sf):
     b = _blended(spark, sf)
-    return rounded(b.select("request_id", "item_id", F.col("score").alias("blend_logit"), sigmoid(F.col("score")).alias("blend_prob")))
+    return rounded(b.select("request_id", "item_id", F.col("score").alias("blend_logit"), F.round(sigmoid(F.col("score")), 6).alias("blend_prob")), 9)
 
 
 @query("a26_list_diversity", f"""WITH {V.RANKED}, {V.ITEMS}, t AS (SELECT request_id, rank, brand, ptype, size FROM ranked JOIN items USING (item_id)),

@@ -151,7 +151,7 @@ def _(spark, sf):
     return rounded(d.select("key", F.size("value").alias("width"), F.element_at("value", 3).cast("double").alias("third")))
 
 
-@query("s17_vocabulary_sink", f"WITH {_DOCTOK}, {_VOC} SELECT 'text' AS feature, token, idx FROM voc UNION ALL SELECT 'text', '__PAD__', 0 UNION ALL SELECT 'text', '__OOV__', (SELECT max(idx)+1 FROM voc)")
+@query("s17_vocabulary_sink", f"WITH {_DOCTOK}, {_VOC} SELECT 'text' AS feature, token, idx FROM voc UNION ALL SELECT 'text', '__PAD__', 0 UNION ALL SELECT 'text', '__OOV__', (SELECT coalesce(max(idx),0)+1 FROM voc)")
 def _(spark, sf):
     path = _place(spark, "vocab")
     RL.write_vocab(_doc_vocab(spark, sf).withColumn("feature", F.lit("text")), path)
@@ -282,9 +282,9 @@ def _orders(spark, sf):
     return {s: d.filter(F.col("split") == s) for s in ("train", "valid", "test")}
 
 
-_ENCODED = f"""WITH {_ORD}, {_FIT}, e AS (SELECT request_id, pos, CASE WHEN tk='' THEN 0 ELSE coalesce(idx,(SELECT max(idx)+1 FROM hv)) END AS code FROM (SELECT request_id, unnest(string_split(hist,'^')) AS tk, generate_subscripts(string_split(hist,'^'),1) AS pos FROM o) LEFT JOIN hv ON tk=token),
+_ENCODED = f"""WITH {_ORD}, {_FIT}, e AS (SELECT request_id, pos, CASE WHEN tk='' THEN 0 ELSE coalesce(idx,(SELECT coalesce(max(idx),0)+1 FROM hv)) END AS code FROM (SELECT request_id, unnest(string_split(hist,'^')) AS tk, generate_subscripts(string_split(hist,'^'),1) AS pos FROM o) LEFT JOIN hv ON tk=token),
   s AS (SELECT request_id, list(code ORDER BY pos) AS a FROM e GROUP BY 1)
-  SELECT request_id, label, coalesce(pv.idx,(SELECT max(idx)+1 FROM pv)) AS priority, coalesce(sg.idx,(SELECT max(idx)+1 FROM sg)) AS segment, round((amount-m)/s,6)+0.0 AS amount,
+  SELECT request_id, label, coalesce(pv.idx,(SELECT coalesce(max(idx),0)+1 FROM pv)) AS priority, coalesce(sg.idx,(SELECT coalesce(max(idx),0)+1 FROM sg)) AS segment, round((amount-m)/s,6)+0.0 AS amount,
   array_to_string(list_concat(list_resize([]::BIGINT[], greatest(12-len(a),0), 0), a[greatest(len(a)-11,1):]),'^') AS hist,
   coalesce(list_max([CASE WHEN trim(string_split(hist,'^')[i])<>'0' THEN i ELSE 0 END for i in range(1,len(string_split(hist,'^'))+1)]),0)::INTEGER AS hist_len
   FROM o JOIN s USING (request_id) LEFT JOIN pv ON priority=pv.token LEFT JOIN sg ON segment=sg.token, sc WHERE """
@@ -300,7 +300,7 @@ def _(spark, sf):
     return _flat(tables["valid"])
 
 
-@query("c2_fitted_feature_map", f"""WITH {_ORD}, {_FIT} SELECT 'priority' AS feature, (SELECT max(idx)+2 FROM pv) AS vocab_size, 0::BIGINT AS max_len UNION ALL SELECT 'segment', (SELECT max(idx)+2 FROM sg), 0 UNION ALL SELECT 'hist', (SELECT max(idx)+2 FROM hv), 12""")
+@query("c2_fitted_feature_map", f"""WITH {_ORD}, {_FIT} SELECT 'priority' AS feature, (SELECT coalesce(max(idx),0)+2 FROM pv) AS vocab_size, 0::BIGINT AS max_len UNION ALL SELECT 'segment', (SELECT coalesce(max(idx),0)+2 FROM sg), 0 UNION ALL SELECT 'hist', (SELECT coalesce(max(idx),0)+2 FROM hv), 12""")
 def _(spark, sf):
     enc = J.fit(_orders(spark, sf)["train"], _SPECS)
     fm = enc.feature_map("orders", ["label"])

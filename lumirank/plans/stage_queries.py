@@ -103,9 +103,9 @@ def _(spark, sf):
 # ---------------------------------------------------------------- retrieval
 
 
-@query("j10_exact_vector_top_k", f"WITH {V.DOTS}, r AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY score DESC, item_id) AS rank FROM dots) SELECT request_id, item_id, round(score,6) AS score, rank::INTEGER AS rank FROM r WHERE rank<=10")
+@query("j10_exact_vector_top_k", f"WITH {V.DOTS}, r AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY score DESC, item_id) AS rank FROM dots) SELECT request_id, item_id, score, rank::INTEGER AS rank FROM r WHERE rank<=10")
 def _(spark, sf):
-    return rounded(RT.exact_top_k(V.vectors(spark, sf, "request_id"), V.vectors(spark, sf), 10))
+    return rounded(RT.exact_top_k(V.vectors(spark, sf, "request_id"), V.vectors(spark, sf), 10), 9)
 
 
 _AI = f"""{V.DOTS}, {V.VECPOS}, cands AS (SELECT d.*, CASE WHEN vp.item_id IS NULL THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS label FROM dots d LEFT JOIN vp ON d.request_id=vp.request_id AND d.item_id=vp.item_id),
@@ -131,10 +131,10 @@ def _(spark, sf):
 
 
 @query("c5_retrieval_stage", f"""WITH {_AI}, {_ASM}, mx AS (SELECT max(np) AS m FROM np)
-  SELECT request_id, item_id, round(CASE WHEN place<=20+(SELECT m FROM mx) THEN score ELSE 0 END,6) AS score, 1 AS label FROM pl WHERE label=1
-  UNION ALL SELECT request_id, item_id, round(score,6), 0 FROM neg JOIN np USING (request_id) WHERE nn<=20-np""")
+  SELECT request_id, item_id, CASE WHEN place<=20+(SELECT m FROM mx) THEN score ELSE 0 END AS score, 1 AS label FROM pl WHERE label=1
+  UNION ALL SELECT request_id, item_id, score, 0 FROM neg JOIN np USING (request_id) WHERE nn<=20-np""")
 def _(spark, sf):
-    return rounded(RT.retrieve_candidates(V.vectors(spark, sf, "request_id"), V.vector_positives(spark, sf), V.vectors(spark, sf), 20))
+    return rounded(RT.retrieve_candidates(V.vectors(spark, sf, "request_id"), V.vector_positives(spark, sf), V.vectors(spark, sf), 20), 9)
 
 
 @query("c5_retrieval_metrics", f"""WITH {_AI}, pl AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY score DESC, item_id) AS place FROM cands), h AS (SELECT request_id, min(CASE WHEN label>0 THEN place END) AS best FROM pl GROUP BY 1)
@@ -156,7 +156,7 @@ def _(spark, sf):
 
 
 @query("j19_aligned_vectors", """WITH c AS (SELECT l_suppkey::VARCHAR AS token, count(*) AS c FROM lineitem GROUP BY 1), v AS (SELECT token, row_number() OVER (ORDER BY c DESC, token) AS idx FROM c),
-  a AS (SELECT token, idx FROM v UNION ALL SELECT '__PAD__', 0 UNION ALL SELECT '__OOV__', (SELECT max(idx)+1 FROM v)), n AS (SELECT vec_id::VARCHAR AS token FROM embeddings WHERE vec_id::VARCHAR NOT IN (SELECT token FROM a)),
+  a AS (SELECT token, idx FROM v UNION ALL SELECT '__PAD__', 0 UNION ALL SELECT '__OOV__', (SELECT coalesce(max(idx),0)+1 FROM v)), n AS (SELECT vec_id::VARCHAR AS token FROM embeddings WHERE vec_id::VARCHAR NOT IN (SELECT token FROM a)),
   u AS (SELECT * FROM a UNION ALL SELECT token, row_number() OVER (ORDER BY token)+(SELECT max(idx) FROM a) FROM n) SELECT idx, u.token, round(coalesce(embedding[1]::DOUBLE,0),6) AS first FROM u LEFT JOIN embeddings ON vec_id::VARCHAR=u.token""")
 def _(spark, sf):
     from lumirank.operators.vocab import build_vocab, token_counts

@@ -9,13 +9,27 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+# runtime SQL settings every job here relies on: joins on hot keys are split by AQE, also
+# where the split costs one more shuffle after the join
+SQL_SETTINGS = {
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+}
+
+
+def configure(spark: SparkSession) -> SparkSession:
+    """Apply the SQL settings to a session made elsewhere."""
+    for k, v in SQL_SETTINGS.items():
+        spark.conf.set(k, v)
+    return spark
+
+
 def build_session(app: str = "lumirank", master: str | None = None,
                   shuffle_partitions: int | None = None) -> SparkSession:
     """A session with adaptive execution on; cluster settings are left to spark-submit."""
     builder = (
         SparkSession.builder.appName(app)
-        .config("spark.sql.adaptive.enabled", "true")
-        .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )
@@ -26,7 +40,7 @@ def build_session(app: str = "lumirank", master: str | None = None,
                    .config("spark.driver.memory", os.environ.get("SPARK_DRIVER_MEMORY", "8g")))
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-    return builder.getOrCreate()
+    return configure(builder.getOrCreate())
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -72,17 +72,24 @@ def read_model_inputs(spark: SparkSession, path: str, features: Sequence[str], l
     return read_parquet(spark, path, list(dict.fromkeys([*labels, request, item, *features])))
 
 
-def write_split(df: DataFrame, path: str, mode: str = "overwrite") -> int:
-    """Write one encoded split and check the row count that the files hold."""
-    from pyspark.sql import Observation
-    seen = Observation()
-    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode(mode).parquet(path)
-    wrote = seen.get["rows"]
-    if mode == "overwrite":
-        stored = df.sparkSession.read.parquet(path).count()
-        if stored != wrote:
-            raise RuntimeError(f"{path} holds {stored} rows, {wrote} were written")
-    return wrote
+def write_split(df: DataFrame, path: str, mode: str = "overwrite", expected: int | None = None) -> int:
+    """Write one encoded split and return the rows its files hold (counted from their footers).
+
+    The job commits all files or none: a folder without its success mark, or with another
+    count than expected, is refused.
+    """
+    from lumirank.sources.relations import exists
+    df.write.mode(mode).parquet(path)
+    if not exists(df.sparkSession, f"{path}/_SUCCESS"):
+        raise RuntimeError(f"{path} was not written completely")
+    return checked_rows(df.sparkSession.read.parquet(path), expected, path)
+
+
+def checked_rows(df: DataFrame, expected: int | None, path: str) -> int:
+    stored = df.count()
+    if expected is not None and stored != expected:
+        raise RuntimeError(f"{path} holds {stored} rows, {expected} were expected")
+    return stored
 
 
 def write_sample(df: DataFrame, path: str, n_rows: int) -> None:

@@ -86,6 +86,8 @@ def test_shared_vocabulary_moves_oov(spark):
     b = VO.build_vocab(VO.token_counts(words(spark, "y", "z", "z", "w"), "t"))
     assert vocab_of(VO.merge_vocab(a, b)) == {"__PAD__": 0, "x": 1, "y": 2, "z": 3, "w": 4, "__OOV__": 5}
     assert vocab_of(VO.merge_vocab(a, a)) == vocab_of(a)
+    p, q = (VO.build_vocab(VO.token_counts(words(spark, *w), "t"), remap=False) for w in (["3", "5"], ["5", "9"]))
+    assert vocab_of(VO.merge_vocab(p, q, remap=False)) == {"__PAD__": 0, "3": 3, "5": 5, "9": 9, "__OOV__": 10}
 
 
 def test_sequence_na_is_padding_but_category_na_is_unknown(spark):

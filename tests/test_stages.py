@@ -225,7 +225,9 @@ def test_csv_by_header(spark, tmp_path):
 
 
 def test_split_sink_counts_rows(spark, tmp_path):
-    assert TB.write_split(spark.range(7), f"{tmp_path}/s") == 7
+    assert TB.write_split(spark.range(7), f"{tmp_path}/s", expected=7) == 7
+    with pytest.raises(RuntimeError, match="8 were expected"):
+        TB.write_split(spark.range(7), f"{tmp_path}/s", expected=8)
     with pytest.raises(ValueError):
         TB.read_split(spark, str(tmp_path), "s", "npz")
 
