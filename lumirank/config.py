@@ -5,7 +5,10 @@ from __future__ import annotations
 import json
 import os
 import re
-from pathlib import Path
+
+from pyspark.sql import SparkSession
+
+from lumirank.sources.files import read_text
 
 _SAFE = re.compile(r"[A-Za-z0-9][A-Za-z0-9_.-]*")
 
@@ -17,9 +20,9 @@ def validate_identifier(name: str, what: str = "identifier") -> str:
     return name
 
 
-def load_config(path: str, dataset_id: str | None = None) -> dict:
+def load_config(spark: SparkSession, path: str, dataset_id: str | None = None) -> dict:
     """JSON (or YAML where available). `datasets` entries are merged under the chosen id."""
-    text = Path(path).read_text()
+    text = read_text(spark, path)
     if path.endswith((".yaml", ".yml")):
         try:
             import yaml

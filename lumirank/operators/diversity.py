@@ -6,50 +6,49 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from lumirank.operators.ordering import top_k
 from lumirank.operators.ranking_metrics import REQ, pessimistic_order
 
 
 def _long(df: DataFrame, keep: Sequence[str], features: Sequence[str]) -> DataFrame:
-    """(keep..., feature, value) rows; null and NaN values never match anything, so they go."""
+    """(keep..., feature, value) rows, one per cell. NaN reads as null: neither matches anything."""
     cells = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("string").alias("value")) for f in features])
-    return (df.select(*keep, F.explode(cells).alias("c")).select(*keep, "c.feature", "c.value")
-            .filter(F.col("value").isNotNull() & (F.col("value") != "NaN")))
+    return (df.select(*keep, F.explode(cells).alias("c"))
+            .select(*keep, "c.feature", F.when(F.col("c.value") != "NaN", F.col("c.value")).alias("value")))
+
+
+def _diversity(rows: Column, matches: Column, n_features: int) -> Column:
+    n = rows.cast("double")
+    return F.when(rows > 1, 1.0 - matches / (n_features * n * (n - 1))).otherwise(0.0)
+
+
+def _matches(count: str) -> Column:
+    return F.sum(F.when(F.col("value").isNotNull(), F.col(count) * (F.col(count) - 1)).otherwise(0))
 
 
 def list_diversity(df: DataFrame, features: Sequence[str], ks: Sequence[int]) -> DataFrame:
-    """Per request 1 - (matching ordered pairs) / (F * m * (m - 1)) over the top m = min(k, n)."""
+    """Per request 1 - (matching ordered pairs) / (F * m * (m - 1)) over the top m = min(k, n).
+
+    Every top row brings one cell per feature, so m is the cell count over F: one pass, no join.
+    """
     ks = sorted({k for k in ks if k > 1})
     top = top_k(df, [REQ], pessimistic_order(), max(ks))
-    sizes = df.groupBy(REQ).agg(F.count("*").alias("n"))
     counts = _long(top, [REQ, "rank"], features).groupBy(REQ, "feature", "value").agg(
         *[F.count_if(F.col("rank") <= k).alias(f"c_{k}") for k in ks])
-    pairs = counts.groupBy(REQ).agg(
-        *[F.sum(F.col(f"c_{k}") * (F.col(f"c_{k}") - 1)).alias(f"m_{k}") for k in ks])
-    out = sizes.join(pairs, REQ, "left")
-    cols = []
-    for k in ks:
-        m = F.least(F.col("n"), F.lit(k))
-        cols.append(F.when(m > 1, 1.0 - F.coalesce(F.col(f"m_{k}"), F.lit(0)) / (len(features) * m * (m - 1)))
-                    .otherwise(0.0).alias(f"diversity_{k}"))
-    return out.select(REQ, "n", *cols)
+    width = len(features)
+    return counts.groupBy(REQ).agg(*[
+        _diversity((F.sum(f"c_{k}") / width).cast("long"), _matches(f"c_{k}"), width).alias(f"diversity_{k}") for k in ks])
 
 
 def pool_diversity(df: DataFrame, features: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """Diversity of the whole pool (or of each group) in one counting pass; exact, no sample."""
-    by = list(by)
+    by, width = list(by), len(features)
     counts = _long(df, by, features).groupBy(*by, "feature", "value").agg(F.count("*").alias("c"))
-    pairs = counts.groupBy(*by).agg(F.sum(F.col("c") * (F.col("c") - 1)).alias("m"))
-    if by:
-        base = df.groupBy(*by).agg(F.count("*").alias("n")).join(pairs, by, "left")
-    else:
-        n = df.count()
-        base = pairs.select(F.lit(n).cast("long").alias("n"), "m")
-    n = F.col("n").cast("double")
-    return base.select(*by, "n", F.when(F.col("n") > 1, 1.0 - F.coalesce(F.col("m"), F.lit(0)) /
-                                        (len(features) * n * (n - 1))).otherwise(0.0).alias("diversity"))
+    n = (F.sum("c") / width).cast("long")
+    aggs = [F.coalesce(n, F.lit(0)).alias("n"), F.coalesce(_diversity(n, _matches("c"), width), F.lit(0.0)).alias("diversity")]
+    return counts.groupBy(*by).agg(*aggs) if by else counts.agg(*aggs)
 
 
 def list_quality(df: DataFrame, group: str, size: int, theta: float = 0.7, eps: float = 1e-6,

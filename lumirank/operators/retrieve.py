@@ -18,7 +18,8 @@ from pyspark.sql import DataFrame, functions as F
 from lumirank.operators.ordering import first_per_key, top_k, with_prefix, with_row_number
 from lumirank.operators.ranking_metrics import ITEM, REQ, ideal_dcg
 
-USER_BLOCK, ITEM_BLOCK, CHUNK = 4096, 16384, 512
+USER_BLOCK, ITEM_BLOCK = 32_768, 65_536      # vectors per side of a cell
+CELL_SCORES = 1 << 23                        # scores held at once inside a cell
 
 
 def _matrix(table: pa.Table, column: str) -> np.ndarray:
@@ -52,6 +53,10 @@ def _best(scores: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
+def _step(n_items: int) -> int:
+    return max(1, CELL_SCORES // max(n_items, 1))
+
+
 def _block_counts(n_left: int, n_items: int, parallelism: int) -> tuple[int, int]:
     left = max(math.ceil(n_left / USER_BLOCK), min(parallelism, math.ceil(n_left / 256)), 1)
     return left, max(math.ceil(n_items / ITEM_BLOCK), 1)
@@ -87,8 +92,9 @@ def exact_top_k(users: DataFrame, items: DataFrame, k: int, user: str = REQ, vec
             um, im = _unit(um), _unit(im)
         keep = min(k, len(ids))
         rows, cols, vals = [], [], []
-        for at in range(0, len(um), CHUNK):
-            s = _scores(um[at:at + CHUNK], im, temperature, decimals)
+        step = _step(len(ids))
+        for at in range(0, len(um), step):
+            s = _scores(um[at:at + step], im, temperature, decimals)
             best = _best(s, keep)
             rows.append(np.repeat(np.arange(at, at + len(s)), keep))
             cols.append(ids[best].ravel())
@@ -126,8 +132,9 @@ def positive_places(requests: DataFrame, positives: DataFrame, items: DataFrame,
         own = np.round((um * wm).sum(axis=1) / temperature, decimals)
         higher, tied, before = (np.zeros(len(um), np.int64) for _ in range(3))
         at_own = np.searchsorted(ids, mine)
-        for at in range(0, len(um), CHUNK):
-            sl = slice(at, at + CHUNK)
+        step = _step(len(ids))
+        for at in range(0, len(um), step):
+            sl = slice(at, at + step)
             s = _scores(um[sl], im, temperature, decimals)
             place = at_own[sl]
             here = (place < len(ids)) & (ids[np.minimum(place, len(ids) - 1)] == mine[sl])

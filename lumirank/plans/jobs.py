@@ -131,7 +131,7 @@ def write_prepared(tables: dict[str, DataFrame], enc: Encoder, root: str, datase
         tabular.write_split(d, f"{root}/{s}.parquet")
     fm = enc.feature_map(dataset, [label])
     spark = next(iter(tables.values())).sparkSession
-    relations.write_json(spark, f"{root}/feature_map.json", {"map": fm.to_json()})
+    fm.save(spark, f"{root}/feature_map.json")
     tagged = None
     for n, v in enc.vocabs.items():
         t = v.withColumn("feature", F.lit(n))

@@ -185,8 +185,8 @@ def _(spark, sf):
   pairs AS (SELECT a.request_id, k, sum((CASE WHEN a.brand=b.brand THEN 1 ELSE 0 END)+(CASE WHEN a.ptype=b.ptype THEN 1 ELSE 0 END)+(CASE WHEN a.size=b.size THEN 1 ELSE 0 END))/3.0 AS s,
     count(*) AS c FROM t a JOIN t b ON a.request_id=b.request_id AND a.rank<b.rank, ks WHERE b.rank<=k GROUP BY 1,2),
   n AS (SELECT request_id, count(*) AS n FROM ranked GROUP BY 1)
-  SELECT n.request_id, n.n, round(coalesce(max(CASE WHEN k=2 THEN 1-s/c END),0),6) AS diversity_2, round(coalesce(max(CASE WHEN k=5 THEN 1-s/c END),0),6) AS diversity_5
-  FROM n LEFT JOIN pairs USING (request_id) GROUP BY 1,2""")
+  SELECT n.request_id, round(coalesce(max(CASE WHEN k=2 THEN 1-s/c END),0),6) AS diversity_2, round(coalesce(max(CASE WHEN k=5 THEN 1-s/c END),0),6) AS diversity_5
+  FROM n LEFT JOIN pairs USING (request_id) GROUP BY 1""")
 def _(spark, sf):
     return rounded(D.list_diversity(V.with_features(spark, sf, V.candidates(spark, sf)), ["brand", "ptype", "size"], [2, 5]))
 

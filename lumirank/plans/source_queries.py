@@ -12,7 +12,7 @@ from lumirank.operators.ordering import top_k
 from lumirank.operators.stats import item_popularity
 from lumirank.plans import jobs as J, views as V
 from lumirank.plans.prep_queries import _DOCTOK, _LD, _PROF, _SIDE, _VOC, _doc_vocab
-from lumirank.plans.ranking_queries import KS, TOPK, _avg_sql, _metrics_sql
+from lumirank.plans.ranking_queries import _BLEND, KS, TOPK, _avg_sql, _metrics_sql
 from lumirank.plans.registry import query, rounded
 from lumirank.plans.stage_queries import _AI, _ASM, _MAP, _used
 from lumirank.schema import FeatureSpec
@@ -370,10 +370,14 @@ def _(spark, sf):
     return rounded(out["reranked"].select("request_id", "item_id", "score", "rank"))
 
 
-@query("c14_blended_report", f"WITH {V.CANDS} SELECT count(*) AS sample_count, round(avg(label),6) AS positive_ratio, count(*) AS blend_sample_count FROM cands")
+@query("c14_blended_report", f"""WITH {V.CANDS}, {_BLEND}, p AS (SELECT label, 1/(1+exp(-score)) AS p FROM bl), s AS (SELECT p, sum(CASE WHEN label>0 THEN 1 ELSE 0 END) AS pos, sum(CASE WHEN label>0 THEN 0 ELSE 1 END) AS neg FROM p GROUP BY 1),
+  c AS (SELECT *, sum(neg) OVER (ORDER BY p DESC) AS cn FROM s), a AS (SELECT sum(pos*((SELECT sum(neg) FROM s)-cn+0.5*neg))/(sum(pos)*sum(neg))::DOUBLE AS auc FROM c)
+  SELECT count(*) AS sample_count, round(avg(label),6) AS positive_ratio, count(*) AS blend_sample_count, round((SELECT auc FROM a),6) AS blend_auc,
+  round(avg(-(label*ln(p)+(1-label)*ln(1-p))),6) AS blend_logloss, round(sum(p)/sum(label),6) AS blend_pcoc FROM p""")
 def _(spark, sf):
     pop = item_popularity(V.lines(spark, sf), "item_id", "label")
-    return rounded(J.blended_report(V.candidates(spark, sf), pop, 0.3).select("sample_count", "positive_ratio", "blend_sample_count"))
+    r = J.blended_report(V.candidates(spark, sf), pop, 0.3)
+    return rounded(r.select("sample_count", "positive_ratio", "blend_sample_count", "blend_auc", "blend_logloss", "blend_pcoc"))
 
 
 @query("c15_inferred_feature_map", f"WITH {V.CODED} SELECT 'item_code' AS feature, 'categorical' AS type, max(item_code)+1 AS vocab_size, 0::BIGINT AS max_len FROM coded UNION ALL SELECT 'item_seq', 'sequence', max(list_max(item_seq))+1, max(len(item_seq)) FROM coded")

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import csv
 import json
-import os
 from dataclasses import asdict, dataclass, field, replace
-from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+
+from lumirank.sources.files import read_text, write_text
 
 # fixed values
 DTYPES: dict[str, T.DataType] = {
@@ -122,12 +122,12 @@ class FeatureMap:
         d = json.loads(text)
         return cls(d["dataset_id"], d["labels"], {n: s for one in d["features"] for n, s in one.items()})
 
-    def save(self, path: str) -> None:
-        write_text_atomic(path, self.to_json())
+    def save(self, spark: SparkSession, path: str) -> None:
+        write_text(spark, path, self.to_json())
 
     @classmethod
-    def load(cls, path: str) -> FeatureMap:
-        return cls.from_json(Path(path).read_text())
+    def load(cls, spark: SparkSession, path: str) -> FeatureMap:
+        return cls.from_json(read_text(spark, path))
 
     def select(self, use: list[str] | None = None, drop: list[str] | None = None,
                override: dict[str, dict] | None = None) -> FeatureMap:
@@ -191,14 +191,13 @@ class FeatureGroups:
     def item(self) -> list[str]:
         return self.of("FG1")
 
-    def save(self, path: str) -> None:
+    def save(self, spark: SparkSession, path: str) -> None:
         rows = "".join(f"{c},{g}\n" for c, g in self.assigned.items())
-        write_text_atomic(path, "feature,group\n" + rows)
+        write_text(spark, path, "feature,group\n" + rows)
 
     @classmethod
-    def load(cls, path: str) -> FeatureGroups:
-        with open(path, newline="") as fh:
-            return cls({r["feature"]: r["group"] for r in csv.DictReader(fh)})
+    def load(cls, spark: SparkSession, path: str) -> FeatureGroups:
+        return cls({r["feature"]: r["group"] for r in csv.DictReader(read_text(spark, path).splitlines())})
 
 
 def project_groups(df: DataFrame, groups: FeatureGroups, allowed: list[str], keep: list[str]) -> DataFrame:
@@ -268,13 +267,5 @@ def preprocess(df: DataFrame, specs: list[FeatureSpec], labels: list[str], carry
     return df.select(*cols)
 
 
-def write_text_atomic(path: str, text: str) -> None:
-    """Small sidecar files: write beside, then rename over."""
-    Path(path).parent.mkdir(parents=True, exist_ok=True)
-    tmp = f"{path}.tmp-{os.getpid()}"
-    Path(tmp).write_text(text)
-    os.replace(tmp, path)
-
-
 def spec_dict(s: FeatureSpec) -> dict:
     return {k: v for k, v in asdict(s).items() if v is not None}

@@ -9,36 +9,15 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lumirank.config import validate_identifier
-
-
-def _fs(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-
-def exists(spark: SparkSession, path: str) -> bool:
-    p, fs = _fs(spark, path)
-    return fs.exists(p)
+from lumirank.sources.files import exists, fs_of, read_text, write_text
 
 
 def write_json(spark: SparkSession, path: str, value) -> None:
-    """A small sidecar on the table's own file system: written beside, then renamed."""
-    tmp, fs = _fs(spark, path + ".tmp")
-    out = fs.create(tmp, True)
-    out.write(bytearray(json.dumps(value, indent=2, default=str).encode()))
-    out.close()
-    dst, _ = _fs(spark, path)
-    if fs.exists(dst):
-        fs.delete(dst, False)
-    if not fs.rename(tmp, dst):
-        raise OSError(f"could not move {path} into place")
+    write_text(spark, path, json.dumps(value, indent=2, default=str))
 
 
 def read_json(spark: SparkSession, path: str):
-    if path.endswith((".pkl", ".pickle")):
-        raise ValueError("pickle files are refused: they can run code when read")
-    return json.loads(spark.read.text(path, wholetext=True).first()[0])
+    return json.loads(read_text(spark, path))
 
 
 @dataclass
@@ -79,7 +58,7 @@ def fingerprint(spark: SparkSession, paths: list[str], columns: list[str], specs
     """SHA-256 over file names, sizes, times, wanted columns and specs."""
     parts = []
     for path in sorted(paths):
-        p, fs = _fs(spark, path)
+        p, fs = fs_of(spark, path)
         it = fs.listFiles(p, True) if fs.getFileStatus(p).isDirectory() else None
         if it is None:
             st = fs.getFileStatus(p)

@@ -78,7 +78,7 @@ def write_split(df: DataFrame, path: str, mode: str = "overwrite", expected: int
     The job commits all files or none: a folder without its success mark, or with another
     count than expected, is refused.
     """
-    from lumirank.sources.relations import exists
+    from lumirank.sources.files import exists
     df.write.mode(mode).parquet(path)
     if not exists(df.sparkSession, f"{path}/_SUCCESS"):
         raise RuntimeError(f"{path} was not written completely")

@@ -121,20 +121,20 @@ def test_feature_expansion():
     assert specs[1].share_embedding == "a" and specs[2].dtype == "str" and not specs[3].active
 
 
-def test_groups(tmp_path):
+def test_groups(spark, tmp_path):
     g = S.FeatureGroups.assign(["price", "hist_click", "gps_loc", "x"], explicit={"x": "drop"}, fg3_patterns=["gps"], fg2_patterns=["hist", "loc"])
     assert g.assigned == {"price": "FG1", "hist_click": "FG2", "gps_loc": "FG3", "x": "Drop"}
     assert g.cloud() == ["price", "hist_click"] and g.user() == ["hist_click", "gps_loc"] and g.item() == ["price"]
-    g.save(str(tmp_path / "g.csv"))
-    assert S.FeatureGroups.load(str(tmp_path / "g.csv")).assigned == g.assigned
+    g.save(spark, str(tmp_path / "g.csv"))
+    assert S.FeatureGroups.load(spark, str(tmp_path / "g.csv")).assigned == g.assigned
     with pytest.raises(ValueError):
         S.FeatureGroups.assign(["a"], explicit={"a": "FG9"})
 
 
-def test_feature_map_round_trip(tmp_path):
+def test_feature_map_round_trip(spark, tmp_path):
     fm = S.FeatureMap("d", ["y"], {"a": {"type": "categorical", "vocab_size": 5, "source": "user"}, "m": {"type": "meta"}, "n": {"type": "numeric", "source": "item"}})
-    fm.save(str(tmp_path / "f.json"))
-    back = S.FeatureMap.load(str(tmp_path / "f.json"))
+    fm.save(spark, str(tmp_path / "f.json"))
+    back = S.FeatureMap.load(spark, str(tmp_path / "f.json"))
     assert back == fm and back.role() == ["a", "n"] and back.role(source="item") == ["n"]
     assert back.select(drop=["n"], override={"a": {"vocab_size": 9}}).features["a"]["vocab_size"] == 9
     assert back.resized({"a": 2}).features["a"]["vocab_size"] == 2
@@ -148,13 +148,13 @@ def test_unsafe_shares_and_completeness():
     assert S.is_complete(out) and not S.is_complete({"s": {"type": "seq", "vocab_size": 4}})
 
 
-def test_config(tmp_path):
+def test_config(spark, tmp_path):
     p = tmp_path / "c.json"
     p.write_text('{"seed": 1, "datasets": {"d1": {"label_col": "y", "data_root": "/r"}}}')
-    cfg = config.load_config(str(p), "d1")
+    cfg = config.load_config(spark, str(p), "d1")
     assert cfg["seed"] == 1 and config.split_paths(cfg)["valid"] == "/r/valid.csv"
     with pytest.raises(KeyError):
-        config.load_config(str(p), "d2")
+        config.load_config(spark, str(p), "d2")
     with pytest.raises(ValueError):
         config.validate_config(cfg)
     for bad in ("../x", "a/b", "", ".hid", "a..b"):

@@ -23,7 +23,7 @@ def vecs(spark):
 def small_blocks(monkeypatch):
     monkeypatch.setattr(RT, "USER_BLOCK", 10)
     monkeypatch.setattr(RT, "ITEM_BLOCK", 16)
-    monkeypatch.setattr(RT, "CHUNK", 4)
+    monkeypatch.setattr(RT, "CELL_SCORES", 60)
 
 
 def scores(users, items):
