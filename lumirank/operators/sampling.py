@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lumirank.functions.numeric import hash_uniform
-from lumirank.operators.ordering import top_k, with_global_prefix, with_row_number
+from lumirank.operators.ordering import with_global_prefix, with_row_number
 from lumirank.operators.ranking_metrics import ITEM, REQ
 from lumirank.session import stable
 
@@ -31,25 +31,33 @@ def index_pool(pool: DataFrame, item: str = ITEM) -> tuple[DataFrame, int]:
     return out, tot["__idx"]
 
 
-def _first_valid(draws: DataFrame, row: str, positive: str, n: int) -> DataFrame:
-    """First n draws per row that are not the row's own positive. A row has at most 2n + 2 draws."""
-    ok = draws.filter(F.col("neg_item") != F.col(positive))
-    return top_k(ok, [row], [F.col("__j").asc()], n, "neg_no").drop("__j")
+def _draws(row: Column, count: int, place: Callable[[Column], Column], own: Callable[[Column], Column], n: int) -> Column:
+    """First n of `count` drawn places that are not the row's own: an array, so no shuffle picks them.
+    Too few valid draws are filled up with the first of them."""
+    places = F.transform(F.sequence(F.lit(0), F.lit(count - 1)), place)
+    kept = F.slice(F.filter(places, lambda x: ~F.coalesce(own(x), F.lit(False))), 1, n)
+    return F.when(F.size(kept) > 0, F.concat(kept, F.array_repeat(F.get(kept, F.lit(0)), F.lit(n) - F.size(kept))))
 
 
-def _with_draws(rows: DataFrame, count: int) -> DataFrame:
-    return rows.withColumn("__j", F.explode(F.sequence(F.lit(0), F.lit(count - 1))))
+def _exploded(df: DataFrame, keep: list[str]) -> DataFrame:
+    return df.select(*keep, F.posexplode("__places").alias("__no", "__at")).withColumn("neg_no", F.col("__no") + 1).drop("__no")
 
 
 def uniform(rows: DataFrame, pool: DataFrame, n: int, row: str, positive: str = ITEM, item: str = ITEM,
             hash_of: HashOf | None = None) -> DataFrame:
     """n negatives per row: 2n draws, own positive dropped, first n kept. Rows whose draws all
-    collide get fewer instead of being padded with their own positive."""
+    collide get none instead of their own positive.
+
+    The positive's own index is looked up first, so collisions are seen before items are joined.
+    """
     hash_of = hash_of or seeded(0)
     idx, size = index_pool(pool, item)
-    d = _with_draws(rows.select(row, positive), 2 * n)
-    d = d.withColumn("__idx", F.pmod(hash_of(F.col(row), F.col("__j")), F.lit(size)))
-    return _first_valid(d.join(idx, "__idx"), row, positive, n).select(row, positive, "neg_no", "neg_item")
+    mine = idx.select(F.col("neg_item").alias(positive), F.col("__idx").alias("__own"))
+    d = rows.select(row, positive).join(mine, positive, "left")
+    d = d.withColumn("__places", _draws(F.col(row), 2 * n, lambda j: F.pmod(hash_of(F.col(row), j), F.lit(size)),
+                                        lambda x: x == F.col("__own"), n))
+    d = _exploded(d, [row, positive]).withColumnRenamed("__at", "__idx")
+    return d.join(idx, "__idx").select(row, positive, "neg_no", "neg_item")
 
 
 def weighted(rows: DataFrame, pool: DataFrame, popularity: DataFrame, n: int, row: str, positive: str = ITEM,
@@ -68,15 +76,15 @@ def weighted(rows: DataFrame, pool: DataFrame, popularity: DataFrame, n: int, ro
     placed, tot = with_global_prefix(w, ["neg_item"], {"__lo": F.col("__w"), "__n": F.lit(1).cast("long")})
     mass, size = tot["__lo"], tot["__n"]
     cell = max(1, -(-mass // max(size, 1)))
-    hi = F.col("__lo") + F.col("__w")
-    owned = placed.filter("__w > 0").select(
-        "neg_item", "__lo", hi.alias("__hi"),
-        F.explode(F.sequence(F.floor(F.col("__lo") / cell), F.floor((hi - 1) / cell))).alias("__cell"))
-    d = _with_draws(rows.select(row, positive), 2 * n)
-    d = d.withColumn("__at", F.pmod(hash_of(F.col(row), F.col("__j")), F.lit(mass)))
-    d = d.withColumn("__cell", F.floor(F.col("__at") / cell))
-    hit = d.join(owned, "__cell").filter((F.col("__at") >= F.col("__lo")) & (F.col("__at") < F.col("__hi")))
-    return _first_valid(hit.drop("__lo", "__hi", "__cell", "__at"), row, positive, n).select(row, positive, "neg_no", "neg_item")
+    placed = placed.filter("__w > 0").select("neg_item", "__lo", (F.col("__lo") + F.col("__w")).alias("__hi"))
+    owned = placed.withColumn("__cell", F.explode(F.sequence(F.floor(F.col("__lo") / cell), F.floor((F.col("__hi") - 1) / cell))))
+    mine = placed.select(F.col("neg_item").alias(positive), F.col("__lo").alias("__mlo"), F.col("__hi").alias("__mhi"))
+    d = rows.select(row, positive).join(mine, positive, "left")
+    d = d.withColumn("__places", _draws(F.col(row), 2 * n, lambda j: F.pmod(hash_of(F.col(row), j), F.lit(mass)),
+                                        lambda x: (x >= F.col("__mlo")) & (x < F.col("__mhi")), n))
+    d = _exploded(d, [row, positive]).withColumn("__cell", F.floor(F.col("__at") / cell))
+    return (d.join(owned, "__cell").filter((F.col("__at") >= F.col("__lo")) & (F.col("__at") < F.col("__hi")))
+            .select(row, positive, "neg_no", "neg_item"))
 
 
 def hard(rows: DataFrame, candidates: DataFrame, pool: DataFrame, n: int, row: str, positive: str = ITEM,
@@ -91,17 +99,21 @@ def hard(rows: DataFrame, candidates: DataFrame, pool: DataFrame, n: int, row: s
     hash_of = hash_of or seeded(0)
     order = order or (lambda r, i: F.xxhash64(F.lit(1), r, i))
     c = candidates.select(request, F.col(ITEM).alias("neg_item")).filter("neg_item is not null").distinct()
-    ring = with_row_number(c, [request], [order(F.col(request), F.col("neg_item")), F.col("neg_item")], "__idx", hot_rows)
+    ring = with_row_number(c, [request], [order(F.col(request), F.col("neg_item")), F.col("neg_item")], "__idx", hot_rows,
+                           upper=candidates)
     ring = stable(ring.withColumn("__idx", F.col("__idx") - 1))
     sizes = ring.groupBy(request).agg(F.count("*").alias("__m"))
-    r = rows.select(row, request, positive).join(sizes, request)
-    d = _with_draws(r, 2 * n + 2)
+    mine = ring.select(request, F.col("neg_item").alias(positive), F.col("__idx").alias("__own"))
+    keep = list(dict.fromkeys([row, request, positive]))
+    d = rows.select(*keep).join(sizes, request, "left").join(mine, [request, positive], "left")
+    others = F.coalesce(F.col("__m"), F.lit(0)) - F.when(F.col("__own").isNotNull(), 1).otherwise(0)
     start = F.pmod(hash_of(F.col(row), F.lit(0)), F.col("__m"))
-    d = d.withColumn("__idx", F.pmod(start + F.col("__j"), F.col("__m")))
-    got = _first_valid(d.join(ring, [request, "__idx"]), row, positive, n).select(row, positive, "neg_no", "neg_item")
-    rest = rows.select(row, positive).join(got.select(row).distinct(), row, "left_anti")
-    back = uniform(rest, pool, n, row, positive, hash_of=hash_of)
-    return got.withColumn("source", F.lit("candidates")).unionByName(back.withColumn("source", F.lit("pool")))
+    some = d.filter(others > 0).withColumn("__places", _draws(
+        F.col(row), 2 * n + 2, lambda j: F.pmod(start + j, F.col("__m")), lambda x: x == F.col("__own"), n))
+    got = _exploded(some, keep).withColumnRenamed("__at", "__idx").join(ring, [request, "__idx"])
+    back = uniform(d.filter(others <= 0), pool, n, row, positive, hash_of=hash_of)
+    return (got.select(row, positive, "neg_no", "neg_item", F.lit("candidates").alias("source"))
+            .unionByName(back.withColumn("source", F.lit("pool"))))
 
 
 def in_batch(rows: DataFrame, order: list[str], row: str, batch: int, n: int, item: str = ITEM,
@@ -112,7 +124,8 @@ def in_batch(rows: DataFrame, order: list[str], row: str, batch: int, n: int, it
     total = tot["__pos"]
     start = F.floor(F.col("__pos") / batch) * batch
     size = F.least(F.lit(batch), F.lit(total) - start)
-    d = _with_draws(placed.withColumn("__start", start).withColumn("__size", size).filter("__size > 1"), n)
+    d = placed.withColumn("__start", start).withColumn("__size", size).filter("__size > 1")
+    d = d.withColumn("__j", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     step = F.pmod(hash_of(F.col(row), F.col("__j")), F.col("__size") - 1) + 1
     d = d.withColumn("__at", F.col("__start") + F.pmod(F.col("__pos") - F.col("__start") + step, F.col("__size")))
     src = placed.select(F.col("__pos").alias("__at"), F.col(row).alias("neg_row"), F.col(item).alias("neg_item"))

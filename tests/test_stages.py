@@ -77,6 +77,8 @@ def test_uniform_negatives(spark):
     assert rows(n) == rows(SA.uniform(d, d, 5, "row"))
     assert n.filter("neg_item = item_id").isEmpty() and n.filter("neg_item > 19").isEmpty()
     assert n.groupBy("row").count().filter("count <> 5").isEmpty()
+    two = SA.uniform(d.filter("item_id < 2"), d.filter("item_id < 2").select("item_id"), 6, "row", hash_of=lambda r, j: F.when(j == 5, 1 - r % 20).otherwise(r % 20))
+    assert two.groupBy("row").count().filter("count <> 6").isEmpty()      # one valid draw fills all places
     lone = SA.uniform(d.filter("item_id = 3"), d.filter("item_id = 3"), 2, "row")
     assert lone.count() == 0                                     # never padded with the own positive
 
