@@ -50,8 +50,8 @@ def _window_prefix(df, by, order, sums):
 
 
 def _ranged_pieces(df: DataFrame, by, order) -> DataFrame:
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return stable(df.repartitionByRange(n, *[F.col(b) for b in by], *order)
+    # no partition count: AQE may merge neighbouring small ranges, which keeps their order
+    return stable(df.repartitionByRange(*[F.col(b) for b in by], *order)
                   .withColumn(_PIECE, F.spark_partition_id()))
 
 

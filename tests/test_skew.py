@@ -5,11 +5,25 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
-from lumirank.operators import classification as C, ranking_metrics as R, remap as RM, sampling as SA
+from lumirank.operators import classification as C, ordering as O, ranking_metrics as R, remap as RM, sampling as SA
 from lumirank.operators.ordering import (exact_quantiles, first_per_key, top_k, with_global_prefix, with_prefix,
                                          with_row_number)
 
 
+@pytest.fixture(scope="module", autouse=True)
+def several_pieces(spark):
+    """Small ranges are not merged here, so groups do span pieces."""
+    name = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(name, "false")
+    yield
+    spark.conf.set(name, "true")
+
+
+def test_a_large_group_spans_pieces(skewed):
+    pieces = O._ranged_pieces(skewed.filter("request_id = 7"), ["request_id"], order())
+    assert pieces.select(O._PIECE).distinct().count() > 2
+
+
 @pytest.fixture(scope="module")
 def skewed(spark):
     i = F.col("id")
