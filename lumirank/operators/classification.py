@@ -7,7 +7,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from lumirank.functions.numeric import clip_prob, ratio
+from lumirank.functions.numeric import clip_prob
 from lumirank.operators import ranking_metrics as rm
 from lumirank.operators.ordering import quantiles_of, with_global_prefix, with_prefix
 from lumirank.session import stable
@@ -178,7 +178,3 @@ def global_auc_at_k(ranked: DataFrame, k: int, score: str = "score", label: str
     top = top_k(ranked, [rm.REQ], rm.pessimistic_order(score, label), k, "__k")
     good = top.groupBy(rm.REQ).agg(F.max(label).alias("__best")).filter(F.col("__best") > 0).select(rm.REQ)
     return auc(top.join(good, rm.REQ, "left_semi"), score, label)
-
-
-__all__ = ["auc", "calibration", "evaluate", "global_auc_at_k", "group_auc", "logloss_expr", "multitask",
-           "pointwise_report", "ratio", "resolve_metric", "slice_metrics"]

@@ -11,7 +11,7 @@ from lumirank.operators import classification as C, ranking_metrics as R, remap
 from lumirank.operators.ordering import top_k
 from lumirank.operators.stats import item_popularity
 from lumirank.plans import jobs as J, views as V
-from lumirank.plans.prep_queries import _DOCTOK, _LD, _PROF, _SIDE, _VOC, _doc_vocab
+from lumirank.plans.prep_queries import _DOCTOK, _PROF, _SIDE, _VOC, _doc_vocab
 from lumirank.plans.ranking_queries import _BLEND, KS, TOPK, _avg_sql, _metrics_sql
 from lumirank.plans.registry import query, rounded
 from lumirank.plans.stage_queries import _AI, _ASM, _MAP, _used

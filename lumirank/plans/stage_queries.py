@@ -7,10 +7,9 @@ from pyspark.sql import functions as F
 from lumirank.functions import text as TX
 from lumirank.operators import audit as AU, rank as RK, ranking_metrics as R, remap as RM, retrieve as RT, sampling as SA
 from lumirank.operators.ordering import top_k
-from lumirank.operators.pools import coverage
 from lumirank.operators.stats import item_popularity
 from lumirank.plans import views as V
-from lumirank.plans.ranking_queries import KS, _avg_sql, _metrics_sql
+from lumirank.plans.ranking_queries import _metrics_sql
 from lumirank.plans.registry import query, rounded
 
 # ---------------------------------------------------------------- joins of the ranking stage

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import csv
 import json
-from dataclasses import asdict, dataclass, field, replace
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
@@ -265,7 +265,3 @@ def preprocess(df: DataFrame, specs: list[FeatureSpec], labels: list[str], carry
             c = F.array_join(c.cast("array<string>"), s.splitter)
         cols.append(F.coalesce(c.cast(t), F.lit(s.fill()).cast(t)).alias(s.name))
     return df.select(*cols)
-
-
-def spec_dict(s: FeatureSpec) -> dict:
-    return {k: v for k, v in asdict(s).items() if v is not None}

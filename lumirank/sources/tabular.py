@@ -48,8 +48,8 @@ def read_parquet(spark: SparkSession, path: str | list[str], columns: Sequence[s
 
 def export_text_lists(df: DataFrame, sep: str = "^") -> DataFrame:
     """Array columns as joined text, for formats without arrays."""
-    return df.withColumns({f.name: join_tokens(F.col(f.name), sep) for f in df.schema.fields
-                           if isinstance(f.dataType, T.ArrayType)} or {df.columns[0]: F.col(df.columns[0])})
+    lists = [f.name for f in df.schema.fields if isinstance(f.dataType, T.ArrayType)]
+    return df.withColumns({c: join_tokens(F.col(c), sep) for c in lists}) if lists else df
 
 
 def read_split(spark: SparkSession, root: str, split: str, fmt: str = "parquet",
@@ -94,7 +94,3 @@ def checked_rows(df: DataFrame, expected: int | None, path: str) -> int:
 
 def write_sample(df: DataFrame, path: str, n_rows: int) -> None:
     df.limit(n_rows).write.mode("overwrite").parquet(path)
-
-
-def input_rows(df: DataFrame) -> int:
-    return df.count()
