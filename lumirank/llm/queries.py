@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lumirank.llm import langid, pieces, quality, secrets, token_counts, toxicity
+from lumirank.llm import fingerprints, langid, packing, pieces, quality, secrets, token_counts, toxicity
 from lumirank.llm.base import fold
 from lumirank.session import configure
 
@@ -53,6 +53,11 @@ def _(spark, sf):
     return langid.predict(docs.select("doc_id", held.alias("held_out"), "text"), profiles, keep=["doc_id", "held_out"])
 
 
+@query("op3_exact_fit_packing")
+def _(spark, sf):
+    return packing.pack(table(spark, sf, "documents").select("doc_id", "text"), tokenizer_path("byte_bpe_50k.json"))
+
+
 @query("op4_byte_cnn_quality")
 def _(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text")
@@ -61,6 +66,11 @@ def _(spark, sf):
     return quality.score(docs.select("doc_id", held.alias("held_out"), "text"), model, keep=["doc_id", "held_out"])
 
 
+@query("op5_order_minhash")
+def _(spark, sf):
+    return fingerprints.fingerprint_with_edits(table(spark, sf, "documents").select("doc_id", "text"))
+
+
 def _joined(spans):
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
