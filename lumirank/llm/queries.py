@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lumirank.llm import fingerprints, langid, packing, pieces, quality, secrets, token_counts, toxicity
+from lumirank.llm import fingerprints, jaccard, langid, packing, pieces, quality, secrets, token_counts, toxicity
 from lumirank.llm.base import fold
 from lumirank.session import configure
 
@@ -101,3 +101,8 @@ def _(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text")
     out = pieces.encode_decode(docs, tokenizer_path("piece_bpe_32k.model"), keep=["doc_id"])
     return out.select("doc_id", "n_tokens", F.sha2("piece_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query("op10_ngram_jaccard_join")
+def _(spark, sf):
+    return jaccard.similar_groups(table(spark, sf, "documents").select("doc_id", "text"))
