@@ -71,15 +71,14 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> _S)
 
 
-def word_hashes(texts: list[bytes], lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the words of all texts, and per text where its words begin (one more at the end)."""
+def word_hashes(texts: list[bytes], separators: np.ndarray = _IS_SEP) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of all texts (A-Z lower-cased), and per text where its words begin
+    (one more at the end). `separators` marks, per byte, what stands between words; a blank must be one."""
     bounds = np.zeros(len(texts) + 1, np.int64)
     if not texts:
         return np.empty(0, np.uint64), bounds
-    a = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
-    if lower:
-        a = _LOWER[a]
-    sep = _IS_SEP[a]
+    a = _LOWER[np.frombuffer(b" ".join(texts) + b" ", np.uint8)]
+    sep = separators[a]
     before = np.empty_like(sep)
     before[0] = True
     before[1:] = sep[:-1]

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lumirank.llm import fingerprints, jaccard, langid, packing, pieces, quality, secrets, token_counts, toxicity
+from lumirank.llm import fingerprints, jaccard, langid, packing, pieces, quality, search, secrets, token_counts, toxicity
 from lumirank.llm.base import fold
 from lumirank.session import configure
 
@@ -106,3 +106,9 @@ def _(spark, sf):
 @query("op10_ngram_jaccard_join")
 def _(spark, sf):
     return jaccard.similar_groups(table(spark, sf, "documents").select("doc_id", "text"))
+
+
+@query("op7_block_max_search")
+def _(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return search.search(docs, docs.filter("doc_id % 20 = 0"))
