@@ -33,7 +33,10 @@ def map_text(df: DataFrame, text: str, make: Callable[[], Callable[[list[str]],
     """
     new = {n for n, _ in fields}
     kept = [c for c in (df.columns if keep is None else keep) if c not in new]
-    src = df.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").cast("string").alias("__text"))
+    last = "__text"
+    while last in kept:
+        last += "_"
+    src = df.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").cast("string").alias(last))
     schema = T.StructType([src.schema[c] for c in kept] + [T.StructField(n, t, True) for n, t in fields])
     types = [to_arrow_schema(T.StructType([T.StructField(n, t, True)])).field(0).type for n, t in fields]
 
