@@ -66,8 +66,8 @@ def coded_hour(col: Column) -> Column:
     return F.substring(col, 7, 2).cast("int")
 
 
-def hash_bucket(col: Column, buckets: int) -> Column:
-    return F.pmod(F.xxhash64(col), F.lit(buckets)).cast("int")
+def hash_bucket(col: Column, buckets: int, hash_of=F.xxhash64) -> Column:
+    return F.pmod(hash_of(col), F.lit(buckets)).cast("int")
 
 
 def quantile_bucket(col: Column, boundaries: list[float]) -> Column:
@@ -77,9 +77,9 @@ def quantile_bucket(col: Column, boundaries: list[float]) -> Column:
 
 
 def stable_id(col: Column) -> Column:
-    """Non-negative 63-bit id of a text; empty text has id -1."""
+    """Non-negative 60-bit id of a text, the first 15 digits of its md5; empty and null text has id -1."""
     return F.when(F.coalesce(col, F.lit("")) == "", F.lit(-1).cast("long")).otherwise(
-        F.xxhash64(col).bitwiseAND(F.lit(0x7FFFFFFFFFFFFFFF)))
+        F.conv(F.substring(F.md5(col), 1, 15), 16, 10).cast("long"))
 
 
 def popularity_transform(count: Column, transform: str = "log1p") -> Column:

@@ -2,25 +2,30 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from lumirank.functions.text import normalize_id
 from lumirank.operators.ranking_metrics import ITEM, LABEL, REQ
+from lumirank.schema import FeatureGroups
 
 
-def conditioned_columns(user_columns: Sequence[str], item_columns: Sequence[str], item: str, label: str,
-                        request: str, groups: dict[str, str] | None = None, extra: Sequence[str] = (),
-                        patterns: Sequence[str] = ()) -> list[str]:
-    """User-side columns that depend on the candidate: ids, labels, item-group features, item-table names."""
-    groups = groups or {}
-    special = {item, "cand_item_id", "app_id", label, "label", request, "column_id"}   # fixed values
-    safe = {"request_id", "user_id"}                                                   # fixed values
-    return [c for c in user_columns if c not in safe and (
-        c in extra or c in special or c in item_columns or groups.get(c) == "FG1"
-        or any(re.search(p, c) for p in patterns))]
+# fixed values: names that stand for the candidate or the row in any schema
+CANDIDATE_NAMES = ("cand_item_id", "app_id", "label", "column_id")
+
+
+def conditioned_columns(user_columns: Sequence[str], item_columns: Sequence[str], ids: Sequence[str], labels: Sequence[str],
+                        groups: FeatureGroups | None = None, keys: Sequence[str] = ("request_id", "user_id")) -> list[str]:
+    """User-side columns that depend on the candidate, from the declared schema.
+
+    The candidate's side is everything declared for it: its ids, the labels, the columns of the
+    item table and the item group. What of it stands in the user table, but for the user's own
+    keys, must not reach a user-side model.
+    """
+    candidate_side = {*CANDIDATE_NAMES, *ids, *labels, *item_columns, *(groups.item() if groups else ())}
+    leaked = candidate_side.intersection(user_columns).difference(keys)
+    return sorted(leaked, key=list(user_columns).index)
 
 
 def neutralize(df: DataFrame, columns: Sequence[str], specs: dict[str, dict] | None = None) -> DataFrame:
@@ -59,6 +64,24 @@ def sequence_leakage(users: DataFrame, positives: DataFrame, sequences: Sequence
         F.col("__r").alias(REQ), "sequence_column", "positive_item")
 
 
+def history_leakage(users: DataFrame, events: DataFrame, positives: DataFrame, user: str, value: str,
+                    sequence: str = "hist") -> DataFrame:
+    """`sequence_leakage` for a history that is a table of events: no list is built.
+
+    A request of `users` (request, user) with positives and with events is a check; it leaks when one
+    of its positives is a value among the events of its user, at any place.
+    """
+    pos = positives.filter(F.coalesce(F.col(LABEL), F.lit(0)) > 0).select(
+        normalize_id(F.col(REQ)).alias("__r"), normalize_id(F.col(ITEM)).alias("__i")).distinct()
+    seen = events.select(F.col(user).alias("__u"), normalize_id(F.col(value)).alias("__i")).distinct()
+    requests = users.select(normalize_id(F.col(REQ)).alias("__r"), F.col(user).alias("__u"))
+    checks = (requests.join(pos.select("__r").distinct(), "__r", "left_semi")
+              .join(seen.select("__u").distinct(), "__u", "left_semi"))
+    hits = (checks.join(pos, "__r").join(seen, ["__u", "__i"], "left_semi")
+            .groupBy("__r").agg(F.min("__i").alias("positive_item")))
+    return checks.join(hits, "__r", "left").select(F.col("__r").alias(REQ), F.lit(sequence).alias("sequence_column"), "positive_item")
+
+
 def leakage_summary(checks: DataFrame) -> DataFrame:
     n, h = F.count("*"), F.count("positive_item")
     return checks.agg(n.alias("checks"), h.alias("hits"), F.when(n > 0, h / n).otherwise(0.0).alias("hit_rate"))

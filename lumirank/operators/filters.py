@@ -80,15 +80,17 @@ def check_ids(df: DataFrame, sizes: dict[str, int]) -> DataFrame:
 
 
 def split_train_test(df: DataFrame, order: Sequence[str], test_size: float = 0.2, valid_size: float = 0.0,
-                     mode: str = "sequential", seed: int = 0, key: Sequence[str] | None = None) -> DataFrame:
+                     mode: str = "sequential", seed: int = 0, key: Sequence[str] | None = None,
+                     hash_expr: Column | None = None) -> DataFrame:
     """Add `split` with exact counts. Sizes below 1 are shares of the rows, else row counts.
 
     sequential: the tail of `order` is test and the part before it valid.
-    random: the same cut on a seeded hash of `key`.
+    random: the same cut on a seeded hash of `key`, or on a given one.
     """
     if mode not in ("sequential", "random"):
         raise ValueError(f"unknown split mode: {mode}")
-    by = list(order) if mode == "sequential" else [F.xxhash64(F.lit(seed), *[F.col(c) for c in (key or order)]), *order]
+    h = hash_expr if hash_expr is not None else F.xxhash64(F.lit(seed), *[F.col(c) for c in (key or order)])
+    by = list(order) if mode == "sequential" else [h, *order]
     out, tot = with_global_prefix(df, by, {"__pos": F.lit(1).cast("long")})
     n = tot["__pos"]
     n_test = int(n * test_size) if test_size < 1 else int(test_size)
@@ -117,8 +119,9 @@ def cap_requests(df: DataFrame, request: str, order: str, max_requests: int, ite
     cap = max_requests
     if max_candidate_rows and item_count:
         cap = min(cap, max(1, max_candidate_rows // item_count))
-    firsts = src.groupBy(request).agg(F.min(order).alias("__at")).orderBy("__at", request).limit(cap)
-    return src.join(firsts.select(request), request, "left_semi")
+    placed, _ = with_global_prefix(src.groupBy(request).agg(F.min(order).alias("__at")), ["__at", request],
+                                   {"__before": F.lit(1).cast("long")})
+    return src.join(placed.filter(F.col("__before") < cap).select(request), request, "left_semi")
 
 
 def request_offsets(df: DataFrame, request: str, order: str) -> DataFrame:

@@ -71,7 +71,10 @@ def _ranged_prefix(df, by, order, sums):
                        *[F.sum(f"__t_{n}").over(before).alias(f"__o_{n}") for n in sums])
                .filter("__nth > 1").drop("__nth"))
     local = _local_prefix(pieces, by, order, sums)
-    joined = local.join(F.broadcast(offsets), [_PIECE, *by], "left")
+    keyed = offsets.withColumnsRenamed({b: f"__k_{b}" for b in by})
+    joined = local.join(keyed, [_PIECE], "left") if not by else local.join(
+        keyed.withColumnRenamed(_PIECE, "__k_piece"),
+        [F.col(_PIECE) == F.col("__k_piece"), *[F.col(b).eqNullSafe(F.col(f"__k_{b}")) for b in by]], "left")
     return joined.select(*df.columns, *[(F.col(n) + F.coalesce(F.col(f"__o_{n}"), F.lit(0))).alias(n)
                                         for n in sums])
 
@@ -87,8 +90,11 @@ def with_prefix(df: DataFrame, by: Sequence[str], order: Sequence[str | Column],
     keys = hot_keys(df, by, hot_rows, upper)
     if keys is None:
         return _window_prefix(df, by, order, sums)
-    cold = df.join(F.broadcast(keys), by, "left_anti")
-    hot = df.join(F.broadcast(keys), by, "left_semi").select(*df.columns)
+    # null is a group like others, so keys are compared null-safely
+    k = keys.select(*[F.col(b).alias(f"__k_{b}") for b in by])
+    same = [F.col(b).eqNullSafe(F.col(f"__k_{b}")) for b in by]
+    cold = df.join(k, same, "left_anti")
+    hot = df.join(k, same, "left_semi").select(*df.columns)
     return _window_prefix(cold, by, order, sums).unionByName(_ranged_prefix(hot, by, order, sums))
 
 
@@ -127,7 +133,10 @@ def with_row_number(df: DataFrame, by: Sequence[str], order: Sequence[str | Colu
 def top_k(df: DataFrame, by: Sequence[str], order: Sequence[str | Column], k: int,
           name: str = "rank") -> DataFrame:
     """First k rows per group. Spark prunes each map partition to k rows per group
-    before the shuffle (WindowGroupLimit), so a hot group costs k rows per task."""
+    before the shuffle (WindowGroupLimit), so a hot group costs k rows per task. Past the k up to
+    which Spark does that, groups with many rows are numbered in ranges instead."""
+    if k >= int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000")):
+        return with_row_number(df, list(by), order, name).filter(F.col(name) <= k).withColumn(name, F.col(name).cast("int"))
     w = W.partitionBy(*by).orderBy(*_order_columns(order))
     return df.withColumn(name, F.row_number().over(w)).filter(F.col(name) <= k)
 

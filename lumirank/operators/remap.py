@@ -73,26 +73,25 @@ def remap_scalar(df: DataFrame, column: str, table: DataFrame, feature: str | No
             .withColumn(column, F.coalesce("__new", F.lit(0)).cast("long")).drop("__old", "__new"))
 
 
-def remap_sequence(df: DataFrame, key: str, column: str, table: DataFrame, feature: str | None = None) -> DataFrame:
-    """(key, remapped array) with order and length kept; a row regroups only its own array."""
+def remap_sequence(df: DataFrame, column: str, table: DataFrame, feature: str | None = None) -> DataFrame:
+    """`df` with the array's ids replaced, order and length kept. Each distinct array is remapped once and
+    joined back by value, so rows need no key; null becomes an empty array."""
     m = _one(table, feature or column, "old_id", "new_id")
-    x = df.select(key, F.posexplode_outer(F.col(column).cast("array<bigint>")).alias("__pos", "__old"))
-    x = x.join(m, "__old", "left")
-    pair = F.when(F.col("__pos").isNotNull(), F.struct("__pos", F.coalesce("__new", F.lit(0)).cast("long").alias("__id")))
-    rows = x.groupBy(key).agg(F.array_sort(F.collect_list(pair)).alias("__s"))
-    return rows.select(key, F.transform("__s", lambda s: s["__id"]).alias(column))
+    ids = F.col(column).cast("array<bigint>")
+    seqs = df.select(ids.alias("__seq")).filter("__seq is not null").distinct()
+    x = seqs.select("__seq", F.posexplode("__seq").alias("__pos", "__old")).join(m, "__old", "left")
+    pair = F.struct("__pos", F.coalesce("__new", F.lit(0)).cast("long").alias("__id"))
+    rows = (x.groupBy("__seq").agg(F.array_sort(F.collect_list(pair)).alias("__s"))
+            .select("__seq", F.transform("__s", lambda s: s["__id"]).alias("__ids")))
+    empty = F.array().cast("array<bigint>")
+    return df.join(rows, ids == F.col("__seq"), "left").withColumn(column, F.coalesce("__ids", empty)).drop("__seq", "__ids")
 
 
-def remap_frame(df: DataFrame, key: str, columns: Sequence[str], table: DataFrame,
-                share: dict[str, str] | None = None) -> DataFrame:
+def remap_frame(df: DataFrame, columns: Sequence[str], table: DataFrame, share: dict[str, str] | None = None) -> DataFrame:
     share = share or {}
     out = df
     for c in columns:
-        feature = share.get(c, c)
-        if _is_array(df, c):
-            out = out.drop(c).join(remap_sequence(df, key, c, table, feature), key)
-        else:
-            out = remap_scalar(out, c, table, feature)
+        out = (remap_sequence if _is_array(df, c) else remap_scalar)(out, c, table, share.get(c, c))
     return out.select(*df.columns)
 
 

@@ -233,21 +233,22 @@ def popularity_recall(candidates: DataFrame, popularity: DataFrame, ks: Sequence
                       *[(F.count_if(F.col("best") <= k) / F.count("*")).alias(f"popularity_recall_{k}") for k in ks])
 
 
-def mean_pool(history: DataFrame, key: str, column: str, vectors: DataFrame, vec_key: str, vector: str,
+def mean_pool(history: DataFrame, key: str, column: str, vectors: DataFrame, vec_key: str, vector: str, dim: int,
               mode: str = "mean") -> DataFrame:
     """Masked mean or sum of the vectors of a row's history; all-zero vectors are padding.
 
-    Works per dimension (posexplode, group) so partial sums leave each map task.
+    Every key has a row: histories that are empty, null or without a live vector give zeros. One
+    aggregate with a sum per dimension of the declared width, so partial sums leave each map task.
     """
     if mode not in ("mean", "sum"):
         raise ValueError(f"unknown pooling: {mode}")
     size = F.aggregate(F.col(vector).cast("array<double>"), F.lit(0.0), lambda s, x: s + F.abs(x))
-    live = vectors.filter(size > 0).select(F.col(vec_key).alias("__k"), F.col(vector).alias("__v"))
-    ids = history.select(key, F.explode(column).alias("__k"))
-    dims = ids.join(live, "__k").select(key, F.posexplode(F.col("__v").cast("array<double>")).alias("d", "x"))
-    val = F.avg("x") if mode == "mean" else F.sum("x")
-    per = dims.groupBy(key, "d").agg(val.alias("x"))
-    return per.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "x"))), lambda s: s["x"]).alias(vector))
+    live = vectors.filter(size > 0).select(F.col(vec_key).alias("__k"), F.col(vector).cast("array<double>").alias("__v"))
+    ids = history.select(key, F.explode_outer(column).alias("__k"))
+    sums = (ids.join(live, "__k", "left").groupBy(key)
+            .agg(F.count("__v").alias("__n"), *[F.sum(F.col("__v")[i]).alias(f"__d{i}") for i in range(dim)]))
+    by = F.greatest(F.col("__n"), F.lit(1)) if mode == "mean" else F.lit(1)
+    return sums.select(key, F.array(*[F.coalesce(F.col(f"__d{i}"), F.lit(0.0)) / by for i in range(dim)]).alias(vector))
 
 
 def first_requests(df: DataFrame, order: Sequence[str]) -> DataFrame:

@@ -7,6 +7,8 @@ Draws meet the pool by an equi-join on a dense index: nothing is gathered or sen
 
 from __future__ import annotations
 
+import math
+
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -142,18 +144,34 @@ def hashed_sample(df: DataFrame, n: int, key: list[str], seed: int = 0, hash_exp
     return df.withColumn("__h", h).orderBy("__h", *key).limit(n).drop("__h")
 
 
-def sampled_pair_distance(df: DataFrame, key: str, vector: str, max_pairs: int, seed: int = 0) -> DataFrame:
-    """Mean L2 distance over seeded pairs of distinct rows: both ends of a pair are looked up by index."""
+def pair_distance(df: DataFrame, key: str, vector: str, max_pairs: int, seed: int = 0) -> DataFrame:
+    """Mean L2 distance over pairs of distinct rows, up to `max_pairs` of them.
+
+    Pairs are numbered, (a, b) with a < b from the number; both ends are looked up by index. When
+    all pairs fit, all are taken and the mean is exact; else an arithmetic progression through the
+    numbers, whose step shares no factor with their count, takes that many different pairs.
+    """
     from lumirank.functions.vectors import norm
     idx, tot = with_global_prefix(df.select(key, F.col(vector).cast("array<double>").alias("v")), [key],
                                   {"__i": F.lit(1).cast("long")})
     n = tot["__i"]
-    if n < 2:
+    pairs = n * (n - 1) // 2
+    if not pairs:
         return df.sparkSession.createDataFrame([(0, None)], "pairs long, mean_distance double")
-    p = df.sparkSession.range(min(max_pairs, n * (n - 1) // 2)).select(
-        F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(n)).alias("a"),
-        F.pmod(F.xxhash64(F.lit(seed + 1), "id"), F.lit(n - 1)).alias("s"))
-    p = p.select("a", F.pmod(F.col("a") + F.col("s") + 1, F.lit(n)).alias("b"))
+    take = min(max_pairs, pairs)
+    step, first = 1, 0
+    if take < pairs:
+        step = pairs * 618 // 1000 + 1 + 2 * seed
+        while math.gcd(step, pairs) != 1:
+            step += 1
+        first = seed * 1_000_003
+    num = F.col("id").cast("decimal(38,0)") * F.lit(step) + F.lit(first)
+    p = df.sparkSession.range(take).select((num % F.lit(pairs)).cast("long").alias("p"))
+    guess = F.floor((1 + F.sqrt(1 + 8 * F.col("p").cast("double"))) / 2).cast("long")
+    p = p.withColumn("g", guess)
+    b = (F.when(F.col("g") * (F.col("g") - 1) / 2 > F.col("p"), F.col("g") - 1)
+         .when(F.col("g") * (F.col("g") + 1) / 2 <= F.col("p"), F.col("g") + 1).otherwise(F.col("g")))
+    p = p.withColumn("b", b).select((F.col("p") - F.expr("b * (b - 1) div 2")).alias("a"), "b")
     left = idx.select(F.col("__i").alias("a"), F.col("v").alias("va"))
     right = idx.select(F.col("__i").alias("b"), F.col("v").alias("vb"))
     d = norm(F.zip_with("va", "vb", lambda x, y: x - y))

@@ -32,17 +32,18 @@ def build_sized_vocab(counts: DataFrame, max_features: int | None = None, min_fr
     Indices start at 1 after the na token is dropped; PAD is 0 and OOV one past the largest.
     The table is written once, because fitting and every encoding read it.
     """
-    words = counts
+    placed, _ = with_global_prefix(counts, [F.desc("count"), F.asc("token")], {"__before": F.lit(1).cast("long")})
+    words = placed.filter((F.col("count") >= min_freq) & (F.col("token") != na_value))
     if max_features:
-        words = words.orderBy(F.desc("count"), "token").limit(max_features)
-    words = words.filter((F.col("count") >= min_freq) & (F.col("token") != na_value))
+        words = words.filter(F.col("__before") < max_features)
     if remap:
-        placed, tot = with_global_prefix(words, [F.desc("count"), F.asc("token")], {"__before": F.lit(1).cast("long")})
-        oov = tot["__before"] + 1
-        words = placed.select("token", (F.col("__before") + 1).alias("idx"))
+        # the na token's place is left out; rare words all stand behind the others
+        na = placed.filter(F.col("token") == na_value).select("__before").first()
+        past = F.when(F.col("__before") > na["__before"], 0).otherwise(1) if na else F.lit(1)
+        words = stable(words.select("token", (F.col("__before") + past).cast("long").alias("idx")))
     else:
         words = words.select("token", F.col("token").cast("long").alias("idx"))
-        oov = (words.agg(F.max("idx")).first()[0] or 0) + 1
+    oov = (words.agg(F.max("idx")).first()[0] or 0) + 1
     marks = counts.sparkSession.createDataFrame([(PAD, 0), (OOV, oov)], "token string, idx long")
     return stable(words.unionByName(marks)), oov
 
@@ -100,21 +101,24 @@ def encode_category(df: DataFrame, column: str, vocab: DataFrame, out: str | Non
     return joined.withColumn(out or column, F.coalesce("__idx", F.lit(oov)).cast("long")).drop("__tok", "__idx")
 
 
-def encode_sequence(df: DataFrame, key: str, column: str, vocab: DataFrame, max_len: int,
-                    splitter: str = "^", padding: str = "post", na_value: str = "",
-                    oov: int | None = None, out: str | None = None) -> DataFrame:
-    """(key, encoded fixed-width array). Only the tokens that survive truncation are exploded,
-    so a row regroups at most max_len codes."""
+def encode_sequence(df: DataFrame, column: str, vocab: DataFrame, max_len: int, splitter: str = "^",
+                    padding: str = "post", na_value: str = "", oov: int | None = None, out: str | None = None) -> DataFrame:
+    """`df` with the column encoded as a fixed-width array; rows need no key.
+
+    Each distinct sequence is encoded once: what survives truncation is exploded, looked up and
+    regrouped by the sequence itself, then joined back. Histories that many rows of a request
+    share are so encoded once; null reads as the empty sequence.
+    """
     oov = oov_index(vocab) if oov is None else oov
-    out = out or column
-    toks = text.truncate(text.tokens(F.coalesce(F.col(column), F.lit("")), splitter), max_len, padding)
-    exploded = df.select(key, F.posexplode(toks).alias("__pos", "__tok"))
+    kept = F.coalesce(F.col(column), F.lit(""))
+    seqs = df.select(kept.alias("__seq")).distinct()
+    exploded = seqs.select("__seq", F.posexplode(text.truncate(text.tokens(F.col("__seq"), splitter), max_len, padding)).alias("__pos", "__tok"))
     v = vocab.select(F.col("token").alias("__tok"), F.col("idx").alias("__idx"))
     code = F.when(F.col("__tok") == na_value, F.lit(0)).otherwise(F.coalesce("__idx", F.lit(oov))).cast("int")
-    coded = exploded.join(v, "__tok", "left").select(key, "__pos", code.alias("__code"))
-    rows = coded.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("__pos", "__code"))).alias("__s"))
-    arr = F.transform("__s", lambda s: s["__code"])
-    return rows.select(key, text.pad(arr, max_len, F.lit(0), padding).alias(out))
+    coded = exploded.join(v, "__tok", "left").select("__seq", "__pos", code.alias("__code"))
+    rows = coded.groupBy("__seq").agg(F.array_sort(F.collect_list(F.struct("__pos", "__code"))).alias("__s"))
+    codes = rows.select("__seq", text.pad(F.transform("__s", lambda s: s["__code"]), max_len, F.lit(0), padding).alias("__codes"))
+    return df.join(codes, kept == F.col("__seq")).withColumn(out or column, F.col("__codes")).drop("__seq", "__codes")
 
 
 def decode(df: DataFrame, column: str, vocab: DataFrame, out: str) -> DataFrame:

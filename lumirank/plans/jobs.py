@@ -12,7 +12,7 @@ from lumirank.functions.numeric import hash_bucket, quantile_bucket
 from lumirank.operators import (audit, classification, filters, pools, rank, ranking_metrics, remap, retrieve,
                                 scaling, stats, vocab)
 from lumirank.operators.ordering import first_per_key
-from lumirank.schema import FeatureMap, FeatureSpec, normal_type, preprocess
+from lumirank.schema import FeatureGroups, FeatureMap, FeatureSpec, normal_type, preprocess
 from lumirank.session import stable
 from lumirank.sources import relations, tabular
 
@@ -85,9 +85,10 @@ def fit(train: DataFrame, specs: Sequence[FeatureSpec]) -> Encoder:
     return enc
 
 
-def transform(df: DataFrame, enc: Encoder, key: str) -> DataFrame:
-    """Encode all columns. Category joins need no shuffle while a vocabulary is small; each
-    sequence column explodes and regroups on the row key."""
+def transform(df: DataFrame, enc: Encoder) -> DataFrame:
+    """Encode all columns. Category joins need no shuffle while a vocabulary is small; of a
+    sequence column the distinct values are encoded. Meta values that the encoder has not seen
+    are added to its vocabulary first: ids of a holdout's requests or users stay distinct."""
     out = df
     for s in (s for s in enc.specs if s.active):
         if s.name in enc.scalers:
@@ -98,32 +99,41 @@ def transform(df: DataFrame, enc: Encoder, key: str) -> DataFrame:
         elif s.category_processor == "hash_bucket":
             out = out.withColumn(s.name, hash_bucket(F.col(s.name), s.num_buckets))
         elif s.type in ("categorical", "meta"):
-            v = enc.vocabs[enc.table(s)]
-            out = vocab.encode_category(out, s.name, v, oov=enc.oov[enc.table(s)])
+            name = enc.table(s)
+            if s.type == "meta":
+                enc.vocabs[name] = vocab.extend_vocab(enc.vocabs[name], df, s.name)
+                enc.oov[name] = vocab.oov_index(enc.vocabs[name])
+            out = vocab.encode_category(out, s.name, enc.vocabs[name], oov=enc.oov[name])
         elif s.type == "sequence":
             if s.sequence_length:
                 out = out.withColumn(f"{s.name}_len", text.effective_length(text.tokens(F.col(s.name), s.splitter)))
-            codes = vocab.encode_sequence(out, key, s.name, enc.vocabs[enc.table(s)], enc.lengths[s.name], s.splitter,
-                                          s.padding, str(s.fill()), oov=enc.oov[enc.table(s)])
-            out = out.drop(s.name).join(codes, key)
+            out = vocab.encode_sequence(out, s.name, enc.vocabs[enc.table(s)], enc.lengths[s.name], s.splitter,
+                                        s.padding, str(s.fill()), oov=enc.oov[enc.table(s)])
     return out
 
 
 def prepare(splits: dict[str, DataFrame], specs: Sequence[FeatureSpec], label: str, key: str, item: str,
-            carry: Sequence[str] = (), min_item_count: int = 0, train_head_count: int = 0,
-            positive_holdout: bool = False) -> tuple[dict[str, DataFrame], Encoder]:
-    """Filter, fit on train, encode every split. Item filters come from train rows alone."""
+            carry: Sequence[str] = (), min_item_count_eval: int = 0, train_head_count: int = 0,
+            positive_holdout: bool = True) -> tuple[dict[str, DataFrame], Encoder]:
+    """Filter, fit on train, encode every split in order. Item filters come from train rows alone.
+
+    `min_item_count_eval` drops rows of items that train has fewer rows of, from the holdouts only;
+    `train_head_count` keeps items with that many train positives in all splits; holdouts keep
+    their positives unless told otherwise. Meta columns grow split by split.
+    """
     splits = dict(splits)
-    if min_item_count:
-        splits["train"] = filters.filter_rare_items(splits["train"], item, min_item_count)
+    train = splits["train"]
     if train_head_count:
-        keep = filters.frequent_items(splits["train"], item, train_head_count, label)
+        keep = filters.frequent_items(train, item, train_head_count, label)
         splits = {s: filters.keep_items(d, keep, item) for s, d in splits.items()}
+    if min_item_count_eval:
+        keep = filters.frequent_items(train, item, min_item_count_eval)
+        splits = {s: d if s == "train" else filters.keep_items(d, keep, item) for s, d in splits.items()}
     if positive_holdout:
         splits = {s: d if s == "train" else filters.positives(d, label) for s, d in splits.items()}
     ready = {s: preprocess(d, list(specs), [label], list(dict.fromkeys([key, *carry]))) for s, d in splits.items()}
     enc = fit(ready["train"], specs)
-    return {s: transform(d, enc, key) for s, d in ready.items()}, enc
+    return {s: transform(d, enc) for s, d in ready.items()}, enc
 
 
 def write_prepared(tables: dict[str, DataFrame], enc: Encoder, root: str, dataset: str, label: str) -> FeatureMap:
@@ -169,7 +179,7 @@ def statistics(df: DataFrame, label: str, sides: dict[str, str], split: str = "s
             "top": stats.top_ids(both, top, [split, "side"])}
 
 
-def compact_dataset(tables: dict[str, DataFrame], key: str, columns: Sequence[str], sizes: dict[str, int],
+def compact_dataset(tables: dict[str, DataFrame], columns: Sequence[str], sizes: dict[str, int],
                     share: dict[str, str] | None = None, min_vocab: int = 100, min_reduction: float = 0.3) -> dict:
     """Scan train ids, decide per feature, and remap every table."""
     used = remap.used_ids(tables["train"], columns, share)
@@ -179,7 +189,7 @@ def compact_dataset(tables: dict[str, DataFrame], key: str, columns: Sequence[st
     share = share or {}
     todo = [c for c in columns if share.get(c, c) in pruned]
     return {"decisions": decisions, "map": table,
-            "tables": {s: remap.remap_frame(d, key, todo, table, share) for s, d in tables.items()}}
+            "tables": {s: remap.remap_frame(d, todo, table, share) for s, d in tables.items()}}
 
 
 # ---------------------------------------------------------------- stages
@@ -232,10 +242,10 @@ def three_stages(requests: DataFrame, positives: DataFrame, items: DataFrame, pr
     return {"retrieved": got, "preranked": pre["top"], "reranked": re_["top"], "metrics": long}
 
 
-def leakage_report(users: DataFrame, candidates: DataFrame, item_columns: Sequence[str], sequences: Sequence[str],
-                   item: str, label: str, request: str, groups: dict[str, str] | None = None) -> dict:
-    checks = audit.sequence_leakage(users, candidates, sequences)
-    return {"conditioned_columns": audit.conditioned_columns(users.columns, item_columns, item, label, request, groups),
+def leakage_report(checks: DataFrame, user_columns: Sequence[str], item_columns: Sequence[str], ids: Sequence[str],
+                   labels: Sequence[str], groups: FeatureGroups | None = None) -> dict:
+    """Conditioned columns by the schema, and the summary and first examples of a leakage check."""
+    return {"conditioned_columns": audit.conditioned_columns(user_columns, item_columns, ids, labels, groups),
             "summary": audit.leakage_summary(checks), "examples": audit.leakage_examples(checks)}
 
 

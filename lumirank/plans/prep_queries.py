@@ -190,10 +190,11 @@ def _(spark, sf):
     return FL.split_train_test(o, ["o_orderdate", "o_orderkey"], 0.2, 0.1).drop("o_orderdate")
 
 
-@query("n5_random_split")
+@query("n5_random_split", """WITH r AS (SELECT o_orderkey, row_number() OVER (ORDER BY (o_orderkey*7919+13)%1000003, o_orderkey)-1 AS p, count(*) OVER () AS n FROM orders)
+  SELECT o_orderkey, CASE WHEN p>=n-floor(n*0.2) THEN 'test' WHEN p>=n-floor(n*0.2)-floor(n*0.1) THEN 'valid' ELSE 'train' END AS split FROM r""")
 def _(spark, sf):
     o = V.table(spark, sf, "orders").select("o_orderkey")
-    return FL.split_train_test(o, ["o_orderkey"], 0.2, 0.1, mode="random", seed=7)
+    return FL.split_train_test(o, ["o_orderkey"], 0.2, 0.1, mode="random", hash_expr=(F.col("o_orderkey") * 7919 + 13) % 1000003)
 
 
 @query("n6_half_split", """WITH r AS (SELECT o_orderkey, row_number() OVER (ORDER BY (o_orderkey*7919+13)%1000003, o_orderkey)-1 AS p, count(*) OVER () AS n FROM orders)
@@ -291,13 +292,13 @@ _ENC = """e AS (SELECT doc_id, pos, CASE WHEN tk='' THEN 0 ELSE coalesce(idx,(SE
 
 @query("f4_sequence_encoding_post", f"WITH {_DOCTOK}, {_VOC}, {_ENC} SELECT doc_id, array_to_string(list_resize(a[1:64],64,0),'^') AS codes FROM s")
 def _(spark, sf):
-    d = VO.encode_sequence(V.documents(spark, sf), "doc_id", "text", _doc_vocab(spark, sf), 64, " ", "post", out="codes")
+    d = VO.encode_sequence(V.documents(spark, sf), "text", _doc_vocab(spark, sf), 64, " ", "post", out="codes")
     return d.select("doc_id", TX.join_tokens(F.col("codes")).alias("codes"))
 
 
 @query("f4_sequence_encoding_pre", f"WITH {_DOCTOK}, {_VOC}, {_ENC} SELECT doc_id, array_to_string(list_concat(list_resize([]::BIGINT[], greatest(64-len(a),0), 0), a[greatest(len(a)-63,1):]),'^') AS codes FROM s")
 def _(spark, sf):
-    d = VO.encode_sequence(V.documents(spark, sf), "doc_id", "text", _doc_vocab(spark, sf), 64, " ", "pre", out="codes")
+    d = VO.encode_sequence(V.documents(spark, sf), "text", _doc_vocab(spark, sf), 64, " ", "pre", out="codes")
     return d.select("doc_id", TX.join_tokens(F.col("codes")).alias("codes"))
 
 
@@ -307,7 +308,7 @@ def _(spark, sf):
 def _(spark, sf):
     p = V.items(spark, sf).select("item_id", "name", F.concat_ws("^", "name", "brand", "name").alias("seq"))
     v = VO.legacy_vocab(p, ["name"])
-    d = VO.encode_sequence(p, "item_id", "seq", v, 4, "^", "post", na_value="", oov=0, out="codes")
+    d = VO.encode_sequence(p, "seq", v, 4, "^", "post", na_value="", oov=0, out="codes")
     return d.select("item_id", TX.join_tokens(F.col("codes")).alias("codes"))
 
 
@@ -318,27 +319,27 @@ def _(spark, sf):
 
 @query("f2_joined_list", f"WITH {V.HISTORY} SELECT user_id, array_to_string(seq,'^') AS joined FROM hist")
 def _(spark, sf):
-    return V.history(spark, sf).select("user_id", TX.join_tokens(F.col("seq")).alias("joined"))
+    return V.histories(spark, sf).select("user_id", TX.join_tokens(F.col("seq")).alias("joined"))
 
 
 @query("f3_padding", f"""WITH {V.HISTORY}, s AS (SELECT user_id, [CAST(x AS INTEGER) for x in seq] AS a FROM hist) SELECT user_id,
   array_to_string(list_concat(list_resize([]::INTEGER[], greatest(60-len(a),0), -1), a[greatest(len(a)-59,1):]),'^') AS pre, array_to_string(list_resize(a[1:20],20,-1),'^') AS post FROM s""")
 def _(spark, sf):
     a = F.col("seq").cast("array<int>")
-    return V.history(spark, sf).select("user_id", TX.join_tokens(TX.pad(a, 60, -1, "pre")).alias("pre"), TX.join_tokens(TX.pad(a, 20, -1, "post")).alias("post"))
+    return V.histories(spark, sf).select("user_id", TX.join_tokens(TX.pad(a, 60, -1, "pre")).alias("pre"), TX.join_tokens(TX.pad(a, 20, -1, "post")).alias("post"))
 
 
-@query("f6_fixed_width_ints", f"""WITH {V.HISTORY} SELECT user_id, array_to_string(list_resize(([CASE WHEN CAST(x AS INTEGER)<50 THEN 0 ELSE CAST(x AS INTEGER) END for x in seq])[1:55],55,0),'^') AS ints FROM hist""")
+@query("f6_fixed_width_ints", f"""WITH {V.HISTORY} SELECT user_id, array_to_string(list_resize(([CASE WHEN CAST(x AS INTEGER)<5 THEN 0 ELSE CAST(x AS INTEGER) END for x in seq])[1:55],55,0),'^') AS ints FROM hist""")
 def _(spark, sf):
-    a = F.transform("seq", lambda x: F.when(x.cast("int") >= 50, x.cast("int")))
-    return V.history(spark, sf).select("user_id", TX.join_tokens(TX.fixed_width_ints(a, 55)).alias("ints"))
+    a = F.transform("seq", lambda x: F.when(x.cast("int") >= 5, x.cast("int")))
+    return V.histories(spark, sf).select("user_id", TX.join_tokens(TX.fixed_width_ints(a, 55)).alias("ints"))
 
 
 @query("f7_effective_length", f"""WITH {V.HISTORY}, z AS (SELECT user_id, [CASE WHEN CAST(x AS INTEGER)%3=0 THEN '0' ELSE x END for x in seq] AS a FROM hist)
   SELECT user_id, coalesce(list_max([CASE WHEN trim(a[i])<>'0' THEN i ELSE 0 END for i in range(1,len(a)+1)]),0)::INTEGER AS seq_len FROM z""")
 def _(spark, sf):
     a = F.transform("seq", lambda x: F.when(x.cast("int") % 3 == 0, F.lit("0")).otherwise(x))
-    return V.history(spark, sf).select("user_id", TX.effective_length(a).alias("seq_len"))
+    return V.histories(spark, sf).select("user_id", TX.effective_length(a).alias("seq_len"))
 
 
 @query("f8_calendar_parts", """SELECT event_id, dayofweek(ts)::INTEGER AS weekday, CASE WHEN dayofweek(ts) IN (0,6) THEN 1 ELSE 0 END::INTEGER AS weekend, hour(ts)::INTEGER AS hour FROM events""")
@@ -358,12 +359,12 @@ def _(spark, sf):
     return e.select("event_id", N.quantile_bucket(F.col("value"), SC.quantile_boundaries(e, "value", 10)).alias("bucket"))
 
 
-@query("f10_hash_bucket")
+@query("f10_hash_bucket", "SELECT p_partkey AS item_id, (('0x'||substr(md5(p_name),1,15))::BIGINT%16)::INTEGER AS bucket FROM part")
 def _(spark, sf):
-    return V.items(spark, sf).select("item_id", N.hash_bucket(F.col("name"), 16).alias("bucket"))
+    return V.items(spark, sf).select("item_id", N.hash_bucket(F.col("name"), 16, hash_of=N.stable_id).alias("bucket"))
 
 
-@query("f11_stable_ids")
+@query("f11_stable_ids", "SELECT doc_id, ('0x'||substr(md5(source),1,15))::BIGINT AS sid, CASE WHEN coalesce(text,'')='' THEN -1 ELSE ('0x'||substr(md5(text),1,15))::BIGINT END AS tid FROM documents")
 def _(spark, sf):
     return V.documents(spark, sf).select("doc_id", N.stable_id(F.col("source")).alias("sid"), N.stable_id(F.col("text")).alias("tid"))
 
@@ -375,7 +376,7 @@ def _(spark, sf):
 
 @query("f12_parsed_sequences", f"WITH {V.HISTORY} SELECT user_id, array_to_string(list_sort(list_distinct(seq)),'^') AS ids, array_to_string(list_sort(list_distinct(seq)),'^') AS json_ids FROM hist")
 def _(spark, sf):
-    h = V.history(spark, sf).select("user_id", F.array_join("seq", "; ").alias("t"), F.concat(F.lit("["), F.array_join("seq", ","), F.lit("]")).alias("j"))
+    h = V.histories(spark, sf).select("user_id", F.array_join("seq", "; ").alias("t"), F.concat(F.lit("["), F.array_join("seq", ","), F.lit("]")).alias("j"))
     return h.select("user_id", F.array_join(F.array_sort(TX.parse_sequence(F.col("t"))), "^").alias("ids"), F.array_join(F.array_sort(TX.parse_sequence(F.col("j"))), "^").alias("json_ids"))
 
 

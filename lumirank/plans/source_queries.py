@@ -251,7 +251,7 @@ def _(spark, sf):
 
 @query("f13_capped_multi_values", f"WITH {V.HISTORY} SELECT user_id, array_to_string(seq[1:31],'^') AS vals FROM hist")
 def _(spark, sf):
-    return V.history(spark, sf).select("user_id", F.array_join(TX.append_capped(F.col("seq")), "^").alias("vals"))
+    return V.histories(spark, sf).select("user_id", F.array_join(TX.append_capped(F.col("seq")), "^").alias("vals"))
 
 
 @query("c12_log_conversion", f"""WITH c AS ({_CLICKS}), v AS (SELECT token, row_number() OVER (ORDER BY token) AS idx FROM (SELECT DISTINCT "101" AS token FROM c)) SELECT sample, click, "102" AS f102, idx AS f101 FROM c JOIN v ON "101"=token""")
@@ -275,7 +275,7 @@ _SPECS = [FeatureSpec("priority"), FeatureSpec("segment"), FeatureSpec("amount",
 
 def _orders(spark, sf):
     o, c, y = V.table(spark, sf, "orders"), V.table(spark, sf, "customer"), F.year("o_orderdate")
-    d = o.join(c, F.col("o_custkey") == F.col("c_custkey")).join(V.history(spark, sf).withColumnRenamed("user_id", "o_custkey"), "o_custkey", "left").select(
+    d = o.join(c, F.col("o_custkey") == F.col("c_custkey")).join(V.histories(spark, sf).withColumnRenamed("user_id", "o_custkey"), "o_custkey", "left").select(
         F.col("o_orderkey").alias("request_id"), F.when(F.col("o_orderstatus") == "F", 1.0).otherwise(0.0).alias("label"), F.col("o_orderpriority").alias("priority"),
         F.col("c_mktsegment").alias("segment"), F.col("o_totalprice").alias("amount"), F.coalesce(F.array_join("seq", "^"), F.lit("")).alias("hist"),
         F.when(y < 2000, "train").when(y < 2001, "valid").otherwise("test").alias("split"))
@@ -296,10 +296,31 @@ def _flat(d):
 
 @query("c1_prepared_holdout", _ENCODED.replace("list_max([CASE WHEN trim(string_split(hist", "list_max([CASE WHEN trim(string_split(o.hist").replace("len(string_split(hist,'^'))+1", "len(string_split(o.hist,'^'))+1") + "split='valid' AND label=1")
 def _(spark, sf):
-    tables, _e = J.prepare(_orders(spark, sf), _SPECS, "label", "request_id", "priority", positive_holdout=True)
+    tables, enc = J.prepare(_orders(spark, sf), _SPECS, "label", "request_id", "priority")
     return _flat(tables["valid"])
 
 
+@query("c1_written_splits", _ENCODED.replace("SELECT request_id, label, coalesce(pv", "SELECT split, request_id, label, coalesce(pv").replace("list_max([CASE WHEN trim(string_split(hist", "list_max([CASE WHEN trim(string_split(o.hist").replace("len(string_split(hist,'^'))+1", "len(string_split(o.hist,'^'))+1") + "split='train' OR label=1")
+def _(spark, sf):
+    tables, enc = J.prepare(_orders(spark, sf), _SPECS, "label", "request_id", "priority")
+    root = _place(spark, "prepared")
+    fm = J.write_prepared(tables, enc, root, "orders", "label")
+    assert {"priority", "segment", "amount", "hist", "hist_len"} <= set(fm.features)
+    parts = [_flat(spark.read.parquet(f"{root}/{s}.parquet")).withColumn("split", F.lit(s)) for s in tables]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query("a9_meta_ids_by_split", """WITH s AS (SELECT o_orderkey::VARCHAR AS token, CASE WHEN year(o_orderdate)<2000 THEN 0 WHEN year(o_orderdate)<2001 THEN 1 ELSE 2 END AS k FROM orders),
+  t AS (SELECT token, row_number() OVER (ORDER BY token) AS idx FROM s WHERE k=0), n AS (SELECT (SELECT count(*) FROM t) AS a, (SELECT count(*) FROM s WHERE k=1) AS b)
+  SELECT token, idx FROM t UNION ALL SELECT token, row_number() OVER (ORDER BY token)+a FROM s, n WHERE k=1 UNION ALL SELECT token, row_number() OVER (ORDER BY token)+a+b FROM s, n WHERE k=2""")
+def _(spark, sf):
+    o = _orders(spark, sf)
+    specs = [FeatureSpec("request_id", "meta")]
+    enc = J.fit(o["train"].select("request_id"), specs)
+    out = [J.transform(o[s].select("request_id", F.col("request_id").cast("string").alias("token")), enc) for s in ("train", "valid", "test")]
+    return out[0].unionByName(out[1]).unionByName(out[2]).select("token", F.col("request_id").alias("idx"))
+
+
 @query("c2_fitted_feature_map", f"""WITH {_ORD}, {_FIT} SELECT 'priority' AS feature, (SELECT coalesce(max(idx),0)+2 FROM pv) AS vocab_size, 0::BIGINT AS max_len UNION ALL SELECT 'segment', (SELECT coalesce(max(idx),0)+2 FROM sg), 0 UNION ALL SELECT 'hist', (SELECT coalesce(max(idx),0)+2 FROM hv), 12""")
 def _(spark, sf):
     enc = J.fit(_orders(spark, sf)["train"], _SPECS)
@@ -312,7 +333,7 @@ def _(spark, sf):
 def _(spark, sf):
     parts = _orders(spark, sf)
     enc = J.fit(parts["train"], _SPECS)
-    return _flat(J.transform(parts["train"].unionByName(parts["valid"]).unionByName(parts["test"]), enc, "request_id"))
+    return _flat(J.transform(parts["train"].unionByName(parts["valid"]).unionByName(parts["test"]), enc))
 
 
 @query("c6_rank_stage", _metrics_sql(V.CANDS + f""", {V.ITEMS}, sc AS (SELECT request_id, item_id, label, cands.score*0.5+size/100.0 AS score FROM cands JOIN items USING (item_id)),

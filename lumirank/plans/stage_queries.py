@@ -11,17 +11,10 @@ from lumirank.operators.stats import item_popularity
 from lumirank.plans import views as V
 from lumirank.plans.ranking_queries import _metrics_sql
 from lumirank.plans.registry import query, rounded
+from lumirank.schema import FeatureGroups
 
 # ---------------------------------------------------------------- joins of the ranking stage
 
-_POOL = "pool AS (SELECT DISTINCT item_id FROM imps WHERE split='train' AND label>0)"
-
-
-def _train_pool(spark, sf):
-    i = V.impressions(spark, sf)
-    return i.filter("split = 'train' AND label > 0").select("item_id").distinct()
-
-
 @query("j4_valid_candidates", f"WITH {V.CANDS}, tp AS (SELECT DISTINCT l_partkey AS item_id FROM lineitem WHERE l_tax>=0.08) SELECT count(tp.item_id) AS kept, count(*)-count(tp.item_id) AS dropped, count(*) FILTER (WHERE tp.item_id IS NULL AND label>0) AS dropped_positives FROM cands LEFT JOIN tp USING (item_id)")
 def _(spark, sf):
     pool = V.lines(spark, sf).filter("tax >= 0.08").select("item_id")
@@ -145,13 +138,13 @@ def _(spark, sf):
     return rounded(R.hit_rate(top.join(pos, ["request_id", "item_id"]), [10, 20], req))
 
 
-@query("f21_history_pooling", """WITH h AS (SELECT vec_id AS request_id, unnest([vec_id, vec_id+1, vec_id+2]) AS i FROM embeddings), e AS (SELECT request_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding,1) AS d FROM h JOIN embeddings ON vec_id=i),
-  m AS (SELECT request_id, d, avg(x) AS x FROM e GROUP BY 1,2) SELECT request_id, round(sum(CASE WHEN d=1 THEN x END),6) AS first, round(sum(CASE WHEN d=64 THEN x END),6) AS last, count(*)::INTEGER AS width FROM m GROUP BY 1""")
+@query("f21_history_pooling", """WITH h AS (SELECT vec_id AS request_id, unnest([vec_id, vec_id+1, vec_id+2]) AS i FROM embeddings WHERE vec_id%7<>0), e AS (SELECT request_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding,1) AS d FROM h JOIN embeddings ON vec_id=i),
+  m AS (SELECT request_id, d, round(avg(x),6)+0.0 AS x FROM e GROUP BY 1,2), z AS (SELECT vec_id AS request_id, unnest(generate_series(1,64)) AS d FROM embeddings) SELECT request_id, d::INTEGER AS d, coalesce(x,0.0) AS x FROM z LEFT JOIN m USING (request_id, d)""")
 def _(spark, sf):
     i = F.col("request_id")
-    h = V.vectors(spark, sf, "request_id").select("request_id", F.array(i, i + 1, i + 2).alias("hist"))
-    m = RT.mean_pool(h, "request_id", "hist", V.vectors(spark, sf), "item_id", "embedding")
-    return rounded(m.select("request_id", F.element_at("embedding", 1).alias("first"), F.element_at("embedding", -1).alias("last"), F.size("embedding").alias("width")))
+    h = V.vectors(spark, sf, "request_id").select("request_id", F.when(i % 7 != 0, F.array(i, i + 1, i + 2)).alias("hist"))
+    m = RT.mean_pool(h, "request_id", "hist", V.vectors(spark, sf), "item_id", "embedding", 64)
+    return rounded(m.select("request_id", F.posexplode("embedding").alias("d", "x")).withColumn("d", F.col("d") + 1))
 
 
 @query("j19_aligned_vectors", """WITH c AS (SELECT l_suppkey::VARCHAR AS token, count(*) AS c FROM lineitem GROUP BY 1), v AS (SELECT token, row_number() OVER (ORDER BY c DESC, token) AS idx FROM c),
@@ -246,9 +239,9 @@ def _(spark, sf):
     return SA.hashed_sample(p, 150, ["item_id"], hash_expr=(F.col("item_id") * 7919 + 13) % 1000003)
 
 
-@query("a38_pair_distance")
+@query("a38_pair_distance", """WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings) SELECT count(*) AS pairs, round(avg(list_distance(a.v,b.v)),6) AS mean_distance FROM e a JOIN e b ON a.vec_id<b.vec_id""")
 def _(spark, sf):
-    return rounded(SA.sampled_pair_distance(V.vectors(spark, sf), "item_id", "embedding", 50_000), 3)
+    return rounded(SA.pair_distance(V.vectors(spark, sf), "item_id", "embedding", 10_000_000))
 
 
 @query("a38_field_uniformity", """WITH e AS (SELECT a.embedding::DOUBLE[] AS x, b.embedding::DOUBLE[] AS y, c.embedding::DOUBLE[] AS z FROM embeddings a JOIN embeddings b ON b.vec_id=a.vec_id+1 JOIN embeddings c ON c.vec_id=a.vec_id+2)
@@ -293,9 +286,8 @@ def _(spark, sf):
 @query("j12_remapped_sequences", f"""WITH {_MAP}, x AS (SELECT row_number() OVER () AS r, * FROM coded), e AS (SELECT r, request_id, line_no, unnest(item_seq) AS id, generate_subscripts(item_seq,1) AS p FROM x),
   o AS (SELECT r, request_id, line_no, p, coalesce(new_id,0) AS nid FROM e LEFT JOIN m ON feature='item_code' AND id=old_id) SELECT max(request_id) AS request_id, max(line_no) AS line_no, string_agg(nid::VARCHAR,'^' ORDER BY p) AS seq FROM o GROUP BY r""")
 def _(spark, sf):
-    c = V.coded(spark, sf)
-    seq = RM.remap_sequence(c, "row_key", "item_seq", RM.remap_table(_used(spark, sf)), "item_code")
-    return c.select("row_key", "request_id", "line_no").join(seq, "row_key").select("request_id", "line_no", TX.join_tokens(F.col("item_seq")).alias("seq"))
+    c = RM.remap_sequence(V.coded(spark, sf), "item_seq", RM.remap_table(_used(spark, sf)), "item_code")
+    return c.select("request_id", "line_no", TX.join_tokens(F.col("item_seq")).alias("seq"))
 
 
 @query("j13_unmapped_ids", f"WITH {_MAP}, mm AS (SELECT * FROM m WHERE feature='supp_code') SELECT l_orderkey AS request_id, l_linenumber::BIGINT AS line_no, coalesce(old_id,0) AS old_id FROM lineitem LEFT JOIN mm ON new_id=least(l_suppkey,(SELECT max(new_id) FROM mm))")
@@ -304,12 +296,13 @@ def _(spark, sf):
     return RM.unmap(l, "supp_id", RM.remap_table(_used(spark, sf)), "supp_code", "old_id").drop("supp_id")
 
 
-@query("c9_compacted_dataset", f"""WITH {_MAP} SELECT request_id, line_no, coalesce(a.new_id,0) AS item_code, coalesce(b.new_id,0) AS supp_code FROM coded LEFT JOIN m a ON a.feature='item_code' AND a.old_id=item_code LEFT JOIN m b ON b.feature='supp_code' AND b.old_id=supp_code""")
+@query("c9_compacted_dataset", f"""WITH {_MAP}, x AS (SELECT row_number() OVER () AS r, * FROM coded), q AS (SELECT r, string_agg(coalesce(new_id,0)::VARCHAR,'^' ORDER BY p) AS seq FROM (SELECT r, unnest(item_seq) AS id, generate_subscripts(item_seq,1) AS p FROM x) LEFT JOIN m ON feature='item_code' AND id=old_id GROUP BY 1)
+  SELECT request_id, line_no, coalesce(a.new_id,0) AS item_code, coalesce(b.new_id,0) AS supp_code, seq FROM x JOIN q USING (r) LEFT JOIN m a ON a.feature='item_code' AND a.old_id=item_code LEFT JOIN m b ON b.feature='supp_code' AND b.old_id=supp_code""")
 def _(spark, sf):
     from lumirank.plans.jobs import compact_dataset
-    out = compact_dataset({"train": V.coded(spark, sf)}, "row_key", ["item_code", "supp_code", "item_seq"],
+    out = compact_dataset({"train": V.coded(spark, sf)}, ["item_code", "supp_code", "item_seq"],
                           {"item_code": 1_000_000, "supp_code": 1_000_000, "item_seq": 1_000_000}, _SHARE)
-    return out["tables"]["train"].select("request_id", "line_no", "item_code", "supp_code")
+    return out["tables"]["train"].select("request_id", "line_no", "item_code", "supp_code", TX.join_tokens(F.col("item_seq")).alias("seq"))
 
 
 # ---------------------------------------------------------------- audits
@@ -318,7 +311,7 @@ def _(spark, sf):
 @query("p14_conditioned_columns", "SELECT o_orderkey AS request_id, o_custkey AS user_id, o_orderpriority AS priority FROM orders")
 def _(spark, sf):
     u = V.splits(spark, sf).withColumns({"brand": F.lit("x"), "label": F.lit(1), "item_id": F.lit(5)})
-    bad = AU.conditioned_columns(u.columns, ["item_id", "brand"], "item_id", "label", "impression_id", {"split": "FG1"})
+    bad = AU.conditioned_columns(u.columns, ["item_id", "brand"], ["item_id", "impression_id"], ["label"], FeatureGroups({"split": "FG1"}))
     return u.drop(*bad)
 
 
@@ -329,27 +322,38 @@ def _(spark, sf):
     return n.withColumn("seq", TX.join_tokens(F.col("seq")))
 
 
-def _user_history(spark, sf):
-    h = V.history(spark, sf).withColumnRenamed("seq", "hist")
-    return V.splits(spark, sf).join(h, "user_id").select("request_id", "hist", F.slice("hist", 1, 5).alias("recent"))
+_LEAK = f"""{V.CANDS}, {V.SPLITS}, ev AS (SELECT DISTINCT user_id, regexp_extract(props, '(\\d+)', 1) AS item FROM events),
+  pos AS (SELECT DISTINCT request_id::VARCHAR AS request_id, item_id::VARCHAR AS item FROM cands WHERE label>0),
+  chk AS (SELECT request_id::VARCHAR AS request_id, user_id FROM splits WHERE request_id::VARCHAR IN (SELECT request_id FROM pos) AND user_id IN (SELECT user_id FROM ev)),
+  hits AS (SELECT request_id, min(item) AS positive_item FROM chk JOIN pos USING (request_id) JOIN ev USING (user_id, item) GROUP BY 1),
+  lk AS (SELECT request_id, 'hist' AS sequence_column, positive_item FROM chk LEFT JOIN hits USING (request_id))"""
 
 
-_LEAK = f"""{V.CANDS}, {V.SPLITS}, {V.HISTORY}, pos AS (SELECT request_id::VARCHAR AS request_id, item_id::VARCHAR AS item FROM cands WHERE label>0),
-  u AS (SELECT request_id::VARCHAR AS request_id, seq FROM splits JOIN hist USING (user_id)), s AS (SELECT request_id, 'hist' AS sequence_column, seq FROM u UNION ALL SELECT request_id, 'recent', seq[1:5] FROM u),
-  chk AS (SELECT * FROM s WHERE request_id IN (SELECT request_id FROM pos)), v AS (SELECT request_id, sequence_column, unnest(seq) AS item FROM chk),
-  hits AS (SELECT request_id, sequence_column, min(item) AS positive_item FROM v JOIN pos USING (request_id, item) GROUP BY 1,2), lk AS (SELECT request_id, sequence_column, positive_item FROM chk LEFT JOIN hits USING (request_id, sequence_column))"""
+def _leaks(spark, sf):
+    return AU.history_leakage(V.splits(spark, sf), V.events(spark, sf), V.candidates(spark, sf), "user_id", "k")
 
 
 @query("j18_sequence_leakage", f"WITH {_LEAK} SELECT * FROM lk")
 def _(spark, sf):
-    return AU.sequence_leakage(_user_history(spark, sf), V.candidates(spark, sf), ["hist", "recent"])
+    return _leaks(spark, sf)
+
+
+@query("j18_list_leakage", """WITH u AS (SELECT l_orderkey AS r, l_linenumber AS n, unnest([l_partkey+1, l_suppkey, l_partkey-1]) AS v FROM lineitem),
+  p AS (SELECT DISTINCT l_orderkey AS r, l_partkey AS v FROM lineitem WHERE l_returnflag='R'), c AS (SELECT DISTINCT r FROM p),
+  h AS (SELECT r, min(v::VARCHAR) AS positive_item FROM u JOIN p USING (r, v) GROUP BY 1) SELECT r::VARCHAR AS request_id, 'near' AS sequence_column, positive_item FROM lineitem JOIN c ON r=l_orderkey LEFT JOIN h USING (r)""")
+def _(spark, sf):
+    i = V.lines(spark, sf)
+    near = i.select("request_id", F.array(F.col("item_id") + 1, F.col("supp_id"), F.col("item_id") - 1).alias("near"))
+    return AU.sequence_leakage(near, i, ["near"])
 
 
 @query("c11_leakage_report", f"WITH {_LEAK} SELECT count(*) AS checks, count(positive_item) AS hits, round(count(positive_item)/count(*)::DOUBLE,6) AS hit_rate FROM lk")
 def _(spark, sf):
-    return rounded(AU.leakage_summary(AU.sequence_leakage(_user_history(spark, sf), V.candidates(spark, sf), ["hist", "recent"])))
+    from lumirank.plans.jobs import leakage_report
+    u = V.splits(spark, sf)
+    return rounded(leakage_report(_leaks(spark, sf), u.columns, ["item_id", "brand"], ["item_id"], ["label"])["summary"])
 
 
 @query("c11_leakage_examples", f"WITH {_LEAK} SELECT * FROM lk WHERE positive_item IS NOT NULL ORDER BY request_id, sequence_column LIMIT 20")
 def _(spark, sf):
-    return AU.leakage_examples(AU.sequence_leakage(_user_history(spark, sf), V.candidates(spark, sf), ["hist", "recent"]))
+    return AU.leakage_examples(_leaks(spark, sf))

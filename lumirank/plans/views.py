@@ -8,10 +8,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lumirank.operators.ordering import top_k
-
-HISTORY_LEN = 50
-
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
@@ -84,17 +80,19 @@ def with_features(spark: SparkSession, sf: str, df: DataFrame) -> DataFrame:
     return df.join(items(spark, sf), "item_id")
 
 
-def history(spark: SparkSession, sf: str) -> DataFrame:
-    """Per user the last 50 event keys, oldest first: a window of fixed length, so the list is bounded."""
-    e = table(spark, sf, "events").select("user_id", "ts", "event_id", F.regexp_extract("props", r"(\d+)", 1).alias("k"))
-    last = top_k(e, ["user_id"], [F.col("ts").desc(), F.col("event_id").desc()], HISTORY_LEN)
-    pairs = F.array_sort(F.collect_list(F.struct((-F.col("rank")).alias("at"), "k")))
-    return last.groupBy("user_id").agg(F.transform(pairs, lambda s: s["k"]).alias("seq"))
+def histories(spark: SparkSession, sf: str) -> DataFrame:
+    """A list of numbers per row, of any length: the word lengths of a document, keyed as a user's."""
+    words = F.split(F.coalesce("text", F.lit("")), " ", -1)
+    return table(spark, sf, "documents").select(F.col("doc_id").alias("user_id"),
+                                                F.transform(words, lambda w: F.length(w).cast("string")).alias("seq"))
+
+
+HISTORY = """hist AS (SELECT doc_id AS user_id, [length(w)::VARCHAR for w in string_split(coalesce(text,''),' ')] AS seq FROM documents)"""
 
 
-HISTORY = f"""hist AS (SELECT user_id, list(k ORDER BY rn DESC) AS seq FROM (
-  SELECT user_id, regexp_extract(props, '(\\d+)', 1) AS k, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn
-  FROM events) WHERE rn <= {HISTORY_LEN} GROUP BY user_id)"""
+def events(spark: SparkSession, sf: str) -> DataFrame:
+    """One row per event of a user and the item key it names."""
+    return table(spark, sf, "events").select("user_id", F.regexp_extract("props", r"(\d+)", 1).alias("k"))
 
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:

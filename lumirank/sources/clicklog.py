@@ -16,7 +16,6 @@ from lumirank.operators.filters import drop_inconsistent_conversions
 
 # fixed values
 BETWEEN, AFTER_FIELD, AFTER_ID = "\x01", "\x02", "\x03"
-MAX_VALUES = 31
 ABSENT = "0"
 
 
@@ -40,15 +39,17 @@ def read_bundles(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(p[0].alias("bundle"), triples(p[2]).alias("shared"))
 
 
-def _values(arr: Column, field: str, part: str) -> Column:
-    return append_capped(F.transform(F.filter(arr, lambda t: t["field"] == field), lambda t: t[part]), MAX_VALUES)
+def _values(arr: Column, field: str, part: str, cap: int | None) -> Column:
+    got = F.transform(F.filter(arr, lambda t: t["field"] == field), lambda t: t[part])
+    return append_capped(got, cap) if cap else got
 
 
-def convert(skeleton: DataFrame, bundles: DataFrame, sparse: Sequence[str], dense: Sequence[str]) -> DataFrame:
+def convert(skeleton: DataFrame, bundles: DataFrame, sparse: Sequence[str], dense: Sequence[str],
+            max_values: int | None = None) -> DataFrame:
     """One row per sample: click, purchase, and one column per field (dense fields get a D prefix).
 
     A field in the shared bundle replaces the sample's own. A bundle id that no bundle has
-    stops the job. Several values of a field are joined by `^`.
+    stops the job. Several values of a field are joined by `^`, the first `max_values` if given.
     """
     j = drop_inconsistent_conversions(skeleton).join(bundles, "bundle", "left")
     shared = F.when(F.col("shared").isNull(), F.raise_error(F.concat(F.lit("no feature bundle "), F.col("bundle")))
@@ -57,7 +58,7 @@ def convert(skeleton: DataFrame, bundles: DataFrame, sparse: Sequence[str], dens
     cols = []
     for names, part, prefix in ((sparse, "id", ""), (dense, "value", "D")):
         for f in names:
-            theirs, own = _values(F.col("shared"), f, part), _values(F.col("own"), f, part)
+            theirs, own = _values(F.col("shared"), f, part, max_values), _values(F.col("own"), f, part, max_values)
             got = F.when(F.size(theirs) > 0, theirs).otherwise(own)
             cols.append(F.when(F.size(got) > 0, F.array_join(got, "^")).otherwise(F.lit(ABSENT)).alias(prefix + f))
     return j.select("sample", "click", "purchase", *cols)

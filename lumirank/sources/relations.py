@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -72,18 +73,25 @@ def fingerprint(spark: SparkSession, paths: list[str], columns: list[str], specs
 
 
 def cached_table(spark: SparkSession, path: str, key: str, build, columns: list[str] | None = None) -> DataFrame:
-    """Reuse the table at `path` only if its fingerprint and columns match; else build it anew.
+    """Reuse the table under `path` only if its fingerprint and columns match; else build it anew.
 
-    The mark is written after the table, so a job that dies half-way leaves no valid cache.
+    A build goes to a folder of its own; the mark, which names the valid folder, is switched last.
+    A rebuild that dies half-way leaves the old mark and the old whole table. The folder the
+    mark named before is removed after the switch.
     """
     mark = f"{path}.fingerprint.json"
-    if exists(spark, mark) and exists(spark, path) and read_json(spark, mark).get("key") == key:
-        got = spark.read.parquet(path)
+    old = read_json(spark, mark) if exists(spark, mark) else {}
+    if old.get("key") == key and exists(spark, f"{path}/{old['version']}"):
+        got = spark.read.parquet(f"{path}/{old['version']}")
         if columns is None or set(columns) <= set(got.columns):
             return got
-    build().write.mode("overwrite").parquet(path)
-    write_json(spark, mark, {"key": key})
-    return spark.read.parquet(path)
+    version = f"v-{uuid.uuid4().hex}"
+    build().write.parquet(f"{path}/{version}")
+    write_json(spark, mark, {"key": key, "version": version})
+    if old.get("version"):
+        p, fs = fs_of(spark, f"{path}/{old['version']}")
+        fs.delete(p, True)
+    return spark.read.parquet(f"{path}/{version}")
 
 
 def write_vocab(vocab: DataFrame, path: str) -> None:

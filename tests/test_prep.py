@@ -93,7 +93,7 @@ def test_shared_vocabulary_moves_oov(spark):
 def test_sequence_na_is_padding_but_category_na_is_unknown(spark):
     v = VO.build_vocab(VO.token_counts(words(spark, "a", "b", "a"), "t"))
     d = spark.createDataFrame([(1, "a^^q^b"), (2, ""), (3, None)], "k long, s string")
-    got = {r.k: list(r.s) for r in VO.encode_sequence(d, "k", "s", v, 3, "^", "pre").collect()}
+    got = {r.k: list(r.s) for r in VO.encode_sequence(d, "s", v, 3, "^", "pre").collect()}
     assert got == {1: [0, 3, 2], 2: [0, 0, 0], 3: [0, 0, 0]}
     c = VO.encode_category(words(spark, "", "a", "zz"), "t", v)
     assert rows(c) == [(1,), (3,), (3,)]
@@ -239,7 +239,7 @@ def test_label_distribution_odd_values(spark):
 def test_remap_unknown_and_validation(spark):
     t = spark.createDataFrame([("f", 10, 1), ("f", 20, 2)], "feature string, old_id long, new_id long")
     d = spark.createDataFrame([(1, 10, [20, 0, 11]), (2, 15, []), (3, None, None)], "k long, f long, s array<long>")
-    out = RM.remap_frame(d, "k", ["f", "s"], t, {"s": "f"})
+    out = RM.remap_frame(d, ["f", "s"], t, {"s": "f"})
     assert {r.k: (r.f, list(r.s)) for r in out.collect()} == {1: (1, [2, 0, 0]), 2: (0, []), 3: (0, [])}
     for bad in ([("", 1, 1)], [("f", -1, 1)], [("f", 1, None)], [("f", 1, 1), ("f", 1, 2)]):
         with pytest.raises(ValueError):
@@ -254,9 +254,9 @@ def test_small_vocabularies_are_kept(spark):
 
 
 def test_conditioned_columns_and_neutral_values(spark):
-    cols = ["request_id", "user_id", "label", "brand", "age", "ctx", "seq"]
-    bad = AU.conditioned_columns(cols, ["item_id", "brand"], "item_id", "label", "impression_id", {"ctx": "FG1"}, ["seq"])
-    assert bad == ["label", "brand", "ctx", "seq"]
+    cols = ["request_id", "user_id", "label", "brand", "age", "ctx", "impression_id"]
+    bad = AU.conditioned_columns(cols, ["item_id", "brand"], ["item_id", "impression_id"], ["label"], S.FeatureGroups({"ctx": "FG1", "age": "FG3"}))
+    assert bad == ["label", "brand", "ctx", "impression_id"]
     d = spark.createDataFrame([(1, 2.5, [4, 5])], "a long, b double, s array<int>")
     r = AU.neutralize(d, ["a", "b", "s"], {"b": {"type": "numeric"}, "s": {"type": "sequence", "max_len": 3, "padding_idx": 0}}).first()
     assert (r.a, r.b, list(r.s)) == (0, 0.0, [0, 0, 0])
@@ -273,7 +273,7 @@ def test_fit_sees_train_only(spark):
     """A token of the holdout stays unknown, and holdout item filters come from train labels."""
     s = {"train": spark.createDataFrame([(1, 1.0, "a", 10), (2, 1.0, "a", 10), (3, 0.0, "b", 11)], "id long, y double, c string, item long"),
          "valid": spark.createDataFrame([(4, 1.0, "zzz", 10), (5, 1.0, "a", 11), (6, 0.0, "a", 10)], "id long, y double, c string, item long")}
-    out, enc = J.prepare(s, [S.FeatureSpec("c")], "y", "id", "item", ["item"], train_head_count=2, positive_holdout=True)
+    out, enc = J.prepare(s, [S.FeatureSpec("c")], "y", "id", "item", ["item"], train_head_count=2)
     assert rows(out["valid"], "id", "c") == [(4, 2)]          # train kept only item 10: vocabulary {a}
     assert enc.feature_map("d", ["y"]).features["c"]["vocab_size"] == 3
 
@@ -289,3 +289,46 @@ def test_prepare_synthetic(spark, tmp_path):
     assert v.filter(F.size("clicked_item_seq") != 4).isEmpty() and v.filter("label <> 1").isEmpty()
     assert fm.features["clicked_item_seq"]["share_embedding"] == "cand_item_id"
     assert "user_age_level" in fm.features and v.agg(F.max("user_age_level")).first()[0] == 1.0
+
+
+def test_sequences_of_rows_that_share_a_key_stay_apart(spark):
+    v = VO.build_vocab(VO.token_counts(words(spark, "a", "a", "a", "b", "b", "c"), "t"))
+    d = spark.createDataFrame([(1, "a^b"), (1, "c"), (1, "a^b"), (2, None)], "r long, s string")
+    got = sorted((r.r, tuple(r.s)) for r in VO.encode_sequence(d, "s", v, 3).collect())
+    assert got == [(1, (1, 2, 0)), (1, (1, 2, 0)), (1, (3, 0, 0)), (2, (0, 0, 0))]
+    t = spark.createDataFrame([("s", 10, 1), ("s", 20, 2)], "feature string, old_id long, new_id long")
+    d = spark.createDataFrame([(1, [10, 20]), (1, [20]), (1, [10, 20])], "r long, s array<long>")
+    assert sorted(tuple(r.s) for r in RM.remap_sequence(d, "s", t).collect()) == [(1, 2), (1, 2), (2,)]
+
+
+def test_meta_ids_of_holdouts_stay_distinct(spark):
+    s = {n: spark.createDataFrame([(i, f"r{k}", 1.0, "a") for i, k in enumerate(ks)], "id long, req string, y double, item string")
+         for n, ks in (("train", (1, 1, 5)), ("valid", (2, 3, 2)), ("test", (3, 9)))}
+    out, _ = J.prepare(s, [S.FeatureSpec("req", "meta"), S.FeatureSpec("item")], "y", "id", "item")
+    codes = {n: [r[0] for r in out[n].orderBy("id").select("req").collect()] for n in out}
+    assert codes == {"train": [1, 1, 2], "valid": [3, 4, 3], "test": [4, 5]}
+
+
+def test_rare_items_leave_the_holdouts_only(spark):
+    f = lambda *items: spark.createDataFrame([(i, 1.0, x) for i, x in enumerate(items)], "id long, y double, item string")
+    out, _ = J.prepare({"train": f("a", "a", "b"), "valid": f("a", "b")}, [S.FeatureSpec("item")], "y", "id", "item", min_item_count_eval=2)
+    assert out["train"].count() == 3 and out["valid"].count() == 1
+
+
+def test_pair_distance_is_exact_below_the_cap_and_distinct_above(spark):
+    from lumirank.operators import sampling as SA
+    d = spark.createDataFrame([(i, [x]) for i, x in enumerate((0.0, 1.0, 10.0))], "k long, v array<double>")
+    r = SA.pair_distance(d, "k", "v", 100).first()
+    assert (r.pairs, round(r.mean_distance, 3)) == (3, 6.667)
+    powers = spark.createDataFrame([(i, [float(2 ** i)]) for i in range(30)], "k long, v array<double>")   # every pair has its own distance
+    for n in (7, 200, 435):
+        r = SA.pair_distance(powers, "k", "v", n, seed=3).first()
+        assert r.pairs == n
+    assert abs(r.mean_distance - sum(2 ** a - 2 ** b for a in range(30) for b in range(a)) / 435) < 1e-3
+
+
+def test_history_pooling_keeps_every_row(spark):
+    from lumirank.operators import retrieve as RT
+    h = spark.createDataFrame([(1, [5, 6]), (2, []), (3, None), (4, [9])], "k long, h array<long>")
+    v = spark.createDataFrame([(5, [1.0, 2.0]), (6, [3.0, 6.0]), (9, [0.0, 0.0])], "i long, v array<double>")
+    assert {r.k: r.v for r in RT.mean_pool(h, "k", "h", v, "i", "v", 2).collect()} == {1: [2.0, 4.0], 2: [0.0, 0.0], 3: [0.0, 0.0], 4: [0.0, 0.0]}

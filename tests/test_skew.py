@@ -127,3 +127,17 @@ def test_first_per_key_is_a_partial_aggregate(skewed):
     for r in skewed.collect():
         best[r.request_id] = min(best.get(r.request_id, (9e9, 9e9)), (r.score, r.item_id))
     assert {r.request_id: (r.score, r.item_id) for r in out.collect()} == best
+
+
+def test_null_groups_and_deep_top_k_are_split(spark):
+    from lumirank.operators.ordering import top_k, with_row_number
+    d = spark.range(4000).selectExpr("CASE WHEN id % 3 = 0 THEN NULL ELSE id % 5 END AS g", "id AS v")
+    want = sorted((r.g if r.g is not None else -1, r.v, r.n) for r in d.selectExpr("*", "row_number() OVER (PARTITION BY g ORDER BY v) AS n").collect())
+    got = with_row_number(d, ["g"], ["v"], "n", hot_rows=500)
+    assert sorted((r.g if r.g is not None else -1, r.v, r.n) for r in got.collect()) == want
+    spark.conf.set("lumirank.hotGroupRows", "500")
+    try:
+        deep = top_k(d, ["g"], ["v"], 1200).collect()
+    finally:
+        spark.conf.unset("lumirank.hotGroupRows")
+    assert sorted((r.g if r.g is not None else -1, r.v, r["rank"]) for r in deep) == [x for x in want if x[2] <= 1200]

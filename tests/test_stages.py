@@ -151,6 +151,16 @@ def test_pool_cache_is_rebuilt_on_change(spark, tmp_path):
     assert RL.read_json(spark, f"{tmp_path}/item_pool_train.parquet.fingerprint.json")["key"] != before
 
 
+def test_a_rebuild_that_dies_leaves_the_old_table(spark, tmp_path):
+    path = f"{tmp_path}/t"
+    RL.cached_table(spark, path, "k", lambda: spark.range(10))
+    broken = lambda: spark.range(10).selectExpr("id", "CASE WHEN id = 7 THEN raise_error('stop') ELSE id END AS more")
+    with pytest.raises(Exception, match="stop"):
+        RL.cached_table(spark, path, "k", broken, ["id", "more"])
+    assert RL.cached_table(spark, path, "k", lambda: None, ["id"]).count() == 10
+    assert RL.cached_table(spark, path, "k2", lambda: spark.range(4)).count() == 4
+
+
 def test_statistics_cache_policies(spark, tmp_path):
     p, calls = f"{tmp_path}/s.json", []
     build = lambda: calls.append(1) or {"rows": 3}
@@ -213,7 +223,9 @@ def test_click_log(spark, tmp_path):
     got = {r["sample"]: r for r in CL.convert(sk, co, ["101", "205"], ["508"]).collect()}
     assert set(got) == {"s1", "s3"}                              # a purchase without a click is dropped
     assert got["s1"]["101"] == "9" and got["s1"]["D508"] == "2.5" and got["s1"]["205"] == "0"
-    assert len(got["s3"]["205"].split("^")) == 31
+    assert len(got["s3"]["205"].split("^")) == 40
+    capped = {r["sample"]: r for r in CL.convert(sk, co, ["101", "205"], ["508"], max_values=31).collect()}
+    assert capped["s3"]["205"].split("^") == [str(i) for i in range(31)]
     with pytest.raises(Exception, match="no feature bundle"):
         CL.convert(sk, co.filter("bundle = 'z'"), ["101"], []).collect()
 
