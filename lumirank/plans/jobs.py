@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lumirank.functions import text
 from lumirank.functions.numeric import hash_bucket, quantile_bucket
-from lumirank.operators import (audit, classification, filters, pools, rank, ranking_metrics, remap, retrieve,
+from lumirank.operators import (audit, classification, diversity, filters, pools, rank, ranking_metrics, remap, retrieve,
                                 scaling, stats, vocab)
 from lumirank.operators.ordering import first_per_key
 from lumirank.schema import FeatureGroups, FeatureMap, FeatureSpec, normal_type, preprocess
@@ -223,6 +223,32 @@ def rank_stage(candidates: DataFrame, pool: DataFrame, users: DataFrame | None,
             "metrics": ranking_metrics.averages(per, ks)}
 
 
+def stage_diagnostics(candidates: DataFrame, scored: DataFrame, pool: DataFrame, ks: Sequence[int], k: int,
+                      diversity_columns: Sequence[str]) -> dict[str, DataFrame]:
+    """What a ranking stage reports besides its lists: one long table of metrics, and the top-1 report.
+
+    `metrics` has the cross-request means, MRR and gAUC within the top k, Diversity@k of the lists and of the
+    candidates, the AUC over all rows and over the top-k lists, and the candidates the pool lacks.
+    `scored` is the stage's written table; every metric reads it.
+    """
+    per = ranking_metrics.per_request(scored, ks, top_k=k)
+    rows = rank.with_item_features(scored, pool, diversity_columns)
+    parts = [
+        ranking_metrics.averages(per, ks, top_k=k),
+        diversity.list_diversity(rows, diversity_columns, [k]).agg(F.avg(f"diversity_{k}").alias(f"diversity_{k}")),
+        diversity.pool_diversity(rows, diversity_columns, ["request_id"]).agg(F.avg("diversity").alias("candidate_diversity")),
+        classification.auc(scored).select("auc", "average_precision"),
+        classification.global_auc_at_k(scored, k).select(F.col("auc").alias(f"auc_at_{k}")),
+        rank.dropped_candidates(candidates, pool),
+    ]
+    long = None
+    for p in parts:
+        cells = F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in p.columns])
+        part = p.select(F.explode(cells).alias("m")).select("m.metric", "m.value")
+        long = part if long is None else long.unionByName(part)
+    return {"metrics": long, "report": rank.top_report(scored, k)}
+
+
 def rerank_stage(retrieved: DataFrame, preranked: DataFrame, pool: DataFrame, scorer, item_columns: Sequence[str],
                  ks: Sequence[int], k: int, teacher_weight: float = 0.0) -> dict[str, DataFrame]:
     """Score the retrieval list for gAUC and MRR; Recall and nDCG see the pre-ranked set only."""
@@ -232,12 +258,20 @@ def rerank_stage(retrieved: DataFrame, preranked: DataFrame, pool: DataFrame, sc
 
 def three_stages(requests: DataFrame, positives: DataFrame, items: DataFrame, pre_scorer, re_scorer,
                  item_columns: Sequence[str], depth: tuple[int, int, int], ks: Sequence[int],
-                 vector: str = "embedding") -> dict[str, DataFrame]:
-    """Retrieval, pre-ranking and re-ranking; all metrics as one long table."""
-    got = retrieve.retrieve_candidates(requests, positives, items, depth[0], vector)
+                 vector: str = "embedding", popularity: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Retrieval, pre-ranking and re-ranking; all metrics as one long table.
+
+    The retrieval stage reports its hit rates, and those of a ranking by popularity if one is given.
+    """
+    got = stable(retrieve.retrieve_candidates(requests, positives, items, depth[0], vector))
+    best = rank.rank_top_k(got, max(ks))
+    long = relations.metrics_long(ranking_metrics.hit_rate(best, ks, requests).drop("requests"), "retrieval", "valid")
+    if popularity is not None:
+        pop = retrieve.popularity_recall(got, popularity, ks, requests).drop("requests")
+        long = long.unionByName(relations.metrics_long(pop, "retrieval", "valid"))
     pre = rank_stage(got, items, None, pre_scorer, item_columns, ks=ks, k=depth[1])
     re_ = rerank_stage(got, pre["top"].drop("rank"), items, re_scorer, item_columns, ks, depth[2])
-    long = relations.metrics_long(pre["metrics"], "preranking", "valid").unionByName(
+    long = long.unionByName(relations.metrics_long(pre["metrics"], "preranking", "valid")).unionByName(
         relations.metrics_long(re_["metrics"], "reranking", "valid"))
     return {"retrieved": got, "preranked": pre["top"], "reranked": re_["top"], "metrics": long}
 

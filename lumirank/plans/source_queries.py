@@ -343,6 +343,53 @@ def _(spark, sf):
     return rounded(out["metrics"])
 
 
+_DIAG = V.CANDS + f""", {V.ITEMS}, pool AS (SELECT * FROM items WHERE size<40), sc AS (SELECT request_id, item_id, label, cands.score*0.5+size/100.0 AS score, brand, ptype FROM cands JOIN pool USING (item_id)),
+  ranked AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY score DESC, label, item_id) AS rank, count(*) OVER (PARTITION BY request_id) AS width FROM sc)"""
+
+
+def _auc_sql(name, src):
+    return f""", {name}_s AS (SELECT score, sum(CASE WHEN label>0 THEN 1 ELSE 0 END) AS p, sum(CASE WHEN label>0 THEN 0 ELSE 1 END) AS n FROM {src} GROUP BY 1),
+  {name}_c AS (SELECT *, sum(p) OVER w AS cp, sum(n) OVER w AS cn FROM {name}_s WINDOW w AS (ORDER BY score DESC)),
+  {name} AS (SELECT sum(p*((SELECT sum(n) FROM {name}_s)-cn+0.5*n))/(sum(p)*sum(n))::DOUBLE AS auc, sum(p*(cp/(cp+cn)::DOUBLE))/sum(p) AS ap FROM {name}_c)"""
+
+
+def _diag_sql():
+    means = ["mrr", "gauc", *[f"{m}_{k}" for m in ("recall", "ndcg") for k in KS]]
+    same = "((CASE WHEN a.brand=b.brand THEN 1 ELSE 0 END)+(CASE WHEN a.ptype=b.ptype THEN 1 ELSE 0 END))/2.0"
+    sql = _metrics_sql(_DIAG) + f""", t AS (SELECT * FROM rr WHERE rank<={TOPK}),
+  ta AS (SELECT p.request_id, avg(CASE WHEN p.score>n.score THEN 1.0 WHEN p.score=n.score THEN 0.5 ELSE 0.0 END) AS a FROM t p JOIN t n ON p.request_id=n.request_id WHERE p.pos=1 AND n.pos=0 GROUP BY 1),
+  tk AS (SELECT request_id, max(width) AS n, sum(pos) AS p, min(CASE WHEN pos=1 THEN rank END) AS first FROM t GROUP BY 1),
+  atk AS (SELECT sum(CASE WHEN n>={TOPK} AND p>0 THEN 1.0/first ELSE 0 END)/count(*) FILTER (WHERE p>0) AS mrr, sum(CASE WHEN n>={TOPK} AND p>0 THEN coalesce(a,0) ELSE 0 END)/count(*) FILTER (WHERE p>0) AS gauc FROM tk LEFT JOIN ta USING (request_id)),
+  dl AS (SELECT avg(coalesce(s,0)) AS d FROM (SELECT DISTINCT request_id FROM ranked) LEFT JOIN (SELECT a.request_id, 1-avg({same}) AS s FROM t a JOIN t b ON a.request_id=b.request_id AND a.rank<b.rank GROUP BY 1) USING (request_id)),
+  dc AS (SELECT avg(coalesce(s,0)) AS d FROM (SELECT DISTINCT request_id FROM ranked) LEFT JOIN (SELECT a.request_id, 1-avg({same}) AS s FROM ranked a JOIN ranked b ON a.request_id=b.request_id AND a.rank<b.rank GROUP BY 1) USING (request_id)),
+  good AS (SELECT * FROM t WHERE request_id IN (SELECT request_id FROM t WHERE pos=1))""" + _auc_sql("ga", "ranked") + _auc_sql("gk", "good")
+    rows = ["SELECT 'requests' AS metric, count(*)::DOUBLE AS value FROM pr", "SELECT 'requests_with_positive', count(*) FILTER (WHERE n_pos>0) FROM pr"]
+    rows += [f"SELECT '{m}', sum(CASE WHEN n_pos>0 THEN {m} ELSE 0 END)/count(*) FROM pr" for m in means]
+    rows += [f"SELECT 'mrr_at_{TOPK}', mrr FROM atk", f"SELECT 'gauc_at_{TOPK}', gauc FROM atk", f"SELECT 'diversity_{TOPK}', d FROM dl", "SELECT 'candidate_diversity', d FROM dc",
+             "SELECT 'auc', auc FROM ga", "SELECT 'average_precision', ap FROM ga", f"SELECT 'auc_at_{TOPK}', auc FROM gk",
+             "SELECT 'kept', count(pool.item_id) FROM cands LEFT JOIN pool USING (item_id)", "SELECT 'dropped', count(*)-count(pool.item_id) FROM cands LEFT JOIN pool USING (item_id)",
+             "SELECT 'dropped_positives', count(*) FILTER (WHERE pool.item_id IS NULL AND label>0) FROM cands LEFT JOIN pool USING (item_id)"]
+    return sql + " SELECT metric, round(value,6) AS value FROM (" + " UNION ALL ".join(rows) + ")"
+
+
+def _diagnosed(spark, sf):
+    c, pool = V.candidates(spark, sf), V.items(spark, sf).filter("size < 40")
+    out = J.rank_stage(c, pool, None, F.col("score") * 0.5 + F.col("size") / 100.0, ["size"], ks=KS, k=TOPK)
+    return J.stage_diagnostics(c, out["scored"], pool, KS, TOPK, ["brand", "ptype"])
+
+
+@query("c6_rank_stage_diagnostics", _diag_sql())
+def _(spark, sf):
+    return rounded(_diagnosed(spark, sf)["metrics"])
+
+
+@query("c6_rank_stage_report", f"""WITH {_DIAG} SELECT request_id, max(CASE WHEN rank=1 THEN item_id END) AS top1_item, round(max(CASE WHEN rank=1 THEN score END),6) AS top1_score,
+  CAST(max(CASE WHEN rank=1 THEN CASE WHEN label>0 THEN 1 ELSE 0 END END) AS INTEGER) AS hit_at_1, '[' || string_agg(CASE WHEN rank<={TOPK} THEN item_id END, ',' ORDER BY rank) || ']' AS top_items,
+  max_by(item_id, -rank) FILTER (WHERE label>0) AS positive_item, round(max_by(score, -rank) FILTER (WHERE label>0),6) AS positive_score FROM ranked GROUP BY request_id""")
+def _(spark, sf):
+    return rounded(_diagnosed(spark, sf)["report"])
+
+
 @query("c7_rerank_stage", _metrics_sql(V.CANDS + f""", {V.ITEMS}, tr AS (SELECT request_id, item_id, teacher AS ts FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY teacher DESC, label, item_id) AS r FROM cands) WHERE r<={TOPK}),
   f AS (SELECT c.request_id, c.item_id, label, c.score+0.25*coalesce(ts,0)+size/1000.0 AS score, ts IS NOT NULL AS kept FROM cands c JOIN items USING (item_id) LEFT JOIN tr ON c.request_id=tr.request_id AND c.item_id=tr.item_id),
   ranked AS (SELECT *, CASE WHEN kept THEN row_number() OVER (PARTITION BY request_id, kept ORDER BY score DESC, label, item_id) ELSE NULL END AS rank,
@@ -374,13 +421,15 @@ def _(spark, sf):
 @query("c13_three_stage_run", _metrics_sql(f"""{_AI.replace('ranked AS', 'ranked0 AS')}, {_ASM}, mx AS (SELECT max(np) AS m FROM np),
   got AS (SELECT request_id, item_id, CASE WHEN place<=20+(SELECT m FROM mx) THEN score ELSE 0 END AS score, 1 AS label FROM pl WHERE label=1 UNION ALL SELECT request_id, item_id, score, 0 FROM neg JOIN np USING (request_id) WHERE nn<=20-np),
   ranked AS (SELECT g.request_id, g.item_id, g.label, g.score+e.label/100.0 AS score, row_number() OVER (PARTITION BY g.request_id ORDER BY g.score+e.label/100.0 DESC, g.label, g.item_id) AS rank FROM got g JOIN embeddings e ON e.vec_id=g.item_id)""", ks=[1, 5]) +
-       """, w AS (SELECT sum(CASE WHEN n_pos>0 THEN mrr ELSE 0 END)/count(*) AS mrr, sum(CASE WHEN n_pos>0 THEN gauc ELSE 0 END)/count(*) AS gauc, sum(CASE WHEN n_pos>0 THEN recall_5 ELSE 0 END)/count(*) AS recall_5 FROM pr)
-  SELECT 'preranking' AS stage, 'valid' AS split, 'mrr' AS metric, round(mrr,6) AS value FROM w UNION ALL SELECT 'preranking', 'valid', 'gauc', round(gauc,6) FROM w UNION ALL SELECT 'preranking', 'valid', 'recall_5', round(recall_5,6) FROM w""")
+       """, w AS (SELECT sum(CASE WHEN n_pos>0 THEN mrr ELSE 0 END)/count(*) AS mrr, sum(CASE WHEN n_pos>0 THEN gauc ELSE 0 END)/count(*) AS gauc, sum(CASE WHEN n_pos>0 THEN recall_5 ELSE 0 END)/count(*) AS recall_5 FROM pr),
+  hr AS (SELECT vec_id, min(CASE WHEN g.label>0 THEN rk END) AS best FROM embeddings LEFT JOIN (SELECT request_id, got.label, row_number() OVER (PARTITION BY request_id ORDER BY score DESC, got.label, item_id) AS rk FROM got) g ON request_id=vec_id GROUP BY 1)
+  SELECT 'preranking' AS stage, 'valid' AS split, 'mrr' AS metric, round(mrr,6) AS value FROM w UNION ALL SELECT 'preranking', 'valid', 'gauc', round(gauc,6) FROM w UNION ALL SELECT 'preranking', 'valid', 'recall_5', round(recall_5,6) FROM w
+  UNION ALL SELECT 'retrieval', 'valid', 'hit_rate_1', round(count(*) FILTER (WHERE best<=1)/count(*)::DOUBLE,6) FROM hr UNION ALL SELECT 'retrieval', 'valid', 'hit_rate_5', round(count(*) FILTER (WHERE best<=5)/count(*)::DOUBLE,6) FROM hr""")
 def _(spark, sf):
     it = V.vectors(spark, sf)
     out = J.three_stages(V.vectors(spark, sf, "request_id"), V.vector_positives(spark, sf), it, F.col("score") + F.col("kind") / 100.0,
                          F.col("score") + F.col("kind") / 50.0, ["kind"], (20, 10, 5), [1, 5])
-    return rounded(out["metrics"].filter("stage = 'preranking' and metric in ('mrr', 'gauc', 'recall_5')"))
+    return rounded(out["metrics"].filter("stage = 'retrieval' or stage = 'preranking' and metric in ('mrr', 'gauc', 'recall_5')"))
 
 
 @query("c13_three_stage_lists")
