@@ -148,6 +148,7 @@ def write_prepared(tables: dict[str, DataFrame], enc: Encoder, root: str, datase
         tagged = t if tagged is None else tagged.unionByName(t)
     if tagged is not None:
         relations.write_vocab(tagged, f"{root}/vocab.parquet")
+        relations.write_vocab_json(tagged, f"{root}/vocab.json")
     return fm
 
 

@@ -404,10 +404,10 @@ def _(spark, sf):
                                             F.count_if(N.is_close(F.col("value"), 1.0)).alias("ones")))
 
 
-@query("f19_unit_vectors", """WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings) SELECT vec_id AS item_id, round(v[1]/sqrt(list_inner_product(v,v)),6) AS first, round(v[64]/sqrt(list_inner_product(v,v)),6) AS last FROM e""")
+@query("f19_unit_vectors", """WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings) SELECT vec_id AS item_id, unnest([round(x/sqrt(list_inner_product(v,v)),6)+0.0 for x in v]) AS x, generate_subscripts(v,1)::INTEGER AS d FROM e""")
 def _(spark, sf):
     u = VX.l2_normalize(F.col("embedding"))
-    return rounded(V.vectors(spark, sf).select("item_id", u.alias("u")).select("item_id", F.element_at("u", 1).alias("first"), F.element_at("u", 64).alias("last")))
+    return rounded(V.vectors(spark, sf).select("item_id", F.posexplode(u).alias("d", "x")).withColumn("d", F.col("d") + 1))
 
 
 @query("f20_vector_similarity", """WITH p AS (SELECT a.vec_id AS a_id, b.vec_id AS b_id, a.embedding::DOUBLE[] AS x, b.embedding::DOUBLE[] AS y FROM embeddings a JOIN embeddings b ON b.vec_id=a.vec_id+1)

@@ -143,12 +143,12 @@ def _(spark, sf):
     return spark.read.parquet(path).agg(F.count("*").alias("rows"))
 
 
-@query("s16_pretrained_vectors", "SELECT vec_id::VARCHAR AS key, len(embedding)::INTEGER AS width, round(embedding[3]::DOUBLE,6) AS third FROM embeddings")
+@query("s16_pretrained_vectors", "SELECT vec_id::VARCHAR AS key, generate_subscripts(embedding,1)::INTEGER AS d, unnest([round(x::DOUBLE,6)+0.0 for x in embedding]) AS x FROM embeddings")
 def _(spark, sf):
     path = _place(spark, "vectors")
     V.vectors(spark, sf, "key").select(F.col("key").cast("string").alias("key"), F.col("embedding").alias("value")).write.parquet(path)
     d = TB.read_parquet(spark, path, ["key", "value"])
-    return rounded(d.select("key", F.size("value").alias("width"), F.element_at("value", 3).cast("double").alias("third")))
+    return rounded(d.select("key", F.posexplode(F.col("value").cast("array<double>")).alias("d", "x")).withColumn("d", F.col("d") + 1))
 
 
 @query("s17_vocabulary_sink", f"WITH {_DOCTOK}, {_VOC} SELECT 'text' AS feature, token, idx FROM voc UNION ALL SELECT 'text', '__PAD__', 0 UNION ALL SELECT 'text', '__OOV__', (SELECT coalesce(max(idx),0)+1 FROM voc)")
@@ -158,6 +158,14 @@ def _(spark, sf):
     return spark.read.parquet(path)
 
 
+@query("s17_vocabulary_json", f"WITH {_DOCTOK}, {_VOC} SELECT 'text' AS feature, token, idx FROM voc UNION ALL SELECT 'text', '__PAD__', 0 UNION ALL SELECT 'text', '__OOV__', (SELECT coalesce(max(idx),0)+1 FROM voc)")
+def _(spark, sf):
+    path = _place(spark, "vocab-json")
+    v = _doc_vocab(spark, sf).withColumn("feature", F.lit("text"))
+    RL.write_vocab_json(v.unionByName(v.withColumn("feature", F.lit("shared"))), path, ["shared"])
+    return spark.read.schema("feature string, token string, idx long").json(path)
+
+
 @query("s18_remap_sink", f"WITH {_MAP} SELECT feature, old_id, new_id FROM m")
 def _(spark, sf):
     path = _place(spark, "remap")
@@ -190,15 +198,18 @@ def _(spark, sf):
     return rounded(spark.read.parquet(path))
 
 
-@query("s24_result_rows", f"""WITH {V.CANDS}, {V.ITEMS}, d AS (SELECT ptype, score, label FROM cands JOIN items USING (item_id)), g AS (SELECT ptype AS grp, count(*) AS n FROM d GROUP BY 1 UNION ALL SELECT 'all', count(*) FROM d)
-  SELECT 'run-1' AS experiment, grp AS "group", printf('%.2f%%', n*100.0/(SELECT count(*) FROM d)) AS ratio FROM g""")
+@query("s24_result_rows", f"""WITH {V.CANDS}, {V.ITEMS}, d AS (SELECT ptype, score, label FROM cands JOIN items USING (item_id)), g AS (SELECT ptype AS grp, count(*) AS n FROM d GROUP BY 1 UNION ALL SELECT 'all', count(*) FROM d),
+  dd AS (SELECT * FROM d UNION ALL SELECT 'all', score, label FROM d), q AS (SELECT ptype AS grp, avg(-(label*ln(score)+(1-label)*ln(1-score))) AS ll FROM dd GROUP BY 1),
+  sc AS (SELECT ptype AS grp, score, sum(CASE WHEN label>0 THEN 1 ELSE 0 END) AS p, sum(CASE WHEN label>0 THEN 0 ELSE 1 END) AS m FROM dd GROUP BY 1,2), cu AS (SELECT *, sum(m) OVER (PARTITION BY grp ORDER BY score DESC) AS cm, sum(m) OVER (PARTITION BY grp) AS tm FROM sc),
+  z AS (SELECT grp, CASE WHEN sum(p)*sum(m)>0 THEN sum(p*(tm-cm+0.5*m))/(sum(p)*sum(m))::DOUBLE ELSE 0 END AS a FROM cu GROUP BY 1)
+  SELECT 'run-1' AS experiment, grp AS "group", printf('%.2f%%', n*100.0/(SELECT count(*) FROM d)) AS ratio, printf('%.4f', coalesce(a,0)) AS auc, printf('%.4f', ll) AS logloss FROM g JOIN q USING (grp) LEFT JOIN z USING (grp)""")
 def _(spark, sf):
     path = _place(spark, "results")
     d = V.with_features(spark, sf, V.candidates(spark, sf)).withColumn("all", F.lit("all"))
     per = C.slice_metrics(d, "ptype").withColumnRenamed("ptype", "group")
     tot = C.slice_metrics(d, "all").withColumnRenamed("all", "group")
     RL.append_results(per, tot, "run-1", path)
-    return TB.read_csv(spark, path, "experiment string, group string, ratio string")
+    return TB.read_csv(spark, path, "experiment string, group string, ratio string, auc string, logloss string")
 
 
 @query("s25_statistics_cache", f"WITH {V.IMPS} SELECT split, {_PROF} FROM imps GROUP BY 1")
@@ -408,6 +419,13 @@ def _(spark, sf):
     return J.observed_candidates(i, "request_id", "item_id", "label", ["shipdate", "line_no", "item_id"], 500)[0]
 
 
+@query("c8_observed_users", f"""WITH {V.IMPS}, f AS (SELECT request_id FROM (SELECT request_id, min(shipdate) AS d FROM imps GROUP BY 1) ORDER BY d, request_id LIMIT 500),
+  n AS (SELECT request_id, item_id, label, shipdate, user_id, line_no, row_number() OVER (PARTITION BY request_id ORDER BY shipdate, line_no, item_id, label, user_id) AS n FROM imps WHERE request_id IN (SELECT request_id FROM f)) SELECT * EXCLUDE (n) FROM n WHERE n=1""")
+def _(spark, sf):
+    i = V.impressions(spark, sf).select("request_id", "item_id", "label", "shipdate", "user_id", "line_no")
+    return J.observed_candidates(i, "request_id", "item_id", "label", ["shipdate", "line_no", "item_id"], 500)[1]
+
+
 _SPL = _SIDE + """, sp AS (SELECT split, 'item' AS side, item_id::VARCHAR AS id, count(*) AS n FROM imps GROUP BY 1,3 UNION ALL SELECT split, 'user', user_id::VARCHAR, count(*) FROM imps GROUP BY 1,3), al AS (SELECT * FROM sp UNION ALL SELECT 'all', side, id, n FROM f WHERE side<>'request')"""
 
 

@@ -65,10 +65,9 @@ def _(spark, sf):
     return rounded(RK.inject_teacher(c.select("request_id", "item_id", "score"), t, 2.0, 0.4).select("request_id", "item_id", "teacher_score", "score"))
 
 
-@query("f17_residual_score", f"WITH {V.LINES} SELECT request_id, item_id, line_no, round(score+0.5*ln(teacher/(1-teacher))/2.0,6) AS score FROM lines WHERE teacher<0.999")
+@query("f17_residual_score", f"WITH {V.LINES} SELECT request_id, item_id, line_no, round(score+0.5*ln(teacher/(1-teacher))/2.0,6) AS score FROM lines")
 def _(spark, sf):
-    l = V.lines(spark, sf).filter("teacher < 0.999")
-    return rounded(l.select("request_id", "item_id", "line_no", RK.residual_score(F.col("score"), F.col("teacher"), 0.5, 2.0).alias("score")))
+    return rounded(V.lines(spark, sf).select("request_id", "item_id", "line_no", RK.residual_score(F.col("score"), F.col("teacher"), 0.5, 2.0).alias("score")))
 
 
 @query("x5_expression_scorer", f"WITH {V.CANDS}, {V.ITEMS} SELECT request_id, item_id, round(score*0.5+size/100.0+retail/100000.0,6) AS score FROM cands JOIN items USING (item_id)")
@@ -149,12 +148,12 @@ def _(spark, sf):
 
 @query("j19_aligned_vectors", """WITH c AS (SELECT l_suppkey::VARCHAR AS token, count(*) AS c FROM lineitem GROUP BY 1), v AS (SELECT token, row_number() OVER (ORDER BY c DESC, token) AS idx FROM c),
   a AS (SELECT token, idx FROM v UNION ALL SELECT '__PAD__', 0 UNION ALL SELECT '__OOV__', (SELECT coalesce(max(idx),0)+1 FROM v)), n AS (SELECT vec_id::VARCHAR AS token FROM embeddings WHERE vec_id::VARCHAR NOT IN (SELECT token FROM a)),
-  u AS (SELECT * FROM a UNION ALL SELECT token, row_number() OVER (ORDER BY token)+(SELECT max(idx) FROM a) FROM n) SELECT idx, u.token, round(coalesce(embedding[1]::DOUBLE,0),6) AS first FROM u LEFT JOIN embeddings ON vec_id::VARCHAR=u.token""")
+  u AS (SELECT * FROM a UNION ALL SELECT token, row_number() OVER (ORDER BY token)+(SELECT max(idx) FROM a) FROM n) SELECT idx, u.token, d::INTEGER AS d, round(coalesce(embedding[d]::DOUBLE,0),6)+0.0 AS x FROM u CROSS JOIN range(1,65) r(d) LEFT JOIN embeddings ON vec_id::VARCHAR=u.token""")
 def _(spark, sf):
     from lumirank.operators.vocab import build_vocab, token_counts
     v = build_vocab(token_counts(V.lines(spark, sf), "supp_id"))
     e = V.vectors(spark, sf, "key").select("key", F.col("embedding").alias("value"))
-    return rounded(RT.align_vectors(v, e, 64).select("idx", "token", F.element_at("vector", 1).alias("first")))
+    return rounded(RT.align_vectors(v, e, 64).select("idx", "token", F.posexplode("vector").alias("d", "x")).withColumn("d", F.col("d") + 1))
 
 
 # ---------------------------------------------------------------- sampling

@@ -106,6 +106,11 @@ def vocab_json_lines(vocab: DataFrame, shared: list[str] = ()) -> DataFrame:
     return v.orderBy("feature", "idx").select(F.to_json(F.struct("feature", "token", "idx")).alias("value"))
 
 
+def write_vocab_json(vocab: DataFrame, path: str, shared: list[str] = ()) -> None:
+    """The JSON form of a vocabulary, one row per token, ordered across the files."""
+    vocab_json_lines(vocab, shared).write.mode("overwrite").text(path)
+
+
 def write_remap(table: DataFrame, path: str) -> None:
     from lumirank.operators.remap import check_remap
     check_remap(table).write.mode("overwrite").parquet(path)
