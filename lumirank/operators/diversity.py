@@ -6,17 +6,21 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from lumirank.operators.ordering import top_k
 from lumirank.operators.ranking_metrics import REQ, pessimistic_order
 
 
 def _long(df: DataFrame, keep: Sequence[str], features: Sequence[str]) -> DataFrame:
-    """(keep..., feature, value) rows, one per cell. NaN reads as null: neither matches anything."""
-    cells = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("string").alias("value")) for f in features])
-    return (df.select(*keep, F.explode(cells).alias("c"))
-            .select(*keep, "c.feature", F.when(F.col("c.value") != "NaN", F.col("c.value")).alias("value")))
+    """(keep..., feature, value) rows, one per cell. Null and the NaN of a float column match nothing;
+    a text that reads NaN is a value like others."""
+    def cell(f):
+        v = F.col(f).cast("string")
+        return F.when(~F.isnan(f), v) if isinstance(df.schema[f].dataType, (T.DoubleType, T.FloatType)) else v
+
+    cells = F.array(*[F.struct(F.lit(f).alias("feature"), cell(f).alias("value")) for f in features])
+    return df.select(*keep, F.explode(cells).alias("c")).select(*keep, "c.feature", "c.value")
 
 
 def _diversity(rows: Column, matches: Column, n_features: int) -> Column:

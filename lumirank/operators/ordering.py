@@ -103,19 +103,16 @@ def with_global_prefix(df: DataFrame, order: Sequence[str | Column], sums: Mappi
     """`with_prefix` over the whole frame as one group; also returns the grand totals."""
     order = _order_columns(order)
     pieces = _ranged_pieces(df, [], order)
-    rows = (pieces.groupBy(_PIECE).agg(*[F.sum(v).alias(n) for n, v in sums.items()])
-            .orderBy(_PIECE).collect())                       # one row per partition
-    offsets, totals = {}, {n: 0 for n in sums}
-    for r in rows:
-        offsets[r[_PIECE]] = dict(totals)
+    per_piece = pieces.groupBy(_PIECE).agg(*[F.sum(v).alias(n) for n, v in sums.items()])
+    offsets, totals = [], {n: 0 for n in sums}
+    for r in per_piece.orderBy(_PIECE).collect():                 # one row per partition
+        offsets.append((r[_PIECE], *totals.values()))
         for n in sums:
             totals[n] += r[n] or 0
     local = _local_prefix(pieces, [], order, sums)
-    if rows:
-        width = max(offsets) + 1
-        for n in sums:
-            table = F.array(*[F.lit(offsets.get(p, {}).get(n, 0)) for p in range(width)])
-            local = local.withColumn(n, F.col(n) + F.element_at(table, F.col(_PIECE) + 1))
+    table = df.sparkSession.createDataFrame(offsets, per_piece.schema).withColumnsRenamed({n: f"__o_{n}" for n in sums})
+    local = local.join(F.broadcast(table), _PIECE, "left")        # as many rows as partitions
+    local = local.withColumns({n: F.col(n) + F.coalesce(F.col(f"__o_{n}"), F.lit(0)) for n in sums}).drop(*[f"__o_{n}" for n in sums])
     return local.drop(_PIECE), totals
 
 

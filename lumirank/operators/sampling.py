@@ -188,7 +188,9 @@ def field_uniformity(df: DataFrame, fields: list[str]) -> DataFrame:
     return df.agg((sum(per[1:], per[0]) / len(per)).alias("uniformity"))
 
 
-def add_laplace(df: DataFrame, score: str, scale: float, key: list[str], seed: int = 0) -> DataFrame:
+def add_laplace(df: DataFrame, score: str, scale: float, key: list[str], seed: int = 0,
+                uniform: Column | None = None) -> DataFrame:
+    """Noise from a seeded hash of the row's key, or from a given uniform column."""
     from lumirank.functions.numeric import laplace_noise
-    u = hash_uniform(F.lit(seed), *[F.col(c) for c in key])
+    u = hash_uniform(F.lit(seed), *[F.col(c) for c in key]) if uniform is None else uniform
     return df.withColumn(score, F.col(score) + laplace_noise(u, scale))

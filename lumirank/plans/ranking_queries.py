@@ -372,6 +372,16 @@ def _(spark, sf):
     return rounded(L.agreement_losses(c, "s", "t", 2.0))
 
 
+@query("a37_short_list_quality", """WITH v AS (SELECT label AS kind, vec_id, embedding[1]::DOUBLE AS s, embedding::DOUBLE[] AS e, row_number() OVER (PARTITION BY label ORDER BY embedding[1]::DOUBLE DESC, vec_id) AS r FROM embeddings),
+  t AS (SELECT kind, r, 1/(1+exp(-s)) AS w, e FROM v WHERE r<=3), p AS (SELECT a.kind, a.r AS i, b.r AS j, a.w*b.w*list_cosine_similarity(a.e,b.e)+CASE WHEN a.r=b.r THEN 1e-6 ELSE 0 END AS k FROM t a JOIN t b ON a.kind=b.kind),
+  m AS (SELECT kind, sum(CASE WHEN i=1 AND j=1 THEN k END) AS a, sum(CASE WHEN i=2 AND j=2 THEN k END) AS b, sum(CASE WHEN i=3 AND j=3 THEN k END) AS c, sum(CASE WHEN i=1 AND j=2 THEN k END) AS d, sum(CASE WHEN i=1 AND j=3 THEN k END) AS e, sum(CASE WHEN i=2 AND j=3 THEN k END) AS f FROM p GROUP BY 1),
+  q AS (SELECT kind, ln(a*(b*c-f*f)-d*(d*c-f*e)+e*(d*f-b*e))/3 AS logdet FROM m), n AS (SELECT kind, count(*) AS n, avg(w) AS mean_score FROM t GROUP BY 1)
+  SELECT kind, n, round(mean_score,4) AS mean_score, round(logdet,4) AS logdet, round(0.7*mean_score+0.3*logdet,4) AS quality FROM q JOIN n USING (kind) WHERE n=3""")
+def _(spark, sf):
+    v = V.vectors(spark, sf).withColumn("score", F.element_at("embedding", 1).cast("double"))
+    return rounded(D.list_quality(v, "kind", 3).filter("n = 3"), 4)
+
+
 @query("a37_list_quality")
 def _(spark, sf):
     v = V.vectors(spark, sf).withColumn("score", F.element_at("embedding", 1).cast("double"))

@@ -450,7 +450,10 @@ def _(spark, sf):
     return rounded(out["metrics"].filter("stage = 'retrieval' or stage = 'preranking' and metric in ('mrr', 'gauc', 'recall_5')"))
 
 
-@query("c13_three_stage_lists")
+@query("c13_three_stage_lists", f"""WITH {_AI.replace('ranked AS', 'ranked0 AS')}, {_ASM}, mx AS (SELECT max(np) AS m FROM np),
+  got AS (SELECT request_id, item_id, CASE WHEN place<=20+(SELECT m FROM mx) THEN score ELSE 0 END AS score, 1 AS label FROM pl WHERE label=1 UNION ALL SELECT request_id, item_id, score, 0 FROM neg JOIN np USING (request_id) WHERE nn<=20-np),
+  r AS (SELECT request_id, item_id, g.score+e.label/50.0 AS score, row_number() OVER (PARTITION BY request_id ORDER BY g.score+e.label/50.0 DESC, g.label, item_id) AS rank FROM got g JOIN embeddings e ON e.vec_id=g.item_id)
+  SELECT request_id, item_id, round(score,6) AS score, rank::INTEGER AS rank FROM r WHERE rank<=5""")
 def _(spark, sf):
     it = V.vectors(spark, sf)
     out = J.three_stages(V.vectors(spark, sf, "request_id"), V.vector_positives(spark, sf), it, F.col("score") + F.col("kind") / 100.0,

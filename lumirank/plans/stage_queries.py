@@ -227,6 +227,14 @@ def _(spark, sf):
     return SA.uniform(p, V.lines(spark, sf).select("supp_id"), 2, "request_id", "supp", "supp_id", _arith)
 
 
+@query("n7_laplace_noise", f"""WITH {V.CANDS}, u AS (SELECT request_id, item_id, score, ((request_id*7919+item_id*104729+31)%1000003+0.5)/1000003.0::DOUBLE-0.5 AS c FROM cands)
+  SELECT request_id, item_id, round(score-0.1*sign(c)*ln(1-2*abs(c)),6) AS score FROM u""")
+def _(spark, sf):
+    c = V.candidates(spark, sf).select("request_id", "item_id", "score")
+    u = (((F.col("request_id") * 7919 + F.col("item_id") * 104729 + 31) % 1000003) + 0.5) / 1000003.0
+    return rounded(SA.add_laplace(c, "score", 0.1, ["request_id", "item_id"], uniform=u))
+
+
 @query("n7_laplace_scores")
 def _(spark, sf):
     return rounded(SA.add_laplace(V.candidates(spark, sf).select("request_id", "item_id", "score"), "score", 0.1, ["request_id", "item_id"], 5))
