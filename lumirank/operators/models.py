@@ -12,8 +12,15 @@ from pyspark.sql import DataFrame, functions as F
 
 
 def _scorer(train: DataFrame, categorical: Sequence[str], numeric: Sequence[str], learner, label: str,
-            hashed: int) -> Callable[[DataFrame], DataFrame]:
-    """Features are hashed in each task, so no vocabulary is built or sent out."""
+            hashed: int | None) -> Callable[[DataFrame], DataFrame]:
+    """Features are hashed in each task, so no vocabulary is built or sent out.
+
+    Unless the caller sets it, the number of slots follows the vocabulary: a power of two with
+    at least 16 slots per distinct value, so few values meet in one.
+    """
+    if hashed is None:
+        seen = train.agg(*[F.approx_count_distinct(c).alias(c) for c in categorical]).first() if categorical else []
+        hashed = 1 << max(6, (16 * (sum(seen) + len(numeric)) - 1).bit_length())
     hasher = FeatureHasher(inputCols=[*categorical, *numeric], outputCol="__x", numFeatures=hashed,
                            categoricalCols=list(categorical))
 
@@ -32,14 +39,14 @@ def _scorer(train: DataFrame, categorical: Sequence[str], numeric: Sequence[str]
 
 
 def linear_scorer(train: DataFrame, categorical: Sequence[str], numeric: Sequence[str], label: str = "label",
-                  max_iter: int = 10, reg: float = 0.01, hashed: int = 1 << 12) -> Callable[[DataFrame], DataFrame]:
+                  max_iter: int = 10, reg: float = 0.01, hashed: int | None = None) -> Callable[[DataFrame], DataFrame]:
     lr = LogisticRegression(featuresCol="__x", labelCol="__y", rawPredictionCol="__r", probabilityCol="__p",
                             predictionCol="__d", maxIter=max_iter, regParam=reg)
     return _scorer(train, categorical, numeric, lr, label, hashed)
 
 
 def fm_scorer(train: DataFrame, categorical: Sequence[str], numeric: Sequence[str], label: str = "label",
-              factors: int = 4, max_iter: int = 10, hashed: int = 1 << 10) -> Callable[[DataFrame], DataFrame]:
+              factors: int = 4, max_iter: int = 10, hashed: int | None = None) -> Callable[[DataFrame], DataFrame]:
     fm = FMClassifier(featuresCol="__x", labelCol="__y", rawPredictionCol="__r", probabilityCol="__p",
                       predictionCol="__d", factorSize=factors, maxIter=max_iter, seed=7)
     return _scorer(train, categorical, numeric, fm, label, hashed)

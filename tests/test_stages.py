@@ -270,3 +270,16 @@ def test_three_stage_funnel(spark):
 def test_top_k_with_fewer_rows(spark):
     d = spark.createDataFrame([(1, 1, 0.5)], "request_id long, item_id long, score double")
     assert top_k(d, ["request_id"], [F.desc("score")], 10).count() == 1
+
+
+@pytest.mark.parametrize("kind", ["linear_scorer", "fm_scorer"])
+def test_scorers_learn_and_an_unregularised_fit_keeps_the_label_rate(spark, kind):
+    from lumirank.operators import classification as C, models as M
+    d = spark.range(2000).selectExpr("id AS request_id", "id AS item_id", "concat('b', id % 7) AS brand", "concat('t', id % 300) AS kind",
+                                     "cast(id % 11 AS double) AS x", "cast(((id * 7919) % 100 < CASE WHEN id % 7 < 2 THEN 80 ELSE 15 END) AS double) AS label")
+    options = {"reg": 0.0, "max_iter": 50} if kind == "linear_scorer" else {"max_iter": 60}
+    out = getattr(M, kind)(d, ["brand", "kind"], ["x"], **options)(d).cache()
+    assert C.auc(out).first()["auc"] > 0.75
+    if kind == "linear_scorer":
+        r = out.selectExpr("avg(score) AS s", "avg(label) AS y").first()
+        assert abs(r.s - r.y) < 1e-3
