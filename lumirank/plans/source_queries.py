@@ -11,7 +11,7 @@ from lumirank.operators import classification as C, ranking_metrics as R, remap
 from lumirank.operators.ordering import top_k
 from lumirank.operators.stats import item_popularity
 from lumirank.plans import jobs as J, views as V
-from lumirank.plans.prep_queries import _DOCTOK, _PROF, _SIDE, _VOC, _doc_vocab
+from lumirank.plans.prep_queries import _DOCTOK, _LD, _PROF, _SIDE, _VOC, _doc_vocab
 from lumirank.plans.ranking_queries import _BLEND, KS, TOPK, _avg_sql, _metrics_sql
 from lumirank.plans.registry import query, rounded
 from lumirank.plans.stage_queries import _AI, _ASM, _MAP, _used
@@ -436,6 +436,28 @@ def _(spark, sf):
     return rounded(J.statistics(V.impressions(spark, sf), "label", {"item": "item_id", "user": "user_id"})["sides"])
 
 
+def _written_statistics(spark, sf, part):
+    root = _place(spark, "statistics")
+    tables = J.statistics(V.impressions(spark, sf), "label", {"item": "item_id", "user": "user_id"})
+    RL.write_statistics({part: tables[part]}, root)
+    return spark.read.schema(tables[part].schema).json(f"{root}/{part}")
+
+
+@query("c10_written_profile", f"WITH {V.IMPS} SELECT CASE WHEN grouping(split)=1 THEN 'all' ELSE split END AS split, {_PROF} FROM imps GROUP BY ROLLUP(split)")
+def _(spark, sf):
+    return rounded(_written_statistics(spark, sf, "profile"))
+
+
+@query("c10_written_labels", f"WITH {V.IMPS}, d AS (SELECT split, label::VARCHAR AS raw, label AS v FROM imps) SELECT split, {_LD} FROM d GROUP BY 1")
+def _(spark, sf):
+    return rounded(_written_statistics(spark, sf, "labels"))
+
+
+@query("c10_written_top_ids", _SPL + ", r AS (SELECT *, row_number() OVER (PARTITION BY split, side ORDER BY n DESC, id) AS rank FROM al) SELECT split, side, id, n, rank::INTEGER AS rank FROM r WHERE rank<=10")
+def _(spark, sf):
+    return _written_statistics(spark, sf, "top")
+
+
 @query("c13_three_stage_run", _metrics_sql(f"""{_AI.replace('ranked AS', 'ranked0 AS')}, {_ASM}, mx AS (SELECT max(np) AS m FROM np),
   got AS (SELECT request_id, item_id, CASE WHEN place<=20+(SELECT m FROM mx) THEN score ELSE 0 END AS score, 1 AS label FROM pl WHERE label=1 UNION ALL SELECT request_id, item_id, score, 0 FROM neg JOIN np USING (request_id) WHERE nn<=20-np),
   ranked AS (SELECT g.request_id, g.item_id, g.label, g.score+e.label/100.0 AS score, row_number() OVER (PARTITION BY g.request_id ORDER BY g.score+e.label/100.0 DESC, g.label, g.item_id) AS rank FROM got g JOIN embeddings e ON e.vec_id=g.item_id)""", ks=[1, 5]) +

@@ -158,6 +158,12 @@ def append_results(slices: DataFrame, overall: DataFrame, experiment: str, path:
     slices.select(*cols).unionByName(overall.select(*cols)).select(*fmt).coalesce(1).write.mode("append").csv(path, header=True)
 
 
+def write_statistics(tables: dict[str, DataFrame], root: str) -> None:
+    """Every table of the dataset statistics as JSON rows, one folder each."""
+    for name, t in tables.items():
+        t.write.mode("overwrite").json(f"{root}/{validate_identifier(name)}")
+
+
 def statistics_cache(spark: SparkSession, path: str, key: str, policy: str, build, required: list[str]) -> dict:
     """prefer: reuse a complete cache with the same key; strict: fail without one; refresh: rebuild."""
     if policy not in ("prefer", "strict", "refresh"):
