@@ -147,29 +147,58 @@ def resolve_metric(name: str) -> tuple[str, int | None]:
     raise NotImplementedError(f"metric not supported: {name!r}")
 
 
-def evaluate(df: DataFrame, metrics: Sequence[str], group: str | None = None) -> DataFrame:
-    """Long table (metric, value) of the named metrics."""
+def _group_metrics(d: DataFrame, group: str, ks: Sequence[int], hot_rows: int | None) -> dict:
+    """gAUC, avgAUC, MRR and NDCG@k of all groups from one ranking of the rows.
+
+    Rows are placed once per group by falling score, positives last within equal scores; sums per
+    (group, score) then give every metric. The ideal order needs only the counts of each label.
+    """
+    pos = (F.col("label") > 0).cast("long")
+    placed = with_prefix(d, [group], rm.pessimistic_order(), {"__before": F.lit(1).cast("long"), "__neg": 1 - pos}, hot_rows)
+    place = F.col("__before") + 1
+    gain = F.pow(F.lit(2.0), F.col("label")) - 1.0
+    same = placed.groupBy(group, "score").agg(
+        F.sum(pos).alias("p"), F.count("*").alias("n"), F.min("__neg").alias("nb"), F.sum("label").alias("y"),
+        F.sum(F.col("label") / place).alias("rr"),
+        *[F.sum(F.when(place <= k, gain / F.log2(place + 1.0)).otherwise(0.0)).alias(f"dcg_{k}") for k in ks])
+    g = same.groupBy(group).agg(
+        F.sum("p").alias("p"), F.sum("n").alias("n"), F.sum("y").alias("y"), F.sum("rr").alias("rr"),
+        F.sum(F.col("p") * (F.col("nb") + 0.5 * (F.col("n") - F.col("p")))).alias("lost"), *[F.sum(f"dcg_{k}").alias(f"dcg_{k}") for k in ks])
+    if ks:
+        counts = d.groupBy(group, "label").agg(F.count("*").alias("c"))
+        ahead = with_prefix(counts, [group], [F.col("label").desc()], {"__ahead": F.col("c")}, hot_rows)
+        best = ahead.groupBy(group).agg(*[
+            F.sum(gain * (rm.ideal_dcg(F.col("__ahead") + F.col("c"), k) - rm.ideal_dcg(F.col("__ahead"), k))).alias(f"best_{k}") for k in ks])
+        best = best.withColumnRenamed(group, "__g")
+        g = g.join(best, F.col(group).eqNullSafe(F.col("__g")))
+    neg = F.col("n") - F.col("p")
+    one = F.when((F.col("p") > 0) & (neg > 0), (F.col("p") * neg - F.col("lost")) / (F.col("p") * neg))
+    return g.withColumn("__auc", one).agg(
+        (F.sum(F.col("__auc") * F.col("n")) / F.sum(F.when(F.col("__auc").isNotNull(), F.col("n")))).alias("gAUC"),
+        F.avg("__auc").alias("avgAUC"), F.avg(F.col("rr") / (F.col("y") + 1e-12)).alias("MRR"),
+        *[F.avg(F.col(f"dcg_{k}") / (F.col(f"best_{k}") + 1e-12)).alias(f"NDCG@{k}") for k in ks]).first().asDict()
+
+
+def evaluate(df: DataFrame, metrics: Sequence[str], group: str | None = None, hot_rows: int | None = None) -> DataFrame:
+    """Long table (metric, value) of the named metrics. The rows are written once; all group metrics
+    share one ranking, and AUC is made from one count per score."""
     parsed = [(m, *resolve_metric(m)) for m in metrics]
-    if group is None and any(kind in ("gAUC", "avgAUC", "MRR", "NDCG") for _, kind, _ in parsed):
+    grouped = {kind for _, kind, _ in parsed} & {"gAUC", "avgAUC", "MRR", "NDCG"}
+    if group is None and grouped:
         raise ValueError("group metrics need a group column")
-    parts, cache = [], {}
-    for name, kind, k in parsed:
-        if kind in ("logloss", "binary_crossentropy"):
-            one = df.agg(F.avg(logloss_expr(F.col("label"), F.col("score"))).alias("value"))
-        elif kind == "AUC":
-            one = auc(df).select(F.col("auc").alias("value"))
-        elif kind in ("gAUC", "avgAUC"):
-            cache.setdefault("g", group_auc(df, group))
-            one = cache["g"].select(F.col("gauc" if kind == "gAUC" else "avg_auc").alias("value"))
-        elif kind == "MRR":
-            one = rm.group_mrr_all(df, group).select(F.col("mrr").alias("value"))
-        else:
-            one = rm.group_ndcg(df, group, k).select(F.col("ndcg").alias("value"))
-        parts.append(one.select(F.lit(name).alias("metric"), "value"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    d = stable(df.select(*([group] if grouped else []), *([rm.ITEM] if grouped else []), "score", "label"))
+    values: dict[tuple, float | None] = {}
+    if grouped:
+        ks = sorted({k for _, kind, k in parsed if kind == "NDCG"})
+        got = _group_metrics(d, group, ks, hot_rows)
+        values.update({(n.split("@")[0], int(n.split("@")[1]) if "@" in n else None): v for n, v in got.items()})
+    kinds = {kind for _, kind, _ in parsed}
+    if "AUC" in kinds:
+        values["AUC", None] = auc(d).first()["auc"]
+    if kinds & {"logloss", "binary_crossentropy"}:
+        loss = d.agg(F.avg(logloss_expr(F.col("label"), F.col("score")))).first()[0]
+        values["logloss", None] = values["binary_crossentropy", None] = loss
+    return df.sparkSession.createDataFrame([(name, values[kind, k]) for name, kind, k in parsed], "metric string, value double")
 
 
 def global_auc_at_k(ranked: DataFrame, k: int, score: str = "score", label: str = "label") -> DataFrame:
