@@ -1,24 +1,30 @@
-"""Exact vector retrieval over blocks of users and items.
-
-Users and items are hashed into blocks and every (user block, item block) cell is one
-matrix product in one task. A cell gives back k rows per user, or two counts per
-positive: scores of pairs are never rows. Cells have a fixed size, so more data means
-more tasks, not larger ones.
+"""Exact vector retrieval over blocks of neighbouring items.
+
+Items are put to the nearest of at most MAX_BLOCKS pivots (items chosen by hash). A block's
+pivot c and radius r bound every score in it: u.c - |u| r <= u.x <= u.c + |u| r. A user first
+visits the block of its best pivot; its k-th score there tells which other blocks can still
+hold one of its best, and only those get a copy of the user. A visited (users, block) cell is
+one matrix product in one task that gives back k rows per user, or two counts per positive:
+scores of pairs are never rows. Cells have a fixed size, so more data means more tasks.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from lumirank.operators.ordering import first_per_key, top_k, with_prefix, with_row_number
 from lumirank.operators.ranking_metrics import ITEM, REQ, ideal_dcg
+from lumirank.session import stable
 
 USER_BLOCK, ITEM_BLOCK = 32_768, 65_536      # vectors per side of a cell
+NEIGHBOURS, MAX_BLOCKS = 4_096, 8_192        # items meant for one pivot, and most pivots (held by every task)
 CELL_SCORES = 1 << 23                        # scores held at once inside a cell
 
 
@@ -57,24 +63,84 @@ def _step(n_items: int) -> int:
     return max(1, CELL_SCORES // max(n_items, 1))
 
 
-def _block_counts(n_left: int, n_items: int, parallelism: int) -> tuple[int, int]:
-    left = max(math.ceil(n_left / USER_BLOCK), min(parallelism, math.ceil(n_left / 256)), 1)
-    return left, max(math.ceil(n_items / ITEM_BLOCK), 1)
-
-
-def _cells(left: DataFrame, left_key: list[str], items: DataFrame):
-    """Both sides with their cell numbers: each left block meets each item block once."""
-    par = left.sparkSession.sparkContext.defaultParallelism
-    nl, ni = _block_counts(left.count(), items.count(), par)
-    lb = F.pmod(F.xxhash64(*left_key), F.lit(nl)).cast("int")
-    ib = F.pmod(F.xxhash64(ITEM), F.lit(ni)).cast("int")
-    l = left.withColumn("__l", lb).withColumn("__i", F.explode(F.sequence(F.lit(0), F.lit(ni - 1))))
-    r = items.withColumn("__i", ib).withColumn("__l", F.explode(F.sequence(F.lit(0), F.lit(nl - 1))))
-    return l.groupBy("__l", "__i").cogroup(r.groupBy("__l", "__i"))
+@dataclass
+class _Blocks:
+    pivots: np.ndarray        # blocks x dimensions
+    radius: np.ndarray
+    count: np.ndarray
+
+    def bounds(self, u: np.ndarray, temperature: float, decimals: int) -> tuple[np.ndarray, np.ndarray]:
+        """Least and greatest score a user can have in each block, with room for rounding."""
+        mid = u @ self.pivots.T
+        reach = np.linalg.norm(u, axis=1, keepdims=True) * self.radius
+        slack = 2.0 * 10.0 ** -decimals + 1e-9 * np.abs(mid)
+        return (mid - reach) / temperature - slack, (mid + reach) / temperature + slack
+
+
+def _vectors(batch: pa.RecordBatch, column: str, normalize: bool) -> np.ndarray:
+    m = _matrix(pa.Table.from_batches([batch]), column)
+    return _unit(m) if normalize else m
+
+
+def _index(items: DataFrame, normalize: bool) -> tuple[DataFrame, _Blocks] | None:
+    """Items (item_id, v, __p) with their blocks, written once, and the blocks; None without items.
+    There is a bounded number of pivots, so the driver may hold them."""
+    n = items.count()
+    if not n:
+        return None
+    blocks = math.ceil(n / max(NEIGHBOURS, math.ceil(n / MAX_BLOCKS)))
+    chosen = items.orderBy(F.xxhash64(ITEM), ITEM).limit(blocks).select("v").collect()
+    pivots = np.array([r["v"] for r in chosen], np.float64)
+    pivots = _unit(pivots) if normalize else pivots
+    schema = T.StructType([items.schema[ITEM], items.schema["v"], T.StructField("__p", T.IntegerType()), T.StructField("__r", T.DoubleType())])
+
+    def assign(batches):
+        half = (pivots ** 2).sum(axis=1) / 2
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = _vectors(batch, "v", normalize)
+            p = np.concatenate([(x[i:i + 1024] @ pivots.T - half).argmax(axis=1) for i in range(0, len(x), 1024)])
+            r = np.linalg.norm(x - pivots[p], axis=1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(p, pa.int32()), pa.array(r)], schema=to_arrow_schema(schema))
+
+    placed = stable(items.select(ITEM, "v").mapInArrow(assign, schema))
+    radius, count = np.zeros(blocks), np.zeros(blocks, np.int64)
+    for r in placed.groupBy("__p").agg(F.max("__r").alias("r"), F.count("*").alias("n")).collect():       # one row per block
+        radius[r["__p"]], count[r["__p"]] = r["r"], r["n"]
+    return placed.drop("__r"), _Blocks(pivots, radius, count)
+
+
+def _route(left: DataFrame, blocks: _Blocks, choose) -> DataFrame:
+    """One copy of each row for every block that `choose(batch)` marks (rows x blocks); written once."""
+    schema = T.StructType([*left.schema.fields, T.StructField("__p", T.IntegerType())])
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                row, block = np.nonzero(choose(part) & (blocks.count > 0))
+                out = part.take(pa.array(row))
+                yield pa.RecordBatch.from_arrays([*out.columns, pa.array(block, pa.int32())], schema=to_arrow_schema(schema))
+
+    return stable(left.mapInArrow(run, schema))
+
+
+def _cells(routed: DataFrame, left_key: list[str], items: DataFrame, blocks: _Blocks):
+    """Both sides with their cell numbers; a block that very many rows visit, or with very many items, is cut."""
+    visits = [(r["__p"], math.ceil(r["count"] / USER_BLOCK), math.ceil(int(blocks.count[r["__p"]]) / ITEM_BLOCK))
+              for r in routed.groupBy("__p").count().collect()]                                           # one row per block
+    parts = F.broadcast(routed.sparkSession.createDataFrame(visits, "__p int, ns int, ni int"))
+    l = (routed.join(parts, "__p").withColumn("__s", F.pmod(F.xxhash64(*left_key), F.col("ns")).cast("int"))
+         .withColumn("__i", F.explode(F.expr("sequence(0, ni - 1)"))).drop("ns", "ni"))
+    r = (items.join(parts, "__p").withColumn("__i", F.pmod(F.xxhash64(ITEM), F.col("ni")).cast("int"))
+         .withColumn("__s", F.explode(F.expr("sequence(0, ns - 1)"))).drop("ns", "ni"))
+    cell = ["__p", "__s", "__i"]
+    return l.groupBy(*cell).cogroup(r.groupBy(*cell))
 
 
 def exact_top_k(users: DataFrame, items: DataFrame, k: int, user: str = REQ, vector: str = "embedding",
-                normalize: bool = False, temperature: float = 1.0, decimals: int = 9) -> DataFrame:
+                normalize: bool = False, temperature: float = 1.0, decimals: int = 9, index=None) -> DataFrame:
     """(user, item_id, score, rank): the k best items per user by dot product, ties by item id."""
     u = users.select(user, F.col(vector).alias("v"))
     i = items.select(ITEM, F.col(vector).alias("v"))
@@ -102,12 +168,39 @@ def exact_top_k(users: DataFrame, items: DataFrame, k: int, user: str = REQ, vec
         return pa.table([left.column(user).take(pa.array(np.concatenate(rows))),
                          pa.array(np.concatenate(cols)), pa.array(np.concatenate(vals))], names=names)
 
-    partial = _cells(u, [user], i).applyInArrow(cell, schema)
+    found = index or _index(i, normalize)
+    if found is None:
+        return top_k(users.sparkSession.createDataFrame([], schema), [user], [F.col("score").desc(), F.col(ITEM).asc()], k)
+
+    placed, blocks = found
+
+    def nearest(batch):
+        upper = _vectors(batch, "v", normalize) @ blocks.pivots.T
+        best = np.where(blocks.count > 0, upper, -np.inf).argmax(axis=1)
+        return np.arange(len(blocks.count)) == best[:, None]
+
+    first = _route(u, blocks, nearest)
+    near = _cells(first, [user], placed, blocks).applyInArrow(cell, schema)
+    if len(blocks.count) == 1:                               # no other block to visit
+        return top_k(near, [user], [F.col("score").desc(), F.col(ITEM).asc()], k)
+    near = stable(near)
+    # with k scores at hand, a block whose bound is below the least of them is not visited
+    reach = near.groupBy(user).agg(F.when(F.count("*") >= k, F.min("score")).alias("__least"))
+    open_ = first.withColumnRenamed("__p", "__first").join(reach, user)
+
+    def others(batch):
+        least = batch.column(3).to_numpy(zero_copy_only=False).astype(np.float64)
+        least = np.where(np.isnan(least), -np.inf, least)
+        upper = blocks.bounds(_vectors(batch, "v", normalize), temperature, decimals)[1]
+        return (upper >= least[:, None]) & (np.arange(len(blocks.count)) != batch.column(2).to_numpy()[:, None])
+
+    rest = _route(open_.select(user, "v", "__first", "__least"), blocks, others).drop("__first", "__least")
+    partial = near.unionByName(_cells(rest, [user], placed, blocks).applyInArrow(cell, schema))
     return top_k(partial, [user], [F.col("score").desc(), F.col(ITEM).asc()], k)
 
 
 def positive_places(requests: DataFrame, positives: DataFrame, items: DataFrame, vector: str = "embedding",
-                    normalize: bool = False, temperature: float = 1.0, decimals: int = 9) -> DataFrame:
+                    normalize: bool = False, temperature: float = 1.0, decimals: int = 9, index=None) -> DataFrame:
     """(request, item, score, higher, tied, tied_before): where each positive stands among all items.
 
     One left row per positive, so a request with very many positives is spread over blocks.
@@ -146,8 +239,33 @@ def positive_places(requests: DataFrame, positives: DataFrame, items: DataFrame,
         return pa.table({**cols, "score": pa.array(own), "higher": pa.array(higher), "tied": pa.array(tied),
                          "tied_before": pa.array(before)})
 
-    parts = _cells(left, [REQ, ITEM], i).applyInArrow(
-        cell, f"{REQ} {kinds[REQ]}, {ITEM} {kinds[ITEM]}, score double, higher long, tied long, tied_before long")
+    out = f"{REQ} {kinds[REQ]}, {ITEM} {kinds[ITEM]}, score double, higher long, tied long, tied_before long"
+    found = index or _index(i, normalize)
+    if found is None:
+        return requests.sparkSession.createDataFrame([], out)
+
+    placed, blocks = found
+
+    def own_and_bounds(batch):
+        um, wm = _vectors(batch, "v", normalize), _vectors(batch, "w", normalize)
+        own = np.round((um * wm).sum(axis=1) / temperature, decimals)
+        return own, *blocks.bounds(um, temperature, decimals)
+
+    def doubtful(batch):
+        own, low, high = own_and_bounds(batch)
+        return (high >= own[:, None]) & (low <= own[:, None])
+
+    def above(batches):
+        # blocks that lie above the positive as a whole are counted, not visited
+        for batch in batches:
+            if batch.num_rows:
+                own, low, _ = own_and_bounds(batch)
+                zero = pa.array(np.zeros(batch.num_rows, np.int64))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(own), pa.array((low > own[:, None]) @ blocks.count), zero, zero],
+                                                 names=[REQ, ITEM, "score", "higher", "tied", "tied_before"])
+
+    left = stable(left)
+    parts = _cells(_route(left, blocks, doubtful), [REQ, ITEM], placed, blocks).applyInArrow(cell, out).unionByName(left.mapInArrow(above, out))
     return parts.groupBy(REQ, ITEM).agg(F.max("score").alias("score"), F.sum("higher").alias("higher"),
                                         F.sum("tied").alias("tied"), F.sum("tied_before").alias("tied_before"))
 
@@ -214,9 +332,10 @@ def retrieve_candidates(requests: DataFrame, positives: DataFrame, items: DataFr
                         vector: str = "embedding", normalize: bool = False) -> DataFrame:
     """Candidates of the retrieval stage. Positives ranked within k + (most positives of a
     request) keep their score; their place is counted, so that depth is never fetched."""
-    scored = exact_top_k(requests, items, k, vector=vector, normalize=normalize)
+    index = _index(items.select(ITEM, F.col(vector).alias("v")), normalize)
+    scored = exact_top_k(requests, items, k, vector=vector, normalize=normalize, index=index)
     deepest = positives.select(REQ, ITEM).distinct().groupBy(REQ).count().agg(F.max("count")).first()[0] or 0
-    places = positive_places(requests, positives, items, vector, normalize)
+    places = positive_places(requests, positives, items, vector, normalize, index=index)
     place = F.col("higher") + F.col("tied_before") + 1
     known = places.select(REQ, ITEM, F.when(place <= k + deepest, F.col("score")).alias("score"))
     return assemble_candidates(scored, positives, k, known=known)

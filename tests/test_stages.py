@@ -24,6 +24,7 @@ def small_blocks(monkeypatch):
     monkeypatch.setattr(RT, "USER_BLOCK", 10)
     monkeypatch.setattr(RT, "ITEM_BLOCK", 16)
     monkeypatch.setattr(RT, "CELL_SCORES", 60)
+    monkeypatch.setattr(RT, "NEIGHBOURS", 9)
 
 
 def scores(users, items):
@@ -53,6 +54,29 @@ def test_all_items_metrics_equal_candidate_metrics(spark, vecs, monkeypatch):
     assert key(a) == key(b)
 
 
+def test_blocks_out_of_reach_are_not_visited(spark, monkeypatch):
+    """Items in clusters: each user meets few of the blocks, and the results are still those of all items."""
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(20, 8)) * 10
+    items = np.concatenate([c + rng.normal(size=(30, 8)) * 0.1 for c in centres]).astype(np.float32)
+    users = (centres[rng.integers(0, 20, 50)] / 10).astype(np.float32)
+    mk = lambda a, k: spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(a)], f"{k} long, embedding array<float>")
+    monkeypatch.setattr(RT, "NEIGHBOURS", 15)
+    visits, route = [], RT._route
+    monkeypatch.setattr(RT, "_route", lambda *a: visits.append(route(*a)) or visits[-1])
+    s = np.round(users.astype(float) @ items.astype(float).T, 9)
+    want = [(r, c) for r in range(50) for c in sorted(range(600), key=lambda c: (-s[r, c], c))[:5]]
+    assert rows(RT.exact_top_k(mk(users, "request_id"), mk(items, "item_id"), 5), "request_id", "item_id") == sorted(want)
+    assert sum(v.count() for v in visits) < 0.3 * 50 * 40              # 40 blocks
+    p = spark.createDataFrame([(r, want[r * 5 + 2][1]) for r in range(50)], "request_id long, item_id long")
+    got = RT.positive_places(mk(users, "request_id"), p, mk(items, "item_id"))
+    places = {(r.request_id, r.item_id): (r.higher, r.tied, r.tied_before) for r in got.collect()}
+    assert places == {(r, c): (int((s[r] > s[r, c]).sum()), int((s[r] == s[r, c]).sum()) - 1, int((s[r, :c] == s[r, c]).sum())) for r, c in [(r, want[r * 5 + 2][1]) for r in range(50)]}
+    assert visits[-1].count() < 0.3 * 50 * 40
+    none = spark.createDataFrame([], "item_id long, embedding array<float>")
+    assert RT.exact_top_k(mk(users, "request_id"), none, 5).isEmpty() and RT.positive_places(mk(users, "request_id"), p, none).isEmpty()
+
+
 def test_row_cap_example(spark):
     """Five items, three requests: top 2 and Recall@1 as stated."""
     u = spark.createDataFrame([(r, [1.0]) for r in range(3)], "request_id long, embedding array<float>")
