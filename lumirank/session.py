@@ -19,9 +19,15 @@ SQL_SETTINGS = {
 
 
 def configure(spark: SparkSession) -> SparkSession:
-    """Apply the SQL settings to a session made elsewhere."""
+    """Apply the SQL settings to a session made elsewhere, and let Python workers find this package
+    where the driver found it (on a cluster it is installed or shipped with --py-files)."""
     for k, v in SQL_SETTINGS.items():
         spark.conf.set(k, v)
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = spark.sparkContext.environment
+    known = [x for x in env.get("PYTHONPATH", "").split(os.pathsep) if x]
+    if root not in known:
+        env["PYTHONPATH"] = os.pathsep.join([root, *known])
     return spark
 
 

@@ -284,11 +284,14 @@ def test_three_stage_funnel(spark):
     req = v.filter("id < 12").withColumnRenamed("id", "request_id")
     pos = req.select("request_id", ((F.col("request_id") * 5) % n).alias("item_id"))
     items = v.withColumnRenamed("id", "item_id").withColumn("kind", F.col("item_id") % 3)
-    out = J.three_stages(req, pos, items, F.col("score") + F.col("kind"), F.col("score") - F.col("kind"), ["kind"], (8, 5, 3), [1, 3])
+    out = J.three_stages(req, pos, items, F.col("score") + F.col("kind"), F.col("score") - F.col("kind"), ["kind"], (8, 5, 3), [1, 3],
+                         popularity=items.select("item_id", (F.col("item_id") % 7).alias("popularity")))
     size = lambda d: {r["count"] for r in d.groupBy("request_id").count().collect()}
     assert size(out["retrieved"]) == {8} and size(out["preranked"]) == {5} and size(out["reranked"]) == {3}
     assert out["retrieved"].filter("label = 1").count() == 12
-    assert {r.stage for r in out["metrics"].collect()} == {"preranking", "reranking"}
+    long = {(r.stage, r.metric): r.value for r in out["metrics"].collect()}
+    assert {stage for stage, _ in long} == {"retrieval", "preranking", "reranking"}
+    assert 0 <= long["retrieval", "hit_rate_1"] <= long["retrieval", "hit_rate_3"] <= 1 and ("retrieval", "popularity_recall_3") in long
 
 
 def test_top_k_with_fewer_rows(spark):
