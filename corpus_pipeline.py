@@ -16,6 +16,7 @@ TOKENIZER = "byte_bpe_50k.json"
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the severity model doesn't find toxic; null and empty texts stay."""
+    configure(spark)
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.severity(docs, model, keep=COLUMNS).filter(F.col("p_toxic") < TOXIC_FROM).select(*COLUMNS)
 
@@ -25,6 +26,7 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     Texts that are null, have no letter or resemble no profile go.
     """
+    configure(spark)
     named = langid.predict(docs, langid.learn(docs), keep=COLUMNS)
     return (named.filter((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LANGUAGE_FROM))
             .withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS))
@@ -40,6 +42,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, its secrets replaced by the name of their kind; n_chars follows the text."""
+    configure(spark)
     found = secrets.find_secrets(docs, keep=COLUMNS)
     hit = F.size("spans") > 0
     return found.select("doc_id", F.col("masked").alias("text"), "lang", "source",
@@ -50,6 +53,7 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """One row per piece with its training sequence and place in it."""
     import public_tokenizers
 
+    configure(spark)
     return packing.pack(docs.select("doc_id", "text"), public_tokenizers.path(TOKENIZER))
 
 
