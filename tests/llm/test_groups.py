@@ -260,7 +260,7 @@ def test_search_against_brute_force(spark, monkeypatch, shard):
     mean, n, df_ = sum(length.values()) / len(rows), len(rows), Counter(t for c in counts.values() for t in c)
     want = []
     for q in [i for i, _ in rows if i % 20 == 0]:
-        terms = sorted((-float(search.idf(n, df_[t])) * c, t) for t, c in counts[q].items() if df_[t] >= 2)[:16]
+        terms = sorted((-float(search.idf(n, df_[t])) * (c * (search.K3 + 1) / (c + search.K3)), t) for t, c in counts[q].items() if df_[t] >= 2)[:16]
         scored = []
         for d in counts:
             hit = [(t, -w) for w, t in terms if t in counts[d]]
