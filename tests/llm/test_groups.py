@@ -271,6 +271,39 @@ def test_search_against_brute_force(spark, monkeypatch, shard):
     assert sum(a[2] == b[2] for a, b in zip(got, sorted(want))) >= 0.9 * len(got)      # equal up to rounding inside ties
 
 
+def whole_queries_by_hand(rows, k, weigh):
+    """(query, rank) -> score over every term that two documents have, for the rows whose id 20 divides."""
+    counts = {i: dict(zip(*(x.tolist() for x in c))) for (i, _), c in zip(rows, search.term_counts([t for _, t in rows]))}
+    length = {i: sum(c.values()) for i, c in counts.items()}
+    mean, n, df_ = sum(length.values()) / len(rows), len(rows), Counter(t for c in counts.values() for t in c)
+    want = {}
+    for q in [i for i, _ in rows if i % 20 == 0]:
+        w = {t: float(search.idf(n, df_[t])) * weigh(c) for t, c in counts[q].items() if df_[t] >= 2}
+        scores = [sum(w[t] * search.impact(c, length[d], mean) for t, c in counts[d].items() if t in w) for d in counts if d != q]
+        want |= {(q, r + 1): s for r, s in enumerate(sorted((s for s in scores if s > 0), reverse=True)[:k])}
+    return want
+
+
+@pytest.mark.parametrize("shard", [4_000, 9])
+def test_search_with_every_term_of_the_text(spark, monkeypatch, shard):
+    monkeypatch.setattr(search, "SHARD_ROWS", shard)
+    rows = corpus(40)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.query_id, r["rank"]): r.score for r in search.search(df, df.filter("doc_id % 20 = 0"), k=5, query_terms=None).collect()}
+    assert got == pytest.approx(whole_queries_by_hand(rows, 5, lambda c: c * (search.K3 + 1) / (c + search.K3)))
+
+
+def test_adding_up_equals_block_max_wand():
+    rng = np.random.default_rng(9)
+    for _ in range(60):
+        lists = []
+        for _ in range(int(rng.integers(1, 40))):
+            d = np.unique(rng.integers(0, 80, int(rng.integers(1, 60))))
+            lists.append((d, rng.choice([.5, 1.0, 1.5, 2.0], len(d)), float(rng.choice([.1, 1.0, 4.0]))))
+        k, skip = int(rng.integers(1, 12)), [None, int(rng.integers(0, 80))][int(rng.integers(0, 2))]
+        assert search.add_up(lists, k, 80, skip) == search.block_max_wand(lists, k, skip)
+
+
 def test_search_edge_cases(spark):
     docs = messy(spark)
     out = search.search(docs, docs, k=3, min_df=1).collect()
