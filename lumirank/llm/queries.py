@@ -111,4 +111,4 @@ def _(spark, sf):
 @query("op7_block_max_search")
 def _(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text")
-    return search.search(docs, docs.filter("doc_id % 20 = 0"), query_terms=None)
+    return search.search(docs, docs.filter("doc_id % 20 = 0"), query_terms=None, k3=None)

@@ -304,6 +304,16 @@ def test_adding_up_equals_block_max_wand():
         assert search.add_up(lists, k, 80, skip) == search.block_max_wand(lists, k, skip)
 
 
+def test_registered_search_weighs_counts_in_full(spark, tmp_path):
+    from lumirank.llm.queries import QUERIES
+
+    rows = corpus(40) + [(100, "zebra " * 9 + "apple"), (101, "zebra quagga"), (102, "apple " + "pear " * 3)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r.query_id, r["rank"]): r.score for r in QUERIES["op7_block_max_search"](spark, str(tmp_path)).collect()}
+    want = whole_queries_by_hand(rows, 10, float)              # idf times the count, as it stands in the text
+    assert got == pytest.approx(want) and got[100, 1] > 3 * got[100, 2]
+
+
 def test_search_edge_cases(spark):
     docs = messy(spark)
     out = search.search(docs, docs, k=3, min_df=1).collect()
