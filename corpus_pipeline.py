@@ -43,7 +43,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, its secrets replaced by the name of their kind; n_chars follows the text."""
     configure(spark)
-    found = secrets.find_secrets(docs, keep=COLUMNS)
+    found = secrets.find_secrets(docs, keep=COLUMNS, words=secrets.learn_words(docs))
     hit = F.size("spans") > 0
     return found.select("doc_id", F.col("masked").alias("text"), "lang", "source",
                         F.when(hit, F.length("masked").cast("long")).otherwise(F.col("n_chars")).alias("n_chars"))

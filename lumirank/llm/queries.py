@@ -77,8 +77,8 @@ def _joined(spans):
 
 @query("op6_secret_scan")
 def _(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", "text")
-    found = secrets.find_secrets(docs, keep=["doc_id"])
+    docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
+    found = secrets.find_secrets(docs, keep=["doc_id"], words=secrets.learn_words(docs))
     base = F.filter("spans", lambda s: s["kind"] != "guess")
 
     def count(kind):

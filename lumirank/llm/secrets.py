@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, types as T
+from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
 from lumirank.llm.base import map_text
 
@@ -25,6 +26,11 @@ MIN_LOG_GUESSES = 10.0        # log10 of the guesses from which a value counts a
 WORDS = ("password pass admin welcome letmein login user test guest root master dragon monkey shadow sunshine princess "
          "football baseball superman batman qwerty secret token default change changeme hello love money summer winter "
          "spring autumn monday friday january december server database example sample dummy value key the and for with").split()
+# the corpus's own words, by the number of documents that have them: bounds of what reaches the driver and every task
+TOP_WORDS, ALL_WORDS = 50_000, 200_000     # a language, and of all languages
+MIN_DOCS = 2
+LETTERS = re.compile(r"(?<!\w)[^\W\d_]{3,40}(?!\w)")
+_FLUSH = 500_000              # words held per task before they are sent on
 ROWS = ("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./")
 
 _RANK = {w: i + 1 for i, w in enumerate(WORDS)}
@@ -45,17 +51,61 @@ def _walk_end(low: str, i: int) -> int:
     return j + 1
 
 
-def log_guesses(value: str) -> float:
+def learn_words(docs: DataFrame, lang: str = "lang", text: str = "text") -> dict[str, int]:
+    """Ranks of the words of all texts: within each language by the documents that have the word, the best rank of a word counts.
+
+    Words are runs of 3 to 40 letters, lower-cased, in at least MIN_DOCS documents; what stands in a credential context
+    doesn't count, so a secret that is repeated is no word. At most TOP_WORDS a language (rows without one are a language
+    of their own) and ALL_WORDS in all, of the best ranks, reach the driver.
+    """
+    def count(batches):
+        held: dict[str, Counter] = {}
+
+        def rows():
+            for name, words in held.items():
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(words), pa.string()), pa.array(list(words), pa.string()),
+                                                  pa.array(list(words.values()), pa.int64())], names=["lang", "word", "n"])
+            held.clear()
+
+        for batch in batches:
+            for name, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                held.setdefault(name, Counter()).update(set(LETTERS.findall(CONTEXT.sub(" ", t).lower())))
+                if sum(map(len, held.values())) > _FLUSH:
+                    yield from rows()
+        yield from rows()
+
+    src = docs.select(F.coalesce(F.col(f"`{lang}`").cast("string"), F.lit("")), F.col(f"`{text}`").cast("string").alias("text")).filter("text IS NOT NULL")
+    counts = src.mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).filter(F.col("n") >= MIN_DOCS)
+    place = F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "word"))
+    best = counts.withColumn("place", place).filter(F.col("place") <= TOP_WORDS).groupBy("word").agg(F.min("place").alias("place"))
+    return {r["word"]: r["place"] for r in best.orderBy("place", "word").limit(ALL_WORDS).collect()}
+
+
+class Ranks:
+    """The password list beside a corpus's words; a word of both has the better rank."""
+
+    def __init__(self, words: dict[str, int] | None = None):
+        self.words, self.longest = words or {}, max(_LONGEST, max(map(len, words), default=0) if words else 0)
+
+    def get(self, word: str) -> int | None:
+        a, b = _RANK.get(word), self.words.get(word)
+        return min(a, b) if a and b else a or b
+
+
+_LISTED = Ranks()
+
+
+def log_guesses(value: str, ranks: Ranks | None = None) -> float:
     """log10 of the guesses the cheapest segmentation of the value takes.
 
-    Dynamic programme over end positions. Spans: a listed word (its rank, twice for capitals,
+    Dynamic programme over end positions. Spans: a word of the password list or of `ranks` (its rank, twice for capitals,
     twice for look-alike signs), a date (days of 100 years), a repeat of one character or of a
     block (the block's own cost times the number of repeats), a keyboard walk (start keys times
     turns), and brute force (the size of the character class per character). Each such span after
     the start doubles the guesses, for the ways to arrange them. Linear in the value for all
     kinds but walks and repeats, which are skipped over once found.
     """
-    n = len(value)
+    n, ranks = len(value), ranks or _LISTED
     if n == 0:
         return 0.0
     low = value.lower()
@@ -64,8 +114,8 @@ def log_guesses(value: str) -> float:
     brute = [math.log10(10 if c.isdigit() else 26 if c.isalpha() else 33) for c in value]
     spans: list[list[tuple[int, float]]] = [[] for _ in range(n)]
     for i in range(n):
-        for length in range(3, min(_LONGEST, n - i) + 1):
-            rank = _RANK.get(plain[i:i + length])
+        for length in range(3, min(ranks.longest, n - i) + 1):
+            rank = ranks.get(plain[i:i + length])
             if rank:
                 cost = math.log10(rank) + (value[i:i + length] != low[i:i + length]) * math.log10(2) \
                     + (low[i:i + length] != plain[i:i + length]) * math.log10(2)
@@ -101,7 +151,7 @@ def log_guesses(value: str) -> float:
     return best[n]
 
 
-def scan(text: str, min_log_guesses: float = MIN_LOG_GUESSES) -> list[tuple[str, int, int]]:
+def scan(text: str, min_log_guesses: float = MIN_LOG_GUESSES, ranks: Ranks | None = None) -> list[tuple[str, int, int]]:
     """All spans (kind, start, end) in code points, by start and then by the order of KINDS.
 
     `assign`, `access` and `hex` are the leftmost non-overlapping matches of their pattern that
@@ -117,7 +167,7 @@ def scan(text: str, min_log_guesses: float = MIN_LOG_GUESSES) -> list[tuple[str,
         s, e = m.span(1)
         while at < len(base) and base[at][1] <= s:
             at += 1
-        if not any(b < e and s < f for b, f in base[at:at + 3]) and log_guesses(text[s:e]) >= min_log_guesses:
+        if not any(b < e and s < f for b, f in base[at:at + 3]) and log_guesses(text[s:e], ranks) >= min_log_guesses:
             out.append(("guess", s, e))
     return sorted(out, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 
@@ -140,14 +190,20 @@ SPAN = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.Struct
 _SPAN_ARROW = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
 
-def find_secrets(docs: DataFrame, text: str = "text", keep=None, min_log_guesses: float = MIN_LOG_GUESSES) -> DataFrame:
+def find_secrets(docs: DataFrame, text: str = "text", keep=None, min_log_guesses: float = MIN_LOG_GUESSES,
+                 words: dict[str, int] | None = None) -> DataFrame:
     """Add `spans` (array of kind, start, end) and `masked` (the text without its secrets; null stays null).
 
-    One map over whole texts, no shuffle. A null or empty text has no spans.
+    One map over whole texts, no shuffle; `words` of learn_words are broadcast, without them only the
+    password list is known. A null or empty text has no spans.
     """
+    known = docs.sparkSession.sparkContext.broadcast(words or {})
+
     def make():
+        ranks = Ranks(known.value)
+
         def run(texts):
-            spans = [scan(t or "", min_log_guesses) for t in texts]
+            spans = [scan(t or "", min_log_guesses, ranks) for t in texts]
             return (pa.array([[{"kind": k, "start": s, "end": e} for k, s, e in x] for x in spans], _SPAN_ARROW),
                     pa.array([mask(t, x) if x else t for t, x in zip(texts, spans)], pa.string()))
         return run

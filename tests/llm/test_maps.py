@@ -167,6 +167,25 @@ def test_guess_costs_are_minimal_segmentations():
     assert g("x" * 50_000) < 8                                 # long values stay linear
 
 
+def test_ordinary_words_are_no_secrets(spark, tmp_path):
+    from lumirank.llm.queries import QUERIES
+
+    plain = ["The token is required", "secret: confidential", "the password is forgotten", "das Passwort fehlt, password: vergessen", "TOKEN IS REQUIRED."]
+    leaks = ["pwd: x7Kq9vTz2LmPq", "passphrase is Tr0ub4dor&3xyzQ!", "pwd: qzxvkjwpmf", "pwd: qzxvkjwpmf"]       # a repeated secret is no word
+    prose = ["it was required and confidential but soon forgotten", "a confidential note, forgotten; nothing required"]
+    rows = [(i, t, "en", "s", 1) for i, t in enumerate(plain + leaks + prose * 2)] + [(90 + i, "alles vergessen", "de", "s", 1) for i in range(2)]
+    docs = spark.createDataFrame(rows + [(99, None, None, "s", 1)], DOC)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    out = {r.doc_id: r.n_guess for r in QUERIES["op6_secret_scan"](spark, str(tmp_path)).collect()}
+    assert [out[i] for i in range(9)] == [0] * 5 + [1] * 4 and sum(out.values()) == 4
+    words = secrets.learn_words(docs)
+    assert words["vergessen"] == 2 and "qzxvkjwpmf" not in words and secrets.learn_words(empty(spark)) == {}
+    import corpus_pipeline
+    masked = {r.doc_id: r.text for r in corpus_pipeline.mask_secrets(spark, docs, str(tmp_path)).collect()}
+    assert all(masked[i] == plain[i] for i in (0, 2, 3, 4)) and masked[5] == "pwd: [GUESS]"
+    assert masked[1] == "[ASSIGN]"                             # the fixed pattern takes any 12 characters
+
+
 def test_secret_edge_cases(spark):
     out = secrets.find_secrets(messy(spark))
     assert out.count() == len(ODD) + 2 and out.filter("spans IS NULL OR size(spans) > 0").count() == 0
