@@ -33,11 +33,18 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each connected group; texts without words and null ids stay."""
+    """One row of each connected group, that of the smallest id (null ids last); texts without words stay.
+
+    Rows are told apart by a key of their own, so repeated and null ids are rows like any other.
+    """
     configure(spark)
-    groups = jaccard.similar_groups(docs.select("doc_id", "text"), k=WORDS, num=NUM, den=DEN)
-    copies = groups.filter("n_shingles > 0 AND doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(copies, "doc_id", "left_anti").select(*COLUMNS)
+    keyed = stable(docs.select(*COLUMNS).withColumn("row", F.monotonically_increasing_id()))
+    groups = stable(jaccard.similar_groups(keyed.select("row", "text"), k=WORDS, num=NUM, den=DEN, id_col="row"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row")).alias("first")
+    kept = (groups.filter("n_shingles > 0").select("row", "component_id").join(keyed.select("row", "doc_id"), "row")
+            .groupBy("component_id").agg(first).select(F.col("first.row").alias("row")))
+    kept = kept.unionByName(groups.filter("n_shingles = 0").select("row"))
+    return keyed.join(kept, "row", "left_semi").select(*COLUMNS)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -322,6 +322,14 @@ def test_search_edge_cases(spark):
     assert search.search(empty(spark), docs).count() == 0 and search.search(docs, empty(spark)).count() == 0
 
 
+def test_pipeline_keeps_one_row_of_a_group(spark):
+    a, b, c = ("a b c d e f g h", "one two three four five six seven", "red green blue white black grey pink")
+    rows = [(5, a), (5, a), (3, b), (7, b), (7, c), (None, a), (None, c), (None, c), (9, ""), (9, ""), (None, None), (2, "alone " * 3)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], DOC).repartition(3)
+    out = Counter((r.doc_id, r.text) for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect())
+    assert out == Counter([(5, a), (3, b), (7, c), (9, ""), (9, ""), (None, None), (2, "alone " * 3)])
+
+
 def test_pipeline_against_plain_python(spark, tmp_path):
     """The stages' decisions on a small corpus, each derived again from its own input."""
     rows, labels = [], []
