@@ -228,7 +228,7 @@ class Encoder:
         for i, theirs in zip(some, self._library([stretches[i] for i in some])):
             if own[i] != theirs:
                 self.disagreed += 1
-                own[i] = theirs
+                raise ValueError(f"agenda and library disagree on {stretches[i][:80]!r}: {own[i][:20]} and {theirs[:20]}")
         return own
 
     def learn(self, stretches: list[str]) -> None:

@@ -218,6 +218,14 @@ def test_memo_starts_anew_without_changing_results(model, monkeypatch):
         assert [g[2] for g in enc(texts[i:i + 3])] == [x + [2] for x in enc.v.library.encode(texts[i:i + 3])]
 
 
+def test_a_disagreement_with_the_library_fails(model, monkeypatch):
+    enc = pieces.Encoder(model)
+    agenda = enc.v.agenda_batch
+    monkeypatch.setattr(enc.v, "agenda_batch", lambda texts: [ids[::-1] + [5] for ids in agenda(texts)])
+    with pytest.raises(ValueError, match="disagree"):
+        enc(["some words of text"])
+
+
 def test_piece_query_columns(spark, model):
     out = pieces.encode_decode(messy(spark), model)
     lib = pieces.encoder(model).v.library
