@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lumirank.llm import fingerprints, jaccard, langid, packing, pieces, quality, search, secrets, token_counts, toxicity
+from lumirank.llm import fingerprints, jaccard, langid, packing, periods, pieces, quality, search, secrets, sharding, token_counts, toxicity
 from lumirank.llm.base import fold
 from lumirank.session import configure
 
@@ -112,3 +112,41 @@ def _(spark, sf):
 def _(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text")
     return search.search(docs, docs.filter("doc_id % 20 = 0"), query_terms=None, k3=None)
+
+
+def with_planted_periods(docs: DataFrame) -> DataFrame:
+    """Every tenth document (crc32 of its id) goes on in a period from one of its words; others and null ids stay."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    words = F.filter(F.split("text", r"[ \t-\r]+"), lambda w: w != "")
+    n, a, g = F.col("n"), F.col("a"), F.floor(h / 10)
+    counted = docs.select("doc_id", "text", F.when(h % 10 == 0, words).alias("words")).withColumn("n", F.size("words"))
+    placed = counted.withColumn("a", F.when(n > 0, g % n).cast("int")).withColumn("p", (1 + F.floor((n - a) / (3 + g % 8))).cast("int"))
+    cycle = F.slice("words", a + 1, F.col("p"))
+    tail = F.slice(F.flatten(F.array_repeat(cycle, F.ceil((n - a) / F.col("p")).cast("int"))), 1, n - a)
+    edited = F.array_join(F.concat(F.slice("words", 1, a), tail), " ")
+    return placed.select("doc_id", F.when(n > 0, edited).otherwise(F.col("text")).alias("text"))
+
+
+@query("op12_periodic_runs")
+def _(spark, sf):
+    """Periodic runs of every document, the longest of them, and digests of all runs and of the text without repeats."""
+    docs = with_planted_periods(table(spark, sf, "documents").select("doc_id", "text"))
+    found = periods.find_periodic_runs(docs, keep=["doc_id"])
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("l"), (-r["start"]).alias("s"), (-r["period"]).alias("p"))))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    found = found.withColumn("top", longest)
+    return found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("top.s")).alias("start"), F.col("top.l").alias("length"),
+                        (-F.col("top.p")).alias("period"), F.floor(1000 * F.col("top.l") / -F.col("top.p")).alias("exponent_milli"),
+                        F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+SHARDS, SHARD_SEED = 24, 2024
+
+
+@query("op13_feistel_shards")
+def _(spark, sf):
+    """Shard and slot of every document; counts differ by one at most."""
+    text = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
+    docs = table(spark, sf, "documents").select("doc_id", "text", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
+    placed = sharding.assign_shards(docs, SHARDS, SHARD_SEED, keep=["doc_id", "size", "text_crc32"])
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "row_number")
