@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lumirank.llm import fingerprints, jaccard, langid, packing, periods, pieces, quality, search, secrets, sharding, token_counts, toxicity
+from lumirank.llm import collocations, fingerprints, jaccard, langid, packing, periods, pieces, quality, search, secrets, sharding, token_counts, toxicity
 from lumirank.llm.base import fold
 from lumirank.session import configure
 
@@ -150,3 +150,37 @@ def _(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
     placed = sharding.assign_shards(docs, SHARDS, SHARD_SEED, keep=["doc_id", "size", "text_crc32"])
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "row_number")
+
+
+@query("op11_phrase_collocations", r"""
+WITH pieces AS (
+  SELECT lang, row_number() OVER () AS piece, ws FROM (
+    SELECT lang, list_filter(string_split_regex(p, '[ \t]+'), lambda w: w <> '') AS ws FROM (
+      SELECT coalesce(lang, 'und') AS lang,
+             unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\n\x0B\f\r]')) AS p
+      FROM documents)) WHERE len(ws) > 0),
+grams AS (
+  SELECT lang, list_aggregate(ws[i:i + m - 1], 'string_agg', ' ') AS phrase, m FROM (
+    SELECT lang, ws, i, unnest(range(1, least(3, len(ws) - i + 1) + 1)) AS m FROM (
+      SELECT lang, ws, unnest(range(1, len(ws) + 1)) AS i FROM pieces))),
+f AS (SELECT lang, phrase, m, count(*) AS f FROM grams GROUP BY ALL),
+totals AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE m = 1 GROUP BY lang),
+cand AS (SELECT lang, phrase, m, f AS a, string_split(phrase, ' ') AS w FROM f WHERE m >= 2 AND f >= 10),
+cuts AS (SELECT lang, phrase, m, a, k, array_to_string(w[1:k], ' ') AS p, array_to_string(w[k + 1:], ' ') AS q
+         FROM (SELECT *, unnest(range(1, m)) AS k FROM cand)),
+scored AS (
+  SELECT c.lang, c.phrase, c.a, c.k, x.f AS l, y.f AS r, ((1000000::HUGEINT * c.a * c.a) // (x.f::HUGEINT * y.f))::BIGINT AS score
+  FROM cuts c JOIN f x ON x.lang = c.lang AND x.phrase = c.p JOIN f y ON y.lang = c.lang AND y.phrase = c.q),
+least_cut AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inner_pairs AS (
+  SELECT lang, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) AS phrase, a AS longer FROM cand WHERE m = 3),
+absorbed AS (SELECT lang, phrase, max(longer) AS longer FROM inner_pairs GROUP BY ALL),
+ranked AS (
+  SELECT s.lang, row_number() OVER (PARTITION BY s.lang ORDER BY s.score DESC, s.a DESC, s.phrase) AS rank, s.phrase, s.a, s.l, s.r, s.score
+  FROM least_cut s LEFT JOIN absorbed b ON b.lang = s.lang AND b.phrase = s.phrase
+  WHERE b.longer IS NULL OR 100 * b.longer < 50 * s.a)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+""")
+def _(spark, sf):
+    """The 2,000 best phrases of two and three words of each language."""
+    return collocations.mine_collocations(table(spark, sf, "documents").select("lang", "text"))
