@@ -14,8 +14,8 @@ from lumirank.llm.automata import Automaton, build, compose, union
 from lumirank.operators.ordering import with_row_number
 from lumirank.session import stable
 
-SHARD_WORDS = 3_000_000       # words counted in one automaton of a task; more make more automata
-RANGE_PATHS = 1_000_000       # paths meant for one prefix range, summed over all shards
+SHARD_WORDS = 1_500_000       # words counted in one automaton of a task; more make more automata
+RANGE_PATHS = 500_000         # paths meant for one prefix range, summed over all shards
 PART_ROWS = 200_000           # frequent phrases in one lookup automaton, and candidates looked up at once
 UNKNOWN = "und"
 
@@ -134,7 +134,7 @@ def count_shards(docs: DataFrame, max_words: int, text: str, lang: str) -> DataF
 
 def prefix_ranges(shards: DataFrame) -> dict[str, list[tuple[bytes, ...]]]:
     """Per language the paths at which its ranges begin (but the first), so that a range gets about RANGE_PATHS
-    paths. The driver holds some 4 paths of words a range, which is one of 250,000 paths."""
+    paths. The driver holds some 4 paths of words a range, which is one of 125,000 paths."""
     keys = shards.select("lang", F.explode("sample").alias("path"))
     keep = keys.filter(F.pmod(F.xxhash64("path", F.lit(3)), F.lit(16)) == 0)
     per = keys.groupBy("lang").count().collect()                                  # one row per language
