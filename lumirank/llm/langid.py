@@ -14,7 +14,7 @@ from lumirank.llm.base import map_text
 TOP = 400                     # length of a profile, of languages and of documents
 ORDERS = 3                    # n-grams of 1 to 3 characters
 UNKNOWN = "und"
-LETTERS = re.compile(r"[^\W\d_]+")
+_WORDS = re.compile(r"[^\W\d_]+")      # letters, and signs that only count as numbers (such as ½ and ²)
 _FLUSH = 1_000_000            # n-grams held per task before they are counted together
 
 
@@ -26,10 +26,18 @@ class Profiles:
     ranks: np.ndarray
 
 
+def letter_words(text: str) -> list[str]:
+    """Runs of letters (Unicode category L), lower-cased."""
+    words = _WORDS.findall(text.lower())
+    if "".join(words).isalpha():
+        return words
+    return [x for w in words for x in ("".join(c if c.isalpha() else " " for c in w)).split()]
+
+
 def gram_counts(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """Codes (21 bits a character) and counts of the 1- to 3-grams of the lower-cased words,
     each word padded with one blank on either side; n-grams of blanks alone don't count."""
-    words = LETTERS.findall((text or "").lower())
+    words = letter_words(text or "")
     if not words:
         return np.empty(0, np.int64), np.empty(0, np.int64)
     c = np.frombuffer((" " + " ".join(words) + " ").encode("utf-32-le"), np.uint32).astype(np.int64)

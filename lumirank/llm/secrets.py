@@ -7,9 +7,11 @@ import re
 from collections import Counter
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window as W, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from lumirank.llm.base import map_text
+from lumirank.operators.ordering import with_row_number
+from lumirank.session import stable
 
 # fixed values: the patterns of the scan and the shortest match of each kind
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -37,20 +39,10 @@ _RANK = {w: i + 1 for i, w in enumerate(WORDS)}
 _LONGEST = max(map(len, WORDS))
 _LEET = str.maketrans("@4301!5$7", "aaeoiisst")
 _PLACE = {c: (r, k) for r, row in enumerate(ROWS) for k, c in enumerate(row)}
+_SPAN_MOST = 64               # keys of a walk or times of a repeat from either end of a long stretch that are tried one by one
 _DATE = re.compile(r"(?:19|20)\d\d(?:[-/._]?(?:0[1-9]|1[0-2])(?:[-/._]?(?:0[1-9]|[12]\d|3[01]))?)?|(?:0[1-9]|[12]\d|3[01])[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:(?:19|20)?\d\d)")
 
 
-def _walk_end(low: str, i: int) -> int:
-    """End of the keyboard walk that begins at i: each key is a neighbour of the one before."""
-    j = i
-    while j + 1 < len(low) and low[j] in _PLACE and low[j + 1] in _PLACE:
-        (r1, k1), (r2, k2) = _PLACE[low[j]], _PLACE[low[j + 1]]
-        if abs(r1 - r2) > 1 or abs(k1 - k2) > 1 or low[j] == low[j + 1]:
-            break
-        j += 1
-    return j + 1
-
-
 def learn_words(docs: DataFrame, lang: str = "lang", text: str = "text") -> dict[str, int]:
     """Ranks of the words of all texts: within each language by the documents that have the word, the best rank of a word counts.
 
@@ -76,8 +68,9 @@ def learn_words(docs: DataFrame, lang: str = "lang", text: str = "text") -> dict
 
     src = docs.select(F.coalesce(F.col(f"`{lang}`").cast("string"), F.lit("")), F.col(f"`{text}`").cast("string").alias("text")).filter("text IS NOT NULL")
     counts = src.mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).filter(F.col("n") >= MIN_DOCS)
-    place = F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "word"))
-    best = counts.withColumn("place", place).filter(F.col("place") <= TOP_WORDS).groupBy("word").agg(F.min("place").alias("place"))
+    # written once: languages of very many words are ranked in ranges, which reads the counts again
+    placed = with_row_number(stable(counts), ["lang"], [F.desc("n"), F.asc("word")], "place", hot_rows=TOP_WORDS)
+    best = placed.filter(F.col("place") <= TOP_WORDS).groupBy("word").agg(F.min("place").alias("place"))
     return {r["word"]: r["place"] for r in best.orderBy("place", "word").limit(ALL_WORDS).collect()}
 
 
@@ -95,57 +88,78 @@ class Ranks:
 _LISTED = Ranks()
 
 
-def log_guesses(value: str, ranks: Ranks | None = None) -> float:
-    """log10 of the guesses the cheapest segmentation of the value takes.
+def _neighbours(a: str, b: str) -> bool:
+    (r1, k1), (r2, k2) = _PLACE.get(a, (9, 9)), _PLACE.get(b, (-9, -9))
+    return abs(r1 - r2) <= 1 and abs(k1 - k2) <= 1 and a != b
 
-    Dynamic programme over end positions. Spans: a word of the password list or of `ranks` (its rank, twice for capitals,
-    twice for look-alike signs), a date (days of 100 years), a repeat of one character or of a
-    block (the block's own cost times the number of repeats), a keyboard walk (start keys times
-    turns), and brute force (the size of the character class per character). Each such span after
-    the start doubles the guesses, for the ways to arrange them. Linear in the value for all
-    kinds but walks and repeats, which are skipped over once found.
+
+def _sizes(least: int, most: int, inside: int) -> list[int]:
+    """Sizes from least to most that are tried for a span which begins `inside` signs after a longer one of its kind.
+
+    All while the stretch has up to _SPAN_MOST; in longer ones those near either end, and from starts deep inside only
+    the longest: two spans that meet deep inside cost more than the one that covers both.
     """
-    n, ranks = len(value), ranks or _LISTED
-    if n == 0:
-        return 0.0
-    low = value.lower()
+    if most < least:
+        return []
+    if inside > _SPAN_MOST:
+        return [most]
+    if most <= 2 * _SPAN_MOST:
+        return list(range(least, most + 1))
+    return [*range(least, _SPAN_MOST + 1), *range(most - _SPAN_MOST, most + 1)]
+
+
+def spans_from(value: str, ranks: Ranks):
+    """Every (start, end, log10 of guesses) of the kinds of `log_guesses` but brute force, from every start."""
+    n, low = len(value), value.lower()
     plain = low.translate(_LEET)
-    best = [0.0] + [math.inf] * n
-    brute = [math.log10(10 if c.isdigit() else 26 if c.isalpha() else 33) for c in value]
-    spans: list[list[tuple[int, float]]] = [[] for _ in range(n)]
+    # how far a walk goes on from each key, the turns up to it, and how far each block length repeats
+    walk, turns = [0] * n, [0] * (n + 1)
+    for i in range(n - 2, -1, -1):
+        walk[i] = walk[i + 1] + 1 if _neighbours(low[i], low[i + 1]) else 0
+    for i in range(1, n):
+        turns[i] = turns[i - 1] + (low[i] in _PLACE and low[i - 1] in _PLACE and _PLACE[low[i]][0] != _PLACE[low[i - 1]][0])
+    inside = 0
     for i in range(n):
         for length in range(3, min(ranks.longest, n - i) + 1):
             rank = ranks.get(plain[i:i + length])
             if rank:
-                cost = math.log10(rank) + (value[i:i + length] != low[i:i + length]) * math.log10(2) \
-                    + (low[i:i + length] != plain[i:i + length]) * math.log10(2)
-                spans[i].append((i + length, cost))
-    for m in _DATE.finditer(value):
-        spans[m.start()].append((m.end(), math.log10(36500 if m.end() - m.start() > 4 else 120)))
-    i = 0
-    while i < n:
-        end = _walk_end(low, i)
-        if end - i >= 4:
-            turns = 0
-            for stop in range(i + 2, end + 1):
-                turns += _PLACE[low[stop - 2]][0] != _PLACE[low[stop - 1]][0]
-                if stop - i >= 4:
-                    spans[i].append((stop, math.log10(47) + math.log10(stop - i) + turns * math.log10(4)))
-        i = max(i + 1, end - 1)
+                yield i, i + length, math.log10(rank) + ((value[i:i + length] != low[i:i + length]) + (low[i:i + length] != plain[i:i + length])) * math.log10(2)
+        for length in range(4, min(10, n - i) + 1):
+            if _DATE.fullmatch(value, i, i + length):
+                yield i, i + length, math.log10(36500 if length > 4 else 120)
+        inside = inside + 1 if i and walk[i - 1] else 0
+        for keys in _sizes(4, walk[i] + 1, inside):
+            yield i, i + keys, math.log10(47) + math.log10(keys) + (turns[i + keys - 1] - turns[i]) * math.log10(4)
     for block in (1, 2, 3, 4):
-        i = 0
-        while i + 2 * block <= n:
-            j = i + block
-            while j < n and value[j] == value[j - block]:
-                j += 1
-            times = (j - i) // block
-            if times >= (3 if block == 1 else 2):
-                spans[i].append((i + times * block, sum(brute[i:i + block]) + math.log10(times)))
-                i = j - block + 1
-            else:
-                i += 1
-    for i in range(n):
-        best[i + 1] = min(best[i + 1], best[i] + brute[i])
+        same = [0] * (n + 1)              # from i on, how many signs equal those a block later
+        for i in range(n - block - 1, -1, -1):
+            same[i] = same[i + 1] + 1 if value[i] == value[i + block] else 0
+        inside = 0
+        for i in range(n):
+            inside = inside + 1 if i and same[i - 1] else 0
+            times = _sizes(3 if block == 1 else 2, same[i] // block + 1, inside)
+            own = log_guesses(value[i:i + block], ranks) if times else 0.0
+            for t in times:
+                yield i, i + t * block, own + math.log10(t)
+
+
+def log_guesses(value: str, ranks: Ranks | None = None) -> float:
+    """log10 of the guesses the cheapest segmentation of the value takes.
+
+    Dynamic programme over end positions. Spans: a word of the password list or of `ranks` (its rank, twice for capitals,
+    twice for look-alike signs), a date (days of 100 years), a repeat of a block of 1 to 4 signs (the block's own cheapest
+    cost times the number of repeats), a keyboard walk (start keys times length and turns), and brute force (the size of the
+    character class per character). Every start offers all its spans (see `_sizes` for stretches
+    of more than _SPAN_MOST). Each such span after the start doubles the guesses, for the ways to arrange them.
+    """
+    n, ranks = len(value), ranks or _LISTED
+    best = [0.0] + [math.inf] * n
+    spans: list[list[tuple[int, float]]] = [[] for _ in range(n)]
+    if n > 2:
+        for i, end, cost in spans_from(value, ranks):
+            spans[i].append((end, cost))
+    for i, c in enumerate(value):
+        best[i + 1] = min(best[i + 1], best[i] + math.log10(10 if c.isdigit() else 26 if c.isalpha() else 33))
         for end, cost in spans[i]:
             best[end] = min(best[end], best[i] + cost + (math.log10(2) if i else 0.0))
     return best[n]

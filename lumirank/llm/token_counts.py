@@ -115,10 +115,10 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache: str, text: str = "
     """One row per row of `docs`: its id, `n_bytes` (UTF-8, null: 0) and `n_tokens`.
 
     1. Every text is digested; digests already in `cache` for this tokenizer need no encoding.
-    2. For each missing digest one row's text is encoded (copies only meet as digests), and the
-       counts are appended to the cache as one table write, which survives lost executors; a write
-       that fails leaves nothing, and two writers of the same digest agree, so repeated cache rows
-       are read as one.
+    2. Texts are grouped by digest, in the tasks first, so copies and repeated rows leave a task once;
+       one text of each missing digest is encoded, and the counts are appended to the cache as one
+       table write, which survives lost executors; a write that fails leaves nothing, and two writers
+       of the same digest agree, so repeated cache rows are read as one.
     3. The digests are joined to the cache. Copies all carry one digest; AQE splits that key.
     Repeated ids and rows are kept; a null id is kept and its text counted.
     """
@@ -136,14 +136,9 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache: str, text: str = "
                 .groupBy(F.col("content_digest").alias("__digest")).agg(F.max("n_tokens").alias("n_tokens")))
 
     known = stored().select("__digest")
-    missing = (digests.groupBy("__digest").agg(F.min(F.struct("__id")).alias("__first"))
-               .join(known, "__digest", "left_anti")
-               .select("__digest", F.col("__first.__id").alias("__id")))
-    # the id finds the row again, the digest tells apart rows that share an id
-    texts = (src.withColumn("__digest", key("__text"))
-             .join(missing.withColumnRenamed("__id", "__mid").withColumnRenamed("__digest", "__md"),
-                   F.col("__id").eqNullSafe(F.col("__mid")) & (F.col("__digest") == F.col("__md")))
-             .select("__digest", "__text"))
+    # one text of each digest leaves a task; any of them will do, as equal digests mean equal counts
+    texts = (src.select(key("__text").alias("__digest"), "__text").groupBy("__digest").agg(F.first("__text").alias("__text"))
+             .join(known, "__digest", "left_anti"))
 
     def make():
         count = counter(tokenizer_path, tok)

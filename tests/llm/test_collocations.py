@@ -4,7 +4,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from tests.llm.samples import DOC, empty, messy
+from samples import DOC, empty, messy
 
 from lumirank.llm import automata, collocations
 

@@ -1,6 +1,8 @@
 """Operators that map whole texts: toxicity, language, quality, secrets, pieces, token counts."""
 
 import hashlib
+import math
+import random
 import re
 
 import numpy as np
@@ -13,6 +15,13 @@ from samples import DOC, ODD, empty, messy
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
+
+def test_only_letters_make_words():
+    assert langid.letter_words("½ ² ① Ⅷ 12 _ ·") == [] and langid.gram_counts("½")[0].size == 0
+    assert langid.letter_words("A½b c² dé9f ①g") == ["a", "b", "c", "dé", "f", "g"]
+    assert langid.letter_words("Plain words_here") == ["plain", "words", "here"]
+
+
 def training(spark):
     bad, rng = ["vile", "grim", "foul"], np.random.default_rng(1)
     rows, labels = [], []
@@ -167,6 +176,65 @@ def test_guess_costs_are_minimal_segmentations():
     assert g("x" * 50_000) < 8                                 # long values stay linear
 
 
+def every_segmentation(value, ranks):
+    """The least cost over all segmentations, by the definitions of the span kinds alone."""
+    from functools import cache
+
+    def neighbours(a, b):
+        if a not in secrets._PLACE or b not in secrets._PLACE or a == b:
+            return False
+        (r, i), (q, j) = secrets._PLACE[a], secrets._PLACE[b]
+        return abs(r - q) < 2 and abs(i - j) < 2
+
+    log = math.log10
+
+    @cache
+    def span(v):
+        low, costs = v.lower(), [sum(log(10 if c.isdigit() else 26 if c.isalpha() else 33) for c in v)]
+        plain = low.translate(secrets._LEET)
+        if len(v) >= 3 and ranks.get(plain):
+            costs.append(log(ranks.get(plain)) + ((v != low) + (low != plain)) * log(2))
+        if secrets._DATE.fullmatch(v):
+            costs.append(log(36500 if len(v) > 4 else 120))
+        if len(v) >= 4 and all(map(neighbours, low, low[1:])):
+            costs.append(log(47) + log(len(v)) + sum(secrets._PLACE[a][0] != secrets._PLACE[b][0] for a, b in zip(low, low[1:])) * log(4))
+        for block in (1, 2, 3, 4):
+            times = len(v) // block
+            if v == v[:block] * times and times >= (3 if block == 1 else 2):
+                costs.append(cheapest(v[:block]) + log(times))
+        return costs
+
+    @cache
+    def cheapest(v):
+        best = [0.0] + [math.inf] * len(v)
+        for j in range(1, len(v) + 1):
+            for i in range(j):
+                brute, *others = span(v[i:j])
+                best[j] = min([best[j], best[i] + brute, *[best[i] + c + (log(2) if i else 0.0) for c in others]])
+        return best[-1]
+
+    return cheapest(value)
+
+
+def test_guess_costs_equal_every_segmentation():
+    rnd = random.Random(6)
+    ranks = secrets.Ranks({"zebra": 3, "ebr": 40, "asdf": 70, "pas": 900})
+    parts = ["pass", "word", "qwer", "asdf", "zebra", "1987", "0312", "2004-05-06", "dragon", "aaaa", "abab", "xyz", "q", "7", "Z", "$", "P@55", "poiuytre", "321"]
+    values = ["passqwer219passasdfx", "passqweraa12", "qwqwqwqw", "passsssss", "12121987", "sssssummer"]
+    values += ["".join(rnd.choice(parts) for _ in range(rnd.randint(1, 5)))[:22] for _ in range(6000)]
+    values += ["".join(rnd.choice("aq1sw2") for _ in range(rnd.randint(1, 14))) for _ in range(4000)]
+    for v in values:
+        assert abs(secrets.log_guesses(v, ranks) - every_segmentation(v, ranks)) < 1e-9, v
+    assert secrets.log_guesses(values[0]) < 10 and secrets.log_guesses(values[1]) < 8
+
+
+def test_long_stretches_cost_no_more_than_their_parts():
+    g = secrets.log_guesses
+    for text in ("a" * 300 + "summer", "pass" + "s" * 400, "qw" * 200 + "dragon", "x" * 500 + "y" * 500, "abcd" * 90 + "abz"):
+        assert g(text) < 13
+    assert g("s" * 300 + "ummer") <= g("s" * 299) + np.log10(secrets.WORDS.index("summer") + 1) + np.log10(2) + 1e-9
+
+
 def test_ordinary_words_are_no_secrets(spark, tmp_path):
     from lumirank.llm.queries import QUERIES
 
@@ -186,6 +254,13 @@ def test_ordinary_words_are_no_secrets(spark, tmp_path):
     assert masked[1] == "[ASSIGN]"                             # the fixed pattern takes any 12 characters
 
 
+def test_secrets_of_a_long_text_and_repeated_rows(spark):
+    leak = "pwd: x7Kq9vTz2LmPq "
+    rows = [(1, "plain words " * 100_000 + leak)] * 3 + [(2, "password: " + "z" * 200_000)]
+    out = secrets.find_secrets(spark.createDataFrame(rows, "doc_id long, text string"), keep=["doc_id"]).collect()
+    assert [len(r.spans) for r in out] == [1] * 4 and out[0].spans == out[1].spans == out[2].spans
+
+
 def test_secret_edge_cases(spark):
     out = secrets.find_secrets(messy(spark))
     assert out.count() == len(ODD) + 2 and out.filter("spans IS NULL OR size(spans) > 0").count() == 0
@@ -258,3 +333,12 @@ def test_token_counts_and_cache(spark, name):
     assert one[0].n_tokens == 99 and spark.read.parquet(cache).count() == n + 2
     assert token_counts.count_tokens(empty(spark), path, cache).count() == 0
     assert one[0].asDict().keys() == {"doc_id", "n_bytes", "n_tokens"}
+
+
+def test_repeated_rows_are_encoded_once(spark, monkeypatch):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    rows = [(7, "the same text of one id")] * 50 + [(None, "a null id's text")] * 40 + [(None, None)] * 5 + [(8, "word " * 300_000)] * 2
+    cache = token_counts.new_cache(spark)
+    got = token_counts.count_tokens(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), path, cache).collect()
+    assert len(got) == 97 and spark.read.parquet(cache).count() == 4
+    assert len({(r.doc_id, r.n_bytes, r.n_tokens) for r in got}) == 4 and max(r.n_tokens for r in got) >= 300_000

@@ -5,7 +5,7 @@ import zlib
 
 import numpy as np
 import pytest
-from tests.llm.samples import empty, messy
+from samples import empty, messy
 
 from lumirank.llm import periods, queries
 

@@ -3,7 +3,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from tests.llm.samples import empty, messy
+from samples import empty, messy
 
 from lumirank.llm import queries, sharding
 
