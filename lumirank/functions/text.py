@@ -71,6 +71,15 @@ def parse_sequence(col: Column) -> Column:
     return F.array_distinct(F.filter(ids, lambda x: x.isNotNull() & (x != "")))
 
 
+def content_key(col: Column) -> Column:
+    """128-bit digest of a text, or of an array's values; null stays null. Stands for long values in shuffles."""
+    return F.unhex(F.md5(col))
+
+
+def array_key(arr: Column) -> Column:
+    return content_key(F.array_join(arr.cast("array<string>"), ",", "~"))
+
+
 def slug(col: Column) -> Column:
     return F.regexp_replace(col, r"[^A-Za-z0-9_.-]+", "_")
 

@@ -105,7 +105,7 @@ def with_global_prefix(df: DataFrame, order: Sequence[str | Column], sums: Mappi
     pieces = _ranged_pieces(df, [], order)
     per_piece = pieces.groupBy(_PIECE).agg(*[F.sum(v).alias(n) for n, v in sums.items()])
     offsets, totals = [], {n: 0 for n in sums}
-    for r in per_piece.orderBy(_PIECE).collect():                 # one row per partition
+    for r in sorted(per_piece.collect(), key=lambda r: r[_PIECE]):          # one row per partition
         offsets.append((r[_PIECE], *totals.values()))
         for n in sums:
             totals[n] += r[n] or 0
@@ -116,6 +116,26 @@ def with_global_prefix(df: DataFrame, order: Sequence[str | Column], sums: Mappi
     return local.drop(_PIECE), totals
 
 
+def with_segmented_prefix(df: DataFrame, segment: str, order: Sequence[str | Column], sums: Mapping[str, Column],
+                          ) -> tuple[DataFrame, dict]:
+    """`with_prefix` by one key for all its values in a single range sort, however large each is; also returns
+    the totals per value. Values are few and not null: the driver gets one row per partition and value met there."""
+    order = _order_columns(order)
+    pieces = _ranged_pieces(df, [segment], order)
+    per_piece = pieces.groupBy(_PIECE, segment).agg(*[F.sum(v).alias(n) for n, v in sums.items()])
+    offsets, totals = [], {}
+    for r in sorted(per_piece.collect(), key=lambda r: r[_PIECE]):
+        so_far = totals.setdefault(r[segment], {n: 0 for n in sums})
+        offsets.append((r[_PIECE], r[segment], *so_far.values()))
+        for n in sums:
+            so_far[n] += r[n] or 0
+    local = _local_prefix(pieces, [segment], order, sums)
+    table = df.sparkSession.createDataFrame(offsets, per_piece.schema).withColumnsRenamed({n: f"__o_{n}" for n in sums})
+    local = local.join(F.broadcast(table), [_PIECE, segment])
+    local = local.withColumns({n: F.col(n) + F.coalesce(F.col(f"__o_{n}"), F.lit(0)) for n in sums}).drop(*[f"__o_{n}" for n in sums])
+    return local.drop(_PIECE), totals
+
+
 def with_row_number(df: DataFrame, by: Sequence[str], order: Sequence[str | Column],
                     name: str = "rank", hot_rows: int | None = None, upper: DataFrame | None = None) -> DataFrame:
     """1-based position per group; `by=[]` numbers the whole frame."""

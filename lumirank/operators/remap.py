@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from lumirank.functions.text import array_key
 from lumirank.operators.ordering import with_row_number
 from lumirank.session import stable
 
@@ -74,17 +75,18 @@ def remap_scalar(df: DataFrame, column: str, table: DataFrame, feature: str | No
 
 
 def remap_sequence(df: DataFrame, column: str, table: DataFrame, feature: str | None = None) -> DataFrame:
-    """`df` with the array's ids replaced, order and length kept. Each distinct array is remapped once and
-    joined back by value, so rows need no key; null becomes an empty array."""
+    """`df` with the array's ids replaced, order and length kept. Each distinct array is remapped once under a digest
+    of 16 bytes, which is all that its ids carry through the lookup; rows need no key, and null becomes an empty array."""
     m = _one(table, feature or column, "old_id", "new_id")
     ids = F.col(column).cast("array<bigint>")
-    seqs = df.select(ids.alias("__seq")).filter("__seq is not null").distinct()
-    x = seqs.select("__seq", F.posexplode("__seq").alias("__pos", "__old")).join(m, "__old", "left")
+    seqs = (df.select(array_key(ids).alias("__key"), ids.alias("__seq")).filter("__key is not null")
+            .groupBy("__key").agg(F.first("__seq").alias("__seq")))
+    x = seqs.select("__key", F.posexplode("__seq").alias("__pos", "__old")).join(m, "__old", "left")
     pair = F.struct("__pos", F.coalesce("__new", F.lit(0)).cast("long").alias("__id"))
-    rows = (x.groupBy("__seq").agg(F.array_sort(F.collect_list(pair)).alias("__s"))
-            .select("__seq", F.transform("__s", lambda s: s["__id"]).alias("__ids")))
+    rows = (x.groupBy("__key").agg(F.array_sort(F.collect_list(pair)).alias("__s"))
+            .select("__key", F.transform("__s", lambda s: s["__id"]).alias("__ids")))
     empty = F.array().cast("array<bigint>")
-    return df.join(rows, ids == F.col("__seq"), "left").withColumn(column, F.coalesce("__ids", empty)).drop("__seq", "__ids")
+    return df.join(rows, array_key(ids) == F.col("__key"), "left").withColumn(column, F.coalesce("__ids", empty)).drop("__key", "__ids")
 
 
 def remap_frame(df: DataFrame, columns: Sequence[str], table: DataFrame, share: dict[str, str] | None = None) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from lumirank.functions import text
-from lumirank.operators.ordering import with_global_prefix, with_row_number
+from lumirank.operators.ordering import with_global_prefix, with_row_number, with_segmented_prefix
 from lumirank.session import stable
 
 # fixed values
@@ -48,6 +48,45 @@ def build_sized_vocab(counts: DataFrame, max_features: int | None = None, min_fr
     return stable(words.unionByName(marks)), oov
 
 
+def stacked_counts(df: DataFrame, columns: dict[str, str | None]) -> DataFrame:
+    """(feature, token, count) of several columns from one scan; a column with a splitter is a sequence."""
+    def cell(c, splitter):
+        value = F.col(c).cast("string")
+        toks = F.coalesce(text.tokens(value, splitter), F.array().cast("array<string>")) if splitter else F.array(value)
+        return F.transform(toks, lambda t: F.struct(F.lit(c).alias("feature"), t.alias("token")))
+
+    cells = [cell(c, sp) for c, sp in columns.items()]
+    rows = df.select(F.explode(F.flatten(F.array(*cells))).alias("c")).select("c.feature", "c.token")
+    return rows.filter(F.col("token").isNotNull()).groupBy("feature", "token").agg(F.count("*").alias("count"))
+
+
+def build_vocabs(counts: DataFrame, rules: dict[str, dict]) -> dict[str, tuple[DataFrame, int]]:
+    """`build_sized_vocab` of every feature of (feature, token, count) at once: one sort of all of them, one written table.
+
+    `rules` gives each feature's max_features, min_freq, na_value and remap, as far as they differ from the defaults. The
+    driver gets one row per feature and per partition.
+    """
+    spark = counts.sparkSession
+    full = {f: {"max_features": None, "min_freq": 1, "na_value": "", "remap": True, **r} for f, r in rules.items()}
+
+    def rule(name, kind):
+        return F.element_at(F.create_map(*[x for f, r in full.items() for x in (F.lit(f), F.lit(r[name]).cast(kind))]), F.col("feature"))
+
+    is_na = (F.col("token") == rule("na_value", "string")).cast("long")
+    placed, _ = with_segmented_prefix(counts, "feature", [F.desc("count"), F.asc("token")], {"__before": F.lit(1).cast("long"), "__na": is_na})
+    most = rule("max_features", "long")
+    w = placed.filter((F.col("count") >= rule("min_freq", "long")) & (is_na == 0) & (most.isNull() | (F.col("__before") < most)))
+    # the na token's place is left out; without remapping a word's index is its own value
+    idx = F.when(rule("remap", "boolean"), F.col("__before") + 1 - F.col("__na")).otherwise(
+        F.when(~rule("remap", "boolean"), F.col("token")).cast("long"))
+    words = stable(w.select("feature", "token", idx.cast("long").alias("idx")))
+    last = {r["feature"]: r["m"] for r in words.groupBy("feature").agg(F.max("idx").alias("m")).collect()}
+    oovs = {f: (last.get(f) or 0) + 1 for f in full}
+    marks = spark.createDataFrame([m for f, n in oovs.items() for m in ((f, PAD, 0), (f, OOV, n))], "feature string, token string, idx long")
+    both = words.unionByName(marks)
+    return {f: (both.filter(F.col("feature") == f).select("token", "idx"), n) for f, n in oovs.items()}
+
+
 def build_vocab(counts: DataFrame, max_features: int | None = None, min_freq: int = 1,
                 na_value: str = "", remap: bool = True) -> DataFrame:
     return build_sized_vocab(counts, max_features, min_freq, na_value, remap)[0]
@@ -105,20 +144,21 @@ def encode_sequence(df: DataFrame, column: str, vocab: DataFrame, max_len: int,
                     padding: str = "post", na_value: str = "", oov: int | None = None, out: str | None = None) -> DataFrame:
     """`df` with the column encoded as a fixed-width array; rows need no key.
 
-    Each distinct sequence is encoded once: what survives truncation is exploded, looked up and
-    regrouped by the sequence itself, then joined back. Histories that many rows of a request
-    share are so encoded once; null reads as the empty sequence.
+    Each distinct sequence is encoded once under a digest of 16 bytes: what survives truncation leaves its task
+    once per digest, is exploded, looked up and regrouped by digest, and joined back by digest. Histories that
+    many rows of a request share are so encoded once; null reads as the empty sequence.
     """
     oov = oov_index(vocab) if oov is None else oov
-    kept = F.coalesce(F.col(column), F.lit(""))
-    seqs = df.select(kept.alias("__seq")).distinct()
-    exploded = seqs.select("__seq", F.posexplode(text.truncate(text.tokens(F.col("__seq"), splitter), max_len, padding)).alias("__pos", "__tok"))
+    kept = F.coalesce(F.col(column).cast("string"), F.lit(""))
+    toks = text.truncate(text.tokens(kept, splitter), max_len, padding)
+    seqs = df.select(text.content_key(kept).alias("__key"), toks.alias("__toks")).groupBy("__key").agg(F.first("__toks").alias("__toks"))
+    exploded = seqs.select("__key", F.posexplode("__toks").alias("__pos", "__tok"))
     v = vocab.select(F.col("token").alias("__tok"), F.col("idx").alias("__idx"))
     code = F.when(F.col("__tok") == na_value, F.lit(0)).otherwise(F.coalesce("__idx", F.lit(oov))).cast("int")
-    coded = exploded.join(v, "__tok", "left").select("__seq", "__pos", code.alias("__code"))
-    rows = coded.groupBy("__seq").agg(F.array_sort(F.collect_list(F.struct("__pos", "__code"))).alias("__s"))
-    codes = rows.select("__seq", text.pad(F.transform("__s", lambda s: s["__code"]), max_len, F.lit(0), padding).alias("__codes"))
-    return df.join(codes, kept == F.col("__seq")).withColumn(out or column, F.col("__codes")).drop("__seq", "__codes")
+    coded = exploded.join(v, "__tok", "left").select("__key", "__pos", code.alias("__code"))
+    rows = coded.groupBy("__key").agg(F.array_sort(F.collect_list(F.struct("__pos", "__code"))).alias("__s"))
+    codes = rows.select("__key", text.pad(F.transform("__s", lambda s: s["__code"]), max_len, F.lit(0), padding).alias("__codes"))
+    return df.join(codes, text.content_key(kept) == F.col("__key")).withColumn(out or column, F.col("__codes")).drop("__key", "__codes")
 
 
 def decode(df: DataFrame, column: str, vocab: DataFrame, out: str) -> DataFrame:

@@ -54,7 +54,8 @@ class Encoder:
 
 
 def fit(train: DataFrame, specs: Sequence[FeatureSpec]) -> Encoder:
-    """Learn every column from train rows. Shared vocabularies grow in spec order."""
+    """Learn every column from train rows: the tokens of all columns are counted in one scan and ranked in one sort.
+    Shared vocabularies grow in spec order."""
     enc = Encoder(list(specs))
     active = [s for s in specs if s.active]
     for kind in ("StandardScaler", "MinMaxScaler"):
@@ -67,6 +68,7 @@ def fit(train: DataFrame, specs: Sequence[FeatureSpec]) -> Encoder:
     if unset:
         row = train.agg(*[F.max(F.size(text.tokens(F.col(s.name), s.splitter))).alias(s.name) for s in unset]).first()
         enc.lengths.update({s.name: row[s.name] or 0 for s in unset})
+    counted = {}
     for s in active:
         if s.category_processor == "quantile_bucket":
             enc.boundaries[s.name] = scaling.quantile_boundaries(train, s.name, s.num_buckets)
@@ -75,13 +77,19 @@ def fit(train: DataFrame, specs: Sequence[FeatureSpec]) -> Encoder:
         elif s.category_processor:
             raise NotImplementedError(f"category_processor={s.category_processor}")
         else:
-            counts = vocab.token_counts(train, s.name, s.splitter if s.type == "sequence" else None)
-            mine, oov = vocab.build_sized_vocab(counts, s.max_features, s.min_count, str(s.fill()), s.remap)
-            name = enc.table(s)
-            if name in enc.vocabs:
-                mine = vocab.merge_vocab(enc.vocabs[name], mine, s.remap)
-                oov = vocab.oov_index(mine)
-            enc.vocabs[name], enc.oov[name] = mine, oov
+            counted[s.name] = s
+    if not counted:
+        return enc
+    counts = vocab.stacked_counts(train, {n: s.splitter if s.type == "sequence" else None for n, s in counted.items()})
+    fitted = vocab.build_vocabs(counts, {n: {"max_features": s.max_features, "min_freq": s.min_count, "na_value": str(s.fill()), "remap": s.remap}
+                                         for n, s in counted.items()})
+    for n, s in counted.items():
+        mine, oov = fitted[n]
+        name = enc.table(s)
+        if name in enc.vocabs:
+            mine = vocab.merge_vocab(enc.vocabs[name], mine, s.remap)
+            oov = vocab.oov_index(mine)
+        enc.vocabs[name], enc.oov[name] = mine, oov
     return enc
 
 

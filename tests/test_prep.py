@@ -332,3 +332,58 @@ def test_history_pooling_keeps_every_row(spark):
     h = spark.createDataFrame([(1, [5, 6]), (2, []), (3, None), (4, [9])], "k long, h array<long>")
     v = spark.createDataFrame([(5, [1.0, 2.0]), (6, [3.0, 6.0]), (9, [0.0, 0.0])], "i long, v array<double>")
     assert {r.k: r.v for r in RT.mean_pool(h, "k", "h", v, "i", "v", 2).collect()} == {1: [2.0, 4.0], 2: [0.0, 0.0], 3: [0.0, 0.0], 4: [0.0, 0.0]}
+
+
+def test_one_pass_fit_equals_single_columns(spark):
+    import random
+    from lumirank.operators import vocab as VO
+    rnd = random.Random(3)
+    data = [(rnd.choice(["a", "b", "c", "", None, "7"]), "^".join(rnd.choice(["x", "y", "", "z", "w"]) for _ in range(rnd.randint(0, 6))), rnd.randint(1, 5)) for _ in range(300)]
+    df = spark.createDataFrame(data, "cat string, seq string, num int")
+    columns = {"cat": None, "seq": "^", "num": None}
+    rules = {"cat": {"max_features": 3}, "seq": {"min_freq": 20, "na_value": "y"}, "num": {"remap": False}}
+    got = VO.build_vocabs(VO.stacked_counts(df, columns), rules)
+    for c, sp in columns.items():
+        want, oov = VO.build_sized_vocab(VO.token_counts(df, c, sp), **rules[c])
+        assert sorted(map(tuple, got[c][0].collect())) == sorted(map(tuple, want.collect())) and got[c][1] == oov
+    none = VO.build_vocabs(VO.stacked_counts(df.limit(0), columns), rules)
+    assert {c: (sorted(map(tuple, v.collect())), n) for c, (v, n) in none.items()} == {c: ([("__OOV__", 1), ("__PAD__", 0)], 1) for c in columns}
+
+
+def _jobs(spark, run):
+    """Spark jobs that a call starts."""
+    import uuid
+    sc, group = spark.sparkContext, uuid.uuid4().hex
+    sc.setJobGroup(group, "counted")
+    try:
+        run()
+        return len(sc.statusTracker().getJobIdsForGroup(group))
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_fit_runs_as_many_jobs_for_many_columns(spark):
+    from lumirank.plans import jobs as J
+    from lumirank.schema import FeatureSpec
+    wide = spark.range(200).selectExpr("id", *[f"cast(id % {k + 2} as string) AS c{k}" for k in range(12)])
+    three = _jobs(spark, lambda: J.fit(wide, [FeatureSpec(f"c{k}") for k in range(3)]))
+    twelve = _jobs(spark, lambda: J.fit(wide, [FeatureSpec(f"c{k}") for k in range(12)]))
+    assert twelve == three <= 12
+
+
+def test_long_sequences_travel_as_digests(spark):
+    from lumirank.operators import remap as RM, vocab as VO
+    ids = list(range(5_000))
+    df = spark.createDataFrame([(1, ids), (2, ids), (3, None), (4, []), (5, [7, None, 7])], "k long, s array<bigint>")
+    table = spark.createDataFrame([("s", i, i + 1) for i in range(0, 5_000, 2)], "feature string, old_id long, new_id long")
+    got = {r.k: r.s for r in RM.remap_sequence(df, "s", table).collect()}
+    want = [i + 1 if i % 2 == 0 else 0 for i in ids]
+    assert got == {1: want, 2: want, 3: [], 4: [], 5: [0, 0, 0]}
+    text = spark.createDataFrame([(i, "^".join(map(str, ids[i % 2:]))) for i in range(6)], "k long, s string")
+    v = spark.createDataFrame([("__PAD__", 0), ("4999", 1), ("__OOV__", 2)], "token string, idx long")
+    enc = VO.encode_sequence(text, "s", v, 3, "^", "pre")
+    assert [r.s for r in enc.collect()] == [[2, 2, 1]] * 6
+    # neither lookup groups or joins by the sequence itself
+    for plan in (enc._jdf.queryExecution().optimizedPlan().toString(), RM.remap_sequence(df, "s", table)._jdf.queryExecution().optimizedPlan().toString()):
+        groups = [x for x in plan.splitlines() if "Aggregate" in x]
+        assert groups and all("__key" in x.split("]")[0] for x in groups)
