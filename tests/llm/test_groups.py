@@ -293,15 +293,58 @@ def test_search_with_every_term_of_the_text(spark, monkeypatch, shard):
     assert got == pytest.approx(whole_queries_by_hand(rows, 5, lambda c: c * (search.K3 + 1) / (c + search.K3)))
 
 
-def test_adding_up_equals_block_max_wand():
+@pytest.mark.parametrize("block", [1, 3, 32])
+def test_block_bounds_with_thresholds(monkeypatch, block):
+    monkeypatch.setattr(search, "BLOCK", block)
     rng = np.random.default_rng(9)
-    for _ in range(60):
+    for _ in range(200):
         lists = []
         for _ in range(int(rng.integers(1, 40))):
             d = np.unique(rng.integers(0, 80, int(rng.integers(1, 60))))
             lists.append((d, rng.choice([.5, 1.0, 1.5, 2.0], len(d)), float(rng.choice([.1, 1.0, 4.0]))))
-        k, skip = int(rng.integers(1, 12)), [None, int(rng.integers(0, 80))][int(rng.integers(0, 2))]
-        assert search.add_up(lists, k, 80, skip) == search.block_max_wand(lists, k, skip)
+        term = np.repeat(np.arange(len(lists)), [len(d) for d, *_ in lists])
+        index = search.BlockIndex(term, np.concatenate([d for d, *_ in lists]), np.concatenate([v for _, v, _ in lists]), len(lists), 80)
+        total = np.zeros(80)
+        for d, v, w in lists:
+            total[d] += w * v
+        k, skip, order, theta = int(rng.integers(1, 12)), np.unique(rng.integers(0, 80, int(rng.integers(0, 9)))), rng.permutation(80), float(rng.choice([0, total.mean(), total.max()]))
+        want = [i for i in np.lexsort((order, -total)).tolist() if total[i] > 0 and total[i] >= theta and i not in skip][:k]
+        docs, scores = index.best(np.arange(len(lists)), np.array([w for *_, w in lists]), k, order, skip, theta)
+        assert docs.tolist() == want and scores.tolist() == total[want].tolist()
+
+
+@pytest.mark.parametrize("min_df", [1, 2])
+def test_results_do_not_depend_on_shards(spark, monkeypatch, min_df):
+    rows = corpus(60) + [(20, "alpha beta"), (20, "alpha beta"), (20, "alpha beta gamma delta"), (21, "alpha gamma"), (None, "alpha beta gamma"), (None, None),
+                         (9007199254740993, "beta gamma delta"), (9007199254740992, "beta gamma delta"), (40, ""), (60, None)] + [(77, "alpha beta copy")] * 15
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    seen = []
+    for shard, growth in ((16_000, 4), (7, 4), (3, 2), (1, 4)):
+        monkeypatch.setattr(search, "SHARD_ROWS", shard)
+        monkeypatch.setattr(search, "GROWTH", growth)
+        out = search.search(df, df.filter("doc_id % 20 = 0"), k=6, query_terms=None, k3=None, min_df=min_df).collect()
+        assert not [r for r in out if r.query_id == r.doc_id]
+        seen.append(sorted((r.query_id, r["rank"], repr(r.doc_id), round(r.score, 9)) for r in out))
+    assert seen[0] == seen[1] == seen[2] == seen[3]
+    counts = [(i, dict(zip(*(x.tolist() for x in c)))) for (i, _), c in zip(rows, search.term_counts([t for _, t in rows]))]
+    length, n, df_ = [sum(c.values()) for _, c in counts], len(rows), Counter(t for _, c in counts for t in c)
+    mean, want = sum(length) / n, []
+    for q in {i for i, _ in rows if i is not None and i % 20 == 0}:
+        ask = Counter()
+        for i, c in counts:
+            if i == q:
+                ask.update(c)
+        w = {t: float(search.idf(n, df_[t])) * c for t, c in ask.items() if df_[t] >= min_df}
+        scored = [(-round(sum(w[t] * search.impact(c, length[j], mean) for t, c in d.items() if t in w), 9), (i is not None, i or 0), i) for j, (i, d) in enumerate(counts) if i != q]
+        want += [(q, r + 1, repr(i), -s) for r, (s, _, i) in enumerate(sorted(x for x in scored if x[0] < 0)[:6])]
+    assert [x[:2] + x[3:] for x in seen[0]] == [x[:2] + x[3:] for x in sorted(want)]
+
+
+def test_search_of_a_very_long_text(spark):
+    rows = [(i, f"w{i} common words of text {i % 7}") for i in range(1, 40)] + [(20, "common " + "filler text " * 120_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = search.search(df, df.filter("doc_id = 20"), k=3, query_terms=None, k3=None).collect()
+    assert [r["rank"] for r in out] == [1, 2, 3] and 20 not in {r.doc_id for r in out}
 
 
 def test_registered_search_weighs_counts_in_full(spark, tmp_path):
