@@ -253,19 +253,23 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     hubs = entries.groupBy("h").agg(F.min("id").alias("hub"), F.count("*").alias("c")).filter("c > 1").select("h", "hub")
     near = stable(components(entries.join(hubs, "h").select(F.col("hub").alias("a"), F.col("id").alias("b"))))
 
-    own = sets.select(F.col("__id").alias("node"), "__n").filter("node IS NOT NULL AND __n > 0").groupBy("node").agg(F.max("__n").alias("n"))
-    members = near.join(own, "node")
-    share = members.groupBy("root").agg(F.count("*").alias("c"), F.sum("n").alias("w"))
+    # an id with several sets counts with each of them, so that blocks are bounded by rows
+    own = (sets.filter("__id IS NOT NULL AND __n > 0").groupBy(F.col("__id").alias("node"), "__n", "__digest").agg(F.count("*").alias("rows"))
+           .groupBy("node").agg(F.count("*").alias("c"), F.sum("__n").alias("w"), F.max("rows").alias("rows")))
+    own = stable(near.join(own, "node"))
+    share = own.groupBy("root").agg(F.sum("c").alias("c"), F.sum("w").alias("w"))
     share = share.select("root", F.greatest(F.ceil(F.col("c") / BLOCK_ROWS), F.ceil(F.col("w") / BLOCK_KEYS)).cast("int").alias("blocks"), "c", "w")
     c, w = share.filter("blocks = 1").agg(F.sum("c"), F.sum("w")).first()
     tasks = max(1, -(-int(c or 0) // BLOCK_ROWS), -(-int(w or 0) // BLOCK_KEYS))
-    mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    placed = (members.join(share.select("root", "blocks"), "root").withColumn("mine", mine)
-              .withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-              .select("node", "mine", F.when(F.col("blocks") > 1, F.col("root")).otherwise(F.pmod(F.xxhash64("root"), F.lit(tasks))).alias("g"),
-                      (F.col("blocks") > 1).alias("large"), F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j")))
-    texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("node"), F.col(f"`{text}`").cast("string").alias("text"))
-    work = texts.join(placed, "node")
+    texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("node"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
+    work = texts.join(own.select("node", "root").join(share.select("root", "blocks"), "root"), "node")
+    if not own.filter("rows > 1").isEmpty():
+        # rows of one id and text: one of them is searched
+        work = work.groupBy("node", "root", "blocks", F.sha2("text", 256).alias("key")).agg(F.first("text").alias("text"))
+    work = (work.withColumn("mine", F.pmod(F.xxhash64("node", "text"), F.col("blocks")).cast("int"))
+            .withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+            .select("node", "text", "mine", F.when(F.col("blocks") > 1, F.col("root")).otherwise(F.pmod(F.xxhash64("root"), F.lit(tasks))).alias("g"),
+                    (F.col("blocks") > 1).alias("large"), F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j")))
 
     def search(pdf):
         s = shingle_sets([(t or "").encode("utf-8", "surrogatepass") for t in pdf["text"]], k)

@@ -293,6 +293,25 @@ def test_search_with_every_term_of_the_text(spark, monkeypatch, shard):
     assert got == pytest.approx(whole_queries_by_hand(rows, 5, lambda c: c * (search.K3 + 1) / (c + search.K3)))
 
 
+def test_repeats_of_one_id_stay_within_blocks(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(jaccard, "BLOCK_ROWS", 50)
+    inner = jaccard.linked_pairs
+
+    def counted(ids, *rest):
+        with open(f"{tmp_path}/{len(ids)}-{np.random.default_rng().integers(1 << 60)}", "w"):
+            pass
+        return inner(ids, *rest)
+    monkeypatch.setattr(jaccard, "linked_pairs", counted)
+    words = [f"w{i}" for i in range(60)]
+    base = " ".join(words)
+    rows = [(7, base)] * 900 + [(8, base + " more")] + [(9, f"{base} x{i}") for i in range(300)] + [(10, "something else entirely here")] * 40
+    out = jaccard.similar_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert len(out) == len(rows) and {(r.doc_id, r.component_id) for r in out} == {(7, 7), (8, 7), (9, 7), (10, 10)}
+    import os
+    groups = [int(f.split("-")[0]) for f in os.listdir(tmp_path)]
+    assert groups and max(groups) < 3 * 50
+
+
 @pytest.mark.parametrize("block", [1, 3, 32])
 def test_block_bounds_with_thresholds(monkeypatch, block):
     monkeypatch.setattr(search, "BLOCK", block)
