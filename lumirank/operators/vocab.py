@@ -161,6 +161,19 @@ def encode_sequence(df: DataFrame, column: str, vocab: DataFrame, max_len: int,
     return df.join(codes, text.content_key(kept) == F.col("__key")).withColumn(out or column, F.col("__codes")).drop("__key", "__codes")
 
 
+def recode_lists(df: DataFrame, column: str, vocab: DataFrame, splitter: str = "^", unknown: int = 0) -> DataFrame:
+    """`df` with each value of a joined list replaced by its index, order and length kept; null stays null.
+    Each distinct list is looked up once, under its digest."""
+    value = F.col(f"`{column}`").cast("string")
+    lists = (df.select(text.content_key(value).alias("__key"), text.tokens(value, splitter).alias("__toks")).filter("__key IS NOT NULL")
+             .groupBy("__key").agg(F.first("__toks").alias("__toks")))
+    v = vocab.select(F.col("token").alias("__tok"), F.col("idx").alias("__idx"))
+    cells = lists.select("__key", F.posexplode("__toks").alias("__pos", "__tok")).join(v, "__tok", "left")
+    rows = cells.groupBy("__key").agg(F.array_sort(F.collect_list(F.struct("__pos", F.coalesce("__idx", F.lit(unknown)).alias("__code")))).alias("__s"))
+    codes = rows.select("__key", text.join_tokens(F.transform("__s", lambda s: s["__code"]), splitter).alias("__codes"))
+    return df.join(codes, text.content_key(value) == F.col("__key"), "left").withColumn(column, F.col("__codes")).drop("__key", "__codes")
+
+
 def decode(df: DataFrame, column: str, vocab: DataFrame, out: str) -> DataFrame:
     v = vocab.select(F.col("idx").alias("__idx"), F.col("token").alias(out))
     return df.join(v, F.col(column) == F.col("__idx"), "left").drop("__idx")

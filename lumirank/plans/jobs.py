@@ -11,10 +11,10 @@ from lumirank.functions import text
 from lumirank.functions.numeric import hash_bucket, quantile_bucket
 from lumirank.operators import (audit, classification, diversity, filters, pools, rank, ranking_metrics, remap, retrieve,
                                 scaling, stats, vocab)
-from lumirank.operators.ordering import first_per_key
+from lumirank.operators.ordering import first_per_key, with_row_number
 from lumirank.schema import FeatureGroups, FeatureMap, FeatureSpec, normal_type, preprocess
 from lumirank.session import stable
-from lumirank.sources import relations, tabular
+from lumirank.sources import clicklog, relations, tabular
 
 
 # ---------------------------------------------------------------- preprocess
@@ -285,6 +285,46 @@ def three_stages(requests: DataFrame, positives: DataFrame, items: DataFrame, pr
     return {"retrieved": got, "preranked": pre["top"], "reranked": re_["top"], "metrics": long}
 
 
+def convert_logs(logs: dict[str, tuple[DataFrame, DataFrame]], sparse: Sequence[str], dense: Sequence[str],
+                 share: dict[str, str] | None = None, max_values: int | None = None, seed: int = 2022, hash_expr=None) -> dict:
+    """Nested click logs {'train': (skeleton, bundles), 'test': ...} as encoded tables train, valid and test, and the vocabularies.
+
+    Sparse ids become indices from 1 in value order, those of test that train lacks behind them (fields that `share` one
+    vocabulary grow it together); 0 is an absent field, lists stay joined by `^`. Dense fields become numbers, all numbers
+    get the narrowest type that holds their column in train, if it holds test too. The test log is halved by a seeded hash.
+    """
+    share = share or {}
+    flat = {n: stable(clicklog.convert(*log, sparse, dense, max_values)) for n, log in logs.items()}
+    vocabs = {}
+    for name in dict.fromkeys(share.get(f, f) for f in sparse):
+        fields = [f for f in sparse if share.get(f, f) == name]
+        cells = {n: d.select(F.explode(F.flatten(F.array(*[text.tokens(F.col(f"`{f}`")) for f in fields]))).alias("token")) for n, d in flat.items()}
+        seen = cells["train"].withColumn("late", F.lit(0)).unionByName(cells["test"].withColumn("late", F.lit(1)))
+        seen = seen.filter(~F.col("token").isin("", clicklog.ABSENT)).groupBy("token").agg(F.min("late").alias("late"))
+        vocabs[name] = stable(with_row_number(seen, [], ["late", "token"], "idx").select("token", "idx"))
+    out = {}
+    for n, d in flat.items():
+        for f in sparse:
+            d = vocab.recode_lists(d, f, vocabs[share.get(f, f)])
+        out[n] = stable(d.withColumns({f"D{f}": F.expr(f"try_cast(`D{f}` AS double)") for f in dense}))
+    numbers = ["click", "purchase", *[f"D{f}" for f in dense]]
+    both = scaling.narrow_types(out["train"].unionByName(out["test"]), numbers)
+    out = {n: d.withColumns({c: F.col(c).cast(both.schema[c].dataType) for c in numbers}) for n, d in out.items()}
+    halves = filters.half_split(out["test"], ["sample", *sparse, *numbers], 0.5, seed, hash_expr)
+    tables = {"train": out["train"], "valid": halves.filter("split = 'train'").drop("split"), "test": halves.filter("split = 'test'").drop("split")}
+    return {"tables": tables, "vocabs": vocabs}
+
+
+def leakage_table(report: dict) -> DataFrame:
+    """A leakage report as one table (part, name, value): conditioned columns, summary, examples."""
+    s = report["summary"]
+    cells = F.array(*[F.struct(F.lit(c).alias("name"), F.round(F.col(c).cast("double"), 6).cast("string").alias("value")) for c in s.columns])
+    long = s.select(F.explode(cells).alias("c")).select(F.lit("summary").alias("part"), "c.name", "c.value")
+    e = report["examples"].select(F.lit("example").alias("part"), F.concat_ws("|", "request_id", "sequence_column").alias("name"), F.col("positive_item").alias("value"))
+    cols = s.sparkSession.createDataFrame([("conditioned", c, None) for c in report["conditioned_columns"]], "part string, name string, value string")
+    return cols.unionByName(long).unionByName(e)
+
+
 def leakage_report(checks: DataFrame, user_columns: Sequence[str], item_columns: Sequence[str], ids: Sequence[str],
                    labels: Sequence[str], groups: FeatureGroups | None = None) -> dict:
     """Conditioned columns by the schema, and the summary and first examples of a leakage check."""

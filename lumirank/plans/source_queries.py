@@ -265,11 +265,24 @@ def _(spark, sf):
     return V.histories(spark, sf).select("user_id", F.array_join(TX.append_capped(F.col("seq")), "^").alias("vals"))
 
 
-@query("c12_log_conversion", f"""WITH c AS ({_CLICKS}), v AS (SELECT token, row_number() OVER (ORDER BY token) AS idx FROM (SELECT DISTINCT "101" AS token FROM c)) SELECT sample, click, "102" AS f102, idx AS f101 FROM c JOIN v ON "101"=token""")
-def _(spark, sf):
-    d = CL.convert(*_logs(spark, sf), ["101", "102"], [])
-    v = VO.legacy_vocab(d, ["101"])
-    return VO.encode_category(d, "101", v, "f101", oov=0).select("sample", "click", F.col("102").alias("f102"), "f101")
+@query("c12_log_conversion", f"""WITH c AS ({_CLICKS}), s AS (SELECT *, CASE WHEN sample::BIGINT % 5 = 0 THEN 'test' ELSE 'train' END AS split FROM c),
+  cells AS (SELECT split, '101' AS voc, "101" AS token FROM s UNION ALL SELECT split, '102', unnest(string_split("102", '^')) FROM s UNION ALL SELECT split, '121', "109" FROM s UNION ALL SELECT split, '121', "121" FROM s),
+  known AS (SELECT voc, token, min(CASE WHEN split='train' THEN 0 ELSE 1 END) AS late FROM cells WHERE token <> '0' GROUP BY 1, 2),
+  v AS (SELECT voc, token, row_number() OVER (PARTITION BY voc ORDER BY late, token) AS idx FROM known),
+  e AS (SELECT split, sample, click, purchase, coalesce(a.idx, 0)::VARCHAR AS f101, (SELECT string_agg(coalesce(b.idx, 0)::VARCHAR, '^' ORDER BY i) FROM (SELECT unnest(string_split(s."102", '^')) AS tk, generate_subscripts(string_split(s."102", '^'), 1) AS i) LEFT JOIN v b ON b.voc='102' AND b.token=tk) AS f102,
+    coalesce(x.idx, 0)::VARCHAR AS f109, coalesce(y.idx, 0)::VARCHAR AS f121, "D508"::DOUBLE AS d508 FROM s LEFT JOIN v a ON a.voc='101' AND a.token="101" LEFT JOIN v x ON x.voc='121' AND x.token="109" LEFT JOIN v y ON y.voc='121' AND y.token="121"),
+  h AS (SELECT *, row_number() OVER (PARTITION BY split ORDER BY (sample::BIGINT * 7919 + f101::BIGINT * 31) % 10007, sample, f101, f102, f109, f121, click, purchase, d508) AS n, count(*) OVER (PARTITION BY split) AS total FROM e)
+  SELECT CASE WHEN split='train' THEN 'train' WHEN n <= total // 2 THEN 'test' ELSE 'valid' END AS split, sample, click::INTEGER AS click, purchase::INTEGER AS purchase, f101, f102, f109, f121, round(d508, 3) AS d508 FROM h""")
+def _(spark, sf):
+    skeleton, bundles = _logs(spark, sf)
+    late = F.col("sample").cast("long") % 5 == 0
+    logs = {"train": (skeleton.filter(~late), bundles), "test": (skeleton.filter(late), bundles)}
+    mix = (F.col("sample").cast("long") * 7919 + F.col("101").cast("long") * 31) % 10007
+    got = J.convert_logs(logs, ["101", "102", "109", "121"], ["508"], {"109": "121"}, hash_expr=mix)
+    assert dict(got["tables"]["train"].dtypes)["click"] == "tinyint" and dict(got["tables"]["test"].dtypes)["D508"] == "float"
+    parts = [d.select(F.lit(n).alias("split"), "sample", F.col("click").cast("int").alias("click"), F.col("purchase").cast("int").alias("purchase"), F.col("101").alias("f101"), F.col("102").alias("f102"),
+                      F.col("109").alias("f109"), F.col("121").alias("f121"), F.col("D508").cast("double").alias("d508")) for n, d in got["tables"].items()]
+    return rounded(parts[0].unionByName(parts[1]).unionByName(parts[2]), 3)
 
 
 # ---------------------------------------------------------------- composite jobs
@@ -458,18 +471,36 @@ def _(spark, sf):
     return _written_statistics(spark, sf, "top")
 
 
-@query("c13_three_stage_run", _metrics_sql(f"""{_AI.replace('ranked AS', 'ranked0 AS')}, {_ASM}, mx AS (SELECT max(np) AS m FROM np),
-  got AS (SELECT request_id, item_id, CASE WHEN place<=20+(SELECT m FROM mx) THEN score ELSE 0 END AS score, 1 AS label FROM pl WHERE label=1 UNION ALL SELECT request_id, item_id, score, 0 FROM neg JOIN np USING (request_id) WHERE nn<=20-np),
+_GOT = f"""{_AI.replace('ranked AS', 'ranked0 AS')}, {_ASM}, mx AS (SELECT max(np) AS m FROM np),
+  got AS (SELECT request_id, item_id, CASE WHEN place<=20+(SELECT m FROM mx) THEN score ELSE 0 END AS score, 1 AS label FROM pl WHERE label=1 UNION ALL SELECT request_id, item_id, score, 0 FROM neg JOIN np USING (request_id) WHERE nn<=20-np)"""
+_FUNNEL_MEANS = ["mrr", "gauc", "recall_1", "recall_5", "ndcg_1", "ndcg_5"]
+
+
+def _stage_rows(stage):
+    rows = [f"SELECT '{stage}' AS stage, 'valid' AS split, 'requests' AS metric, count(*)::DOUBLE AS value FROM pr", f"SELECT '{stage}', 'valid', 'requests_with_positive', count(*) FILTER (WHERE n_pos>0) FROM pr"]
+    return rows + [f"SELECT '{stage}', 'valid', '{m}', round(sum(CASE WHEN n_pos>0 THEN {m} ELSE 0 END)/count(*),6) FROM pr" for m in _FUNNEL_MEANS]
+
+
+def _funnel(spark, sf):
+    return J.three_stages(V.vectors(spark, sf, "request_id"), V.vector_positives(spark, sf), V.vectors(spark, sf), F.col("score") + F.col("kind") / 100.0,
+                          F.col("score") + F.col("kind") / 50.0, ["kind"], (20, 10, 5), [1, 5], popularity=item_popularity(V.lines(spark, sf), "item_id", "label"))
+
+
+@query("c13_three_stage_run", _metrics_sql(f"""{_GOT}, pop AS (SELECT l_partkey AS item_id, count(*) AS c FROM lineitem WHERE l_returnflag='R' GROUP BY 1),
   ranked AS (SELECT g.request_id, g.item_id, g.label, g.score+e.label/100.0 AS score, row_number() OVER (PARTITION BY g.request_id ORDER BY g.score+e.label/100.0 DESC, g.label, g.item_id) AS rank FROM got g JOIN embeddings e ON e.vec_id=g.item_id)""", ks=[1, 5]) +
-       """, w AS (SELECT sum(CASE WHEN n_pos>0 THEN mrr ELSE 0 END)/count(*) AS mrr, sum(CASE WHEN n_pos>0 THEN gauc ELSE 0 END)/count(*) AS gauc, sum(CASE WHEN n_pos>0 THEN recall_5 ELSE 0 END)/count(*) AS recall_5 FROM pr),
-  hr AS (SELECT vec_id, min(CASE WHEN g.label>0 THEN rk END) AS best FROM embeddings LEFT JOIN (SELECT request_id, got.label, row_number() OVER (PARTITION BY request_id ORDER BY score DESC, got.label, item_id) AS rk FROM got) g ON request_id=vec_id GROUP BY 1)
-  SELECT 'preranking' AS stage, 'valid' AS split, 'mrr' AS metric, round(mrr,6) AS value FROM w UNION ALL SELECT 'preranking', 'valid', 'gauc', round(gauc,6) FROM w UNION ALL SELECT 'preranking', 'valid', 'recall_5', round(recall_5,6) FROM w
-  UNION ALL SELECT 'retrieval', 'valid', 'hit_rate_1', round(count(*) FILTER (WHERE best<=1)/count(*)::DOUBLE,6) FROM hr UNION ALL SELECT 'retrieval', 'valid', 'hit_rate_5', round(count(*) FILTER (WHERE best<=5)/count(*)::DOUBLE,6) FROM hr""")
+       """, hr AS (SELECT vec_id, min(CASE WHEN g.label>0 THEN rk END) AS best FROM embeddings LEFT JOIN (SELECT request_id, got.label, row_number() OVER (PARTITION BY request_id ORDER BY score DESC, got.label, item_id) AS rk FROM got) g ON request_id=vec_id GROUP BY 1),
+  po AS (SELECT vec_id, min(CASE WHEN g.label>0 THEN rk END) AS best FROM embeddings LEFT JOIN (SELECT request_id, got.label, row_number() OVER (PARTITION BY request_id ORDER BY coalesce(c,0) DESC, item_id) AS rk FROM got LEFT JOIN pop USING (item_id)) g ON request_id=vec_id GROUP BY 1)
+  """ + " UNION ALL ".join(_stage_rows("preranking") + [f"SELECT 'retrieval', 'valid', '{n}_{k}', round(count(*) FILTER (WHERE best<={k})/count(*)::DOUBLE,6) FROM {t}" for n, t in (("hit_rate", "hr"), ("popularity_recall", "po")) for k in (1, 5)]))
 def _(spark, sf):
-    it = V.vectors(spark, sf)
-    out = J.three_stages(V.vectors(spark, sf, "request_id"), V.vector_positives(spark, sf), it, F.col("score") + F.col("kind") / 100.0,
-                         F.col("score") + F.col("kind") / 50.0, ["kind"], (20, 10, 5), [1, 5])
-    return rounded(out["metrics"].filter("stage = 'retrieval' or stage = 'preranking' and metric in ('mrr', 'gauc', 'recall_5')"))
+    return rounded(_funnel(spark, sf)["metrics"].filter("stage <> 'reranking'"))
+
+
+@query("c13_reranking_metrics", _metrics_sql(f"""{_GOT}, tr AS (SELECT request_id, item_id FROM (SELECT g.request_id, g.item_id, row_number() OVER (PARTITION BY g.request_id ORDER BY g.score+e.label/100.0 DESC, g.label, g.item_id) AS r FROM got g JOIN embeddings e ON e.vec_id=g.item_id) WHERE r<=10),
+  f AS (SELECT g.request_id, g.item_id, g.label, g.score+e.label/50.0 AS score, tr.item_id IS NOT NULL AS kept FROM got g JOIN embeddings e ON e.vec_id=g.item_id LEFT JOIN tr ON tr.request_id=g.request_id AND tr.item_id=g.item_id),
+  ranked AS (SELECT *, CASE WHEN kept THEN row_number() OVER (PARTITION BY request_id, kept ORDER BY score DESC, label, item_id) ELSE NULL END AS rank, row_number() OVER (PARTITION BY request_id ORDER BY score DESC, label, item_id) AS full_rank FROM f)""", ks=[1, 5])
+       .replace("1.0/min(CASE WHEN pos=1 THEN rank END)", "1.0/min(CASE WHEN pos=1 THEN full_rank END)") + " " + " UNION ALL ".join(_stage_rows("reranking")))
+def _(spark, sf):
+    return rounded(_funnel(spark, sf)["metrics"].filter("stage = 'reranking'"))
 
 
 @query("c13_three_stage_lists", f"""WITH {_AI.replace('ranked AS', 'ranked0 AS')}, {_ASM}, mx AS (SELECT max(np) AS m FROM np),
@@ -483,14 +514,26 @@ def _(spark, sf):
     return rounded(out["reranked"].select("request_id", "item_id", "score", "rank"))
 
 
-@query("c14_blended_report", f"""WITH {V.CANDS}, {_BLEND}, p AS (SELECT label, 1/(1+exp(-score)) AS p FROM bl), s AS (SELECT p, sum(CASE WHEN label>0 THEN 1 ELSE 0 END) AS pos, sum(CASE WHEN label>0 THEN 0 ELSE 1 END) AS neg FROM p GROUP BY 1),
-  c AS (SELECT *, sum(neg) OVER (ORDER BY p DESC) AS cn FROM s), a AS (SELECT sum(pos*((SELECT sum(neg) FROM s)-cn+0.5*neg))/(sum(pos)*sum(neg))::DOUBLE AS auc FROM c)
-  SELECT count(*) AS sample_count, round(avg(label),6) AS positive_ratio, count(*) AS blend_sample_count, round((SELECT auc FROM a),6) AS blend_auc,
-  round(avg(-(label*ln(p)+(1-label)*ln(1-p))),6) AS blend_logloss, round(sum(p)/sum(label),6) AS blend_pcoc FROM p""")
+def _report_sql(src, prefix):
+    """Every column of the pointwise report of (request_id, label, p) rows."""
+    t = f"{prefix}t"
+    cte = f""", {t}s AS (SELECT p, sum(CASE WHEN label>0 THEN 1 ELSE 0 END) AS pos, sum(CASE WHEN label>0 THEN 0 ELSE 1 END) AS neg FROM {src} GROUP BY 1),
+  {t}c AS (SELECT *, sum(pos) OVER (ORDER BY p DESC) AS cp, sum(neg) OVER (ORDER BY p DESC) AS cn FROM {t}s),
+  {t}a AS (SELECT sum(pos*((SELECT sum(neg) FROM {t}s)-cn+0.5*neg))/(sum(pos)*sum(neg))::DOUBLE AS auc, sum(pos*(cp/(cp+cn)::DOUBLE))/sum(pos) AS ap FROM {t}c),
+  {t}g AS (SELECT x.request_id, avg(CASE WHEN x.p>y.p THEN 1.0 WHEN x.p=y.p THEN 0.5 ELSE 0.0 END) AS a FROM {src} x JOIN {src} y ON x.request_id=y.request_id WHERE x.label>0 AND y.label<=0 GROUP BY 1),
+  {t}n AS (SELECT request_id, count(*) AS n FROM {src} GROUP BY 1), {t}w AS (SELECT sum(a*n)/sum(n) AS gauc, count(*) AS g, CAST(sum(n) AS BIGINT) AS s FROM {t}g JOIN {t}n USING (request_id)),
+  {t}r AS (SELECT count(*) AS {prefix}sample_count, round(avg(label),6) AS {prefix}positive_ratio, round(min(p),6) AS {prefix}pred_min, round(avg(p),6) AS {prefix}pred_mean, round(max(p),6) AS {prefix}pred_max,
+    round(avg(-(label*ln(p)+(1-label)*ln(1-p))),6) AS {prefix}logloss, round(sum(p)/sum(label),6) AS {prefix}pcoc, round(sum(label)/sum(p),6) AS {prefix}copc, round((SELECT auc FROM {t}a),6) AS {prefix}auc,
+    round((SELECT ap FROM {t}a),6) AS {prefix}prauc, round(quantile_cont(p,0.01),6) AS {prefix}pred_p01, round(quantile_cont(p,0.5),6) AS {prefix}pred_p50, round(quantile_cont(p,0.99),6) AS {prefix}pred_p99,
+    round((SELECT gauc FROM {t}w),6) AS {prefix}gauc, (SELECT g FROM {t}w) AS {prefix}gauc_valid_groups, (SELECT s FROM {t}w) AS {prefix}gauc_valid_samples FROM {src})"""
+    return cte
+
+
+@query("c14_blended_report", f"WITH {V.CANDS}, {_BLEND}, one AS (SELECT request_id, label, score AS p FROM cands), two AS (SELECT request_id, label, 1/(1+exp(-score)) AS p FROM bl)"
+       + _report_sql("one", "") + _report_sql("two", "blend_") + " SELECT tr.*, blend_tr.* FROM tr, blend_tr")
 def _(spark, sf):
     pop = item_popularity(V.lines(spark, sf), "item_id", "label")
-    r = J.blended_report(V.candidates(spark, sf), pop, 0.3)
-    return rounded(r.select("sample_count", "positive_ratio", "blend_sample_count", "blend_auc", "blend_logloss", "blend_pcoc"))
+    return rounded(J.blended_report(V.candidates(spark, sf), pop, 0.3, "request_id"))
 
 
 @query("c15_inferred_feature_map", f"WITH {V.CODED} SELECT 'item_code' AS feature, 'categorical' AS type, max(item_code)+1 AS vocab_size, 0::BIGINT AS max_len FROM coded UNION ALL SELECT 'item_seq', 'sequence', max(list_max(item_seq))+1, max(len(item_seq)) FROM coded")

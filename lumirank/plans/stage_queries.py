@@ -128,13 +128,18 @@ def _(spark, sf):
     return rounded(RT.retrieve_candidates(V.vectors(spark, sf, "request_id"), V.vector_positives(spark, sf), V.vectors(spark, sf), 20), 9)
 
 
-@query("c5_retrieval_metrics", f"""WITH {_AI}, pl AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY score DESC, item_id) AS place FROM cands), h AS (SELECT request_id, min(CASE WHEN label>0 THEN place END) AS best FROM pl GROUP BY 1)
-  SELECT count(*) AS requests, round(count(*) FILTER (WHERE best<=10)/count(*)::DOUBLE,6) AS hit_rate_10, round(count(*) FILTER (WHERE best<=20)/count(*)::DOUBLE,6) AS hit_rate_20 FROM h""")
+@query("c5_retrieval_metrics", f"""WITH {_AI}, {_ASM}, mx AS (SELECT max(np) AS m FROM np),
+  got AS (SELECT request_id, item_id, CASE WHEN place<=20+(SELECT m FROM mx) THEN score ELSE 0 END AS score, 1 AS label FROM pl WHERE label=1 UNION ALL SELECT request_id, item_id, score, 0 FROM neg JOIN np USING (request_id) WHERE nn<=20-np),
+  pop AS (SELECT l_partkey AS item_id, count(*) AS c FROM lineitem WHERE l_returnflag='R' GROUP BY 1),
+  h AS (SELECT request_id, min(CASE WHEN label>0 THEN place END) AS best FROM pl GROUP BY 1),
+  pr AS (SELECT vec_id, min(CASE WHEN y>0 THEN rk END) AS best FROM embeddings LEFT JOIN (SELECT request_id, got.label AS y, row_number() OVER (PARTITION BY request_id ORDER BY coalesce(c,0) DESC, item_id) AS rk FROM got LEFT JOIN pop USING (item_id)) ON request_id=vec_id GROUP BY 1)
+  SELECT (SELECT count(*) FROM h) AS requests, """ + ", ".join(f"(SELECT round(count(*) FILTER (WHERE best<={k})/count(*)::DOUBLE,6) FROM h) AS hit_rate_{k}, (SELECT round(count(*) FILTER (WHERE best<={k})/count(*)::DOUBLE,6) FROM pr) AS popularity_recall_{k}" for k in (10, 20)))
 def _(spark, sf):
-    req = V.vectors(spark, sf, "request_id")
-    top = RT.exact_top_k(req, V.vectors(spark, sf), 20)
-    pos = V.vector_positives(spark, sf).withColumn("label", F.lit(1))
-    return rounded(R.hit_rate(top.join(pos, ["request_id", "item_id"]), [10, 20], req))
+    req, items, pos = V.vectors(spark, sf, "request_id"), V.vectors(spark, sf), V.vector_positives(spark, sf)
+    top = RT.exact_top_k(req, items, 20)
+    hits = R.hit_rate(top.join(pos.withColumn("label", F.lit(1)), ["request_id", "item_id"]), [10, 20], req)
+    pop = RT.popularity_recall(RT.retrieve_candidates(req, pos, items, 20), item_popularity(V.lines(spark, sf), "item_id", "label"), [10, 20], req)
+    return rounded(hits.join(pop, "requests"))
 
 
 @query("f21_history_pooling", """WITH h AS (SELECT vec_id AS request_id, unnest([vec_id, vec_id+1, vec_id+2]) AS i FROM embeddings WHERE vec_id%7<>0), e AS (SELECT request_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding,1) AS d FROM h JOIN embeddings ON vec_id=i),
@@ -354,11 +359,14 @@ def _(spark, sf):
     return AU.sequence_leakage(near, i, ["near"])
 
 
-@query("c11_leakage_report", f"WITH {_LEAK} SELECT count(*) AS checks, count(positive_item) AS hits, round(count(positive_item)/count(*)::DOUBLE,6) AS hit_rate FROM lk")
+@query("c11_leakage_report", f"""WITH {_LEAK}, n AS (SELECT count(*)::DOUBLE AS checks, count(positive_item)::DOUBLE AS hits FROM lk)
+  SELECT 'conditioned' AS part, unnest(['brand', 'item_id', 'label']) AS name, NULL::VARCHAR AS value
+  UNION ALL SELECT 'summary', 'checks', checks::VARCHAR FROM n UNION ALL SELECT 'summary', 'hits', hits::VARCHAR FROM n UNION ALL SELECT 'summary', 'hit_rate', round(hits/checks, 6)::VARCHAR FROM n
+  UNION ALL SELECT 'example', request_id || '|' || sequence_column, positive_item FROM (SELECT * FROM lk WHERE positive_item IS NOT NULL ORDER BY request_id, sequence_column LIMIT 20)""")
 def _(spark, sf):
-    from lumirank.plans.jobs import leakage_report
-    u = V.splits(spark, sf)
-    return rounded(leakage_report(_leaks(spark, sf), u.columns, ["item_id", "brand"], ["item_id"], ["label"])["summary"])
+    from lumirank.plans.jobs import leakage_report, leakage_table
+    u = [*V.splits(spark, sf).columns, "brand", "item_id", "label"]
+    return leakage_table(leakage_report(_leaks(spark, sf), u, ["item_id", "brand"], ["item_id"], ["label"]))
 
 
 @query("c11_leakage_examples", f"WITH {_LEAK} SELECT * FROM lk WHERE positive_item IS NOT NULL ORDER BY request_id, sequence_column LIMIT 20")
