@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 # fixed values
@@ -82,6 +85,20 @@ def stable_id(col: Column) -> Column:
         F.conv(F.substring(F.md5(col), 1, 15), 16, 10).cast("long"))
 
 
+def blake_id(col: Column) -> Column:
+    """Non-negative 63-bit id of a text: the first 8 bytes of its blake2b, little endian, without the sign bit; empty
+    and null text has id -1. Arrow batches; each distinct text of a batch is hashed once."""
+    from pyspark.sql.pandas.functions import pandas_udf
+
+    @pandas_udf("long")
+    def ids(texts: pd.Series) -> pd.Series:
+        codes, values = pd.factorize(texts)
+        hashed = [int.from_bytes(hashlib.blake2b(v.encode(), digest_size=8).digest(), "little") & 0x7FFFFFFFFFFFFFFF if v else -1 for v in values]
+        return pd.Series([-1, *hashed], dtype="int64").take(codes + 1).reset_index(drop=True)
+
+    return ids(col.cast("string"))
+
+
 def popularity_transform(count: Column, transform: str = "log1p") -> Column:
     x = count.cast("double")
     x = F.when(x.isNull() | ~is_finite(x), F.lit(0.0)).otherwise(x)

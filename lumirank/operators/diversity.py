@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from lumirank.operators.ordering import top_k
 from lumirank.operators.ranking_metrics import REQ, pessimistic_order
@@ -60,34 +61,43 @@ def list_quality(df: DataFrame, group: str, size: int, theta: float = 0.7, eps:
     """theta * mean(score) + (1 - theta) * logdet(K + eps*I) / n for each list of `size` rows.
 
     Input columns: group, item_id, score, embedding. Each list is cut to its first `size`
-    rows by score before it reaches a task, so a matrix never grows past size x size.
+    rows by score and collected to one row, so a matrix never grows past size x size; a task
+    stacks the lists of a batch and takes all their determinants at once.
     """
     if kernel not in ("gram", "rbf", "cosine"):
         raise ValueError(f"unknown kernel: {kernel}")
     top = top_k(df.select(group, "item_id", F.col("score").cast("double"), F.col("embedding").cast("array<double>")),
                 [group], [F.col("score").desc(), F.col("item_id").asc()], size, "__k").drop("__k")
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["score", "item_id"], ascending=[False, True])
-        x = np.stack(pdf["embedding"].to_numpy())
-        x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-        cos = x @ x.T
-        s = pdf["score"].to_numpy()
-        r = 1.0 / (1.0 + np.exp(-s)) if scores_are_logits else s
-        if kernel == "rbf":
-            k = np.exp(-gamma * (2.0 - 2.0 * cos))
-        elif kernel == "gram":
-            w = r if scores_are_logits else 1.0 / (1.0 + np.exp(-s))
-            k = np.outer(w, w) * cos
-        else:
-            k = (1.0 + cos) / 2.0
-        sign, logdet = np.linalg.slogdet(k + eps * np.eye(len(s)))
-        if sign <= 0 or not np.isfinite(logdet):
-            logdet = 0.0
-        return pd.DataFrame({group: [pdf[group].iloc[0]], "n": [len(s)], "mean_score": [r.mean()],
-                             "logdet": [logdet / len(s)],
-                             "quality": [theta * r.mean() + (1 - theta) * logdet / len(s)]})
-
-    kind = df.schema[group].dataType.simpleString()
-    return top.groupBy(group).applyInPandas(
-        one, f"{group} {kind}, n long, mean_score double, logdet double, quality double")
+    rows = top.groupBy(group).agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("neg"), "item_id", "embedding"))).alias("l"))
+    lists = rows.select(group, F.transform("l", lambda r: -r["neg"]).alias("s"), F.flatten(F.transform("l", lambda r: r["embedding"])).alias("x"))
+    schema = T.StructType([df.schema[group], T.StructField("n", T.LongType()), *[T.StructField(c, T.DoubleType()) for c in ("mean_score", "logdet", "quality")]])
+
+    def run(batches):
+        for batch in batches:
+            at = np.diff(batch.column(1).offsets.to_numpy())
+            score = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+            flat = batch.column(2).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+            first, wide = np.r_[0, np.cumsum(at)], np.r_[0, np.cumsum(np.diff(batch.column(2).offsets.to_numpy()))]
+            mean, logdet = np.zeros(batch.num_rows), np.zeros(batch.num_rows)
+            for n in np.unique(at).tolist():                 # lists of one length are stacked
+                of = np.flatnonzero(at == n)
+                s = score[first[of][:, None] + np.arange(n)]
+                d = int(wide[of[0] + 1] - wide[of[0]])
+                x = flat[wide[of][:, None] + np.arange(d)].reshape(len(of), n, -1)
+                x = x / np.maximum(np.linalg.norm(x, axis=2, keepdims=True), 1e-12)
+                cos = x @ x.transpose(0, 2, 1)
+                r = 1.0 / (1.0 + np.exp(-s)) if scores_are_logits else s
+                if kernel == "rbf":
+                    k = np.exp(-gamma * (2.0 - 2.0 * cos))
+                elif kernel == "gram":
+                    w = r if scores_are_logits else 1.0 / (1.0 + np.exp(-s))
+                    k = w[:, :, None] * w[:, None, :] * cos
+                else:
+                    k = (1.0 + cos) / 2.0
+                sign, det = np.linalg.slogdet(k + eps * np.eye(n))
+                mean[of], logdet[of] = r.mean(axis=1), np.where((sign > 0) & np.isfinite(det), det, 0.0) / n
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(at.astype(np.int64)), pa.array(mean), pa.array(logdet), pa.array(theta * mean + (1 - theta) * logdet)],
+                                             schema=to_arrow_schema(schema))
+
+    return lists.mapInArrow(run, schema)

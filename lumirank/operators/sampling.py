@@ -11,16 +11,21 @@ import math
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lumirank.functions.numeric import hash_uniform
 from lumirank.operators.ordering import with_global_prefix, with_row_number
 from lumirank.operators.ranking_metrics import ITEM, REQ
+from lumirank.operators.scoring import to_numpy
 from lumirank.session import stable
 
 HashOf = Callable[[Column, Column], Column]
 WEIGHT_SCALE = 1_000_000        # weights are fixed-point, so sums do not depend on row order
 
+DISTANCE_BLOCK = 4_096        # vectors on a side of a cell of pairwise distances
+
 
 def seeded(seed: int) -> HashOf:
     return lambda row, j: F.xxhash64(F.lit(seed), row, j)
@@ -134,6 +139,37 @@ def in_batch(rows: DataFrame, order: list[str], row: str, batch: int, n: int, it
     return d.join(src, "__at").select(row, item, (F.col("__j") + 1).alias("neg_no"), "neg_row", "neg_item")
 
 
+def in_batch_losses(rows: DataFrame, order: list[str], row: str, batch: int, user: str, item: str, gap: float = 1.0,
+                    temperature: float = 1.0) -> DataFrame:
+    """(row, n_neg, bpr, hinge, softmax_ce): each row's losses against the items of all other rows of its batch.
+
+    Rows in order form batches of `batch`. A batch is one matrix product in one task (users by items) that gives one
+    row per anchor: mean BPR and hinge over its negatives and the softmax cross-entropy; a lone row has none of them.
+    Scores are dot products over the temperature.
+    """
+    src = rows.select(*dict.fromkeys([row, *order]), F.col(user).cast("array<double>").alias("__u"), F.col(item).cast("array<double>").alias("__v"))
+    placed, _ = with_global_prefix(src, order, {"__pos": F.lit(1).cast("long")})
+    kind = rows.schema[row].dataType.simpleString()
+
+    def one(t: pa.Table) -> pa.Table:
+        u, v = (to_numpy(t.column(c)).astype(np.float64) for c in ("__u", "__v"))
+        s = u @ v.T / temperature
+        n = len(s)
+        lead = s - np.diag(s)[:, None]                      # how far each negative is above the positive
+        np.fill_diagonal(lead, 0.0)
+        off = ~np.eye(n, dtype=bool)
+        top = lead.max(axis=1)                              # 0 for the positive itself, so never below 0
+        ce = top + np.log(np.exp(lead - top[:, None]).sum(axis=1))
+        cols = [np.full(n, n - 1)]
+        for x in (np.logaddexp(0.0, lead), np.maximum(gap + lead, 0.0)):
+            cols.append((x * off).sum(axis=1) / max(n - 1, 1))
+        lone = np.full(n, n < 2)
+        return pa.table([t.column(row), pa.array(cols[0]), *[pa.array(x, mask=lone) for x in (*cols[1:], ce)]], names=[row, "n_neg", "bpr", "hinge", "softmax_ce"])
+
+    return (placed.withColumn("__batch", F.floor(F.col("__pos") / batch)).select(row, "__batch", "__u", "__v")
+            .groupBy("__batch").applyInArrow(one, f"{row} {kind}, n_neg long, bpr double, hinge double, softmax_ce double"))
+
+
 def fetch_features(negatives: DataFrame, pool: DataFrame, item: str = ITEM) -> DataFrame:
     return negatives.join(pool.withColumnRenamed(item, "neg_item"), "neg_item")
 
@@ -147,17 +183,20 @@ def hashed_sample(df: DataFrame, n: int, key: list[str], seed: int = 0, hash_exp
 def pair_distance(df: DataFrame, key: str, vector: str, max_pairs: int, seed: int = 0) -> DataFrame:
     """Mean L2 distance over pairs of distinct rows, up to `max_pairs` of them.
 
-    Pairs are numbered, (a, b) with a < b from the number; both ends are looked up by index. When
-    all pairs fit, all are taken and the mean is exact; else an arithmetic progression through the
-    numbers, whose step shares no factor with their count, takes that many different pairs.
+    When all pairs fit, all are taken and the mean is exact: vectors are dealt to blocks, and each pair of blocks is one
+    cell that gives a count and a sum, so no pair is a row. Else pairs are numbered, (a, b) with a < b from the number,
+    and an arithmetic progression through the numbers, whose step shares no factor with their count, takes that many
+    different pairs; both ends are looked up by index.
     """
     from lumirank.functions.vectors import norm
-    idx, tot = with_global_prefix(df.select(key, F.col(vector).cast("array<double>").alias("v")), [key],
-                                  {"__i": F.lit(1).cast("long")})
-    n = tot["__i"]
+    src = df.select(key, F.col(vector).cast("array<double>").alias("v"))
+    n = src.count()
     pairs = n * (n - 1) // 2
     if not pairs:
         return df.sparkSession.createDataFrame([(0, None)], "pairs long, mean_distance double")
+    if pairs <= max_pairs:
+        return _all_distances(src, key, n)
+    idx, _ = with_global_prefix(src, [key], {"__i": F.lit(1).cast("long")})
     take = min(max_pairs, pairs)
     step, first = 1, 0
     if take < pairs:
@@ -178,6 +217,28 @@ def pair_distance(df: DataFrame, key: str, vector: str, max_pairs: int, seed: in
     return p.join(left, "a").join(right, "b").agg(F.count("*").alias("pairs"), F.avg(d).alias("mean_distance"))
 
 
+def _all_distances(src: DataFrame, key: str, n: int) -> DataFrame:
+    blocks = max(1, -(-n // DISTANCE_BLOCK))
+    mine = F.pmod(F.xxhash64(F.col(key), F.lit(3)), F.lit(blocks)).cast("int")
+    dealt = (src.select("v", mine.alias("m")).withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+             .select("v", "m", F.least("m", "o").alias("i"), F.greatest("m", "o").alias("j")))
+
+    def cell(t: pa.Table) -> pa.Table:
+        x, side = to_numpy(t.column("v")).astype(np.float64), to_numpy(t.column("m"))
+        i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
+        a, b = x[side == i], x[side == j]
+        total, count, step = 0.0, 0, max(1, (1 << 23) // max(b.size, 1))
+        for at in range(0, len(a), step):
+            d = np.sqrt(((a[at:at + step, None, :] - b[None]) ** 2).sum(axis=2))
+            if i == j:                                       # each pair once
+                d = d[np.arange(len(b))[None, :] > np.arange(at, at + len(d))[:, None]]
+            total, count = total + float(d.sum()), count + d.size
+        return pa.table({"n": pa.array([count], pa.int64()), "s": pa.array([total], pa.float64())})
+
+    got = dealt.groupBy("i", "j").applyInArrow(cell, "n long, s double")
+    return got.agg(F.sum("n").alias("pairs"), (F.sum("s") / F.sum("n")).alias("mean_distance"))
+
+
 def field_uniformity(df: DataFrame, fields: list[str]) -> DataFrame:
     """Mean over field pairs of the mean absolute cosine between two fields of a row."""
     from lumirank.functions.vectors import cosine

@@ -369,6 +369,14 @@ def _(spark, sf):
     return V.documents(spark, sf).select("doc_id", N.stable_id(F.col("source")).alias("sid"), N.stable_id(F.col("text")).alias("tid"))
 
 
+@query("f11_blake_ids", "SELECT count(*) AS n_rows, count(DISTINCT text) AS ids, count(DISTINCT coalesce(source, '')) AS sources, count(*) FILTER (WHERE coalesce(text, '') = '') AS unset, 0::BIGINT AS negative FROM documents")
+def _(spark, sf):
+    """No two texts share an id, and an id is one of a text's own: SQL has no blake2b, so the ids themselves are compared in tests."""
+    d = V.documents(spark, sf).select("text", "source", N.blake_id(F.col("text")).alias("t"), N.blake_id(F.col("source")).alias("s"))
+    return d.agg(F.count("*").alias("n_rows"), F.count_distinct(F.when(F.col("text").isNotNull(), F.struct("text", "t"))).alias("ids"), F.count_distinct("s").alias("sources"),
+                 F.count_if(F.col("t") == -1).alias("unset"), F.count_if((F.col("t") < -1) | (F.col("s") < 0) & (F.coalesce("source", F.lit("")) != "")).alias("negative"))
+
+
 @query("f12_normalised_ids", f"WITH {V.LINES} SELECT request_id, item_id, line_no, CAST(CAST(quantity AS BIGINT) AS VARCHAR) AS qid FROM lines")
 def _(spark, sf):
     return V.lines(spark, sf).select("request_id", "item_id", "line_no", TX.normalize_id(F.concat(F.lit(" "), F.col("quantity").cast("string"), F.lit(" "))).alias("qid"))

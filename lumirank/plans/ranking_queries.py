@@ -382,7 +382,15 @@ def _(spark, sf):
     return rounded(D.list_quality(v, "kind", 3).filter("n = 3"), 4)
 
 
-@query("a37_list_quality")
+# the determinant by elimination: after step k the rows and columns past k are left, and (k, k) was the pivot
+@query("a37_list_quality", """WITH RECURSIVE v AS (SELECT label AS kind, vec_id, embedding[1]::DOUBLE AS s, embedding::DOUBLE[] AS e, row_number() OVER (PARTITION BY label ORDER BY embedding[1]::DOUBLE DESC, vec_id) AS r FROM embeddings),
+  t AS (SELECT kind, r, 1/(1+exp(-s)) AS w, e FROM v WHERE r<=8),
+  p AS (SELECT a.kind, a.r AS i, b.r AS j, a.w*b.w*list_cosine_similarity(a.e,b.e)+CASE WHEN a.r=b.r THEN 1e-6 ELSE 0 END AS a FROM t a JOIN t b ON a.kind=b.kind),
+  el AS (SELECT kind, 1 AS k, i, j, a FROM p UNION ALL
+    SELECT x.kind, x.k+1, x.i, x.j, x.a-r.a*c.a/q.a FROM el x JOIN el r ON r.kind=x.kind AND r.k=x.k AND r.i=x.i AND r.j=x.k JOIN el c ON c.kind=x.kind AND c.k=x.k AND c.i=x.k AND c.j=x.j
+      JOIN el q ON q.kind=x.kind AND q.k=x.k AND q.i=x.k AND q.j=x.k WHERE x.i>x.k AND x.j>x.k),
+  g AS (SELECT kind, sum(ln(a)) AS logdet FROM el WHERE i=k AND j=k GROUP BY 1), n AS (SELECT kind, count(*) AS n, avg(w) AS mean_score FROM t GROUP BY 1)
+  SELECT kind, n, round(mean_score,4) AS mean_score, round(logdet/n,4) AS logdet, round(0.7*mean_score+0.3*logdet/n,4) AS quality FROM g JOIN n USING (kind)""")
 def _(spark, sf):
     v = V.vectors(spark, sf).withColumn("score", F.element_at("embedding", 1).cast("double"))
     return rounded(D.list_quality(v, "kind", 8), 4)

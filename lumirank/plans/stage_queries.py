@@ -12,6 +12,7 @@ from lumirank.plans import views as V
 from lumirank.plans.ranking_queries import _metrics_sql
 from lumirank.plans.registry import query, rounded
 from lumirank.schema import FeatureGroups
+from lumirank.session import stable
 
 # ---------------------------------------------------------------- joins of the ranking stage
 
@@ -91,6 +92,25 @@ def _(spark, sf):
     return rounded(fm_scorer(d, ["brand", "ptype"], ["quantity", "discount"])(d).select("request_id", "item_id", "score"), 3)
 
 
+_X7 = "WITH {v}, d AS (SELECT label FROM lines JOIN part ON p_partkey=item_id) SELECT count(*) AS n_rows, round(avg(label),3) AS mean_score, true AS ranks_better FROM d".replace("{v}", V.LINES)
+
+
+def _fit_summary(spark, sf, scorer):
+    """Rows, mean score and whether the scores rank better than chance on the rows they were fitted on."""
+    from lumirank.operators.classification import auc
+    d = V.with_features(spark, sf, V.lines(spark, sf)).select("request_id", "item_id", "line_no", "label", "brand", "ptype", "quantity", "discount")
+    scored = stable(scorer(d)(d).select("label", "score"))
+    best = auc(scored).first()["auc"]
+    return scored.agg(F.count("*").alias("n_rows"), F.round(F.avg("score"), 3).alias("mean_score")).withColumn("ranks_better", F.lit(best > 0.505))
+
+
+@query("x7_linear_fit", _X7)
+def _(spark, sf):
+    """Without regularisation a logistic fit keeps the label's mean, and features can only help it rank its own rows."""
+    from lumirank.operators.models import linear_scorer
+    return _fit_summary(spark, sf, lambda d: linear_scorer(d, ["brand", "ptype"], ["quantity", "discount"], max_iter=60, reg=0.0))
+
+
 # ---------------------------------------------------------------- retrieval
 
 
@@ -224,6 +244,17 @@ def _(spark, sf):
     return SA.in_batch(_orders_pos(spark, sf), ["request_id"], "request_id", 256, 3, hash_of=_arith)
 
 
+@query("n4_in_batch_losses", """WITH e AS (SELECT a.vec_id AS i, a.embedding::DOUBLE[] AS u, b.embedding::DOUBLE[] AS v FROM embeddings a JOIN embeddings b ON b.vec_id=a.vec_id+1),
+  b AS (SELECT *, (row_number() OVER (ORDER BY i)-1)//64 AS g FROM e), s AS (SELECT x.i, y.i AS j, list_inner_product(x.u,y.v)/2.0 AS s FROM b x JOIN b y ON x.g=y.g),
+  d AS (SELECT s.i, s.j, s.s-p.s AS lead FROM s JOIN s p ON p.i=s.i AND p.j=s.i)
+  SELECT i AS row_id, count(*)-1 AS n_neg, CASE WHEN count(*)>1 THEN round(sum(CASE WHEN i<>j THEN greatest(lead,0)+ln(1+exp(-abs(lead))) END)/(count(*)-1),6) END AS bpr,
+  CASE WHEN count(*)>1 THEN round(sum(CASE WHEN i<>j THEN greatest(1+lead,0) END)/(count(*)-1),6) END AS hinge, CASE WHEN count(*)>1 THEN round(ln(sum(exp(lead))),6) END AS softmax_ce FROM d GROUP BY i""")
+def _(spark, sf):
+    e = V.vectors(spark, sf, "row_id").select("row_id", F.col("embedding").alias("u"))
+    after = V.vectors(spark, sf, "row_id").select((F.col("row_id") - 1).alias("row_id"), F.col("embedding").alias("v"))
+    return rounded(SA.in_batch_losses(e.join(after, "row_id"), ["row_id"], "row_id", 64, "u", "v", temperature=2.0))
+
+
 @query("t7_first_valid_draws", f"""WITH {_POSROW}, pool AS (SELECT supp_id AS neg_item, row_number() OVER (ORDER BY supp_id)-1 AS idx FROM (SELECT DISTINCT supp_id FROM lines)), ps AS (SELECT request_id, min(supp_id) AS supp FROM lines GROUP BY 1),
   d AS (SELECT request_id, supp, j, (request_id*7919+j*104729+31)%(SELECT count(*) FROM pool) AS idx FROM ps, range(0,4) t(j)), k AS (SELECT request_id, supp, neg_item, {_NEGPICK} AS neg_no FROM d JOIN pool USING (idx) WHERE neg_item<>supp)
   SELECT request_id, supp, neg_no::INTEGER AS neg_no, neg_item FROM k WHERE neg_no<=2""")
