@@ -13,11 +13,11 @@ from lumirank.operators.stats import item_popularity
 from lumirank.plans import jobs as J, views as V
 from lumirank.plans.prep_queries import _DOCTOK, _LD, _PROF, _SIDE, _VOC, _doc_vocab
 from lumirank.plans.ranking_queries import _BLEND, KS, TOPK, _avg_sql, _metrics_sql
-from lumirank.plans.registry import query, rounded
+from lumirank.plans.registry import SQL, query, rounded
 from lumirank.plans.stage_queries import _AI, _ASM, _MAP, _used
 from lumirank.schema import FeatureSpec
 from lumirank.session import shared_dir
-from lumirank.sources import clicklog as CL, relations as RL, tabular as TB, tfrecord as TF
+from lumirank.sources import clicklog as CL, increments as INC, relations as RL, tabular as TB, tfrecord as TF
 
 
 def _place(spark, name: str) -> str:
@@ -449,6 +449,19 @@ def _(spark, sf):
     return rounded(J.statistics(V.impressions(spark, sf), "label", {"item": "item_id", "user": "user_id"})["sides"])
 
 
+@query("s25_incremental_statistics", SQL["c10_dataset_statistics"])
+def _(spark, sf):
+    """The statistics of a table whose last file came after the others were counted: only that file is read for them."""
+    root, i = _place(spark, "growing"), V.impressions(spark, sf)
+    part = F.pmod(F.col("request_id"), F.lit(3))
+    partials = INC.dataset_partials("label", {"item": "item_id", "user": "user_id"})
+    for k in range(3):
+        i.filter(part == k).write.mode("append").parquet(f"{root}/table")
+        if k:
+            parts = INC.refresh(spark, f"{root}/table", f"{root}/stats", partials)
+    return rounded(INC.merged_statistics(parts)["sides"])
+
+
 def _written_statistics(spark, sf, part):
     root = _place(spark, "statistics")
     tables = J.statistics(V.impressions(spark, sf), "label", {"item": "item_id", "user": "user_id"})

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 
@@ -15,17 +18,45 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
-def write_text(spark: SparkSession, path: str, text: str) -> None:
-    """Written beside, then renamed over, so a reader never sees half a file."""
-    tmp, fs = fs_of(spark, path + ".tmp")
+def _put(spark: SparkSession, path: str, text: str, replace: bool) -> None:
+    """Written beside, then renamed into place: over an old file, or only where there is none."""
+    tmp, fs = fs_of(spark, f"{path}.{uuid.uuid4().hex}.tmp")
     out = fs.create(tmp, True)
     out.write(bytearray(text.encode()))
     out.close()
+    sc = spark.sparkContext
+    kinds = getattr(sc._jvm.org.apache.hadoop.fs, "Options$Rename")
+    options = sc._gateway.new_array(kinds, 1)
+    options[0] = kinds.OVERWRITE if replace else kinds.NONE
     dst, _ = fs_of(spark, path)
-    if fs.exists(dst):
-        fs.delete(dst, False)
-    if not fs.rename(tmp, dst):
-        raise OSError(f"could not move {path} into place")
+    try:
+        context = sc._jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.makeQualified(tmp).toUri(), sc._jsc.hadoopConfiguration())
+        context.rename(fs.makeQualified(tmp), fs.makeQualified(dst), options)
+    except Py4JJavaError as e:
+        fs.delete(tmp, False)
+        if "FileAlreadyExistsException" in str(e.java_exception.getClass().getName()):
+            raise FileExistsError(path) from None
+        raise
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A reader sees the old file or the new one, at any time."""
+    _put(spark, path, text, True)
+
+
+def write_new(spark: SparkSession, path: str, text: str) -> None:
+    """Fails with FileExistsError if any writer has put a file there before."""
+    _put(spark, path, text, False)
+
+
+def names_in(spark: SparkSession, folder: str) -> list[str]:
+    p, fs = fs_of(spark, folder)
+    return sorted(st.getPath().getName() for st in fs.listStatus(p)) if fs.exists(p) else []
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    p, fs = fs_of(spark, path)
+    fs.delete(p, True)
 
 
 def read_text(spark: SparkSession, path: str) -> str:

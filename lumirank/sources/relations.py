@@ -10,7 +10,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lumirank.config import validate_identifier
-from lumirank.sources.files import exists, fs_of, read_text, write_text
+from lumirank.sources.files import exists, fs_of, names_in, read_text, remove, write_new, write_text
 
 
 def write_json(spark: SparkSession, path: str, value) -> None:
@@ -75,22 +75,37 @@ def fingerprint(spark: SparkSession, paths: list[str], columns: list[str], specs
 def cached_table(spark: SparkSession, path: str, key: str, build, columns: list[str] | None = None) -> DataFrame:
     """Reuse the table under `path` only if its fingerprint and columns match; else build it anew.
 
-    A build goes to a folder of its own; the mark, which names the valid folder, is switched last.
-    A rebuild that dies half-way leaves the old mark and the old whole table. The folder the
-    mark named before is removed after the switch.
+    A build goes to a folder of its own; the marks, which name the valid folders, are numbered, and a new one is put only
+    where no other writer has put one. A rebuild that dies half-way leaves the last mark and its whole table; of two
+    rebuilds at a time one wins, and the other's caller gets the winner's table if it fits, else an error. The table
+    before the last stays for readers that have planned on it, and goes with the next rebuild.
     """
-    mark = f"{path}.fingerprint.json"
-    old = read_json(spark, mark) if exists(spark, mark) else {}
-    if old.get("key") == key and exists(spark, f"{path}/{old['version']}"):
-        got = spark.read.parquet(f"{path}/{old['version']}")
-        if columns is None or set(columns) <= set(got.columns):
-            return got
+    marks = f"{path}.marks"
+
+    def latest():
+        names = [n for n in names_in(spark, marks) if n.endswith(".json")]
+        return (int(names[-1].removesuffix(".json")), read_json(spark, f"{marks}/{names[-1]}")) if names else (0, {})
+
+    def valid(mark):
+        if mark.get("key") != key or not exists(spark, f"{path}/{mark['version']}"):
+            return None
+        got = spark.read.parquet(f"{path}/{mark['version']}")
+        return got if columns is None or set(columns) <= set(got.columns) else None
+
+    number, old = latest()
+    if (got := valid(old)) is not None:
+        return got
     version = f"v-{uuid.uuid4().hex}"
     build().write.parquet(f"{path}/{version}")
-    write_json(spark, mark, {"key": key, "version": version})
-    if old.get("version"):
-        p, fs = fs_of(spark, f"{path}/{old['version']}")
-        fs.delete(p, True)
+    try:
+        write_new(spark, f"{marks}/{number + 1:012d}.json", json.dumps({"key": key, "version": version, "before": old.get("version")}))
+    except FileExistsError:
+        remove(spark, f"{path}/{version}")
+        if (got := valid(latest()[1])) is not None:
+            return got
+        raise RuntimeError(f"another writer has rebuilt {path} with other contents") from None
+    if old.get("before"):
+        remove(spark, f"{path}/{old['before']}")
     return spark.read.parquet(f"{path}/{version}")
 
 
