@@ -19,6 +19,7 @@ from lumirank.session import stable
 SHARE = 0.3                   # share of all hash values whose document frequency is counted
 CHUNK_ROWS = 2_000            # documents packed into one row of the counting step
 BUCKET_KEYS = 2_000_000       # counted hashes in one task
+SENT_ROWS = 500_000            # candidates (two ids and a count each, some 20 MB) that are sent to every task
 BLOCK_ROWS, BLOCK_KEYS = 1_000, 2_000_000      # documents, and shingles, in one block of the search
 SKIP = 0.0085                 # DivideSkip's weight of the longest list's logarithm
 _CUT = np.uint64(int(SHARE * (1 << 48)))
@@ -262,7 +263,9 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     c, w = share.filter("blocks = 1").agg(F.sum("c"), F.sum("w")).first()
     tasks = max(1, -(-int(c or 0) // BLOCK_ROWS), -(-int(w or 0) // BLOCK_KEYS))
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("node"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
-    work = texts.join(own.select("node", "root").join(share.select("root", "blocks"), "root"), "node")
+    placed = own.select("node", "root").join(share.select("root", "blocks"), "root")
+    # few candidates are sent to the texts; beyond the bound texts and candidates are shuffled by id
+    work = texts.join(F.broadcast(placed) if own.count() <= SENT_ROWS else placed, "node")
     if not own.filter("rows > 1").isEmpty():
         # rows of one id and text: one of them is searched
         work = work.groupBy("node", "root", "blocks", F.sha2("text", 256).alias("key")).agg(F.first("text").alias("text"))
