@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from lumirank.functions import text
 from lumirank.operators.ordering import with_global_prefix, with_row_number, with_segmented_prefix
@@ -25,13 +25,32 @@ def max_sequence_length(df: DataFrame, column: str, splitter: str) -> int:
     return df.agg(F.max(F.size(text.tokens(F.col(column), splitter)))).first()[0] or 0
 
 
+def cut_counts(counts: DataFrame, most: int) -> DataFrame:
+    """Rows of (token, count) that hold the `most` first by falling count and token, and few more, found without a sort.
+
+    Few distinct counts exist (at most the square root of twice all rows), so the least count that still has a place is
+    found from how many tokens share each. Of the tokens that have just that count, the first by token are picked by
+    a bounded heap in each task, up to the places left.
+    """
+    per = counts.groupBy("count").agg(F.count("*").alias("tokens"))
+    above = F.sum("tokens").over(W.orderBy(F.desc("count")).rowsBetween(W.unboundedPreceding, -1))
+    edge = per.withColumn("above", F.coalesce(above, F.lit(0))).filter((F.col("above") < most) & (F.col("above") + F.col("tokens") >= most)).first()
+    if edge is None:
+        return counts
+    tied = counts.filter(F.col("count") == edge["count"]).orderBy("token").limit(most - edge["above"])
+    return counts.filter(F.col("count") > edge["count"]).unionByName(tied)
+
+
 def build_sized_vocab(counts: DataFrame, max_features: int | None = None, min_freq: int = 1, na_value: str = "",
                       remap: bool = True) -> tuple[DataFrame, int]:
     """(token, idx) by falling count, ties by token, and the OOV index.
 
     Indices start at 1 after the na token is dropped; PAD is 0 and OOV one past the largest.
-    The table is written once, because fitting and every encoding read it.
+    The table is written once, because fitting and every encoding read it. With `max_features` only tokens that can
+    have a place are sorted.
     """
+    if max_features:
+        counts = cut_counts(stable(counts), max_features)
     placed, _ = with_global_prefix(counts, [F.desc("count"), F.asc("token")], {"__before": F.lit(1).cast("long")})
     words = placed.filter((F.col("count") >= min_freq) & (F.col("token") != na_value))
     if max_features:

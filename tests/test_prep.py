@@ -387,3 +387,18 @@ def test_long_sequences_travel_as_digests(spark):
     for plan in (enc._jdf.queryExecution().optimizedPlan().toString(), RM.remap_sequence(df, "s", table)._jdf.queryExecution().optimizedPlan().toString()):
         groups = [x for x in plan.splitlines() if "Aggregate" in x]
         assert groups and all("__key" in x.split("]")[0] for x in groups)
+
+
+@pytest.mark.parametrize("most", [1, 3, 7, 20, 40, 1000])
+def test_a_cut_vocabulary_sorts_few_tokens(spark, most):
+    import random
+    from lumirank.operators import vocab as VO
+    rnd = random.Random(most)
+    data = [(f"t{k}", rnd.choice([1, 1, 1, 2, 5, 9])) for k in range(60)] + [("", 4)]
+    counts = spark.createDataFrame(data, "token string, count long").repartition(3)
+    first = sorted(data, key=lambda r: (-r[1], r[0]))[:most]
+    cut = VO.cut_counts(counts, most)
+    assert set(first) <= set(map(tuple, cut.collect())) and cut.count() <= 2 * most
+    got, oov = VO.build_sized_vocab(counts, most)
+    want = [t for t, _ in first if t]
+    assert {r.token: r.idx for r in got.collect()} == {**{t: i for i, t in enumerate(want, 1)}, "__PAD__": 0, "__OOV__": len(want) + 1} and oov == len(want) + 1
