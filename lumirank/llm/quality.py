@@ -10,9 +10,11 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from lumirank.llm.base import bounded_sample, map_text
 
 CHUNK, STEP = 512, 448        # bytes; neighbouring chunks share 64, every byte is in one or two
-WIDTH, STRIDE = 8, 2          # bytes a filter spans, bytes between two places of it
+WIDTH = 8                     # bytes a filter spans; it is evaluated at every byte
 FILTERS, EMBED = 16, 8
 _PAIRS = WIDTH // 2
+# where the filter stands at each of its places in a chunk: at the even bytes, then at the odd ones
+_OFFSETS = np.concatenate([np.arange(0, CHUNK - WIDTH + 1, 2), np.arange(1, CHUNK - WIDTH + 1, 2)])
 
 
 @dataclass
@@ -45,13 +47,16 @@ def chunks_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def responses(rows: np.ndarray, tables: list[np.ndarray], bias: np.ndarray) -> np.ndarray:
-    """Filter outputs: chunk x place x filter."""
-    pairs = rows.view(">u2").astype(np.intp)
-    places = pairs.shape[1] - _PAIRS + 1
-    out = np.take(tables[0], pairs[:, :places], axis=0)
-    for j in range(1, _PAIRS):
-        out += np.take(tables[j], pairs[:, j:j + places], axis=0)
-    return out + bias.astype(np.float32)
+    """Filter outputs: chunk x place x filter, the places in the order of _OFFSETS."""
+    out = []
+    for part in (rows, np.ascontiguousarray(rows[:, 1:-1])):
+        pairs = part.view(">u2").astype(np.intp)
+        places = pairs.shape[1] - _PAIRS + 1
+        x = np.take(tables[0], pairs[:, :places], axis=0)
+        for j in range(1, _PAIRS):
+            x += np.take(tables[j], pairs[:, j:j + places], axis=0)
+        out.append(x)
+    return np.concatenate(out, axis=1) + bias.astype(np.float32)
 
 
 def pooled(peaks: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
@@ -106,7 +111,7 @@ def train(texts: list[str | None], y: np.ndarray, epochs: int = 6, batch: int =
             np.add.at(ties, owner, top)
             g_peak = err[owner, None] * (model.out[:FILTERS] / count[owner, None] + model.out[FILTERS:] * top / ties[owner])
             g_peak *= live
-            window = rows[np.arange(len(rows))[:, None, None], STRIDE * best[:, :, None] + np.arange(WIDTH)]     # chunk, filter, byte
+            window = rows[np.arange(len(rows))[:, None, None], _OFFSETS[best][:, :, None] + np.arange(WIDTH)]     # chunk, filter, byte
             e = model.embed[window]
             grads = {
                 "out": x.T @ err + 1e-4 * model.out, "out_bias": err.sum(), "bias": g_peak.sum(axis=0),

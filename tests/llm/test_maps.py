@@ -342,3 +342,16 @@ def test_repeated_rows_are_encoded_once(spark, monkeypatch):
     got = token_counts.count_tokens(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), path, cache).collect()
     assert len(got) == 97 and spark.read.parquet(cache).count() == 4
     assert len({(r.doc_id, r.n_bytes, r.n_tokens) for r in got}) == 4 and max(r.n_tokens for r in got) >= 300_000
+
+
+def test_filters_stand_at_every_byte():
+    rng = np.random.default_rng(5)
+    model = quality.ByteCNN(rng.normal(size=(256, quality.EMBED)), rng.normal(size=(quality.WIDTH, quality.EMBED, quality.FILTERS)), rng.normal(size=quality.FILTERS),
+                            rng.normal(size=2 * quality.FILTERS), 0.1)
+    rows = rng.integers(0, 256, (3, quality.CHUNK), np.uint8)
+    got = quality.responses(rows, model.tables(), model.bias)
+    assert sorted(quality._OFFSETS.tolist()) == list(range(quality.CHUNK - quality.WIDTH + 1)) and got.shape[1] == len(quality._OFFSETS)
+    for place in (0, 1, 100, 252, 253, 254, 400, 504):
+        at = quality._OFFSETS[place]
+        want = np.einsum("nwe,wef->nf", model.embed[rows[:, at:at + quality.WIDTH]], model.conv) + model.bias
+        assert np.allclose(got[:, place], want, atol=1e-3)
