@@ -135,7 +135,7 @@ def test_quality_chunks_cover_the_whole_text_and_equal_a_plain_convolution():
             c = np.zeros(quality.CHUNK, int)
             part = b[k * quality.STEP:k * quality.STEP + quality.CHUNK]
             c[:len(part)] = part
-            r = [sum(m.embed[c[p + j]] @ m.conv[j] for j in range(quality.WIDTH)) + m.bias for p in range(0, quality.CHUNK - quality.WIDTH + 1, quality.STRIDE)]
+            r = [sum(m.embed[c[p + j]] @ m.conv[j] for j in range(quality.WIDTH)) + m.bias for p in range(0, quality.CHUNK - quality.WIDTH + 1)]
             peaks.append(np.maximum(np.max(r, axis=0), 0))
         x = np.concatenate([np.mean(peaks, axis=0), np.max(peaks, axis=0)])
         assert np.allclose(quality.probabilities([text], m, m.tables())[0], 1 / (1 + np.exp(-(x @ m.out + m.out_bias))), atol=1e-4)
