@@ -467,10 +467,12 @@ def place_metrics(requests: DataFrame, places: DataFrame, pool_n: int, ks: Seque
     aggs += [F.sum(F.when(F.col("__rank") <= k, 1.0 / F.log2(F.col("__rank") + 1.0)).otherwise(0.0)).alias(f"d_{k}") for k in ks]
     if top:
         inside = F.col("__rank") <= top
-        # of a tie cut by the last rank, only the rows inside count; positives come last unless an order is given
-        shown = F.least(F.lit(top), F.col("higher") + F.col("tied") + 1) - F.col("higher")
-        peers_in = F.sum(F.when(inside, 1).otherwise(0)).over(_by_tie())
-        tied_in = (shown - peers_in) if rank else neg_tied
+        tied_in = neg_tied                                  # positives come last, so the tied rows ahead of one are inside
+        if rank:
+            # of a tie cut by the last rank, only the rows inside count
+            peers = p.groupBy(REQ, "score").agg(F.count_if(inside).alias("__peers_in"))
+            p = p.join(peers, [REQ, "score"])
+            tied_in = F.least(F.lit(top), F.col("higher") + F.col("tied") + 1) - F.col("higher") - F.col("__peers_in")
         p = p.withColumn("__lost_in", F.when(inside, F.col("__nh") + 0.5 * tied_in))
         aggs += [F.count_if(F.col("__rank") <= top).alias("pos_in_top"), F.sum("__lost_in").alias("lost_in")]
     base = requests.select(REQ).join(p.groupBy(REQ).agg(*aggs), REQ, "left")
@@ -488,11 +490,6 @@ def place_metrics(requests: DataFrame, places: DataFrame, pool_n: int, ks: Seque
     return base.select(*cols)
 
 
-def _by_tie():
-    from pyspark.sql import Window as W
-    return W.partitionBy(REQ, "score")
-
-
 def _auc_of(p: Column, n: Column, lost: Column) -> Column:
     return F.when((p > 0) & (n > 0), (p * n - lost) / (p * n)).otherwise(0.0)
 
