@@ -104,6 +104,7 @@ def cached_table(spark: SparkSession, path: str, key: str, build, columns: list[
         if (got := valid(latest()[1])) is not None:
             return got
         raise RuntimeError(f"another writer has rebuilt {path} with other contents") from None
+    write_json(spark, f"{path}.fingerprint.json", {"key": key, "version": version})      # for people and other tools: not read here
     if old.get("before"):
         remove(spark, f"{path}/{old['before']}")
     return spark.read.parquet(f"{path}/{version}")
