@@ -24,7 +24,7 @@ from lumirank.session import stable
 HashOf = Callable[[Column, Column], Column]
 WEIGHT_SCALE = 1_000_000        # weights are fixed-point, so sums do not depend on row order
 
-DISTANCE_BLOCK = 4_096        # vectors on a side of a cell of pairwise distances
+DISTANCE_BLOCK = 16_384       # vectors on a side of a cell of pairwise distances
 
 
 def seeded(seed: int) -> HashOf:
@@ -180,10 +180,10 @@ def hashed_sample(df: DataFrame, n: int, key: list[str], seed: int = 0, hash_exp
     return df.withColumn("__h", h).orderBy("__h", *key).limit(n).drop("__h")
 
 
-def pair_distance(df: DataFrame, key: str, vector: str, max_pairs: int, seed: int = 0) -> DataFrame:
-    """Mean L2 distance over pairs of distinct rows, up to `max_pairs` of them.
+def pair_distance(df: DataFrame, key: str, vector: str, max_pairs: int | None = None, seed: int = 0) -> DataFrame:
+    """Mean L2 distance over pairs of distinct rows: all, or up to `max_pairs` of them.
 
-    When all pairs fit, all are taken and the mean is exact: vectors are dealt to blocks, and each pair of blocks is one
+    Without a cap, or when all pairs fit, all are taken and the mean is exact: vectors are dealt to blocks, and each pair of blocks is one
     cell that gives a count and a sum, so no pair is a row. Else pairs are numbered, (a, b) with a < b from the number,
     and an arithmetic progression through the numbers, whose step shares no factor with their count, takes that many
     different pairs; both ends are looked up by index.
@@ -194,8 +194,8 @@ def pair_distance(df: DataFrame, key: str, vector: str, max_pairs: int, seed: in
     pairs = n * (n - 1) // 2
     if not pairs:
         return df.sparkSession.createDataFrame([(0, None)], "pairs long, mean_distance double")
-    if pairs <= max_pairs:
-        return _all_distances(src, key, n)
+    if max_pairs is None or pairs <= max_pairs:
+        return _all_distances(df.select(key, F.col(vector).alias("v")), key, n)
     idx, _ = with_global_prefix(src, [key], {"__i": F.lit(1).cast("long")})
     take = min(max_pairs, pairs)
     step, first = 1, 0
@@ -227,9 +227,16 @@ def _all_distances(src: DataFrame, key: str, n: int) -> DataFrame:
         x, side = to_numpy(t.column("v")).astype(np.float64), to_numpy(t.column("m"))
         i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
         a, b = x[side == i], x[side == j]
-        total, count, step = 0.0, 0, max(1, (1 << 23) // max(b.size, 1))
+        na, nb = (a ** 2).sum(axis=1), (b ** 2).sum(axis=1)
+        total, count, step = 0.0, 0, max(1, (1 << 22) // max(len(b), 1))
         for at in range(0, len(a), step):
-            d = np.sqrt(((a[at:at + step, None, :] - b[None]) ** 2).sum(axis=2))
+            size = na[at:at + step, None] + nb[None]
+            d = size - 2.0 * (a[at:at + step] @ b.T)
+            near = np.argwhere(d < 1e-4 * size)              # close vectors cancel out here: theirs from the differences
+            for k in range(0, len(near), 1 << 16):
+                r, c = near[k:k + (1 << 16)].T
+                d[r, c] = ((a[at + r] - b[c]) ** 2).sum(axis=1)
+            np.sqrt(d, out=d)
             if i == j:                                       # each pair once
                 d = d[np.arange(len(b))[None, :] > np.arange(at, at + len(d))[:, None]]
             total, count = total + float(d.sum()), count + d.size

@@ -44,6 +44,17 @@ def test_distances_by_cells(spark, monkeypatch):
     assert SA.pair_distance(df.limit(1), "k", "e", 100).first().pairs == 0
 
 
+def test_all_distances_without_a_cap(spark, monkeypatch):
+    monkeypatch.setattr(SA, "DISTANCE_BLOCK", 11)
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(40, 5)) + 1e4                       # far from the origin and close together: squares cancel out
+    x[30:] = x[:10] + 1e-6
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "k long, e array<double>").repartition(3)
+    got = SA.pair_distance(df, "k", "e").first()
+    d = [np.linalg.norm(x[i] - x[j]) for i in range(40) for j in range(i)]
+    assert got.pairs == len(d) and got.mean_distance == pytest.approx(np.mean(d), abs=1e-9)
+
+
 @pytest.mark.parametrize("kernel", ["gram", "rbf", "cosine"])
 def test_lists_of_all_lengths_are_stacked(spark, kernel):
     rng = np.random.default_rng(4)
