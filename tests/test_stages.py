@@ -312,3 +312,12 @@ def test_scorers_learn_and_an_unregularised_fit_keeps_the_label_rate(spark, kind
     if kind == "linear_scorer":
         r = out.selectExpr("avg(score) AS s", "avg(label) AS y").first()
         assert abs(r.s - r.y) < 1e-3
+
+
+def test_leakage_table_writes_numbers_in_plain_digits(spark):
+    s = spark.createDataFrame([(12_500_000, 900, 900 / 12_500_000)], "checks long, hits long, hit_rate double")
+    e = spark.createDataFrame([], "request_id string, sequence_column string, positive_item string")
+    got = J.leakage_table({"summary": s, "examples": e, "conditioned_columns": ["label"]})
+    assert rows(got.filter("part = 'summary'"), "name", "value") == [("checks", "12500000.0"), ("hit_rate", "7.2e-05"), ("hits", "900.0")]
+    small = J.leakage_table({"summary": s.withColumn("hit_rate", F.lit(0.0005)), "examples": e, "conditioned_columns": ["label"]})
+    assert rows(small.filter("name = 'hit_rate'"), "value") == [("0.0005",)]
