@@ -314,6 +314,12 @@ def test_scorers_learn_and_an_unregularised_fit_keeps_the_label_rate(spark, kind
         assert abs(r.s - r.y) < 1e-3
 
 
+def test_compaction_keeps_ids_past_the_declared_size(spark):
+    d = spark.createDataFrame([(1, 7), (2, 5_000), (3, 90_000)], "k long, code long")
+    out = J.compact_dataset({"train": d}, ["code"], {"code": 1_000})
+    assert rows(out["tables"]["train"], "k", "code") == [(1, 1), (2, 2), (3, 3)]
+
+
 def test_leakage_table_writes_numbers_in_plain_digits(spark):
     s = spark.createDataFrame([(12_500_000, 900, 900 / 12_500_000)], "checks long, hits long, hit_rate double")
     e = spark.createDataFrame([], "request_id string, sequence_column string, positive_item string")
