@@ -9,6 +9,8 @@ from lumirank.plans import jobs as J
 from lumirank.sources import clicklog as CL, relations as RL, tabular as TB, tfrecord as TF
 from lumirank.sources.synthetic import synthetic_splits
 
+SF = "/root/testdata/sf0.01"
+
 
 @pytest.fixture(scope="module")
 def vecs(spark):
@@ -327,3 +329,16 @@ def test_leakage_table_writes_numbers_in_plain_digits(spark):
     assert rows(got.filter("part = 'summary'"), "name", "value") == [("checks", "12500000.0"), ("hit_rate", "7.2e-05"), ("hits", "900.0")]
     small = J.leakage_table({"summary": s.withColumn("hit_rate", F.lit(0.0005)), "examples": e, "conditioned_columns": ["label"]})
     assert rows(small.filter("name = 'hit_rate'"), "value") == [("0.0005",)]
+
+
+def test_fit_summary_takes_a_small_gain_of_many_rows_for_a_gain(spark):
+    from lumirank.operators.classification import auc
+    from lumirank.plans import stage_queries as Q
+    def weak(d):
+        u = F.pmod(F.xxhash64("request_id", "item_id", "line_no"), F.lit(1_000_003)) / 1_000_003.0
+        return lambda x: x.withColumn("score", u + F.col("label") * SHIFT)
+    found = {}
+    for SHIFT in (0.006, -0.1):
+        d = Q.V.with_features(spark, SF, Q.V.lines(spark, SF))
+        found[SHIFT] = (auc(weak(d)(d)).first()["auc"], Q._fit_summary(spark, SF, weak).first().ranks_better)
+    assert 0.5 < found[0.006][0] < 0.505 and found[0.006][1] and not found[-0.1][1]
