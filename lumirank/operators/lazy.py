@@ -413,6 +413,23 @@ def rank_all(lazy: LazyCandidates, scorer: VectorScorer | PairScorer, k: int, we
     return Ranked(top, places, auc, visits)
 
 
+def top_lists(lazy: LazyCandidates, scorer: VectorScorer | PairScorer, k: int) -> DataFrame:
+    """The lists of `rank_all` alone (request_id, item_id, score, label, rank), without places and metrics.
+
+    Requests with equal features have equal lists, so each such class visits the cells once, as its first request.
+    What a model costs then grows with classes x items, however many requests there are.
+    """
+    users, own = lazy.requests, [scorer.user_vector] if isinstance(scorer, VectorScorer) else scorer.user_columns
+    classes = stable(users.groupBy(*own).agg(F.min(REQ).alias("__first")))
+    one = LazyCandidates(classes.withColumnRenamed("__first", REQ), lazy.pool, lazy.positives.limit(0), lazy.metadata)
+    lists = stable(rank_all(one, scorer, k).top.withColumnRenamed(REQ, "__first"))
+    key = classes.select("__first", *[F.col(c).alias(f"__k_{j}") for j, c in enumerate(own)])
+    same = [F.col(c).eqNullSafe(F.col(f"__k_{j}")) for j, c in enumerate(own)]
+    top = users.join(key, same).select(REQ, "__first").join(lists, "__first")
+    hits = lazy.positives.select(REQ, ITEM).distinct().withColumn("label", F.lit(1))
+    return top.join(hits, [REQ, ITEM], "left").select(REQ, ITEM, "score", F.coalesce("label", F.lit(0)).alias("label"), "rank")
+
+
 def _edge_blocks(scored: DataFrame) -> list[np.ndarray]:
     """Distinct scores of the positives in ascending blocks of at most EDGES; the driver holds one number each."""
     distinct = scored.select(F.col("__s")[0].alias("s")).distinct()

@@ -38,8 +38,7 @@ def _bootstrap(spark, sf, pool, **limits):
   SELECT r.request_id, r.item_id, score, coalesce(label, 0)::INTEGER AS label, rank::INTEGER AS rank FROM r LEFT JOIN pos USING (request_id, item_id) WHERE rank <= 10""")
 def _(spark, sf):
     rel = _bootstrap(spark, sf, V.items(spark, sf).select("item_id", "size", "retail"))
-    got = L.lazy_report(rel, scoring.PairScorer(_load_model, ["quantity"], ["size", "retail"]), [5, 10], 10)
-    return rounded(got["top"], 9)
+    return rounded(L.top_lists(rel, scoring.PairScorer(_load_model, ["quantity"], ["size", "retail"]), 10), 9)
 
 
 @query("c8_all_items_counts", f"""WITH {V.LINES}, {V.ITEMS}, {_USERS}, pool AS (SELECT item_id FROM items WHERE size < 40), n AS (SELECT count(*) AS n_items FROM pool),

@@ -139,6 +139,30 @@ def test_pair_models_equal_all_pairs(spark, monkeypatch):
     assert [r.item_id for r in got["top"].filter("request_id = 7").orderBy("rank").collect()] == np.lexsort((np.arange(100), -s[7]))[:10].tolist()
 
 
+def test_lists_of_equal_requests_are_made_once(spark, monkeypatch):
+    monkeypatch.setattr(L, "ITEM_BLOCK", 30)
+    visits = []
+    run = L.rank_all
+    monkeypatch.setattr(L, "rank_all", lambda *a, **k: (lambda r: visits.extend(r.visits) or r)(run(*a, **k)))
+    rng = np.random.default_rng(8)
+    a, b = [int(x) if x else None for x in rng.integers(0, 4, N_REQ)], rng.integers(0, 9, 100)
+    req = spark.createDataFrame(list(enumerate(a)), "request_id long, a int").repartition(3)
+    pool = spark.createDataFrame([(i, int(x)) for i, x in enumerate(b)], "item_id long, b int")
+    pos = spark.createDataFrame([(1, 2), (1, 3), (5, 7), (5, 7)], "request_id long, item_id long")
+
+    def pair_model():
+        return lambda f: np.nan_to_num(f["a"].astype(float), nan=5.0) * f["b"] % 7
+
+    rel = L.LazyCandidates(req, pool, pos)
+    got = L.top_lists(rel, scoring.PairScorer(pair_model, ["a"], ["b"]), 8)
+    cells = sum(visits)
+    whole = L.lazy_report(rel, scoring.PairScorer(pair_model, ["a"], ["b"]), [8], 8)["top"]
+    assert got.columns == whole.columns and sorted(map(tuple, got.collect())) == sorted(map(tuple, whole.collect()))
+    assert cells == len(set(a)) * 4 and sum(visits) - cells >= N_REQ * 4     # four blocks of items
+    vectors, *_ = world(spark, 9)
+    assert sorted(map(tuple, L.top_lists(vectors, scoring.VectorScorer(), 5).collect())) == sorted(map(tuple, L.lazy_report(vectors, scoring.VectorScorer(), [5], 5)["top"].collect()))
+
+
 def test_bootstrap_of_a_log(spark):
     log = spark.createDataFrame([(1, 10, 0.0, 1, 5), (1, 11, 1.0, 2, 6), (2, 10, 0.0, 3, 7), (3, 99, 2.0, 4, 8), (4, 12, 1.0, 5, 9), (4, 12, 1.0, 6, 1)],
                                 "imp long, item long, y double, at long, f int")
