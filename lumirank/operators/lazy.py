@@ -21,10 +21,11 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from lumirank.functions.numeric import popularity_prior, popularity_stats
 from lumirank.operators import diversity, ranking_metrics
+from lumirank.operators.cells import best as _best
 from lumirank.operators.filters import binarize, cap_requests
 from lumirank.operators.ordering import first_per_key, top_k, with_global_prefix, with_prefix, with_row_number
 from lumirank.operators.ranking_metrics import ITEM, REQ, ideal_dcg
-from lumirank.operators.retrieve import CELL_SCORES, ITEM_BLOCK, MAX_BLOCKS, NEIGHBOURS, USER_BLOCK, _best
+from lumirank.operators.retrieve import CELL_SCORES, ITEM_BLOCK, MAX_BLOCKS, NEIGHBOURS, USER_BLOCK
 from lumirank.operators.scoring import PairScorer, VectorScorer, to_numpy
 from lumirank.session import stable
 
