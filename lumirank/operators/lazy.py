@@ -2,9 +2,10 @@
 
 A lazy candidate relation holds requests, pool and positives. Users and items are put into blocks; a visited
 (users, block) cell is scored once, in one task, and gives back k rows per request, two counts per positive and
-score view, and counts of scores between the positives' scores. For dot products a block's pivot and radius,
+score view, and one sum over its scores of the positives' scores below them (for the AUC). For dot products a block's pivot and radius,
 and the interval of its items' priors, bound all its scores: where the bounds settle everything, the block is
-counted as a whole and not visited. What leaves the cells is requests x k rows, positives and bins.
+counted as a whole and not visited. What leaves the cells is requests x k rows, positives and sums.
+Blocks go in groups, which get one copy of a request each (see `retrieve`).
 """
 
 from __future__ import annotations
@@ -20,18 +21,16 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from lumirank.functions.numeric import popularity_prior, popularity_stats
-from lumirank.operators import diversity, ranking_metrics
-from lumirank.operators.cells import best as _best
+from lumirank.operators import cells as CE, diversity, ranking_metrics
 from lumirank.operators.filters import binarize, cap_requests
 from lumirank.operators.ordering import first_per_key, top_k, with_global_prefix, with_prefix, with_row_number
 from lumirank.operators.ranking_metrics import ITEM, REQ, ideal_dcg
-from lumirank.operators.retrieve import CELL_SCORES, ITEM_BLOCK, MAX_BLOCKS, NEIGHBOURS, USER_BLOCK
+from lumirank.operators.retrieve import CHUNK, ITEM_BLOCK, MAX_BLOCKS, NEIGHBOURS, USER_BLOCK, cell_blocks, cell_parts
 from lumirank.operators.scoring import PairScorer, VectorScorer, to_numpy
 from lumirank.session import stable
 
-CHUNK = 256                   # positives that one left row carries; a request with more has more rows
-EDGES = 1 << 20               # distinct scores of positives that one pass counts between (held by every task)
-LIST, PLACE, BIN = 0, 1, 2    # kinds of rows that leave a cell
+EDGES = 1 << 22               # distinct scores of positives that one pass counts between (held by every task)
+LIST, PLACE, SUM = 0, 1, 2    # kinds of rows that leave a cell
 
 
 # ---------------------------------------------------------------- the relation
@@ -91,6 +90,10 @@ class _Index:
     radius: np.ndarray | None = None
     prior: np.ndarray | None = None        # least and greatest prior per block
 
+    def __post_init__(self):
+        self.group, self.bit = CE.groups(self.count, ITEM_BLOCK)
+        self.first = np.flatnonzero(self.bit == 0)           # of each group
+
     def bounds(self, scorer: VectorScorer, u: np.ndarray, weight: float) -> tuple[np.ndarray, np.ndarray]:
         """Least and greatest score that each block can hold for each user, with room for rounding."""
         mid = u @ self.pivots.T
@@ -188,18 +191,13 @@ class _Rows:
         self.own = to_numpy(col("__ps").flatten()).astype(np.float64).reshape(-1, views)
 
 
-def _bins(scores: np.ndarray, edges: np.ndarray) -> np.ndarray:
-    """2 i + 1 for a score equal to edge i, 2 i for one below edge i and above the one before."""
-    at = np.searchsorted(edges, scores)
-    return 2 * at + (edges[np.minimum(at, len(edges) - 1)] == scores)
-
-
 class _Job:
     """What is wanted of the cells, and how a batch of left rows decides which blocks it must visit."""
 
-    def __init__(self, index: _Index, scorer, weights, k: int, lists: bool, places: bool, edges: np.ndarray | None):
+    def __init__(self, index: _Index, scorer, weights, k: int, lists: bool, places: bool, edges: tuple[np.ndarray, np.ndarray] | None):
         self.index, self.scorer, self.weights, self.k = index, scorer, list(weights), k
-        self.lists, self.places, self.edges = lists, places, edges
+        self.lists, self.places = lists, places
+        self.edges, self.edge_weight = edges or (None, None)
 
     def settled(self, rows: _Rows, least: np.ndarray, seen: np.ndarray | None):
         """Per view the bounds, and the (row, block) cells whose scores must be computed."""
@@ -245,79 +243,69 @@ def _cell(job: _Job, schema: T.StructType):
         empty = to_arrow_schema(schema).empty_table()
         if not lt.num_rows or not rt.num_rows:
             return empty
-        rt = rt.sort_by(ITEM)
+        rt = rt.sort_by([("__b", "ascending"), (ITEM, "ascending")])
         rows, ids = _Rows(lt, scorer, len(weights)), rt.column(ITEM).combine_chunks()
         feats = {c: to_numpy(rt.column(c)) for c in scorer.item_columns}
         prior, n = to_numpy(rt.column("__prior")).astype(np.float64), rt.num_rows
+        blocks, need = cell_blocks(rt.column("__b").to_numpy(), job.index.bit, lt.column("__need").to_numpy())
+        order = np.empty(n, np.int64)
+        order[pc.sort_indices(ids).to_numpy()] = np.arange(n)
+        least = to_numpy(lt.column("__least")).astype(np.float64) if "__least" in lt.column_names else None
+        bound = math.inf
+        if isinstance(scorer, VectorScorer):
+            score = CE.Dots(scorer.ready(rows.features["__u"]), scorer.ready(feats["__v"]), scorer.temperature, scorer.decimals, single=job.edges is None)
+            bound = float(score.norm.max()) * score.reach + abs(weights[0]) * float(np.abs(prior).max())
+        else:
+            def tile(r, a, b):
+                s = scorer.matrix({c: x[r] for c, x in rows.features.items()}, {c: x[a:b] for c, x in feats.items()}, len(r), b - a)
+                return np.where(np.isnan(s), -np.inf, s)                     # ranks nowhere
+
+            score = CE.Matrix(tile, rows.n, scorer.decimals)
+        tally = None if job.edges is None else CE.Tally(job.edges, job.edge_weight, scorer.decimals, bound, rows.n * n)
         where = pc.index_in(rows.item, value_set=ids).fill_null(-1).to_numpy(zero_copy_only=False)
-        starts = np.r_[0, np.cumsum(rows.per)]
-        out, bins = [], None if job.edges is None else np.zeros(2 * len(job.edges) + 1, np.int64)
-        higher, tied = (np.zeros(rows.own.shape, np.int64) for _ in range(2))
-        lr, lc, ls = [], [], []
-        step, keep = max(1, CELL_SCORES // n), min(job.k, n)
-        for at in range(0, rows.n, step):
-            to = min(at + step, rows.n)
-            s = scorer.matrix({c: x[at:to] for c, x in rows.features.items()}, feats, to - at, n)
-            base = np.round(s + weights[0] * prior, scorer.decimals) if weights[0] else s
-            leads = np.flatnonzero(rows.lead[at:to])
-            if bins is not None and len(leads):
-                bins += np.bincount(_bins(base[leads].ravel(), job.edges), minlength=len(bins))
-            if job.lists and len(leads):
-                best = _best(base[leads], keep)
-                lr.append(np.repeat(leads + at, keep))
-                lc.append(best.ravel())
-                ls.append(np.take_along_axis(base[leads], best, 1).ravel())
-            if job.places:
-                mine = slice(int(starts[at]), int(starts[to]))
-                row, place = rows.row[mine] - at, where[mine]
-                for v, w in enumerate(weights):
-                    x = base if w == weights[0] else np.round(s + w * prior, scorer.decimals)
-                    for a in range(0, len(row), step):                       # some positives at a time: bounded memory
-                        r, own, pl = row[a:a + step], rows.own[mine][a:a + step, v], place[a:a + step]
-                        y = x[r]
-                        here = np.flatnonzero(pl >= 0)
-                        y[here, pl[here]] = np.nan                           # an item is not compared with itself
-                        sl = slice(mine.start + a, mine.start + a + len(r))
-                        higher[sl, v], tied[sl, v] = (y > own[:, None]).sum(axis=1), (y == own[:, None]).sum(axis=1)
-        if lr:
-            out.append(_table(schema, LIST, rows.request.take(pa.array(np.concatenate(lr))), ids.take(pa.array(np.concatenate(lc))), score=np.concatenate(ls)))
+        per, own = (rows.per, rows.own) if job.places else (None, None)
+        (r, c, s), higher, tied, _ = CE.Scan(score, blocks, need, order, prior, weights).run(
+            job.k if job.lists else 0, rows.lead, None if least is None else np.where(np.isnan(least), -np.inf, least), per, own, where, None, tally)
+        out = []
+        if len(r):
+            out.append(_table(schema, LIST, rows.request.take(pa.array(r)), ids.take(pa.array(c)), score=np.where(np.isneginf(s), np.nan, s)))
         if job.places and len(rows.row):
             for v in range(len(weights)):
                 out.append(_table(schema, PLACE, rows.request.take(pa.array(rows.row)), rows.item, np.full(len(rows.row), v, np.int32), None, higher[:, v], tied[:, v]))
-        if bins is not None:
-            hit = np.flatnonzero(bins)
-            out.append(_table(schema, BIN, None, None, None, hit.astype(np.float64), bins[hit]))
+        if tally is not None:
+            out.append(_table(schema, SUM, None, None, higher=np.array([tally.flush()])))
         return pa.concat_tables(out) if out else empty
 
     return run
 
 
 def _run_cells(left: DataFrame, items: DataFrame, job: _Job, schema: T.StructType, visits: list[int]) -> DataFrame:
-    """Left rows that know their block (__p) meet its items, in cells of bounded size."""
+    """Left rows that know their group (__p) and its blocks (__need) meet the items, in cells of bounded size."""
     index, spark = job.index, left.sparkSession
-    per = [(r["__p"], r["count"]) for r in left.groupBy("__p").count().collect()]            # one row per block
-    visits.append(sum(n for _, n in per))
-    parts = spark.createDataFrame([(p, math.ceil(n / USER_BLOCK), math.ceil(int(index.count[p]) / ITEM_BLOCK)) for p, n in per], "__p int, ns int, ni int")
-    parts = F.broadcast(parts)                                                               # at most MAX_BLOCKS rows
+    per = [(r["__p"], r["n"], r["b"]) for r in left.groupBy("__p").agg(F.count("*").alias("n"), F.sum(F.bit_count("__need")).alias("b")).collect()]   # one row per group
+    visits.append(sum(b for *_, b in per))
+    parts, of_block = cell_parts([(p, n) for p, n, _ in per], index.group, index.count, USER_BLOCK, ITEM_BLOCK, spark.sparkContext.defaultParallelism)
+    parts = F.broadcast(spark.createDataFrame(parts, "__p int, ns int, ni int"))
+    of_block = F.broadcast(spark.createDataFrame(of_block, "__b int, __p int, ns int, ni int"))      # at most MAX_BLOCKS rows
     l = (left.join(parts, "__p").withColumn("__s", F.pmod(F.xxhash64(REQ), F.col("ns")).cast("int"))
          .withColumn("__i", F.explode(F.expr("sequence(0, ni - 1)"))).drop("ns", "ni"))
-    r = (items.join(parts, "__p").withColumn("__i", F.pmod(F.xxhash64(ITEM, F.lit(9)), F.col("ni")).cast("int"))
+    r = (items.withColumnRenamed("__p", "__b").join(of_block, "__b").withColumn("__i", F.pmod(F.xxhash64(ITEM, F.lit(9)), F.col("ni")).cast("int"))
          .withColumn("__s", F.explode(F.expr("sequence(0, ns - 1)"))).drop("ns", "ni"))
     cell = ["__p", "__s", "__i"]
     return l.groupBy(*cell).cogroup(r.groupBy(*cell)).applyInArrow(_cell(job, schema), schema)
 
 
-def _route(left: DataFrame, choose) -> DataFrame:
-    """One copy of a row for each block that `choose(batch)` marks."""
-    schema = T.StructType([*left.schema.fields, T.StructField("__p", T.IntegerType())])
+def _route(left: DataFrame, index: _Index, choose) -> DataFrame:
+    """One copy of a row for each group with blocks that `choose(batch)` marks, with these as bits."""
+    schema = T.StructType([*left.schema.fields, T.StructField("__p", T.IntegerType()), T.StructField("__need", T.LongType())])
 
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                row, block = np.nonzero(choose(part))
+                row, group, bits = CE.group_needs(choose(part), index.group, index.bit)
                 out = part.take(pa.array(row))
-                yield pa.RecordBatch.from_arrays([*out.columns, pa.array(block, pa.int32())], schema=to_arrow_schema(schema))
+                yield pa.RecordBatch.from_arrays([*out.columns, pa.array(group, pa.int32()), pa.array(bits, pa.int64())], schema=to_arrow_schema(schema))
 
     return stable(left.mapInArrow(run, schema))
 
@@ -326,49 +314,50 @@ def _visit(left: DataFrame, items: DataFrame, job: _Job, schema: T.StructType, v
     """All rows that leave the cells, and those of blocks that are counted as a whole."""
     index, scorer = job.index, job.scorer
     if not isinstance(scorer, VectorScorer):
-        blocks = F.array(*[F.lit(int(p)) for p in np.flatnonzero(index.count)])
-        return _run_cells(left.withColumn("__p", F.explode(blocks)), items, job, schema, visits)
+        _, group, bits = CE.group_needs(index.count[None] > 0, index.group, index.bit)
+        all_ = F.array(*[F.struct(F.lit(int(g)).alias("g"), F.lit(int(b)).cast("long").alias("b")) for g, b in zip(group, bits)])
+        every = left.withColumn("__x", F.explode(all_)).select(*left.columns, F.col("__x.g").alias("__p"), F.col("__x.b").alias("__need"))
+        return _run_cells(every, items, job, schema, visits)
 
     def nearest(batch):
         upper = scorer.ready(to_numpy(batch.column(1))) @ index.pivots.T
         best = np.where(index.count > 0, upper, -np.inf).argmax(axis=1)
         return np.arange(len(index.count)) == best[:, None]
 
-    first = _route(left, nearest)
+    first = _route(left, index, nearest)
     near = stable(_run_cells(first, items, job, schema, visits))
     reach = near.filter(F.col("kind") == LIST).groupBy(REQ).agg(F.when(F.count("*") >= job.k, F.min("score")).alias("__least"))
-    open_ = stable(first.withColumnRenamed("__p", "__seen").join(reach, REQ, "left").select(*left.columns, "__seen", "__least"))
+    open_ = stable(first.withColumnRenamed("__p", "__g").withColumnRenamed("__need", "__bit").join(reach, REQ, "left").select(*left.columns, "__g", "__bit", "__least"))
     views = len(job.weights)
 
     def state(batch):
         rows = _Rows(batch, scorer, views)
-        least = to_numpy(batch.column(batch.num_columns - 1)).astype(np.float64)
-        return rows, job.settled(rows, np.where(np.isnan(least), -np.inf, least), to_numpy(batch.column(batch.num_columns - 2)))
+        group, bit, least = (to_numpy(batch.column(batch.num_columns - 3 + j)) for j in range(3))
+        least, seen = least.astype(np.float64), index.first[group] + np.round(np.log2(bit.astype(np.float64))).astype(np.int64)
+        return rows, job.settled(rows, np.where(np.isnan(least), -np.inf, least), seen), seen
 
     def others(batch):
         return state(batch)[1][0]
 
     def whole(batches):
         # blocks that need no visit: they lie above or below each positive, and between two edges, as a whole
-        bins = None if job.edges is None else np.zeros(2 * len(job.edges) + 1, np.int64)
+        total, below = 0, None if job.edges is None else np.r_[0, np.cumsum(job.edge_weight)]
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
-                rows, (need, bounds) = state(batch.slice(at, 512))
-                seen = to_numpy(batch.slice(at, 512).column(batch.num_columns - 2))
+                rows, (need, bounds), seen = state(batch.slice(at, 512))
                 free = ~need & (np.arange(len(index.count)) != seen[:, None])
                 if job.places and len(rows.row):
                     for v, (low, _) in enumerate(bounds):
                         above = ((low[rows.row] > rows.own[:, v, None]) & free[rows.row]) @ index.count
                         t = _table(schema, PLACE, rows.request.take(pa.array(rows.row)), rows.item, np.full(len(rows.row), v, np.int32), None, above, np.zeros(len(above), np.int64))
                         yield from t.to_batches()
-                if bins is not None:
+                if below is not None:
                     r, b = np.nonzero(free & rows.lead[:, None] & (index.count > 0))
-                    bins += np.bincount(2 * np.searchsorted(job.edges, bounds[0][0][r, b]), index.count[b], len(bins)).astype(np.int64)
-        if bins is not None:
-            hit = np.flatnonzero(bins)
-            yield from _table(schema, BIN, None, None, None, hit.astype(np.float64), bins[hit]).to_batches()
+                    total += 2 * int((below[np.searchsorted(job.edges, bounds[0][0][r, b])] * index.count[b]).sum())
+        if below is not None:
+            yield from _table(schema, SUM, None, None, higher=np.array([total])).to_batches()
 
-    rest = _run_cells(_route(open_, others).drop("__seen", "__least"), items, job, schema, visits)
+    rest = _run_cells(_route(open_, index, others).drop("__g", "__bit"), items, job, schema, visits)
     return near.unionByName(rest).unionByName(open_.mapInArrow(whole, schema))
 
 
@@ -431,38 +420,31 @@ def top_lists(lazy: LazyCandidates, scorer: VectorScorer | PairScorer, k: int) -
     return top.join(hits, [REQ, ITEM], "left").select(REQ, ITEM, "score", F.coalesce("label", F.lit(0)).alias("label"), "rank")
 
 
-def _edge_blocks(scored: DataFrame) -> list[np.ndarray]:
-    """Distinct scores of the positives in ascending blocks of at most EDGES; the driver holds one number each."""
-    distinct = scored.select(F.col("__s")[0].alias("s")).distinct()
+def _edge_blocks(scored: DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Distinct scores of the positives in ascending blocks of at most EDGES, and how many have each; the driver holds two numbers each."""
+    distinct = scored.groupBy(F.col("__s")[0].alias("s")).agg(F.count("*").alias("n"))
     n = distinct.count()
     if n <= EDGES:
-        blocks = [distinct.collect()] if n else []
+        blocks = [distinct.toArrow()] if n else []
     else:
         numbered = stable(with_row_number(distinct, [], ["s"], "__n"))
-        blocks = [numbered.filter((F.col("__n") > at) & (F.col("__n") <= at + EDGES)).select("s").collect() for at in range(0, n, EDGES)]
-    return [np.sort(np.array([r["s"] for r in b], np.float64)) for b in blocks]
+        blocks = [numbered.filter((F.col("__n") > at) & (F.col("__n") <= at + EDGES)).select("s", "n").toArrow() for at in range(0, n, EDGES)]
+    return [tuple(b.sort_by("s").column(c).to_numpy() for c in ("s", "n")) for b in blocks]
 
 
 def _global_auc(found, scored, cuts, left, items, schema, visits, job, total) -> float | None:
-    """AUC over all pairs from the counts of scores at and between the positives' scores, one block of edges a pass."""
-    n_pos, lost = scored.count(), 0.0
+    """AUC over all pairs from the sum, over all scores, of the positives' scores below (ties: half), one block of edges a pass."""
+    n_pos, lost = scored.count(), 0
     if not n_pos or total == n_pos:
         return None
-    for i, edges in enumerate(cuts):
+    for i, (edges, p) in enumerate(cuts):
         if i:
-            found = _visit(left, items, _Job(job.index, job.scorer, job.weights, job.k, False, False, edges), schema, visits)
-        bins = np.zeros(2 * len(edges) + 1, np.int64)
-        for r in found.filter(F.col("kind") == BIN).groupBy(F.col("score").cast("long").alias("b")).agg(F.sum("higher").alias("n")).collect():
-            bins[r["b"]] = r["n"]                                            # at most two counts per edge
-        own = scored.select(F.col("__s")[0].alias("s")).filter((F.col("s") >= float(edges[0])) & (F.col("s") <= float(edges[-1])))
-        p = np.zeros(len(edges), np.int64)
-        for r in own.groupBy("s").count().collect():
-            p[np.searchsorted(edges, r["s"])] = r["count"]
+            found = _visit(left, items, _Job(job.index, job.scorer, job.weights, job.k, False, False, cuts[i]), schema, visits)
+        pairs = found.filter(F.col("kind") == SUM).agg(F.sum(F.col("higher").cast("decimal(20,0)"))).first()[0] or 0
         above_pos = scored.filter(F.col("__s")[0] > float(edges[-1])).count()
-        higher = bins[::-1].cumsum()[::-1][2::2]                             # all pairs above edge i
         higher_pos = above_pos + np.r_[p[::-1].cumsum()[::-1][1:], 0]
-        lost += float((p * ((higher - higher_pos) + 0.5 * (bins[1::2] - p))).sum())
-    return 1.0 - lost / (n_pos * (total - n_pos))
+        lost += int(pairs) - int((p * (2 * higher_pos + p)).sum())            # twice what is lost
+    return 1.0 - lost / (2 * n_pos * (total - n_pos))
 
 
 # ---------------------------------------------------------------- metrics

@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from lumirank.operators import cells as CE, retrieve as RT
+from lumirank.operators import cells as CE, lazy as L, retrieve as RT, scoring
 
 
 @pytest.mark.parametrize("copies, temperature, prior", [(False, 1.0, False), (True, 0.05, False), (True, 1.0, True)])
@@ -57,3 +57,18 @@ def test_a_group_gets_one_copy_of_a_row(spark, monkeypatch):
     places = {(r.request_id, r.item_id): r.higher for r in RT.positive_places(mk("request_id"), p, mk("item_id")).collect()}
     assert places == {(r, c): int((s[r] > s[r, c]).sum()) for r in range(200) for c in ((r * 7 + d) % 200 for d in range(3))}
     assert [x.count() for x in routed] == [200, 200, 400]              # places: one more row for what is counted as a whole
+
+
+def test_cells_send_one_sum_for_the_auc(spark, monkeypatch):
+    """A cell used to send a count for each score of a positive that it met."""
+    rng = np.random.default_rng(6)
+    x, y = rng.normal(size=(60, 5)), rng.random((60, 60)) < 0.1
+    mk = lambda k: spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], f"{k} long, embedding array<double>")
+    pos = spark.createDataFrame([(int(r), int(c)) for r, c in zip(*np.nonzero(y))], "request_id long, item_id long")
+    found, visit = [], L._visit
+    monkeypatch.setattr(L, "_visit", lambda *a: found.append(visit(*a)) or found[-1])
+    s = np.round(x @ x.T, 9)
+    got = L.rank_all(L.LazyCandidates(mk("request_id"), mk("item_id"), pos), scoring.VectorScorer(), 3, global_auc=True)
+    a, b = s[y], s[~y]
+    assert got.auc == pytest.approx(float(np.mean((a[:, None] > b) + 0.5 * (a[:, None] == b))), abs=1e-12)
+    assert found[0].filter("kind = 2").count() <= 3
