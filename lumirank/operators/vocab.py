@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from lumirank.functions import text
 from lumirank.operators.ordering import with_global_prefix, with_row_number, with_segmented_prefix
@@ -170,27 +170,37 @@ def encode_sequence(df: DataFrame, column: str, vocab: DataFrame, max_len: int,
     oov = oov_index(vocab) if oov is None else oov
     kept = F.coalesce(F.col(column).cast("string"), F.lit(""))
     toks = text.truncate(text.tokens(kept, splitter), max_len, padding)
-    seqs = df.select(text.content_key(kept).alias("__key"), toks.alias("__toks")).groupBy("__key").agg(F.first("__toks").alias("__toks"))
+    # distinct rows are hashed, where a first value of each key would sort all rows of a task
+    seqs = df.select(text.content_key(kept).alias("__key"), toks.alias("__toks")).distinct()
     exploded = seqs.select("__key", F.posexplode("__toks").alias("__pos", "__tok"))
     v = vocab.select(F.col("token").alias("__tok"), F.col("idx").alias("__idx"))
     code = F.when(F.col("__tok") == na_value, F.lit(0)).otherwise(F.coalesce("__idx", F.lit(oov))).cast("int")
     coded = exploded.join(v, "__tok", "left").select("__key", "__pos", code.alias("__code"))
     rows = coded.groupBy("__key").agg(F.array_sort(F.collect_list(F.struct("__pos", "__code"))).alias("__s"))
     codes = rows.select("__key", text.pad(F.transform("__s", lambda s: s["__code"]), max_len, F.lit(0), padding).alias("__codes"))
-    return df.join(codes, text.content_key(kept) == F.col("__key")).withColumn(out or column, F.col("__codes")).drop("__key", "__codes")
+    return _joined_codes(df, text.content_key(kept), codes, column, out or column, "inner")
+
+
+def _joined_codes(df: DataFrame, key: Column, codes: DataFrame, column: str, out: str, how: str) -> DataFrame:
+    """`df` with the codes of its sequences; where they replace the column, only its digest is shuffled."""
+    keyed = df.withColumn("__digest", key)
+    if out == column:
+        keyed = keyed.drop(column)
+    got = keyed.join(codes, F.col("__digest") == F.col("__key"), how)
+    names = df.columns if out in df.columns else [*df.columns, out]
+    return got.select(*[F.col("__codes").alias(c) if c == out else F.col(f"`{c}`") for c in names])
 
 
 def recode_lists(df: DataFrame, column: str, vocab: DataFrame, splitter: str = "^", unknown: int = 0) -> DataFrame:
     """`df` with each value of a joined list replaced by its index, order and length kept; null stays null.
     Each distinct list is looked up once, under its digest."""
     value = F.col(f"`{column}`").cast("string")
-    lists = (df.select(text.content_key(value).alias("__key"), text.tokens(value, splitter).alias("__toks")).filter("__key IS NOT NULL")
-             .groupBy("__key").agg(F.first("__toks").alias("__toks")))
+    lists = df.select(text.content_key(value).alias("__key"), text.tokens(value, splitter).alias("__toks")).filter("__key IS NOT NULL").distinct()
     v = vocab.select(F.col("token").alias("__tok"), F.col("idx").alias("__idx"))
     cells = lists.select("__key", F.posexplode("__toks").alias("__pos", "__tok")).join(v, "__tok", "left")
     rows = cells.groupBy("__key").agg(F.array_sort(F.collect_list(F.struct("__pos", F.coalesce("__idx", F.lit(unknown)).alias("__code")))).alias("__s"))
     codes = rows.select("__key", text.join_tokens(F.transform("__s", lambda s: s["__code"]), splitter).alias("__codes"))
-    return df.join(codes, text.content_key(value) == F.col("__key"), "left").withColumn(column, F.col("__codes")).drop("__key", "__codes")
+    return _joined_codes(df, text.content_key(value), codes, column, column, "left")
 
 
 def decode(df: DataFrame, column: str, vocab: DataFrame, out: str) -> DataFrame:
