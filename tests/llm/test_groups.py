@@ -422,3 +422,32 @@ def test_pipeline_against_plain_python(spark, tmp_path):
     check_packing([(i, r.text) for i, r in seen[3].items()], corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).collect(), tk)
     out = corpus_pipeline.run(spark, str(tmp_path))
     assert {r.doc_id for r in out.select("doc_id").collect()} == want
+
+
+@pytest.mark.parametrize("alike,dense", [(512, 16), (8, 4), (4, 10**9)])
+def test_many_queries_at_once_equal_full_scoring(monkeypatch, alike, dense):
+    """A shard is searched by all queries together: clusters, dense and rare terms, thresholds and left-out pairs."""
+    for name, value in (("ALIKE", alike), ("DENSE", dense), ("BLOCK", 4), ("MOST_DENSE", 20)):
+        monkeypatch.setattr(search, name, value)
+    rng = np.random.default_rng(10)
+    for _ in range(40):
+        n_terms, n_docs = 60, int(rng.integers(1, 90))
+        table = np.where(rng.random((n_terms, n_docs)) < rng.random((n_terms, 1)), rng.choice([.5, 1.0, 1.5, 2.0], (n_terms, n_docs)), 0.0)
+        table[:, rng.integers(0, n_docs, 9)] = table[:, :1]                  # equal documents, equal scores
+        term, doc = np.nonzero(table)
+        label = search.clusters(term, doc, n_terms, n_docs)
+        table = table[:, np.argsort(label, kind="stable")]
+        term, doc = np.nonzero(table)
+        index = search.ClusterIndex(term, doc, table[term, doc], n_terms, np.searchsorted(np.sort(label), np.arange(label.max() + 2)))
+        asked = [np.unique(rng.integers(0, n_terms, int(rng.integers(1, 30)))) for _ in range(7)]
+        weights = [rng.choice([.1, 1.0, 4.0], len(t)) for t in asked]
+        k, order, skip = int(rng.integers(1, 12)), rng.permutation(n_docs), np.unique(rng.integers(0, 7 * n_docs, 20))
+        total = [np.bincount(np.tile(np.arange(n_docs), len(t)), (w[:, None] * table[t]).ravel(), n_docs) for t, w in zip(asked, weights)]
+        theta = np.array([rng.choice([0.0, s.mean(), np.sort(s)[-min(k, n_docs)]]) for s in total])
+        want = []
+        for i, s in enumerate(total):
+            fit = [d for d in np.lexsort((order, -s)).tolist() if s[d] > 0 and s[d] >= theta[i] and i * n_docs + d not in skip]
+            want += [(i, d, s[d]) for d in fit[:k]]
+        first = np.cumsum([0, *map(len, asked)])
+        got = index.best(np.concatenate(asked), np.concatenate(weights), first, k, order, skip, theta)
+        assert list(zip(*(x.tolist() for x in got))) == want
