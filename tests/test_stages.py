@@ -342,3 +342,18 @@ def test_fit_summary_takes_a_small_gain_of_many_rows_for_a_gain(spark):
         d = Q.V.with_features(spark, SF, Q.V.lines(spark, SF))
         found[SHIFT] = (auc(weak(d)(d)).first()["auc"], Q._fit_summary(spark, SF, weak).first().ranks_better)
     assert 0.5 < found[0.006][0] < 0.505 and found[0.006][1] and not found[-0.1][1]
+
+
+def test_retrieval_metrics_count_no_places(spark, monkeypatch):
+    """No metric reads the positives' scores, so the query gives the same figures without a second visit of all items."""
+    from lumirank.plans import catalog, views as V
+    sf = "/root/testdata/sf0.001"
+    req, items, pos = V.vectors(spark, sf, "request_id"), V.vectors(spark, sf), V.vector_positives(spark, sf)
+    top = RT.exact_top_k(req, items, 20)
+    whole = {(r.request_id, r.item_id, r.label) for r in RT.retrieve_candidates(req, pos, items, 20, scored=top).collect()}
+    assert {(r.request_id, r.item_id, r.label) for r in RT.assemble_candidates(top, pos, 20).collect()} == whole
+
+    def counted(*_, **__):
+        raise AssertionError("places are counted")
+    monkeypatch.setattr(RT, "positive_places", counted)
+    assert catalog.QUERIES["c5_retrieval_metrics"](spark, sf).first()["requests"] == items.count()
