@@ -427,7 +427,7 @@ def test_pipeline_against_plain_python(spark, tmp_path):
 @pytest.mark.parametrize("alike,dense", [(512, 16), (8, 4), (4, 10**9)])
 def test_many_queries_at_once_equal_full_scoring(monkeypatch, alike, dense):
     """A shard is searched by all queries together: clusters, dense and rare terms, thresholds and left-out pairs."""
-    for name, value in (("ALIKE", alike), ("DENSE", dense), ("BLOCK", 4), ("MOST_DENSE", 20)):
+    for name, value in (("ALIKE", alike), ("DENSE", dense), ("BLOCK", 4), ("MOST_DENSE", 20), ("POSTINGS", 50)):
         monkeypatch.setattr(search, name, value)
     rng = np.random.default_rng(10)
     for _ in range(40):
