@@ -37,9 +37,12 @@ def unit_cosine(a: Column, b: Column) -> Column:
     return (1.0 + cosine(a, b)) / 2.0
 
 
+def k_max_places(arr: Column, k: int) -> Column:
+    """Places (from 1, ascending) of the k largest values; of equal values the earlier stay. NaN is the largest, nulls come last."""
+    keyed = F.transform(arr, lambda x, i: F.struct(x.alias("val"), (-i).alias("back")))
+    return F.array_sort(F.transform(F.slice(F.sort_array(keyed, asc=False), 1, k), lambda s: 1 - s["back"]))
+
+
 def k_max(arr: Column, k: int) -> Column:
     """The k largest values in their original order; of equal values the earlier stay."""
-    keyed = F.transform(arr, lambda x, i: F.struct((-x).alias("neg"), i.alias("pos")))
-    best = F.slice(F.array_sort(keyed), 1, k)
-    back = F.array_sort(F.transform(best, lambda s: F.struct(s["pos"].alias("pos"), (-s["neg"]).alias("val"))))
-    return F.transform(back, lambda s: s["val"])
+    return F.transform(k_max_places(arr, k), lambda p: F.get(arr, p - 1))
\ No newline at end of file

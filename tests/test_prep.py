@@ -1,3 +1,4 @@
+import duckdb
 import pytest
 from conftest import rows
 from pyspark.sql import functions as F, types as T
@@ -5,7 +6,7 @@ from pyspark.sql import functions as F, types as T
 from lumirank import config, schema as S
 from lumirank.functions import numeric as N, text as TX, vectors as VX
 from lumirank.operators import audit as AU, filters as FL, pools as PO, remap as RM, scaling as SC, stats as ST, vocab as VO
-from lumirank.plans import jobs as J
+from lumirank.plans import catalog, jobs as J
 from lumirank.sources.synthetic import synthetic_splits
 
 
@@ -61,6 +62,25 @@ def test_k_max_keeps_order(spark):
     assert one(spark, VX.k_max(F.array(*[F.lit(float(x)) for x in (1, 9, 3, 9, 2)]), 3)) == [9.0, 3.0, 9.0]
 
 
+def test_k_max_places_of_equal_and_missing_values(spark):
+    places = lambda *x: one(spark, VX.k_max_places(F.array(*[F.lit(v).cast("float") for v in x]), 3))
+    assert places(1, 9, 3, 9, 9, 9) == [2, 4, 5]
+    assert places(None, 2, float("nan"), 5, 4) == [3, 4, 5]
+    assert places(None, -0.0, 0.0) == [1, 2, 3]
+    assert one(spark, VX.k_max(F.array(*[F.lit(v).cast("float") for v in (None, 7, 1, 7)]), 2)) == [7.0, 7.0]
+
+
+def test_k_max_query_equals_its_sql_on_ties_and_repeated_ids(spark, tmp_path):
+    nan = float("nan")
+    v = [(1, [5.0, 5.0, 1.0, 5.0, 5.0, 5.0]), (2, [1.0, None, nan, 2.0, 0.0]), (2, [9.0, 9.0, 0.5]), (3, [None, 1.0]), (4, []), (5, None), (None, [2.0, 2.0, 3.0, 2.0, 2.0])]
+    spark.createDataFrame([(i, x, 0) for i, x in v], "vec_id long, embedding array<float>, label int").coalesce(1).write.parquet(str(tmp_path / "embeddings.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = dict(con.execute(catalog.SQL["t6_k_max_values"]).fetchall())
+    got = dict(catalog.QUERIES["t6_k_max_values"](spark, str(tmp_path)).collect())
+    assert got == want and want[1] == "1^2^4^5"
+
+
 def test_stable_id(spark):
     assert one(spark, N.stable_id(F.lit(""))) == -1
     assert one(spark, N.stable_id(F.lit("x"))) >= 0
