@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from lumirank.llm import fingerprints as fp, graph, jaccard, packing, search
@@ -359,6 +360,31 @@ def test_results_do_not_depend_on_shards(spark, monkeypatch, min_df):
     assert [x[:2] + x[3:] for x in seen[0]] == [x[:2] + x[3:] for x in sorted(want)]
 
 
+def test_cells_of_shards_and_queries_are_bounded(spark, monkeypatch):
+    """Packed rows and cells have a bound, a shuffle deals cells evenly, and results don't depend on either."""
+    rng = np.random.default_rng(3)
+    sizes = rng.integers(1, 900, 300)
+    sizes[7] = search.ENTRIES + 5
+    edges = search._upto(sizes)
+    assert edges[0] == 0 and edges[-1] == len(sizes) and max(np.diff(edges)) <= search.PACKED
+    assert all(sizes[a:b].sum() <= search.ENTRIES or b == a + 1 for a, b in zip(edges[:-1], edges[1:]))
+    numbers = [np.sort(rng.choice(1 << 40, n, replace=False)) for n in (3, 1, 50)]
+    counts, ids = rng.integers(1, 9, 54), np.array([-2**63, 2**63 - 1, 5])
+    q, size, held, place, count = search._unpack(search._pack(ids, np.concatenate(numbers), counts, np.array([3, 1, 50])))
+    assert q.tolist() == ids.tolist() and size.tolist() == [3, 1, 50] and held[place].tolist() == np.concatenate(numbers).tolist() and count.tolist() == counts.tolist()
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    labels = spark.createDataFrame([(x,) for x in search._labels(spark, 3 * parts)], "x int")
+    assert labels.distinct().count() == 3 * parts
+    assert {r["n"] for r in labels.groupBy((F.pmod(F.hash("x"), F.lit(parts))).alias("p")).agg(F.count("*").alias("n")).collect()} == {3}
+    df, seen = spark.createDataFrame(corpus(60), "doc_id long, text string"), []
+    for shard, cell, group in ((16_000, 1 << 16, 2), (3, 1, 2), (1, 2, 30)):
+        for name, value in (("SHARD_ROWS", shard), ("CELL_QUERIES", cell), ("GROUP_SHARDS", group)):
+            monkeypatch.setattr(search, name, value)
+        out = search.search(df, df.filter("doc_id % 10 = 0"), k=4, query_terms=None, k3=None).collect()
+        seen.append(sorted((r.query_id, r["rank"], r.doc_id, round(r.score, 9)) for r in out))
+    assert seen[0] and seen[0] == seen[1] == seen[2]
+
+
 def test_search_of_a_very_long_text(spark):
     rows = [(i, f"w{i} common words of text {i % 7}") for i in range(1, 40)] + [(20, "common " + "filler text " * 120_000)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
