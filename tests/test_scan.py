@@ -42,6 +42,30 @@ def test_tiles_equal_all_pairs(copies, temperature, prior):
     assert tally.flush() == (weight * (2 * flat.size - np.searchsorted(flat, edges) - np.searchsorted(flat, edges, "right"))).sum()
 
 
+def test_sums_in_double_precision_leave_the_rest_in_single():
+    """Scores of double precision are counted as they are, lists and places are told apart in single precision, also 1e-9 apart."""
+    rng = np.random.default_rng(6)
+    n, m, k = 3_000, 40, 7
+    x, u = np.zeros((n, 3)), np.zeros((m, 3))
+    x[:, 0], x[:, 1], u[:, 0], u[:, 1] = 1.0, rng.integers(-40, 40, n) * 1e-9, 1.0, 1.0
+    z = rng.integers(-3, 3, n) * 1e-9
+    s = np.round(u @ x.T, 9)
+    views = [s, np.round(s + z, 9)]
+    col = rng.integers(0, n, m)
+    own, order = np.stack([v[np.arange(m), col] for v in views], axis=1), rng.permutation(n)
+    edges, weight = np.unique(own[:, 0], return_counts=True)
+    tally = CE.Tally(edges, weight, 9, 1.1, n * m)
+    scan = CE.Scan(CE.Dots(u, x, 1.0, 9, single=False), [(0, n)], np.ones((m, 1), bool), order, z, [0.0, 1.0])
+    assert scan.kind is np.float32 and scan.score.kind is np.float64
+    got, higher, tied, _ = scan.run(k, per=np.ones(m, np.int64), own=own, column=col, tally=tally)
+    by = np.argsort(order)
+    assert (got[1].reshape(m, k)[np.argsort(got[0].reshape(m, k)[:, 0])] == by[CE.best(s[:, by], k)]).all()
+    for v, y in enumerate(views):
+        assert (higher[:, v] == (y > own[:, v, None]).sum(axis=1)).all() and (tied[:, v] == (y == own[:, v, None]).sum(axis=1) - 1).all()
+    flat = np.sort(s.ravel())
+    assert tally.flush() == (weight * (2 * flat.size - np.searchsorted(flat, edges) - np.searchsorted(flat, edges, "right"))).sum()
+
+
 def test_a_group_gets_one_copy_of_a_row(spark, monkeypatch):
     """Vectors without neighbourhoods leave every block in reach; a row is not copied for each of them."""
     rng = np.random.default_rng(4)
